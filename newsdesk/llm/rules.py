@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .textstats import text_stats
 
-#: name, share to look at, bad above, good below (None: the rule never votes that way).
+#: name, share to look at, bad above (None: the rule never votes bad), good below.
 RULES = (
     ("symbols", lambda s: s["n_symbols"] / max(1, s["word_chars"]), 0.08, 0.02),
     ("symbols_per_word", lambda s: s["n_symbols"] / max(1, s["n_words"]), 0.35, 0.05),
@@ -29,9 +29,9 @@ RULES = (
     ("menu_bars", lambda s: s["n_pipes"] / max(1, s["n_words"]), 0.15, 0.02),
     ("repeated_windows", lambda s: s["n_repeat_words"] / max(1, s["n_words"]), 0.35, 0.1),
     ("same_word_twice", lambda s: s["n_adjacent"] / max(1, s["n_words"]), 0.2, 0.05),
-    ("repeated_lines", lambda s: s["n_dup_lines"] / max(1, s["n_lines"]), 0.3, 0.1),
+    ("repeated_lines", lambda s: s["n_dup_lines"] / max(1, s["n_lines"]), 0.6, 0.1),
     ("word_length", lambda s: abs(math.log(max(1, s["word_chars"]) / max(1, s["n_words"]) / 5.5)), 0.75, 0.4),
-    ("unended_lines", lambda s: 1 - s["n_ended_lines"] / max(1, s["n_lines"]), 0.95, 0.5),
+    ("unended_lines", lambda s: 1 - s["n_ended_lines"] / max(1, s["n_lines"]), None, 0.5),
 )
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -44,7 +44,7 @@ def votes(stats: dict[str, int]) -> str:
     out = []
     for _, share, bad, good in RULES:
         x = share(stats)
-        out.append("b" if x > bad else "g" if x < good else "a")
+        out.append("b" if bad is not None and x > bad else "g" if x < good else "a")
     return "".join(out)
 
 

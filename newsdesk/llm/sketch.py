@@ -19,11 +19,13 @@ from pyspark.sql.window import Window
 WORDS = 5
 #: Hashes below these digits are kept: a quarter of the range.
 BELOW = "40000000"
+#: Texts with so many distinct shingles at most keep all hashes.
+WHOLE = 64
 GAP = "[\\x20\\x09-\\x0D]+"
 
 
 def sketch(text: Column) -> Column:
-    """Sorted distinct hashes kept of a whole text; array<string>."""
+    """struct<whole boolean, hashes array<string>>: the sorted distinct hashes kept, and whether these are all of the text's."""
 
     def of_words(words: Column) -> Column:
         last = F.greatest(F.size(words) - (WORDS - 1), F.lit(1))
@@ -31,20 +33,30 @@ def sketch(text: Column) -> Column:
         return F.transform(F.array(hashes), kept)[0]
 
     def kept(hashes: Column) -> Column:
-        low = F.filter(hashes, lambda h: h < BELOW)
-        return F.array_sort(F.array_distinct(F.when(F.size(low) > 0, low).otherwise(F.array(F.array_min(hashes)))))
+        return F.transform(F.array(F.struct(hashes.alias("all"), F.array_distinct(F.filter(hashes, lambda h: h < BELOW)).alias("low"))), chosen)[0]
+
+    def chosen(x: Column) -> Column:
+        # with more low hashes than a whole sketch has, all distinct ones needn't be counted
+        whole = F.when(F.size(x["low"]) > WHOLE, F.lit(False)).otherwise(F.size(F.array_distinct(x["all"])) <= WHOLE)
+        hashes = F.when(whole, F.array_distinct(x["all"])).when(F.size(x["low"]) > 0, x["low"]).otherwise(F.array(F.array_min(x["all"])))
+        return F.struct(whole.alias("whole"), F.array_sort(hashes).alias("hashes"))
 
     # a one-element array binds its element to a lambda variable, so that the words are split once and not for each shingle
     return F.transform(F.array(F.filter(F.split(text, GAP), lambda w: w != "")), of_words)[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated containment of the smaller of two sketches in the larger, 0 to 1."""
-    return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
+    """Estimated containment of the smaller of two sketches in the larger, 0 to 1; 0 or 1 (equal) where one has nothing to compare."""
+    both = a["whole"] & b["whole"]
+    low = lambda x: F.filter(x["hashes"], lambda h: both | (h < BELOW))
+    x, y = low(a), low(b)
+    least = F.least(F.size(x), F.size(y))
+    return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise((a["hashes"] == b["hashes"]).cast("double"))
 
 
-def fingerprint(hashes: Column) -> Column:
-    return F.array_join(hashes, "")
+def fingerprint(kept: Column) -> Column:
+    """w (whole) or s (scaled), and the hashes, eight hexadecimal digits each."""
+    return F.concat(F.when(kept["whole"], "w").otherwise("s"), F.array_join(kept["hashes"], ""))
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
@@ -107,10 +119,17 @@ n AS (
     SELECT t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM texts
 ), h AS (
     SELECT t, list_transform(generate_series(1, greatest(len(words) - 4, 1)), lambda i: substring(md5(array_to_string(words[i:i + 4], ' ')), 1, 8)) AS hashes FROM w
+), l AS (
+    SELECT t, list_distinct(hashes) AS hashes, list_filter(list_distinct(hashes), lambda x: x < '40000000') AS low FROM h
 ), s AS (
-    SELECT t, list_sort(list_distinct(CASE WHEN len(list_filter(hashes, lambda x: x < '40000000')) > 0 THEN list_filter(hashes, lambda x: x < '40000000') ELSE [list_min(hashes)] END)) AS k FROM h
+    SELECT t, len(hashes) <= 64 AS whole, list_sort(CASE WHEN len(hashes) <= 64 THEN hashes WHEN len(low) > 0 THEN low ELSE [list_min(hashes)] END) AS k, low FROM l
+), f AS (
+    SELECT *, CASE WHEN whole THEN 'w' ELSE 's' END || array_to_string(k, '') AS fingerprint FROM s
 )
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(a.k, '') AS fingerprint, array_to_string(b.k, '') AS edited_fingerprint,
-    len(list_intersect(a.k, b.k))::DOUBLE / least(len(a.k), len(b.k)) AS near_edited, len(list_intersect(a.k, c.k))::DOUBLE / least(len(a.k), len(c.k)) AS near_next
-FROM e JOIN s a ON e.text = a.t JOIN s b ON e.edited = b.t JOIN s c ON e.next_text = c.t
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, a.fingerprint, b.fingerprint AS edited_fingerprint,
+    CASE WHEN a.whole AND b.whole THEN len(list_intersect(a.k, b.k))::DOUBLE / least(len(a.k), len(b.k)) WHEN least(len(a.low), len(b.low)) > 0
+        THEN len(list_intersect(a.low, b.low))::DOUBLE / least(len(a.low), len(b.low)) ELSE (a.k = b.k)::INTEGER::DOUBLE END AS near_edited,
+    CASE WHEN a.whole AND c.whole THEN len(list_intersect(a.k, c.k))::DOUBLE / least(len(a.k), len(c.k)) WHEN least(len(a.low), len(c.low)) > 0
+        THEN len(list_intersect(a.low, c.low))::DOUBLE / least(len(a.low), len(c.low)) ELSE (a.k = c.k)::INTEGER::DOUBLE END AS near_next
+FROM e JOIN f a ON e.text = a.t JOIN f b ON e.edited = b.t JOIN f c ON e.next_text = c.t
 """
