@@ -25,9 +25,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
+from .chunks import ChunkCache, chunk_of
 
 LONG_PIECE = 400
+#: Pieces kept per worker beside the chunks: a memory bound.
+KEPT_PIECES = 200_000
 _coders: dict[str, Coder] = {}
 
 ENCODE = """
@@ -74,6 +76,7 @@ class Coder:
         by_id = sorted((r, t.hex()) for t, r in self.ranks.items())
         self._load("vocabulary", id=np.array([r for r, _ in by_id], np.int32), hex=[h for _, h in by_id])
         self.cache = ChunkCache(self.encode_chunks, 2)
+        self.known_pieces: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _load(self, table: str, **columns) -> None:
         rows = pa.table({k: pa.array(v) for k, v in columns.items()})
@@ -136,13 +139,17 @@ class Coder:
                 out[k] = bytes.fromhex(h)
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids, bytes decoded from these ids) of each chunk."""
-        cut = [[p.encode() for p in self.pieces(c)] for c in chunks]
-        distinct = sorted({p for x in cut for p in x})
-        known = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
-        ids = [b"".join(map(known.__getitem__, x)) for x in cut]
-        return list(zip(ids, self.decode(ids), strict=True))
+    def encode_chunks(self, keys: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids, bytes decoded from these ids) of each key's chunk."""
+        cut = [[p.encode() for p in self.pieces(chunk_of(k))] for k in keys]
+        distinct = sorted({p for x in cut for p in x}.difference(self.known_pieces))
+        if len(self.known_pieces) > KEPT_PIECES:
+            distinct = sorted({p for x in cut for p in x})
+            self.known_pieces = {}
+        ids = self.encode_pieces(distinct)
+        self.known_pieces.update(zip(distinct, zip(ids, self.decode(ids), strict=True), strict=True))
+        made = [[self.known_pieces[p] for p in x] for x in cut]
+        return [(b"".join(i for i, _ in x), b"".join(d for _, d in x)) for x in made]
 
 
 def coder(path: str) -> Coder:
@@ -158,9 +165,9 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                made = own.cache.parts(part.column("text").to_pylist())
+            for k in range(0, b.num_rows, 2_000):
+                part = b.slice(k, 2_000)
+                made = list(own.cache.parts(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, ids binary, decoded binary")
@@ -173,10 +180,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for b in batches:
-            rows = []
-            texts = b.column("text").to_pylist()
-            for k in range(0, b.num_rows, 256):
-                rows += [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()) for x, y in own.cache.parts(texts[k : k + 256])]
+            rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()) for x, y in own.cache.parts(b.column("text"))]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

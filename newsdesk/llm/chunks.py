@@ -1,50 +1,125 @@
-"""Cutting texts where no byte-level BPE piece can cross, so that each distinct chunk is encoded once per worker.
+"""Cutting texts where no byte-level BPE piece can cross, so that each distinct chunk is encoded once while a worker keeps it.
 
 In the public pre-tokenizer pattern a piece holds white space only at its start (one space before letters, digits or symbols) or
 is white space alone. A space or newline that stands between two non-white characters therefore always begins a new piece, and
-the text before it is split into pieces as if it stood alone.
+the text before it is split into pieces as if it stood alone. Cuts are only made there.
+
+A full stop or comma between a Latin letter and white space begins and ends a piece as well.
+
+A chunk is named by a key: what follows its space; itself if it begins with a newline; or ``RAW`` or ``STOP`` and itself.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
+RAW, STOP = "\x00", "\x01"
+_STOPS = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,]) "
 _CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)")
 
-#: Chunks kept per worker: a memory bound, not a limit on what is encoded.
-KEPT = 300_000
+#: Chunks that each of a cache's two generations keeps: a memory bound, not a limit on what is encoded.
+KEPT = 400_000
+
+
+#: Texts that don't have single spaces and newlines between words only, or that hold ``RAW`` or ``STOP``.
+_ODD = (
+    r"[\x00\x01\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
+)
+#: Bytes of text that are cut at once, one long text at least.
+SLICE = 24 << 20
+
+
+def keys_of(text: str) -> list[str]:
+    """Keys of chunks whose concatenation is ``text``, with no assumption on its white space."""
+    return [RAW + x for x in _CUT.split(text) if x]
+
+
+def plain_keys(texts: pa.Array) -> pa.ListArray:
+    """Keys of texts that are not odd; all but the first hold no white space but a newline at the start."""
+    spaced = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), _STOPS, rf"\1 {STOP}\2 ")
+    return pc.split_pattern(pc.binary_join_element_wise(pa.scalar(RAW), spaced, pa.scalar("")), " ")
+
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right")))
+        yield texts.slice(a, b - a)
+        a = b
 
-def chunks_of(text: str) -> list[str]:
-    """Chunks whose concatenation is ``text``."""
-    if not text:
-        return []
-    if _ODD.search(text):
-        return [x for x in _CUT.split(text) if x]
-    head, *rest = text.replace("\n", " \n").split(" ")
-    return [head, *[x if x[0] == "\n" else " " + x for x in rest]]
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[0] <= STOP else key if key[0] == "\n" else " " + key
+
+
+class _Generation(dict):
+    """Values by key; a key that neither it nor the older generation knows is noted as missing."""
+
+    def __init__(self, old: dict) -> None:
+        super().__init__()
+        self.old = old
+        self.missing: set[str] = set()
+
+    def __missing__(self, key: str):
+        if key in self.old:
+            self[key] = self.old[key]
+            return self[key]
+        self.missing.add(key)
+        return None
 
 
 class ChunkCache:
-    """What ``encode`` makes of chunks (a tuple of byte strings each), computed in batches, once while it is kept."""
+    """What ``encode`` makes of the chunks of keys (byte strings, ``columns`` of them), computed in batches.
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple[bytes, ...]]], columns: int = 1) -> None:
+    A full generation becomes the old one and replaces the one before it; chunks met again move to the young one, so that frequent
+    chunks stay.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[tuple[bytes, ...]]], columns: int) -> None:
         self.encode = encode
-        self.known: list[dict[str, bytes]] = [{} for _ in range(columns)]
-
-    def parts(self, texts: list[str | None]) -> list[tuple[bytes, ...]]:
-        """For each text, each column's byte strings of its chunks, joined; null counts as empty."""
-        cut = [chunks_of(t or "") for t in texts]
-        new: set[str] = set()
-        for x in cut:
-            new.update(x)
-        if len(self.known[0]) + len(new) > KEPT:
-            self.known = [{k: v for k, v in d.items() if k in new} for d in self.known]
-        missing = sorted(new.difference(self.known[0]))
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            for d, made in zip(self.known, zip(*self.encode(part), strict=True), strict=True):
-                d.update(zip(part, made, strict=True))
-        return [tuple(b"".join(map(d.__getitem__, x)) for d in self.known) for x in cut]
+        self.columns = columns
+        self.young = _Generation({})
+
+    def values(self, keys: list[str]) -> list[tuple[bytes, ...]]:
+        if len(self.young) > KEPT:
+            self.young = _Generation(dict(self.young))
+        find = self.young.__getitem__
+        out = list(map(find, keys))
+        if self.young.missing:
+            missing = sorted(self.young.missing)
+            self.young.missing = set()
+            for k in range(0, len(missing), 20_000):
+                part = missing[k : k + 20_000]
+                self.young.update(zip(part, self.encode(part), strict=True))
+            out = [find(k) if v is None else v for k, v in zip(keys, out, strict=True)]
+        return out
+
+    def _joined(self, lists: pa.ListArray) -> list[tuple[bytes, ...]]:
+        """Each list's values, joined."""
+        coded = lists.flatten().dictionary_encode()
+        known = self.values(coded.dictionary.to_pylist())
+        ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        out = []
+        for k in range(self.columns):
+            taken = pc.take(pa.array([v[k] for v in known], pa.large_binary()), coded.indices)
+            starts = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][ends].tolist()
+            raw = memoryview(taken.buffers()[2] or b"")
+            out.append([bytes(raw[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)])
+        return list(zip(*out, strict=True))
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[bytes, ...]]:
+        """For each whole text, each column's byte strings of its chunks, joined; null counts as empty."""
+        for part in slices(texts.fill_null("")):
+            odd = pc.match_substring_regex(part, _ODD)
+            which = np.asarray(odd.to_numpy(zero_copy_only=False), bool)
+            plain = iter(self._joined(plain_keys(part.filter(pc.invert(odd)))) if not which.all() else [])
+            rest = iter(self._joined(pa.array([keys_of(t) for t in part.filter(odd).to_pylist()], pa.list_(pa.string()))) if which.any() else [])
+            for x in which:
+                yield next(rest) if x else next(plain)

@@ -16,6 +16,7 @@ their tokens, ordered by text; an empty table gives an empty file; extra columns
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,24 +28,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
+from .chunks import STOP, ChunkCache, chunk_of
 from .shared import stored
 
 BLOCK, PERCENTILE = 256, 90
 SHARD_TOKENS = 1 << 20
 HEAD = struct.Struct("<4sIIIQQ")
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
-_encoders: dict[str, ChunkCache] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def tokenizer(path: str) -> ChunkCache:
-    """One encoder per worker process; the texts of special tokens are ordinary text."""
-    if path not in _encoders:
+class Encoder:
+    """The tokenizers library in one worker process; the texts of special tokens are ordinary text."""
+
+    #: Stands between chunks that are encoded in one call; the pattern always makes it a piece of its own there.
+    BETWEEN = "\n\n"
+
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs in parallel
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _encoders[path] = ChunkCache(lambda xs: [(np.array(e.ids, "<u4").tobytes(),) for e in t.encode_batch_fast(xs, add_special_tokens=False)])
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        self.between = self._ids([self.BETWEEN])[0]
+        self.cache = ChunkCache(self.encode, 1)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, keys: list[str]) -> list[tuple[bytes]]:
+        """Little-endian unsigned 32-bit ids of each key's chunk."""
+        plain = [k for k in keys if k[0] > STOP] if len(self.between) == 1 else []
+        known = {}
+        for a in range(0, len(plain), 100):
+            part = plain[a : a + 100]
+            ids = np.array(self._ids([self.BETWEEN + self.BETWEEN.join(map(chunk_of, part))])[0], "<u4")
+            starts = np.flatnonzero(ids == self.between[0]) + 1
+            if len(starts) != len(part):
+                continue
+            raw = ids.tobytes()
+            known.update((k, raw[4 * i : 4 * j - 4]) for k, i, j in zip(part, starts.tolist(), [*starts[1:].tolist(), len(ids) + 1], strict=True))
+        rest = [k for k in keys if k not in known]
+        known.update(zip(rest, (np.array(x, "<u4").tobytes() for x in self._ids(list(map(chunk_of, rest)))), strict=True))
+        return [(known[k],) for k in keys]
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
+        return (x for (x,) in self.cache.parts(texts))
+
+
+def tokenizer(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -151,13 +186,11 @@ def write_file(docs: DataFrame, path: str | None = None, end_id: int = 0) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for k in range(0, len(texts), 256):
-                for d, (x,) in zip(doc_ids[k : k + 256], coder.parts(texts[k : k + 256]), strict=True):
-                    held.append((d, x + end))
-                    size += len(x) // 4 + 1
-                    if size >= SHARD_TOKENS:
-                        yield shard()
+            for d, x in zip(batch.column("doc_id").to_pylist(), coder.ids(batch.column("text")), strict=True):
+                held.append((d, x + end))
+                size += len(x) // 4 + 1
+                if size >= SHARD_TOKENS:
+                    yield shard()
         if held:
             yield shard()
 
