@@ -75,7 +75,7 @@ class Coder:
         self._load("merges", l=rows[:, 0], r=rows[:, 1], merged=rows[:, 2])
         by_id = sorted((r, t.hex()) for t, r in self.ranks.items())
         self._load("vocabulary", id=np.array([r for r, _ in by_id], np.int32), hex=[h for _, h in by_id])
-        self.cache = ChunkCache(self.encode_chunks, 2)
+        self.cache = ChunkCache(self.encode_chunks, 2, 250_000)
         self.known_pieces: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _load(self, table: str, **columns) -> None:

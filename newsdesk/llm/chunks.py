@@ -22,8 +22,6 @@ RAW, STOP = "\x00", "\x01"
 _STOPS = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,]) "
 _CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)")
 
-#: Chunks that each of a cache's two generations keeps: a memory bound, not a limit on what is encoded.
-KEPT = 400_000
 
 
 #: Texts that don't have single spaces and newlines between words only, or that hold ``RAW`` or ``STOP``.
@@ -32,7 +30,7 @@ _ODD = (
     r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 )
 #: Bytes of text that are cut at once, one long text at least.
-SLICE = 24 << 20
+SLICE = 16 << 20
 
 
 def keys_of(text: str) -> list[str]:
@@ -76,20 +74,23 @@ class _Generation(dict):
 
 
 class ChunkCache:
-    """What ``encode`` makes of the chunks of keys (byte strings, ``columns`` of them), computed in batches.
+    """What ``encode`` makes of the chunks of keys (a byte string, or a tuple of ``columns`` of them), computed in batches.
 
+    kept: chunks that each of two generations keeps; a memory bound, not a limit on what is encoded.
     A full generation becomes the old one and replaces the one before it; chunks met again move to the young one, so that frequent
     chunks stay.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple[bytes, ...]]], columns: int) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], columns: int, kept: int) -> None:
         self.encode = encode
+        self.kept = kept
         self.columns = columns
         self.young = _Generation({})
 
-    def values(self, keys: list[str]) -> list[tuple[bytes, ...]]:
-        if len(self.young) > KEPT:
-            self.young = _Generation(dict(self.young))
+    def values(self, keys: list[str]) -> list:
+        if len(self.young) > self.kept:
+            self.young.old = {}
+            self.young = _Generation(self.young)
         find = self.young.__getitem__
         out = list(map(find, keys))
         if self.young.missing:
@@ -108,7 +109,7 @@ class ChunkCache:
         ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         out = []
         for k in range(self.columns):
-            taken = pc.take(pa.array([v[k] for v in known], pa.large_binary()), coded.indices)
+            taken = pc.take(pa.array([v[k] for v in known] if self.columns > 1 else known, pa.large_binary()), coded.indices)
             starts = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][ends].tolist()
             raw = memoryview(taken.buffers()[2] or b"")
             out.append([bytes(raw[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)])

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .textstats import text_stats
 
 MAX_LABELLED = 20_000
+PARTS = 4096
 PAIRS = 60_000
 CUT = 0.3
 
@@ -92,11 +93,18 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> Ranker:
     """Learn from the labelled documents that are not held out; at most ``MAX_LABELLED`` rows reach the driver."""
-    chosen = (
+    usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.min("quality").alias("__nd_quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+        .groupBy("doc_id").agg(F.min("quality").alias("__nd_quality")).withColumn("__nd_part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
     )
+    # whole hash parts, as many of the first as stay within the bound; at most PARTS counts reach the driver
+    cut, size = PARTS, 0
+    for part, n in sorted((r["__nd_part"], r["count"]) for r in usable.groupBy("__nd_part").count().collect()):
+        size += n
+        if size > MAX_LABELLED:
+            cut = part
+            break
+    chosen = usable.where(F.col("__nd_part") < cut).drop("__nd_part")
     vector = F.pandas_udf(lambda t: t.map(features), "array<double>")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", vector("text").alias("x"), "__nd_quality")
     got = sorted((r["doc_id"], r["__nd_quality"], r["x"]) for r in rows.dropDuplicates(["doc_id"]).collect())

@@ -51,12 +51,12 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.between = self._ids([self.BETWEEN])[0]
-        self.cache = ChunkCache(self.encode, 1)
+        self.cache = ChunkCache(self.encode, 1, 400_000)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, keys: list[str]) -> list[tuple[bytes]]:
+    def encode(self, keys: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each key's chunk."""
         plain = [k for k in keys if k[0] > STOP] if len(self.between) == 1 else []
         known = {}
@@ -70,7 +70,7 @@ class Encoder:
             known.update((k, raw[4 * i : 4 * j - 4]) for k, i, j in zip(part, starts.tolist(), [*starts[1:].tolist(), len(ids) + 1], strict=True))
         rest = [k for k in keys if k not in known]
         known.update(zip(rest, (np.array(x, "<u4").tobytes() for x in self._ids(list(map(chunk_of, rest)))), strict=True))
-        return [(known[k],) for k in keys]
+        return [known[k] for k in keys]
 
     def ids(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
