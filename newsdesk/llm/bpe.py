@@ -29,7 +29,7 @@ from .chunks import ChunkCache, chunk_of
 
 LONG_PIECE = 400
 #: Pieces kept per worker beside the chunks: a memory bound.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 40_000
 _coders: dict[str, Coder] = {}
 
 ENCODE = """
@@ -70,12 +70,12 @@ class Coder:
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
                     self.merges[left, right] = rank
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         rows = np.array([(a, b, m) for (a, b), m in self.merges.items()], np.int32)
         self._load("merges", l=rows[:, 0], r=rows[:, 1], merged=rows[:, 2])
         by_id = sorted((r, t.hex()) for t, r in self.ranks.items())
         self._load("vocabulary", id=np.array([r for r, _ in by_id], np.int32), hex=[h for _, h in by_id])
-        self.cache = ChunkCache(self.encode_chunks, 2, 250_000)
+        self.cache = ChunkCache(self.encode_chunks, 2, 700_000)
         self.known_pieces: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _load(self, table: str, **columns) -> None:
@@ -93,8 +93,8 @@ class Coder:
                 out[k] = np.array(self._by_heap(pieces[k]), "<u4").tobytes()
         left = [k for k in left if out[k] is None]
         left.sort(key=lambda k: len(pieces[k]))  # alike lengths end after alike rounds
-        for a in range(0, len(left), 20_000):
-            part = left[a : a + 20_000]
+        for a in range(0, len(left), 10_000):
+            part = left[a : a + 10_000]
             n = np.array([len(pieces[k]) for k in part])
             flat = np.frombuffer(b"".join(pieces[k] for k in part), np.uint8)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)

@@ -30,7 +30,7 @@ _ODD = (
     r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 )
 #: Bytes of text that are cut at once, one long text at least.
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 def keys_of(text: str) -> list[str]:
@@ -57,62 +57,60 @@ def chunk_of(key: str) -> str:
     return key[1:] if key[0] <= STOP else key if key[0] == "\n" else " " + key
 
 
-class _Generation(dict):
-    """Values by key; a key that neither it nor the older generation knows is noted as missing."""
-
-    def __init__(self, old: dict) -> None:
-        super().__init__()
-        self.old = old
-        self.missing: set[str] = set()
-
-    def __missing__(self, key: str):
-        if key in self.old:
-            self[key] = self.old[key]
-            return self[key]
-        self.missing.add(key)
-        return None
-
-
 class ChunkCache:
     """What ``encode`` makes of the chunks of keys (a byte string, or a tuple of ``columns`` of them), computed in batches.
 
-    kept: chunks that each of two generations keeps; a memory bound, not a limit on what is encoded.
-    A full generation becomes the old one and replaces the one before it; chunks met again move to the young one, so that frequent
-    chunks stay.
+    kept: known chunks, a memory bound and not a limit on what is encoded. They are held in Arrow arrays and looked up by joining
+    the distinct keys of a slice with them, so only new chunks become Python objects. Beyond the bound the chunks met least often
+    go, with counts that are halved each time.
     """
 
     def __init__(self, encode: Callable[[list[str]], list], columns: int, kept: int) -> None:
         self.encode = encode
         self.kept = kept
-        self.columns = columns
-        self.young = _Generation({})
-
-    def values(self, keys: list[str]) -> list:
-        if len(self.young) > self.kept:
-            self.young.old = {}
-            self.young = _Generation(self.young)
-        find = self.young.__getitem__
-        out = list(map(find, keys))
-        if self.young.missing:
-            missing = sorted(self.young.missing)
-            self.young.missing = set()
+        self.keys = pa.array([], pa.string())
+        self.values = [pa.array([], pa.large_binary()) for _ in range(columns)]
+        self.met = np.zeros(0, np.int32)
+
+    def _codes(self, keys: pa.Array) -> np.ndarray:
+        """Each distinct key's place among the known chunks, after the new ones have been added."""
+        at = pc.index_in(keys, value_set=self.keys)
+        new = pc.is_null(at)
+        places = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        is_new = np.asarray(new.to_numpy(zero_copy_only=False), bool)
+        if is_new.any():
+            added = keys.filter(new)
+            missing = added.to_pylist()
+            made: list = []
             for k in range(0, len(missing), 20_000):
-                part = missing[k : k + 20_000]
-                self.young.update(zip(part, self.encode(part), strict=True))
-            out = [find(k) if v is None else v for k, v in zip(keys, out, strict=True)]
-        return out
+                made += self.encode(missing[k : k + 20_000])
+            columns = zip(*made, strict=True) if len(self.values) > 1 else [made]
+            self.values = [pa.concat_arrays([old, pa.array(list(x), pa.large_binary())]) for old, x in zip(self.values, columns, strict=True)]
+            places[is_new] = len(self.keys) + np.arange(len(missing))
+            self.keys = pa.concat_arrays([self.keys, added])
+            self.met = np.concatenate([self.met, np.zeros(len(missing), np.int32)])
+        self.met[places] += 1
+        return places
+
+    def _shrink(self) -> None:
+        if len(self.keys) > self.kept:
+            stay = np.sort(np.argpartition(-self.met, self.kept * 2 // 3)[: self.kept * 2 // 3])
+            self.keys = self.keys.take(pa.array(stay))
+            self.values = [v.take(pa.array(stay)) for v in self.values]
+            self.met = self.met[stay] // 2
 
     def _joined(self, lists: pa.ListArray) -> list[tuple[bytes, ...]]:
         """Each list's values, joined."""
         coded = lists.flatten().dictionary_encode()
-        known = self.values(coded.dictionary.to_pylist())
+        places = pa.array(self._codes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)])
         ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         out = []
-        for k in range(self.columns):
-            taken = pc.take(pa.array([v[k] for v in known] if self.columns > 1 else known, pa.large_binary()), coded.indices)
+        for column in self.values:
+            taken = column.take(places)
             starts = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][ends].tolist()
             raw = memoryview(taken.buffers()[2] or b"")
             out.append([bytes(raw[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)])
+        self._shrink()
         return list(zip(*out, strict=True))
 
     def parts(self, texts: pa.Array) -> Iterator[tuple[bytes, ...]]:
@@ -124,3 +122,4 @@ class ChunkCache:
             rest = iter(self._joined(pa.array([keys_of(t) for t in part.filter(odd).to_pylist()], pa.list_(pa.string()))) if which.any() else [])
             for x in which:
                 yield next(rest) if x else next(plain)
+            pa.default_memory_pool().release_unused()

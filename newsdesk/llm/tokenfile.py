@@ -51,7 +51,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.between = self._ids([self.BETWEEN])[0]
-        self.cache = ChunkCache(self.encode, 1, 400_000)
+        self.cache = ChunkCache(self.encode, 1, 700_000)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
