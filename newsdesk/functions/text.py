@@ -1,0 +1,156 @@
+"""Text, category, date and number functions as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from . import fixed
+
+
+def _map(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
+def normalize_category(c: Column) -> Column:
+    """Current id of a category; unknown ones pass."""
+    known = F.when(c.isin([k for k, _, _ in fixed.CATEGORIES]), c)
+    return F.coalesce(known, F.try_element_at(_map(fixed.OLD_CATEGORIES), c), c)
+
+
+def category_display(c: Column) -> Column:
+    return F.coalesce(F.try_element_at(_map({k: d for k, _, d in fixed.CATEGORIES}), c), c)
+
+
+def category_name(c: Column) -> Column:
+    return F.coalesce(F.try_element_at(_map({k: n for k, n, _ in fixed.CATEGORIES}), c), c)
+
+
+def category_order(c: Column, default: int = 99) -> Column:
+    return F.coalesce(F.try_element_at(_map({k: i + 1 for i, (k, _, _) in enumerate(fixed.CATEGORIES)}), c), F.lit(default))
+
+
+def escape_cell(c: Column) -> Column:
+    """Text for a table cell: pipes escaped, line ends become spaces."""
+    return F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def truncate(c: Column, n: int) -> Column:
+    """First n characters and an ellipsis where the text is longer; that is this function's purpose."""
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
+
+
+def strip_tags(c: Column) -> Column:
+    return F.regexp_replace(c, "<[^>]+>", "")
+
+
+def strip_html(c: Column) -> Column:
+    """Text of a page by patterns alone: scripts, styles and comments go, block tags become line ends, spaces collapse."""
+    c = F.regexp_replace(c, "(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", "")
+    c = F.regexp_replace(c, "(?i)</?(p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|blockquote|pre)[^>]*>", "\n")
+    c = F.regexp_replace(c, "<[^>]+>", "")
+    for name, text in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(text))
+    c = F.regexp_replace(F.regexp_replace(c, "[ \\t]+", " "), "\n *", "\n")
+    return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"), F.lit(" \n"))
+
+
+def main_content(c: Column) -> Column:
+    """Text of the first article, else of the first content div, else of main, of over 200 characters; else a page of over 500; else ''."""
+    found = [
+        "(?is)<article[^>]*>(.*?)</article>",
+        '(?is)<div[^>]*class="[^"]*(?:content|article|post|entry)[^"]*"[^>]*>(.*?)</div>',
+        "(?is)<main[^>]*>(.*?)</main>",
+    ]
+    parts = [strip_html(F.regexp_extract(c, p, 1)) for p in found]
+    page = strip_html(c)
+    return F.coalesce(*[F.when(F.length(p) > 200, p) for p in parts], F.when(F.length(page) > 500, page), F.lit(""))
+
+
+def make_anchor(c: Column) -> Column:
+    """Heading to anchor: no characters beyond the basic plane, only word characters, spaces and hyphens; spaces to hyphens; lower case."""
+    c = F.regexp_replace(F.regexp_replace(c, "[\\x{10000}-\\x{10FFFF}]", ""), "(?U)[^\\w\\s-]", "")
+    return F.lower(F.regexp_replace(F.trim(c), " ", "-"))
+
+
+def demote_headings(line: Column, levels: int) -> Column:
+    """A heading line moved down; six levels at most."""
+    marks = F.regexp_extract(line, "^(#{1,6}) ", 1)
+    deeper = F.concat(F.repeat(F.lit("#"), F.least(F.length(marks) + levels, F.lit(6))), F.substring(line, F.length(marks) + 1, F.length(line)))
+    return F.when(marks != "", deeper).otherwise(line)
+
+
+def strip_code_fences(c: Column) -> Column:
+    """What stands between the first fence and the last; the text itself where there is none."""
+    inner = F.regexp_extract(c, "(?s)```[a-zA-Z]*\\s*\\n?(.*)```", 1)
+    return F.trim(F.when(F.instr(c, "```") > 0, F.when(inner != "", inner).otherwise(F.regexp_replace(c, "```[a-zA-Z]*", ""))).otherwise(c), F.lit(" \n\t\r"))
+
+
+def strip_leading_emoji(c: Column) -> Column:
+    return F.regexp_replace(c, "^[\\x{1F300}-\\x{10FFFF}\\x{2600}-\\x{27BF}\\x{FE0F}\\s]+", "")
+
+
+def normalize_title(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.replace(c, F.lit("　"), F.lit(" ")), "(?U)\\s+", " "))
+
+
+def no_change(c: Column) -> Column:
+    """Whether a review asks for no change (any of the phrases, in any place)."""
+    low = F.lower(c)
+    out = F.lit(False)
+    for phrase in fixed.NO_CHANGE:
+        out = out | low.contains(phrase)
+    return out
+
+
+def has_ai_keyword(title: Column, description: Column) -> Column:
+    """Any subject keyword is part of the lower-cased title and description; words within words count."""
+    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))))
+    terms = sorted({k.lower() for k in fixed.AI_KEYWORDS_ZH + fixed.AI_KEYWORDS_EN})
+    return text.rlike("|".join(t.replace(".", "\\.") for t in terms))
+
+
+def engagement(description: Column, label: str) -> Column:
+    """The number after 'Points:' or '# Comments:', null without one."""
+    return F.regexp_extract(description, f"{label}:\\s*(\\d+)", 1).try_cast("int")
+
+
+def error_code(message: Column) -> Column:
+    """-2 timeout, -3 name resolution, -4 refused or reset, -5 TLS, -1 other; the first that fits."""
+    low = F.lower(message)
+    any_of = lambda *xs: F.greatest(*[low.contains(x) for x in (*xs, xs[0])])
+    return (
+        F.when(any_of("timed out", "timeout"), -2)
+        .when(any_of("getaddrinfo", "name or service not known", "nodename", "name resolution"), -3)
+        .when(any_of("connection refused", "connection reset", "broken pipe"), -4)
+        .when(any_of("ssl", "certificate", "cert", "hostname"), -5)
+        .otherwise(-1)
+    )
+
+
+def video_id(url: Column) -> Column:
+    """The eleven characters that name a video, from the first form that fits."""
+    forms = ("[?&]v=([A-Za-z0-9_-]{11})", "youtu\\.be/([A-Za-z0-9_-]{11})", "/(?:embed|shorts|live)/([A-Za-z0-9_-]{11})")
+    return F.coalesce(*[F.nullif(F.regexp_extract(url, f, 1), F.lit("")) for f in forms])
+
+
+_ZONES = {"GMT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
+def parse_date(c: Column, extended: bool = True) -> Column:
+    """Timestamp of a feed's date in its usual forms; null where none fits. Without a zone it is UTC.
+
+    extended: also plain 'yyyy-MM-dd HH:mm' and ISO forms without zone or with fractions of a second.
+    """
+    s = F.trim(F.regexp_replace(c, "^[A-Za-z]{3,9},\\s*", ""))
+    zone = F.regexp_extract(s, "\\s([A-Z]{1,4})$", 1)
+    s = F.when(zone != "", F.concat(F.regexp_replace(s, "\\s[A-Z]{1,4}$", " "), F.coalesce(F.try_element_at(_map(_ZONES), zone), F.lit("+0000")))).otherwise(s)
+    forms = ["d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+    if extended:
+        forms += ["yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "d MMM yyyy HH:mm:ss"]
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in forms])
+
+
+def round3(c: Column) -> Column:
+    """Three decimals, halves up, by a form that rounds alike in every engine."""
+    return F.floor(c * 1000 + 0.5) / 1000

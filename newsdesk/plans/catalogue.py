@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import relational, scalars
+
 FLAGSHIP = "m0_tier_histogram"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (*scalars.QUERIES, *relational.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return scalars.ORACLES | relational.ORACLES
