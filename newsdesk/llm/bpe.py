@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkCache, chunk_of
+from .memory import release
 
 LONG_PIECE = 400
 #: Pieces kept per worker beside the chunks: a memory bound.
@@ -57,7 +58,6 @@ class Coder:
     """A vocabulary and its database in one worker process."""
 
     def __init__(self, path: str) -> None:
-        import duckdb
         import regex
 
         with open(path, "rb") as f:
@@ -70,13 +70,26 @@ class Coder:
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
                     self.merges[left, right] = rank
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.db = None
+        self.cache = ChunkCache(self.encode_chunks, 2, 400_000, 4 << 20)
+        self.known_pieces: dict[bytes, tuple[bytes, bytes]] = {}
+
+    def open(self) -> None:
+        """A database with the merge table and the vocabulary, for one task."""
+        import duckdb
+
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
         rows = np.array([(a, b, m) for (a, b), m in self.merges.items()], np.int32)
         self._load("merges", l=rows[:, 0], r=rows[:, 1], merged=rows[:, 2])
         by_id = sorted((r, t.hex()) for t, r in self.ranks.items())
         self._load("vocabulary", id=np.array([r for r, _ in by_id], np.int32), hex=[h for _, h in by_id])
-        self.cache = ChunkCache(self.encode_chunks, 2, 700_000)
-        self.known_pieces: dict[bytes, tuple[bytes, bytes]] = {}
+
+    def close(self) -> None:
+        """What is known stays for the worker's next task, the database goes."""
+        self.db.close()
+        self.db = None
+        self.known_pieces = {}
+        release()
 
     def _load(self, table: str, **columns) -> None:
         rows = pa.table({k: pa.array(v) for k, v in columns.items()})
@@ -93,8 +106,7 @@ class Coder:
                 out[k] = np.array(self._by_heap(pieces[k]), "<u4").tobytes()
         left = [k for k in left if out[k] is None]
         left.sort(key=lambda k: len(pieces[k]))  # alike lengths end after alike rounds
-        for a in range(0, len(left), 10_000):
-            part = left[a : a + 10_000]
+        for part in self._batches(left, pieces):
             n = np.array([len(pieces[k]) for k in part])
             flat = np.frombuffer(b"".join(pieces[k] for k in part), np.uint8)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
@@ -105,6 +117,19 @@ class Coder:
                 out[k] = values[i:j].tobytes()
         return out
 
+    @staticmethod
+    def _batches(which: list[int], pieces: list[bytes]) -> Iterator[list[int]]:
+        """Batches whose rounds together make about a million rows at most: a piece of n bytes makes up to n * n / 2."""
+        part, rows = [], 0
+        for k in which:
+            part.append(k)
+            rows += len(pieces[k]) ** 2 // 2
+            if rows > 1_000_000:
+                yield part
+                part, rows = [], 0
+        if part:
+            yield part
+
     def _by_heap(self, piece: bytes) -> list[int]:
         ids: list[int | None] = [int(x) for x in self.byte_ids[np.frombuffer(piece, np.uint8)]]
         n = len(ids)
@@ -164,11 +189,13 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
+        own.open()
         for b in batches:
             for k in range(0, b.num_rows, 2_000):
                 part = b.slice(k, 2_000)
                 made = list(own.cache.parts(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())], ["doc_id", "ids", "decoded"])
+        own.close()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, ids binary, decoded binary")
 
@@ -179,9 +206,11 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
+        own.open()
         for b in batches:
             rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()) for x, y in own.cache.parts(b.column("text"))]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.close()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -29,8 +29,6 @@ _ODD = (
     r"[\x00\x01\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 )
-#: Bytes of text that are cut at once, one long text at least.
-SLICE = 8 << 20
 
 
 def keys_of(text: str) -> list[str]:
@@ -44,11 +42,12 @@ def plain_keys(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.binary_join_element_wise(pa.scalar(RAW), spaced, pa.scalar("")), " ")
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Runs of texts of so many bytes at most, one text at least."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
         yield texts.slice(a, b - a)
         a = b
 
@@ -60,14 +59,15 @@ def chunk_of(key: str) -> str:
 class ChunkCache:
     """What ``encode`` makes of the chunks of keys (a byte string, or a tuple of ``columns`` of them), computed in batches.
 
-    kept: known chunks, a memory bound and not a limit on what is encoded. They are held in Arrow arrays and looked up by joining
+    at_once: bytes of text that are cut together. kept: known chunks; both bound memory and don't limit what is encoded. Chunks are held in Arrow arrays and looked up by joining
     the distinct keys of a slice with them, so only new chunks become Python objects. Beyond the bound the chunks met least often
     go, with counts that are halved each time.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], columns: int, kept: int) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], columns: int, kept: int, at_once: int) -> None:
         self.encode = encode
         self.kept = kept
+        self.at_once = at_once
         self.keys = pa.array([], pa.string())
         self.values = [pa.array([], pa.large_binary()) for _ in range(columns)]
         self.met = np.zeros(0, np.int32)
@@ -115,7 +115,7 @@ class ChunkCache:
 
     def parts(self, texts: pa.Array) -> Iterator[tuple[bytes, ...]]:
         """For each whole text, each column's byte strings of its chunks, joined; null counts as empty."""
-        for part in slices(texts.fill_null("")):
+        for part in slices(texts.fill_null("") if texts.null_count else texts, self.at_once):
             odd = pc.match_substring_regex(part, _ODD)
             which = np.asarray(odd.to_numpy(zero_copy_only=False), bool)
             plain = iter(self._joined(plain_keys(part.filter(pc.invert(odd)))) if not which.all() else [])

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release
 from .shared import stored
 
 FOLDS, HELD_OUT = 7, 2
@@ -337,6 +338,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model) -
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
                 arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)] + [pa.array(by_model + np.array(known_log))]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "words", "times", "model"])
+        release()
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, words array<string>, times array<long>, model double"
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import STOP, ChunkCache, chunk_of
+from .memory import release
 from .shared import stored
 
 BLOCK, PERCENTILE = 256, 90
@@ -51,7 +52,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.between = self._ids([self.BETWEEN])[0]
-        self.cache = ChunkCache(self.encode, 1, 700_000)
+        self.cache = ChunkCache(self.encode, 1, 700_000, 8 << 20)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -193,6 +194,7 @@ def write_file(docs: DataFrame, path: str | None = None, end_id: int = 0) -> Dat
                     yield shard()
         if held:
             yield shard()
+        release()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(encode, "part int, seq int, n_docs long, n_tokens long, payload binary"), "tokens")
