@@ -30,19 +30,28 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id (of rows that share it, the first by text)."""
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Rows that share an id are one document, of which one row stays. Rows without an id go where their group has a document with
+    one; of a group of such rows only, one stays.
+    """
     found = simhash.components(docs)
-    # rows that go: all but the smallest id of each component; documents without a partner are never touched
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__nd_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__nd_id")), "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+    # ids that go: all but the smallest of each component; documents without a partner are never touched
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__nd_id")).distinct()
+    named = docs.where(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == F.col("__nd_id"), "left_anti").dropDuplicates(["doc_id"])
+    groups = found.where("component_id IS NULL").select(F.col("fp").alias("__nd_fp"), F.col("root").alias("__nd_root")).distinct()
+    nameless = docs.where(docs["doc_id"].isNull()).withColumn("__nd_own", simhash.fingerprint_column(F.col("text")))
+    nameless = nameless.join(groups, F.col("__nd_own") == F.col("__nd_fp")).dropDuplicates(["__nd_root"]).drop("__nd_own", "__nd_fp", "__nd_root")
+    return named.unionByName(nameless)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    times = mixing.mix(docs).groupBy("doc_id").agg(F.max("times").alias("__nd_times")).select(F.col("doc_id").alias("__nd_id"), "__nd_times").where("__nd_times > 0")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__nd_id")))
-    return joined.withColumn("__nd_copy", F.explode(F.sequence(F.lit(1), F.col("__nd_times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    _, plan = mixing.planned(docs)
+    sized = docs.withColumn("__nd_size", mixing.size(F.col("text"))).withColumn("__nd_hash", mixing.hashed(F.col("doc_id"), F.col("text")))
+    joined = sized.join(F.broadcast(plan.drop("source_size", "target")), F.col("source").eqNullSafe(F.col("__nd_source")))
+    copies = joined.withColumn("__nd_times", mixing.times(F.col("__nd_size"), F.col("__nd_hash"))).where("__nd_times > 0")
+    return copies.withColumn("__nd_copy", F.explode(F.sequence(F.lit(1), F.col("__nd_times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

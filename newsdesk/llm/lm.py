@@ -129,6 +129,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     """What reaches the driver: ``HEAD`` words at most, and one row a bucket."""
     single = CLASSES - BUCKETS
     head = most_frequent(counts, HEAD)
+    if not any(w == END for w, _ in head):  # every text has one, so its count is always at hand
+        head += [(END, r["c"]) for r in counts.where(F.col("word") == END.decode()).collect()]
     places = {w: k for k, (w, _) in enumerate(head)}
     alone = [END, *[w for w, _ in head if w != END][: single - 1]]
     cls_of = {w: k for k, w in enumerate(alone)}

@@ -119,8 +119,12 @@ def _threshold(left: DataFrame, budgets: dict[str | None, int]) -> dict[str | No
     return found
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, times (copies of the document that the mix takes) of every row."""
+def planned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and hashes (doc_id, source, size, h), and the plan: one row a source.
+
+    The plan has __nd_source, source_size, target, __nd_whole (times that all documents are taken) and __nd_cuts ([budget, hash] of
+    each pass).
+    """
     spark = docs.sparkSession
     sized = stored(docs.select("doc_id", "source", size(F.col("text")).alias("size"), hashed(F.col("doc_id"), F.col("text")).alias("h")), "sizes")
     rows = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -129,7 +133,7 @@ def mix(docs: DataFrame) -> DataFrame:
     shares = targets([(r["source"], r["n"] or 0) for r in rows])
     left, budgets = sized.where("size > 0").select("source", "size", "h"), {s.source: s.budget for s in shares}
     cuts: list[dict] = []
-    for k in range(PASSES):
+    for _ in range(PASSES):
         if not any(b > 0 for b in budgets.values()):
             break
         cut = _threshold(left, budgets)
@@ -140,10 +144,21 @@ def mix(docs: DataFrame) -> DataFrame:
         taken = (F.col("size") <= F.col("b")) & (F.col("h") <= F.col("cut"))
         left = left.join(F.broadcast(rest), F.col("source").eqNullSafe(F.col("s"))).where(~taken).select("source", "size", "h")
         left = left.join(F.broadcast(fits), F.col("source").eqNullSafe(F.col("s"))).where("size <= fit").select("source", "size", "h")
-    schema = {"s": T.StringType(), "source_size": T.LongType(), "target": T.DoubleType(), "whole": T.LongType(), "cuts": T.ArrayType(T.ArrayType(T.LongType()))}
-    plan = _table(spark, [(s.source, s.size, s.target, s.times, [list(c[s.source]) for c in cuts]) for s in shares], schema)
-    extra = F.exists("cuts", lambda c: (F.col("size") <= c[0]) & (F.col("h") <= c[1])) & (F.col("size") > 0)
-    return sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra.cast("long")).alias("times"))
+    schema = {"__nd_source": T.StringType(), "source_size": T.LongType(), "target": T.DoubleType(), "__nd_whole": T.LongType(), "__nd_cuts": T.ArrayType(T.ArrayType(T.LongType()))}
+    return sized, _table(spark, [(s.source, s.size, s.target, s.times, [list(c[s.source]) for c in cuts]) for s in shares], schema)
+
+
+def times(n: Column, h: Column) -> Column:
+    """How many times a document of this size and hash is taken, beside the columns of its source's plan."""
+    extra = F.exists("__nd_cuts", lambda c: (n <= c[0]) & (h <= c[1])) & (n > 0)
+    return F.col("__nd_whole") + extra.cast("long")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, times (copies of the document that the mix takes) of every row."""
+    sized, plan = planned(docs)
+    joined = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__nd_source")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", times(F.col("size"), F.col("h")).alias("times"))
 
 
 def _oracle() -> str:

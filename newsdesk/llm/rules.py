@@ -70,23 +70,24 @@ class LabelModel:
 
 
 def fit(counts: dict[str, int], rounds: int = 60, smooth: float = 1.0) -> LabelModel:
-    """EM for two classes with rules that are independent given the class; starts from 'a bad vote means bad'."""
+    """EM for two classes with rules that are independent given the class; starts from 'a bad vote means bad'.
+
+    A rule's accuracy is how often its votes are right; abstaining says nothing about the text.
+    """
     m = len(RULES)
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
-    is_vote = np.array([[[p[k] == v for v in "gba"] for k in range(m)] for p in patterns], float).reshape(-1, m, 3)
+    is_vote = np.array([[[p[k] == v for v in "gb"] for k in range(m)] for p in patterns], float).reshape(-1, m, 2)
     good = np.array([0.02 if "b" in p else 0.98 for p in patterns])
     for _ in range(rounds):
         a, b = n * good, n * (1 - good)
         prior = float(np.clip((a.sum() + 1) / (n.sum() + 2), 0.01, 0.99))
-        on_good = (np.einsum("p,pkv->kv", a, is_vote) + smooth) / (a.sum() + 3 * smooth)
-        on_bad = (np.einsum("p,pkv->kv", b, is_vote) + smooth) / (b.sum() + 3 * smooth)
-        odds = np.log(on_good) - np.log(on_bad)
+        on_good, on_bad = (np.einsum("p,pkv->kv", w, is_vote) + smooth for w in (a, b))
+        right = (on_good[:, 0] + on_bad[:, 1]) / (on_good.sum(1) + on_bad.sum(1))
+        odds = np.log(on_good / on_good.sum(1, keepdims=True)) - np.log(on_bad / on_bad.sum(1, keepdims=True))
         x = math.log(prior / (1 - prior)) + np.einsum("kv,pkv->p", odds, is_vote)
         good = 1 / (1 + np.exp(-np.clip(x, -500, 500)))
-    right = prior * on_good[:, 0] + (1 - prior) * on_bad[:, 1]
-    voted = prior * on_good[:, :2].sum(1) + (1 - prior) * on_bad[:, :2].sum(1)
-    return LabelModel(prior, [dict(zip("gba", map(float, row), strict=True)) for row in odds], list(map(float, right / voted)))
+    return LabelModel(prior, [{"g": float(g), "b": float(b), "a": 0.0} for g, b in odds], list(map(float, right)))
 
 
 def _examined(text: pd.Series) -> pd.DataFrame:

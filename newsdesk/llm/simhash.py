@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
 
 
+def fingerprint_column(text: Column) -> Column:
+    """The same fingerprint as a column beside any others."""
+
+    def each(t: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(fingerprint, t), np.uint64, len(t)).view(np.int64))
+
+    return F.pandas_udf(each, "long")(text)
+
+
 def _tile(fp: Column) -> Column:
     """The lanes' population counts (0 to 16 each), as one number of base 32."""
     out = F.lit(0)
@@ -153,16 +163,16 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (smallest id reachable over links) of every row."""
+    """doc_id, fp, component_id (smallest id reachable over links) and root (the component's smallest fingerprint) of every row."""
     prints = stored(fingerprints(docs), "prints")
     smallest = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     edges = stored(links(smallest.select("fp"), radius), "links")
     roots = connected(edges)
     linked = smallest.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root")
     joint = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(joint, "root").select(F.col("fp").alias("linked_fp"), F.col("component_id").alias("joint_id"))
-    ids = smallest.join(moved, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("own_fp"), F.coalesce("joint_id", "least").alias("component_id"))
-    return prints.join(ids, F.col("fp") == F.col("own_fp")).select("doc_id", "fp", "component_id")
+    moved = linked.join(joint, "root").select(F.col("fp").alias("linked_fp"), F.col("component_id").alias("joint_id"), "root")
+    ids = smallest.join(moved, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("own_fp"), F.coalesce("joint_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(ids, F.col("fp") == F.col("own_fp")).select("doc_id", "fp", "component_id", "root")
 
 
 def fingerprint_hex(fp: Column) -> Column:
