@@ -30,7 +30,7 @@ from .memory import release
 
 LONG_PIECE = 400
 #: Pieces kept per worker beside the chunks: a memory bound.
-KEPT_PIECES = 40_000
+KEPT_PIECES = 20_000
 _coders: dict[str, Coder] = {}
 
 ENCODE = """
@@ -71,7 +71,7 @@ class Coder:
                 if left is not None and right is not None:
                     self.merges[left, right] = rank
         self.db = None
-        self.cache = ChunkCache(self.encode_chunks, 2, 400_000, 4 << 20)
+        self.cache = ChunkCache(self.encode_chunks, 2, 400_000, 3 << 20)
         self.known_pieces: dict[bytes, tuple[bytes, bytes]] = {}
 
     def open(self) -> None:
@@ -119,12 +119,12 @@ class Coder:
 
     @staticmethod
     def _batches(which: list[int], pieces: list[bytes]) -> Iterator[list[int]]:
-        """Batches whose rounds together make about a million rows at most: a piece of n bytes makes up to n * n / 2."""
+        """Batches whose rounds together make about 600,000 rows at most: a piece of n bytes makes up to n * n / 2."""
         part, rows = [], 0
         for k in which:
             part.append(k)
             rows += len(pieces[k]) ** 2 // 2
-            if rows > 1_000_000:
+            if rows > 600_000:
                 yield part
                 part, rows = [], 0
         if part:
@@ -191,8 +191,8 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         own = coder(path)
         own.open()
         for b in batches:
-            for k in range(0, b.num_rows, 2_000):
-                part = b.slice(k, 2_000)
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
                 made = list(own.cache.parts(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())], ["doc_id", "ids", "decoded"])
         own.close()

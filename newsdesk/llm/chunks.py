@@ -82,8 +82,8 @@ class ChunkCache:
             added = keys.filter(new)
             missing = added.to_pylist()
             made: list = []
-            for k in range(0, len(missing), 20_000):
-                made += self.encode(missing[k : k + 20_000])
+            for k in range(0, len(missing), 12_000):
+                made += self.encode(missing[k : k + 12_000])
             columns = zip(*made, strict=True) if len(self.values) > 1 else [made]
             self.values = [pa.concat_arrays([old, pa.array(list(x), pa.large_binary())]) for old, x in zip(self.values, columns, strict=True)]
             places[is_new] = len(self.keys) + np.arange(len(missing))

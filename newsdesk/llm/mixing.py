@@ -14,6 +14,7 @@ don't matter. Only one row a source reaches the driver, and at most ``MAX_SOURCE
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .memory import release
 from .shared import stored
 
 WEIGHTS = (3, 1, 2)
@@ -31,8 +33,10 @@ HASH_BITS, STEP_BITS = 60, 12
 MAX_SOURCES = 200_000
 
 
-def _size(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t else 0).astype("int64")
+def _size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for text in batches:
+        yield text.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t else 0).astype("int64")
+    release()
 
 
 def size(text: Column) -> Column:

@@ -13,6 +13,7 @@ ignored, and repeated labels of one document count once (the lowest); without la
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release
 from .textstats import text_stats
 
 MAX_LABELLED = 20_000
@@ -91,6 +93,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for text in batches:
+        yield text.map(features, na_action=None)
+    release()
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Ranker:
     """Learn from the labelled documents that are not held out; at most ``MAX_LABELLED`` rows reach the driver."""
     usable = (
@@ -105,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Ranker:
             cut = part
             break
     chosen = usable.where(F.col("__nd_part") < cut).drop("__nd_part")
-    vector = F.pandas_udf(lambda t: t.map(features), "array<double>")
+    vector = F.pandas_udf(_vectors, "array<double>")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", vector("text").alias("x"), "__nd_quality")
     got = sorted((r["doc_id"], r["__nd_quality"], r["x"]) for r in rows.dropDuplicates(["doc_id"]).collect())
     if not got:
@@ -114,7 +122,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Ranker:
 
 
 def score(text: Column, ranker: Ranker) -> Column:
-    def of(t: pd.Series) -> pd.Series:
-        return pd.Series(ranker.scores(np.array([features(x) for x in t]).reshape(len(t), -1)) if len(t) else [], dtype=float)
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in batches:
+            yield pd.Series(ranker.scores(np.array([features(x) for x in t]).reshape(len(t), -1)) if len(t) else [], dtype=float)
+        release()
 
-    return F.pandas_udf(of, "double")(text)
+    return F.pandas_udf(each, "double")(text)

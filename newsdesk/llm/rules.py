@@ -11,6 +11,7 @@ repeated rows each get their own (equal) result; extra columns of the input don'
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release
 from .textstats import text_stats
 
 #: name, share to look at, bad above (None: the rule never votes bad), good below.
@@ -90,12 +92,14 @@ def fit(counts: dict[str, int], rounds: int = 60, smooth: float = 1.0) -> LabelM
     return LabelModel(prior, [{"g": float(g), "b": float(b), "a": 0.0} for g, b in odds], list(map(float, right)))
 
 
-def _examined(text: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in text:
-        s = text_stats(t)
-        rows.append((*(s[k] for k in BASE), votes(s)))
-    return pd.DataFrame(rows, columns=[*BASE, "pattern"])
+def _examined(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for text in batches:
+        rows = []
+        for t in text:
+            s = text_stats(t)
+            rows.append((*(s[k] for k in BASE), votes(s)))
+        yield pd.DataFrame(rows, columns=[*BASE, "pattern"])
+    release()
 
 
 def examine(text: Column) -> Column:

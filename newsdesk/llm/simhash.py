@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release
 from .shared import shared_dir, stored
 
 RADIUS = 2
@@ -54,8 +55,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
+            fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
 
@@ -63,8 +65,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def fingerprint_column(text: Column) -> Column:
     """The same fingerprint as a column beside any others."""
 
-    def each(t: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter(map(fingerprint, t), np.uint64, len(t)).view(np.int64))
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in batches:
+            yield pd.Series(np.fromiter(map(fingerprint, t), np.uint64, len(t)).view(np.int64))
+        release()
 
     return F.pandas_udf(each, "long")(text)
 
