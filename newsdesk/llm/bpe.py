@@ -15,6 +15,7 @@ strings of special tokens are ordinary text; extra columns don't matter.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -64,12 +65,9 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.merges = {}
-        for token, rank in self.ranks.items():
-            for k in range(1, len(token)):
-                left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
-                if left is not None and right is not None:
-                    self.merges[left, right] = rank
+        cuts = ((self.ranks.get(t[:k]), self.ranks.get(t[k:]), r) for t, r in self.ranks.items() for k in range(1, len(t)))
+        #: left, right and merged id of every pair of tokens that join to a token
+        self.rows = np.array([x for x in cuts if None not in x], np.int32)
         self.db = None
         self.cache = ChunkCache(self.encode_chunks, 2, 400_000, 3 << 20)
         self.known_pieces: dict[bytes, tuple[bytes, bytes]] = {}
@@ -79,8 +77,7 @@ class Coder:
         import duckdb
 
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
-        rows = np.array([(a, b, m) for (a, b), m in self.merges.items()], np.int32)
-        self._load("merges", l=rows[:, 0], r=rows[:, 1], merged=rows[:, 2])
+        self._load("merges", l=self.rows[:, 0], r=self.rows[:, 1], merged=self.rows[:, 2])
         by_id = sorted((r, t.hex()) for t, r in self.ranks.items())
         self._load("vocabulary", id=np.array([r for r, _ in by_id], np.int32), hex=[h for _, h in by_id])
 
@@ -89,6 +86,7 @@ class Coder:
         self.db.close()
         self.db = None
         self.known_pieces = {}
+        self.__dict__.pop("merges", None)
         release()
 
     def _load(self, table: str, **columns) -> None:
@@ -130,6 +128,10 @@ class Coder:
         if part:
             yield part
 
+    @functools.cached_property
+    def merges(self) -> dict[tuple[int, int], int]:
+        return {(a, b): m for a, b, m in self.rows.tolist()}
+
     def _by_heap(self, piece: bytes) -> list[int]:
         ids: list[int | None] = [int(x) for x in self.byte_ids[np.frombuffer(piece, np.uint8)]]
         n = len(ids)
@@ -184,7 +186,10 @@ def coder(path: str) -> Coder:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) and decoded bytes of every whole text."""
+    """doc_id, ids (little-endian unsigned 32-bit) and decoded bytes of every whole text.
+
+    As a stage among others: what a task knows goes with the task, so that idle workers leave the memory to the next stage.
+    """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +200,8 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 part = b.slice(k, 500)
                 made = list(own.cache.parts(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())], ["doc_id", "ids", "decoded"])
+        _coders.pop(path)
+        own.cache = None
         own.close()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, ids binary, decoded binary")
