@@ -185,6 +185,13 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
+def forget(path: str) -> None:
+    """Drop the worker's coder and all it knows."""
+    own = _coders.pop(path)
+    own.cache = None
+    own.close()
+
+
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and decoded bytes of every whole text.
 
@@ -200,9 +207,8 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 part = b.slice(k, 500)
                 made = list(own.cache.parts(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())], ["doc_id", "ids", "decoded"])
-        _coders.pop(path)
-        own.cache = None
-        own.close()
+        del own
+        forget(path)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, ids binary, decoded binary")
 
