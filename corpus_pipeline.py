@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.llm import bpe, mixing, quality, rules, simhash
-from newsdesk.llm.shared import documents, stored
+from newsdesk.llm.shared import bound_batches, documents, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are more likely good than bad."""
+    bound_batches(spark)
     examined = rules.examine(F.col("text"))
     seen = stored(docs.select(examined.alias("__nd_x")).select("__nd_x.pattern"), "patterns")
     model = rules.fit(rules.pattern_counts(seen, "pattern"))
@@ -25,6 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranker, learnt from the labelled documents of the input, predicts to be good."""
+    bound_batches(spark)
     ranker = quality.train(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.withColumn("__nd_score", quality.score(F.col("text"), ranker)).where(F.col("__nd_score") >= quality.CUT).drop("__nd_score")
 
@@ -35,6 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are one document, of which one row stays. Rows without an id go where their group has a document with
     one; of a group of such rows only, one stays.
     """
+    bound_batches(spark)
     found = simhash.components(docs)
     # ids that go: all but the smallest of each component; documents without a partner are never touched
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__nd_id")).distinct()
@@ -47,6 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
+    bound_batches(spark)
     _, plan = mixing.planned(docs)
     sized = docs.withColumn("__nd_size", mixing.size(F.col("text"))).withColumn("__nd_hash", mixing.hashed(F.col("doc_id"), F.col("text")))
     joined = sized.join(F.broadcast(plan.drop("source_size", "target")), F.col("source").eqNullSafe(F.col("__nd_source")))
@@ -56,6 +60,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the digests of a round trip."""
+    bound_batches(spark)
     return bpe.round_trip(docs).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII white space that separates words; ``bytes.split()`` splits at exactly these.
 SPACE = " \t\n\x0b\x0c\r"
 
+#: A memory bound, nothing is left out by it.
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests) a local folder is set and used."""
@@ -47,5 +50,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session hands whole texts to Python workers in batches of about ``BATCH_BYTES`` (one row at least).
+
+    Spark's own bound is 64 MB, held once in the executor's direct memory and two or three times in the worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
