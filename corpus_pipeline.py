@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm import bpe, mixing, quality, rules, simhash
+from newsdesk.llm import bpe, mixing, nearcopies, quality, rules
 from newsdesk.llm.shared import bound_batches, documents, stored
 
 
@@ -34,16 +34,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
+    Groups are connected by a five-word Jaccard similarity of at least 0.8; op4's SimHash radius doesn't reach such copies.
     Rows that share an id are one document, of which one row stays. Rows without an id go where their group has a document with
     one; of a group of such rows only, one stays.
     """
     bound_batches(spark)
-    found = simhash.components(docs)
+    found = nearcopies.components(docs)
     # ids that go: all but the smallest of each component; documents without a partner are never touched
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__nd_id")).distinct()
     named = docs.where(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == F.col("__nd_id"), "left_anti").dropDuplicates(["doc_id"])
     groups = found.where("component_id IS NULL").select(F.col("fp").alias("__nd_fp"), F.col("root").alias("__nd_root")).distinct()
-    nameless = docs.where(docs["doc_id"].isNull()).withColumn("__nd_own", simhash.fingerprint_column(F.col("text")))
+    nameless = docs.where(docs["doc_id"].isNull()).withColumn("__nd_own", nearcopies.key_column(F.col("text")))
     nameless = nameless.join(groups, F.col("__nd_own") == F.col("__nd_fp")).dropDuplicates(["__nd_root"]).drop("__nd_own", "__nd_fp", "__nd_root")
     return named.unionByName(nameless)
 
@@ -67,7 +68,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("quality classifier", quality_classifier),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("mixing sources", source_mixing),
     ("byte-level BPE", byte_bpe),
 ]

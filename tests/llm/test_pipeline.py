@@ -1,7 +1,9 @@
 """The pipeline's stages against their operators on a small table."""
 
+import random
+
 import corpus_pipeline
-from newsdesk.llm import simhash
+from newsdesk.llm import nearcopies, simhash
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,35 @@ def test_mixing_repeats_rows(spark):
 def test_fingerprint_column(spark):
     d = spark.createDataFrame([("a b c d",), (None,)], "text string").select(simhash.fingerprint_column(F.col("text")).alias("f"))
     assert {r["f"] & (2**64 - 1) for r in d.collect()} == {simhash.fingerprint("a b c d"), 0}
+
+
+def test_near_dedup_finds_all_copies_of_four_fifths(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    line = " ".join(rng.choices(words, k=30))  # a line many texts share
+    texts = []
+    for k in range(60):
+        base = rng.choices(words, k=rng.choice((7, 40, 90, 200)))
+        texts.append(" ".join(base) + (" " + line if k % 3 else ""))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(1, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy).upper() + ("  " + line if k % 3 else ""))
+    texts += ["", None, "a b c", "a b d", "A b  c"]
+    grams = []
+    for t in texts:
+        w = (t or "").lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if grams[i] == grams[j] or 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]) > 0:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    found = nearcopies.components(docs).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, found)) == list(enumerate(root))
+    assert 60 < len(set(root)) < len(texts) - 20
