@@ -35,18 +35,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
     Groups are connected by a five-word Jaccard similarity of at least 0.8; op4's SimHash radius doesn't reach such copies.
-    Rows that share an id are one document, of which one row stays. Rows without an id go where their group has a document with
-    one; of a group of such rows only, one stays.
+    Texts decide, not ids: of each group one row stays, the first by id (rows without one last) and then by text, so that rows of
+    different texts that share an id are told apart.
     """
     bound_batches(spark)
-    found = nearcopies.components(docs)
-    # ids that go: all but the smallest of each component; documents without a partner are never touched
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__nd_id")).distinct()
-    named = docs.where(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == F.col("__nd_id"), "left_anti").dropDuplicates(["doc_id"])
-    groups = found.where("component_id IS NULL").select(F.col("fp").alias("__nd_fp"), F.col("root").alias("__nd_root")).distinct()
-    nameless = docs.where(docs["doc_id"].isNull()).withColumn("__nd_own", nearcopies.key_column(F.col("text")))
-    nameless = nameless.join(groups, F.col("__nd_own") == F.col("__nd_fp")).dropDuplicates(["__nd_root"]).drop("__nd_own", "__nd_fp", "__nd_root")
-    return named.unionByName(nameless)
+    roots = nearcopies.roots(docs).select(F.col("node").alias("__nd_node"), F.col("root").alias("__nd_root"))
+    own = docs.withColumn("__nd_own", nearcopies.key_column(F.col("text")))
+    rooted = own.join(roots, F.col("__nd_own") == F.col("__nd_node"), "left").withColumn("__nd_root", F.coalesce("__nd_root", "__nd_own"))
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")))
+    return rooted.groupBy("__nd_root").agg(first.alias("__nd_row")).select("__nd_row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

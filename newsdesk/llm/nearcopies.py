@@ -8,7 +8,7 @@ compared exactly, first along a chain through the sets of each prefix shingle, t
 connected already, so that a large group of copies needs few comparisons.
 
 Defined results: null and blank texts are one node without shingles; a text of one to four words has itself as its only shingle;
-repeated rows each get a row; an empty table gives an empty result; extra columns don't matter.
+repeated rows are one node; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (node), n, first (prefix) and grams of every row."""
+    """fp (node), n, first (prefix) and grams of every row."""
     frequent, rank = _frequent(docs)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,17 +104,16 @@ def sets(docs: DataFrame) -> DataFrame:
             grams = [shingles(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"),
                     pa.array(np.fromiter(map(key, grams), np.uint64, len(grams)).view(np.int64)),
                     pa.array([len(g) for g in grams], pa.int32()),
                     pa.array([prefix(g, frequent, rank).view(np.int64) for g in grams], pa.list_(pa.int64())),
                     pa.array([g.tobytes() for g in grams], pa.binary()),
                 ],
-                ["doc_id", "fp", "n", "first", "grams"],
+                ["fp", "n", "first", "grams"],
             )
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long, n int, first array<long>, grams binary")
+    return docs.select("text").mapInArrow(each, "fp long, n int, first array<long>, grams binary")
 
 
 def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -152,12 +151,6 @@ def links(table: DataFrame) -> DataFrame:
     return first.union(verified(rest, table))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (node), component_id (smallest id reachable over links) and root (the component's smallest node) of every row."""
-    table = stored(sets(docs), "sets")
-    smallest = stored(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected(stored(links(table), "links"))
-    rooted = smallest.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("own_fp"), "least", F.coalesce("root", "fp").alias("root"))
-    joint = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(joint, "root").select("own_fp", "component_id", "root")
-    return table.select("doc_id", "fp").join(ids, F.col("fp") == F.col("own_fp")).select("doc_id", "fp", "component_id", "root")
+def roots(docs: DataFrame) -> DataFrame:
+    """node and root (the component's smallest node) of every node that is linked to another."""
+    return connected(stored(links(stored(sets(docs), "sets")), "links"))
