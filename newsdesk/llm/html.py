@@ -2,9 +2,11 @@
 
 The standard library's streaming parser turns a page into lines: a line is a block of text between two block-level tags. Each line
 has a text-to-tag ratio (characters over tags); the ratios are smoothed with a Gaussian kernel and clustered into two by a
-threshold. The content region is the container (an article or main element, or else the page's body outside of them) that holds
-most of the text of the lines above the threshold; all its lines are kept, in page order, but for those in elements that are never
-content: menus, headers outside an article, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+threshold. The content region is the article or main element that holds most of the text of the lines above the threshold; all its
+lines are kept, in page order, but for those in elements that are never content: menus, headers outside an article, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments. On a page without such an element all lines stay but for
+these and for menus that nothing names: lines of links alone, no headings, outside the smallest element around all other lines
+above the threshold (where that is the body itself, before the first and after the last of them).
 
 Defined results: null or empty html, and pages without content, give an empty text; unclosed and stray tags, unfinished character
 references and tags at the end are read as browsers do; repeated rows each get a row; extra columns don't matter.
@@ -12,6 +14,7 @@ references and tags at the end are read as browsers do; repeated rows each get a
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -24,6 +27,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NEVER = frozenset("head script style noscript template nav aside footer form button select textarea iframe object svg canvas dialog menu audio video".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 REGION = frozenset(("article", "main"))
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose start closes an open p.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _NOISE = re.compile(
@@ -37,13 +41,18 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Collects [text, number of tags, region] for each line; region 0 is the page outside any article or main element."""
+    """Collects text, number of tags, region, elements around it and whether it is a menu's (links alone, no heading) for each line.
+
+    Region 0 is the page outside any article or main element.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, never content, region
+        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, never content, region, number of the element
+        self.elements = 0
         self.parts: list[str] = []
+        self.plain = False  # the line has text outside of links
         self.tags = 0
         self.regions = 0
         self.mains: set[int] = set()  # regions of main elements; an article in one is a region of its own
@@ -55,8 +64,10 @@ class _Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         self.parts = []
         if text:
-            self.lines.append((text, self.tags, self._state()[1]))
+            around = tuple(x[3] for x in self.open if x[0] not in INLINE and x[0] not in ("html", "body"))
+            self.lines.append((text, self.tags, self._state()[1], around, not self.plain and not any(x[0] in HEADING for x in self.open)))
             self.tags = 0
+        self.plain = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -86,7 +97,8 @@ class _Lines(HTMLParser):
             region = self.regions
             if tag == "main":
                 self.mains.add(region)
-        self.open.append((tag, never, region))
+        self.elements += 1
+        self.open.append((tag, never, region, self.elements))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, the slash alone doesn't close an element
@@ -113,6 +125,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._state()[0]:
             self.parts.append(data)
+            if not self.plain and not data.isspace() and all(x[0] != "a" for x in self.open):
+                self.plain = True
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -157,8 +171,12 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
         weight = np.bincount(region, chars * (content + 1e-6), page.regions + 1)
         best = int(weight[1:].argmax()) + 1  # what stands outside of every article is not the article
         return "\n".join(x[0] for x in lines if x[2] == best)
-    at = np.flatnonzero(content)
-    return "\n".join(x[0] for x in lines[at[0] : at[-1] + 1])
+    menu = np.fromiter((x[4] for x in lines), bool, len(lines))
+    at = np.flatnonzero(content & ~menu if (content & ~menu).any() else content)
+    inside = [lines[k][3][:-1] for k in at]
+    common = os.path.commonprefix(inside)
+    within = [x[3][: len(common)] == common if common else at[0] <= k <= at[-1] for k, x in enumerate(lines)]
+    return "\n".join(x[0] for x, w in zip(lines, within, strict=True) if w or not x[4])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -102,6 +102,16 @@ def test_main_text():
     assert html.extract(f"<div><a>x</a></div>{long}{long}<div><a>y</a></div>").count("\n") == 1
 
 
+def test_main_text_of_pages_without_article():
+    blocks = ["h" * 20, "a" * 300, "b" * 300, "c" * 2000]
+    text = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    menu = "<div><a href=x>Home</a> <a href=y>News</a></div>"
+    assert html.extract(f"<body><div>{menu}</div><div>{text}<ul><li><a href=z>source</a></ul></div>{menu}") == "\n".join([*blocks, "source"])
+    assert html.extract(f"<body>{menu}{text}{menu}") == "\n".join(blocks)
+    # a section of its own, and a headline outside of the long text's element
+    assert html.extract(f"<div><h1><a href=x>Title</a></h1><div><p>{blocks[1]}</p></div><div><p>{blocks[3]}</p></div></div>") == "\n".join(["Title", blocks[1], blocks[3]])
+
+
 def test_pages_table(spark):
     rows = [(1, None, None), (1, None, None), (None, "u", "<article>é x</article>")]
     out = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
