@@ -30,27 +30,46 @@ REGION = frozenset(("article", "main"))
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose start closes an open p.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|banner|popup|modal|overlay|newsletter|subscribe|"
-    r"comments?|commentlist|disqus|replies|responses|share|sharing|social|related|recommended|footer|masthead|toolbar|pagination|pager|login|signup)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Names of noise, and what may stand beside them in one class; a class with any other part is not noise.
+_REMARKS = "comments?|commentlist|disqus|reply|replies|responses"
+_NAMES = (
+    f"ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|banner|popup|modal|overlay|newsletter|subscribe|"
+    f"{_REMARKS}|share|sharing|social|related|recommended|footer|masthead|toolbar|pagination|pager|login|signup"
 )
-_REMARK = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|responses)(?:$|[\s_-])", re.IGNORECASE)
+_BESIDE = "site|page|main|global|top|bottom|left|right|primary|secondary|bar|box|buttons?|icons?|links?|list|items?|widget|wrapper|wrap|container|section|area|block|slot|unit|posts?|articles?|stories|form|thread|body|inner|outer|dialog|message"
+_NOISE = re.compile(f"(?:(?:{_BESIDE})[_-]+)*(?:{_NAMES})(?:[_-]+(?:{_NAMES}|{_BESIDE}|[0-9]+))*", re.IGNORECASE)
+_REMARK = re.compile(f"(?:(?:{_BESIDE})[_-]+)*(?:{_REMARKS})(?:[_-]+(?:{_REMARKS}|{_BESIDE}|[0-9]+))*", re.IGNORECASE)
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SPACE = re.compile(r"\s+")
 
 
+def _named(tag: str, attrs: list[tuple[str, str | None]]) -> re.Pattern[str] | None:
+    """The pattern (of remarks, or else of noise) that a class or the id matches as a whole; headings, and ids of inline elements and paragraphs, are never noise."""
+    if tag in ("html", "body") or tag in HEADING:
+        return None
+    names = [n for name, value in attrs if value and (name == "class" or name == "id" and tag not in INLINE and tag != "p") for n in value.split()]
+    if any(map(_REMARK.fullmatch, names)):
+        return _REMARK
+    return _NOISE if tag not in REGION and any(map(_NOISE.fullmatch, names)) else None
+
+
 class _Lines(HTMLParser):
     """Collects text, number of tags, region, elements around it and whether it is a menu's (links alone, no heading) for each line.
 
     Region 0 is the page outside any article or main element.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, cleared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, never content, region, number of the element
+        self.open: list[tuple[str, bool, int, int, tuple[int, ...] | None]] = []  # tag, never content, region, number of the element, named elements around it (None: never content for another reason)
         self.elements = 0
+        self.cleared = cleared  # named elements that are content all the same
+        self.remarks: set[int] = set()  # named elements, of remarks
+        self.holds: dict[int, set[str]] = {}  # article and main in each named element
+        self.weight: dict[int, int] = {}  # characters in each
+        self.free = 0  # characters outside of them
+        self.named = 0  # characters in any of them
         self.parts: list[str] = []
         self.plain = False  # the line has text outside of links
         self.tags = 0
@@ -85,20 +104,30 @@ class _Lines(HTMLParser):
             elif tag in VOID:
                 return
         never, region = self._state()
-        if not never:
-            never = tag in NEVER or (tag == "header" and not region)
+        marks = self.open[-1][4] if self.open else ()
+        self.elements += 1
+        if marks is not None:
+            dropped = tag in NEVER or (tag == "header" and not region)
             for name, value in attrs:
-                if name in ("class", "id") and tag not in ("html", "body") and value and (_REMARK if tag in REGION else _NOISE).search(value):
-                    never = True
-                elif name == "role" and value in _ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
-                    never = True
+                if name == "role" and value in _ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
+                    dropped = True
+            named = None if dropped or self.elements in self.cleared else _named(tag, attrs)
+            if named:
+                marks = (*marks, self.elements)
+                if named is _REMARK:
+                    self.remarks.add(self.elements)
+            elif tag in REGION and not dropped:
+                for m in marks:
+                    self.holds.setdefault(m, set()).add(tag)
+            if dropped:
+                marks = None
+            never = marks != ()
         if tag in REGION and not never and (not region or tag == "article" and region in self.mains):
             self.regions += 1
             region = self.regions
             if tag == "main":
                 self.mains.add(region)
-        self.elements += 1
-        self.open.append((tag, never, region, self.elements))
+        self.open.append((tag, never, region, self.elements, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, the slash alone doesn't close an element
@@ -122,7 +151,28 @@ class _Lines(HTMLParser):
             else:
                 self._close(tag, frozenset())
 
+    def contents(self) -> frozenset[int]:
+        """Named elements that are no noise: where no article or main stands outside of them, those that hold a main, most of the text, or an article and more text than stands outside."""
+        remarks = sum(self.weight.get(m, 0) for m in self.remarks)
+        total = self.free + self.named - remarks
+        found = set()
+        for m in (self.weight.keys() | self.holds.keys()) - self.remarks:
+            held, weight = self.holds.get(m, ()), self.weight.get(m, 0)
+            if not self.regions and ("main" in held or 2 * weight > total or "article" in held and weight > self.free):
+                found.add(m)
+        return frozenset(found)
+
     def handle_data(self, data: str) -> None:
+        marks = self.open[-1][4] if self.open else ()
+        if marks is not None:
+            n = len(data.strip())
+            if marks:
+                self.named += n
+                # what stands in remarks counts for these alone
+                for m in set(marks) & self.remarks or marks:
+                    self.weight[m] = self.weight.get(m, 0) + n
+            else:
+                self.free += n
         if not self._state()[0]:
             self.parts.append(data)
             if not self.plain and not data.isspace() and all(x[0] != "a" for x in self.open):
@@ -158,6 +208,11 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     page = _Lines()
     page.feed(html)
     page.close()
+    cleared = page.contents()
+    if cleared:
+        page = _Lines(cleared)
+        page.feed(html)
+        page.close()
     page.end_line()
     lines = page.lines
     if not lines:

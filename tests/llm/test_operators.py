@@ -112,6 +112,18 @@ def test_main_text_of_pages_without_article():
     assert html.extract(f"<div><h1><a href=x>Title</a></h1><div><p>{blocks[1]}</p></div><div><p>{blocks[3]}</p></div></div>") == "\n".join(["Title", blocks[1], blocks[3]])
 
 
+def test_main_text_keeps_parts_with_names_like_noise():
+    for part in ("<h2 id='related-work'>x y</h2>", "<h2 id='social'>x y</h2>", "<p class='share-price'>x y</p>", "<p id='comments'>x y</p>", "<section id='modal-logic'>x y</section>"):
+        assert html.extract(f"<article><p>before{part}<p>after</article>") == "before\nx y\nafter"
+    for wrapper in ("class='layout has-sidebar'", "class='no-sidebar'", "class='sidebar'", "id=page-banner"):
+        assert html.extract(f"<div {wrapper}><article>text</article><div class=sidebar>aside</div></div>") == "text"
+        assert html.extract(f"<div {wrapper}><p>a long text</div><p>b") == "a long text\nb"
+    assert html.extract("<article class='post comments-open'>text</article>") == "text"
+    for noise in ("ad", "big ad", "cookie-notice", "site_footer", "related-posts", "ad-slot-2"):
+        assert html.extract(f"<article>text<div class='{noise}'>noise that is longer</div></article>") == "text"
+    assert html.extract("<p>short<section id=comments><article>a long remark</article></section>") == "short"
+
+
 def test_pages_table(spark):
     rows = [(1, None, None), (1, None, None), (None, "u", "<article>é x</article>")]
     out = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
