@@ -2,14 +2,18 @@
 
 The standard library's streaming parser turns a page into lines: a line is a block of text between two block-level tags. Each line
 has a text-to-tag ratio (characters over tags); the ratios are smoothed with a Gaussian kernel and clustered into two by a
-threshold. The content region is the article or main element that holds most of the text of the lines above the threshold; all its
-lines are kept, in page order, but for those in elements that are never content: menus, headers outside an article, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments. On a page without such an element all lines stay but for
-these and for menus that nothing names: lines of links alone, no headings, outside the smallest element around all other lines
-above the threshold (where that is the body itself, before the first and after the last of them).
-
-Defined results: null or empty html, and pages without content, give an empty text; unclosed and stray tags, unfinished character
-references and tags at the end are read as browsers do; repeated rows each get a row; extra columns don't matter.
+threshold. The content region is chosen by the text of the lines above the threshold: the article or main element that holds most of
+it or, where more than ``OUTSIDE`` times as much stands outside of all of these (teasers beside a text in plain divisions), the smallest
+element around the lines above the threshold there. All lines of the region are kept, in page order, but for those in elements that
+are never content: menus, headers (but an article's own, and those in a main element that hold a heading), footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments. Outside of articles all other lines stay as well, but for menus that nothing
+names: lines of links alone, no headings, outside the smallest element around all other lines above the threshold (where that is the
+body itself, before the first and after the last of them).
+
+Defined results: null or empty html, and pages without content, give an empty text; of two regions with as much text above the
+threshold the first is taken; unclosed and stray tags, unfinished character references and tags at the end are read as browsers do;
+time and memory grow in proportion to a page's length, however long; repeated rows each get a row; an empty table gives an empty
+result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ _NOISE = re.compile(f"(?:(?:{_BESIDE})[_-]+)*(?:{_NAMES})(?:[_-]+(?:{_NAMES}|{_B
 _REMARK = re.compile(f"(?:(?:{_BESIDE})[_-]+)*(?:{_REMARKS})(?:[_-]+(?:{_REMARKS}|{_BESIDE}|[0-9]+))*", re.IGNORECASE)
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SPACE = re.compile(r"\s+")
+#: How many times the text of the best article must stand above the threshold outside of all for it to lose.
+OUTSIDE = 2.0
 
 
 def _named(tag: str, attrs: list[tuple[str, str | None]]) -> re.Pattern[str] | None:
@@ -75,6 +81,8 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.regions = 0
         self.mains: set[int] = set()  # regions of main elements; an article in one is a region of its own
+        self.headers: set[int] = set()  # header elements in a main element, outside of any article
+        self.titled: set[int] = set()  # those of them that hold a heading
 
     def _state(self) -> tuple[bool, int]:
         return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
@@ -121,6 +129,10 @@ class _Lines(HTMLParser):
                     self.holds.setdefault(m, set()).add(tag)
             if dropped:
                 marks = None
+            elif tag == "header" and region in self.mains:
+                self.headers.add(self.elements)
+            elif tag in HEADING and self.headers:
+                self.titled.update(self.headers.intersection(x[3] for x in self.open))
             never = marks != ()
         if tag in REGION and not never and (not region or tag == "article" and region in self.mains):
             self.regions += 1
@@ -217,21 +229,33 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     lines = page.lines
     if not lines:
         return ""
+    untitled = page.headers - page.titled
+    if untitled:
+        lines = [x for x in lines if untitled.isdisjoint(x[3])]
+        if not lines:
+            return ""
     region = np.fromiter((x[2] for x in lines), np.int64, len(lines))
     chars = np.fromiter((len(x[0]) for x in lines), float, len(lines))
     tags = np.fromiter((x[1] for x in lines), float, len(lines))
     ratio = smoothed(chars / np.maximum(1, tags), sigma)
     content = ratio >= threshold(ratio)
+    # what lies below the threshold only decides where nothing lies above
+    weight = np.bincount(region, chars * (content + 1e-6), page.regions + 1)
     if region.any():
-        weight = np.bincount(region, chars * (content + 1e-6), page.regions + 1)
-        best = int(weight[1:].argmax()) + 1  # what stands outside of every article is not the article
-        return "\n".join(x[0] for x in lines if x[2] == best)
+        best = int(weight[1:].argmax()) + 1
+        if weight[0] <= OUTSIDE * weight[best]:
+            return "\n".join(x[0] for x in lines if x[2] == best)
+        # articles without a line above the threshold are teasers
+        real = (np.bincount(region, content, page.regions + 1) > 0)[region] | (region == 0)
+        lines, content, region = [x for x, r in zip(lines, real, strict=True) if r], content[real], region[real]
     menu = np.fromiter((x[4] for x in lines), bool, len(lines))
-    at = np.flatnonzero(content & ~menu if (content & ~menu).any() else content)
+    outside = content & (region == 0)
+    at = np.flatnonzero(outside & ~menu if (outside & ~menu).any() else outside if outside.any() else content)
     inside = [lines[k][3][:-1] for k in at]
     common = os.path.commonprefix(inside)
     within = [x[3][: len(common)] == common if common else at[0] <= k <= at[-1] for k, x in enumerate(lines)]
-    return "\n".join(x[0] for x, w in zip(lines, within, strict=True) if w or not x[4])
+    # an article beside the text belongs to it only inside the text's own element
+    return "\n".join(x[0] for x, w in zip(lines, within, strict=True) if w or not x[4] and not x[2])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
