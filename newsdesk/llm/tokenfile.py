@@ -11,7 +11,8 @@ u32 minimum, u8 width, u16 exceptions, packed bits, exceptions x u16 position, e
 Shards are written as rows of a Parquet table in the shared folder: part, seq, n_docs, n_tokens, payload.
 
 Defined results: null texts count as empty and hold the end id alone; null ids come first and are kept; repeated rows each get
-their tokens, ordered by text; an empty table gives an empty file; extra columns don't matter.
+their tokens, ordered by text; a very long text is encoded whole and may make its shard longer; the text of a special token becomes
+that token, as in a plain call of the library; an empty table gives an empty file; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """The tokenizers library in one worker process; the texts of special tokens are ordinary text."""
+    """The tokenizers library in one worker process, as it comes: the text of a special token becomes that token."""
 
     #: Stands between chunks that are encoded in one call; the pattern always makes it a piece of its own there.
     BETWEEN = "\n\n"
@@ -50,7 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.between = self._ids([self.BETWEEN])[0]
         self.cache = ChunkCache(self.encode, 1, 700_000, 8 << 20)
 
@@ -59,7 +60,7 @@ class Encoder:
 
     def encode(self, keys: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each key's chunk."""
-        plain = [k for k in keys if k[0] > STOP] if len(self.between) == 1 else []
+        plain = [k for k in keys if k[0] > STOP and not any(t in k for t in self.special)] if len(self.between) == 1 else []
         known = {}
         for a in range(0, len(plain), 100):
             part = plain[a : a + 100]
