@@ -3,21 +3,20 @@
 Each Python worker holds one in-memory database with the vocabulary and the merge table derived from its ranks: (left, right) ids
 whose joined bytes are a token. The distinct pieces of a batch are laid out as token-position rows; the recursive query joins
 neighbours with the merge table and contracts, in every piece, the leftmost pair of minimum rank, until no piece has a pair left.
-Decoding joins ids with the vocabulary and aggregates their bytes in order.
+As a recursive query keeps the rows of all its rounds, one run of it makes about ``ROWS`` rows at most; the next run goes on from the
+last round's rows, so that memory is bounded for pieces of any length. Before that, pieces are cut where no token of the vocabulary
+crosses (merges make tokens only, so none crosses there). A part of n bytes takes up to n rounds of up to n rows.
 
-Pieces of more than ``LONG_PIECE`` bytes without white space would need one round of the query for each merge; they take the same
-steps with a heap.
+Decoding joins the ids of whole documents with the vocabulary and aggregates their bytes in order, ``RUN`` ids in one group at most.
 
-Defined results: a null text counts as empty and has no ids; repeated rows each get their ids; an empty table gives an empty result;
-strings of special tokens are ordinary text; extra columns don't matter.
+Defined results: a null text counts as empty and has no ids; repeated rows each get their ids; a very long text is encoded whole, by
+distinct chunks; an empty table gives an empty result; strings of special tokens are ordinary text; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,10 @@ from pyspark.sql import functions as F
 from .chunks import ChunkCache, chunk_of
 from .memory import release
 
-LONG_PIECE = 400
+#: Rows of one run of the recursive query: a memory bound.
+ROWS = 600_000
+#: Ids decoded as one group, and ids decoded in one query: memory bounds.
+RUN, AT_ONCE = 100_000, 500_000
 #: Pieces kept per worker beside the chunks: a memory bound.
 KEPT_PIECES = 20_000
 _coders: dict[str, Coder] = {}
@@ -40,19 +42,19 @@ WITH RECURSIVE t(step, piece, pos, id) AS (
     UNION ALL (
         WITH near AS (
             SELECT step, piece, pos, id, lead(id) OVER w AS next_id, lag(pos) OVER w AS before
-            FROM t WINDOW w AS (PARTITION BY piece ORDER BY pos)
+            FROM t WHERE step < ? WINDOW w AS (PARTITION BY piece ORDER BY pos)
         ), best AS (
-            SELECT piece, min(merged::BIGINT * 1048576 + pos) AS chosen
+            SELECT piece, min(merged::BIGINT * 4294967296 + pos) AS chosen
             FROM near JOIN merges ON near.id = merges.l AND near.next_id = merges.r GROUP BY piece
         )
-        SELECT step + 1, piece, pos, CASE WHEN pos = chosen % 1048576 THEN (chosen // 1048576)::INTEGER ELSE id END
+        SELECT step + 1, piece, pos, CASE WHEN pos = chosen % 4294967296 THEN (chosen // 4294967296)::INTEGER ELSE id END
         FROM near JOIN best USING (piece)
-        WHERE before IS DISTINCT FROM chosen % 1048576
+        WHERE before IS DISTINCT FROM chosen % 4294967296
     )
 ), ended AS (SELECT piece, max(step) AS step FROM t GROUP BY piece)
-SELECT piece, list(id ORDER BY pos) AS ids FROM t JOIN ended USING (piece, step) GROUP BY piece ORDER BY piece
+SELECT piece, step, list(id ORDER BY pos) AS ids FROM t JOIN ended USING (piece, step) GROUP BY piece, step ORDER BY piece
 """
-DECODE = "SELECT text, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (id) GROUP BY text ORDER BY text"
+DECODE = "SELECT part, array_to_string(list(hex ORDER BY pos), '') AS hex FROM ids JOIN vocabulary USING (id) GROUP BY part ORDER BY part"
 
 
 class Coder:
@@ -66,11 +68,12 @@ class Coder:
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         cuts = ((self.ranks.get(t[:k]), self.ranks.get(t[k:]), r) for t, r in self.ranks.items() for k in range(1, len(t)))
+        self.starts = {t[:k] for t in self.ranks for k in range(2, len(t) + 1)}
         #: left, right and merged id of every pair of tokens that join to a token
         self.rows = np.array([x for x in cuts if None not in x], np.int32)
         self.db = None
-        self.cache = ChunkCache(self.encode_chunks, 2, 400_000, 3 << 20)
-        self.known_pieces: dict[bytes, tuple[bytes, bytes]] = {}
+        self.cache = ChunkCache(self.encode_chunks, 1, 400_000, 3 << 20)
+        self.known_pieces: dict[bytes, bytes] = {}
 
     def open(self) -> None:
         """A database with the merge table and the vocabulary, for one task."""
@@ -86,7 +89,6 @@ class Coder:
         self.db.close()
         self.db = None
         self.known_pieces = {}
-        self.__dict__.pop("merges", None)
         release()
 
     def _load(self, table: str, **columns) -> None:
@@ -95,88 +97,112 @@ class Coder:
         self.db.execute(f"CREATE OR REPLACE TABLE {table} AS SELECT * FROM loaded")
         self.db.unregister("loaded")
 
+    def _parts(self, piece: bytes) -> list[bytes]:
+        """The piece cut where no token crosses."""
+        if piece in self.ranks:
+            return [piece]
+        n, reach, begin, out = len(piece), 0, 0, []
+        for i in range(n):
+            if i and reach <= i:
+                out.append(piece[begin:i])
+                begin = i
+            j = i + 2
+            while j <= n and (x := piece[i:j]) in self.starts:
+                if j > reach and x in self.ranks:
+                    reach = j
+                j += 1
+        return [*out, piece[begin:]]
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
+        cut = list(map(self._parts, pieces))
+        parts = sorted({p for x in cut for p in x})
+        made = dict(zip(parts, self._encode_parts(parts), strict=True))
+        return [b"".join(made[p] for p in x) for x in cut]
+
+    def _encode_parts(self, pieces: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [np.array([self.ranks[p]], "<u4").tobytes() if p in self.ranks else None for p in pieces]
         left = [k for k, x in enumerate(out) if x is None]
-        for k in left:
-            if len(pieces[k]) > LONG_PIECE:
-                out[k] = np.array(self._by_heap(pieces[k]), "<u4").tobytes()
-        left = [k for k in left if out[k] is None]
         left.sort(key=lambda k: len(pieces[k]))  # alike lengths end after alike rounds
         for part in self._batches(left, pieces):
-            n = np.array([len(pieces[k]) for k in part])
-            flat = np.frombuffer(b"".join(pieces[k] for k in part), np.uint8)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            self._load("start", piece=np.repeat(np.arange(len(part), dtype=np.int32), n), pos=pos.astype(np.int32), id=self.byte_ids[flat])
-            got = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
-            values, ends = got.values.to_numpy().astype("<u4"), got.offsets.to_numpy()
-            for k, i, j in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                out[k] = values[i:j].tobytes()
+            todo = {k: self.byte_ids[np.frombuffer(pieces[k], np.uint8)] for k in part}
+            while todo:
+                steps = max(1, ROWS // sum(map(len, todo.values())))
+                ids = self._rounds(list(todo.values()), steps)
+                ended = {}
+                for k, (step, x) in zip(list(todo), ids, strict=True):
+                    if step < steps:
+                        ended[k] = out[k] = x.astype("<u4").tobytes()
+                    todo[k] = x
+                todo = {k: x for k, x in todo.items() if k not in ended}
         return out
 
+    def _rounds(self, ids: list[np.ndarray], steps: int) -> list[tuple[int, np.ndarray]]:
+        """For each piece's ids the rounds it took, ``steps`` at most, and its ids after them."""
+        n = np.array(list(map(len, ids)))
+        flat = np.concatenate(ids)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        self._load("start", piece=np.repeat(np.arange(len(ids), dtype=np.int32), n), pos=pos.astype(np.int32), id=flat.astype(np.int32))
+        got = self.db.sql(ENCODE, params=[steps]).to_arrow_table()
+        lists = got.column("ids").combine_chunks()
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+        return [(s, values[i:j]) for s, i, j in zip(got.column("step").to_pylist(), ends[:-1], ends[1:], strict=True)]
+
     @staticmethod
     def _batches(which: list[int], pieces: list[bytes]) -> Iterator[list[int]]:
-        """Batches whose rounds together make about 600,000 rows at most: a piece of n bytes makes up to n * n / 2."""
+        """Batches whose rounds together make about ``ROWS`` rows: a piece of n bytes makes up to n * n / 2."""
         part, rows = [], 0
         for k in which:
             part.append(k)
             rows += len(pieces[k]) ** 2 // 2
-            if rows > 600_000:
+            if rows > ROWS:
                 yield part
                 part, rows = [], 0
         if part:
             yield part
 
-    @functools.cached_property
-    def merges(self) -> dict[tuple[int, int], int]:
-        return {(a, b): m for a, b, m in self.rows.tolist()}
-
-    def _by_heap(self, piece: bytes) -> list[int]:
-        ids: list[int | None] = [int(x) for x in self.byte_ids[np.frombuffer(piece, np.uint8)]]
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m, k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := self.merges.get((ids[k], ids[k + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            m, k, a, b = heapq.heappop(heap)
-            j = after[k]
-            if ids[k] != a or j >= n or ids[j] != b:
-                continue
-            ids[k], ids[j] = m, None
-            after[k] = after[j]
-            if after[j] < n:
-                before[after[j]] = k
-            for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y < n and (q := self.merges.get((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
-        return [x for x in ids if x is not None]
-
     def decode(self, texts: list[bytes]) -> list[bytes]:
         """Bytes of each text's ids; an id without a token gives a KeyError."""
-        n = np.array([len(x) // 4 for x in texts], np.int64)
-        ids = np.frombuffer(b"".join(texts), "<u4")
-        if len(ids) and ids.max() >= len(self.ranks):
+        runs = [(k, x[i : i + 4 * RUN]) for k, x in enumerate(texts) for i in range(0, len(x), 4 * RUN)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+        for at, run in enumerate(runs):
+            held.append(run)
+            size += len(run[1]) // 4
+            if size >= AT_ONCE or at == len(runs) - 1:
+                for (k, _), x in zip(held, self._decode_runs([r for _, r in held]), strict=True):
+                    out[k].append(x)
+                held, size = [], 0
+        return list(map(b"".join, out))
+
+    def _decode_runs(self, runs: list[bytes]) -> list[bytes]:
+        ids = np.frombuffer(b"".join(runs), "<u4")
+        if ids.max() >= len(self.ranks):
             raise KeyError(int(ids.max()))
-        out = [b""] * len(texts)
-        if len(ids):
-            self._load("ids", text=np.repeat(np.arange(len(texts), dtype=np.int32), n), pos=np.arange(len(ids), dtype=np.int64), id=ids.astype(np.int32))
-            got = self.db.sql(DECODE).to_arrow_table()
-            for k, h in zip(got.column("text").to_pylist(), got.column("hex").to_pylist(), strict=True):
-                out[k] = bytes.fromhex(h)
-        return out
+        n = np.array([len(x) // 4 for x in runs], np.int64)
+        self._load("ids", part=np.repeat(np.arange(len(runs), dtype=np.int32), n), pos=np.arange(len(ids), dtype=np.int64), id=ids.astype(np.int32))
+        return [bytes.fromhex(h) for h in self.db.sql(DECODE).to_arrow_table().column("hex").to_pylist()]
 
-    def encode_chunks(self, keys: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids, bytes decoded from these ids) of each key's chunk."""
+    def encode_chunks(self, keys: list[str]) -> list[bytes]:
+        """Ids of each key's chunk."""
         cut = [[p.encode() for p in self.pieces(chunk_of(k))] for k in keys]
         distinct = sorted({p for x in cut for p in x}.difference(self.known_pieces))
         if len(self.known_pieces) > KEPT_PIECES:
             distinct = sorted({p for x in cut for p in x})
             self.known_pieces = {}
-        ids = self.encode_pieces(distinct)
-        self.known_pieces.update(zip(distinct, zip(ids, self.decode(ids), strict=True), strict=True))
-        made = [[self.known_pieces[p] for p in x] for x in cut]
-        return [(b"".join(i for i, _ in x), b"".join(d for _, d in x)) for x in made]
+        self.known_pieces.update(zip(distinct, self.encode_pieces(distinct), strict=True))
+        return [b"".join(self.known_pieces[p] for p in x) for x in cut]
+
+    def round_trips(self, texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of each whole text and the bytes decoded from them; null counts as empty."""
+        held, size = [], 0
+        for (ids,) in self.cache.parts(texts):
+            held.append(ids)
+            size += len(ids) // 4
+            if size >= AT_ONCE:
+                yield from zip(held, self.decode(held), strict=True)
+                held, size = [], 0
+        yield from zip(held, self.decode(held), strict=True)
 
 
 def coder(path: str) -> Coder:
@@ -205,7 +231,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                made = list(own.cache.parts(part.column("text")))
+                made = list(own.round_trips(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())], ["doc_id", "ids", "decoded"])
         del own
         forget(path)
@@ -221,7 +247,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         own = coder(path)
         own.open()
         for b in batches:
-            rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()) for x, y in own.cache.parts(b.column("text"))]
+            rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()) for x, y in own.round_trips(b.column("text"))]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         own.close()
