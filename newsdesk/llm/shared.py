@@ -5,22 +5,33 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space that separates words; ``bytes.split()`` splits at exactly these.
 SPACE = " \t\n\x0b\x0c\r"
 
 #: A memory bound, nothing is left out by it.
 BATCH_BYTES = 8 << 20
+#: A key with more than one in so many rows is joined by broadcast; there are fewer such keys than this.
+HOT = 1_000
+#: Bits of a filter of hashed keys. It lets pass too much where there are more keys than this, never too little.
+FILTER_BITS = 1 << 25
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests) a local folder is set and used."""
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset and Spark runs in this process (tests) a local folder is set and used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="newsdesk-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -29,10 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/newsdesk-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _paths[path] = spark
     return path
 
 
+_paths: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in _paths.items():
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -47,7 +67,56 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.newsdesk_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`stored` that nothing will read again."""
+    for t in tables:
+        if _paths.pop(t.newsdesk_path, None):
+            _remove(t.sparkSession, t.newsdesk_path)
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join on ``key``, each value of which ``lookup`` has once, with the number ``n`` of the rows that have it.
+
+    Values that more than one in ``HOT`` rows have are broadcast, fewer than ``HOT`` of them; no task gets all rows of one. Both tables
+    are read twice, so they should be stored ones.
+    """
+    total = lookup.agg(F.sum(n)).collect()[0][0] or 0
+    hot = lookup.where(F.col(n) * HOT > total)
+    marked = rows.join(F.broadcast(hot.select(F.col(key).alias("__nd_key"), F.lit(True).alias("__nd_hot"))), F.col(key) == F.col("__nd_key"), "left").drop("__nd_key")
+    common = rows.join(F.broadcast(hot), key)
+    return marked.where("__nd_hot IS NULL").drop("__nd_hot").join(lookup.where(F.col(n) * HOT <= total), key).unionByName(common)
+
+
+def key_filter(keys: DataFrame, key: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of an array that is true for all of the keys (longs), and for others whose hash falls on one of theirs."""
+    spark = keys.sparkSession
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1  # Spark counts bits and buckets from 1
+    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    made = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        at = (r["b"] - 1) * 4096
+        made[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = spark.sparkContext.broadcast(made)
+
+    def holds(values: np.ndarray) -> np.ndarray:
+        k = np.mod(values, FILTER_BITS)
+        bits = shared.value
+        return (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+
+    return holds
+
+
+def filter_column(holds: Callable[[np.ndarray], np.ndarray], key: Column) -> Column:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for k in batches:
+            yield pd.Series(holds(k.to_numpy(np.int64)))
+
+    return F.pandas_udf(each, "boolean")(key)
 
 
 def bound_batches(spark: SparkSession) -> None:

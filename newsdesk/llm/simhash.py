@@ -5,11 +5,12 @@ in tiles by the population counts of their four 16-bit lanes. The Hamming distan
 the differences of these counts, so only tile pairs within the radius are compared, and all of those exactly: numpy exclusive-or and
 bit counts. Tiles are cut into chunks of about ``CHUNK`` fingerprints, so that no task gets an unbounded tile. From each pair of
 chunks only a spanning forest of its links goes on, which connects what all its links would connect. Components are found with
-the alternating large-star and small-star steps, checkpointed each round.
+the alternating large-star and small-star steps on a forest of each partition's edges, a stored table each round.
 
-Defined results: a null or blank text has fingerprint zero and is linked like any other; ties of a bit's votes give 0; repeated rows
-and equal texts share a fingerprint and each row is returned; a row with a null id gets its component's smallest id, null if all
-its members' ids are null; an empty table gives an empty result; extra columns don't matter.
+Defined results: a null or blank text has fingerprint zero and is linked like any other; ties of a bit's votes give 0; a very long text
+is looked at whole, in memory of several times its length; repeated rows and equal texts share a fingerprint and each row is returned;
+a row with a null id gets its component's smallest id, null if all its members' ids are null; an empty table gives an empty result;
+extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memory import release
-from .shared import shared_dir, stored
+from .shared import discard, join_hot, stored
 
 RADIUS = 2
 CHUNK = 2048
 LANES = 4
 WORDS = 3
+#: Edges that a task contracts at once: a memory bound.
+FOREST = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -128,7 +131,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         .join(there, "tile")
         .withColumn("chunk", F.explode(F.sequence(F.when(F.col("step") == 0, F.col("from_chunk")).otherwise(0), F.col("chunks") - 1)))
     )
-    pairs = left.join(packed, ["tile", "chunk"]).select("left", F.col("fps").alias("right"), ((F.col("step") == 0) & (F.col("from_chunk") == F.col("chunk"))).alias("same"))
+    # each pair's arrays meet where they are compared, in as many tasks as asked for, however few bytes they are
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(n, "tile", "chunk"), packed.repartition(n, "tile", "chunk")
+    pairs = left.join(right, ["tile", "chunk"]).select("left", F.col("fps").alias("right"), ((F.col("step") == 0) & (F.col("from_chunk") == F.col("chunk"))).alias("same"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,27 +144,57 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 if i:
                     yield pa.RecordBatch.from_arrays([pa.array(a[i].view(np.int64)), pa.array(b[j].view(np.int64))], ["a", "b"])
 
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(n).mapInArrow(compare, "a long, b long")
+    return pairs.mapInArrow(compare, "a long, b long")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (v, u) from each node to the smallest of its component in every ``FOREST`` edges."""
+    held, size = [], 0
+
+    def stars() -> pa.RecordBatch:
+        v, u = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("v", "u"))
+        nodes, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+        a, b = at[: len(v)], at[len(v) :]
+        label = np.arange(len(nodes))
+        while True:  # labels fall to the neighbours' smallest, then to their label's label
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = label < np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["v", "u"])
+
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= FOREST:
+            yield stars()
+            held, size = [], 0
+    if held:
+        yield stars()
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root (smallest node of its component) for every node of an edge (a, b)."""
-    spark = edges.sparkSession
-    shared_dir(spark)  # so that checkpoint() has its folder
-    star = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct().checkpoint()
+    star = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v")
+    star = stored(star.mapInArrow(_forest, "v long, u long").distinct(), "star")
     before = None
     for _ in range(rounds):
         # large star: each node's larger neighbours move to its smallest neighbour
         both = star.select(F.col("u").alias("n"), F.col("v").alias("m")).union(star.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("r"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("v"), F.col("r").alias("u")).distinct().checkpoint()
+        least = stored(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("r"), F.count("*").alias("degree")), "least")
+        large = stored(join_hot(both, least, "n", "degree").where("m > n").select(F.col("m").alias("v"), F.col("r").alias("u")).mapInArrow(_forest, "v long, u long").distinct(), "large")
         # small star: each node and its smaller neighbours move to the smallest of them
-        least = large.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("r"))
-        moved = large.select(F.col("v").alias("n"), "u").join(least, "n")
-        star = moved.where("u <> r").select(F.col("u").alias("v"), F.col("r").alias("u")).union(least.select(F.col("n").alias("v"), F.col("r").alias("u"))).distinct().checkpoint()
+        near = stored(large.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("r"), F.count("*").alias("degree")), "near")
+        moved = join_hot(large.select(F.col("v").alias("n"), "u"), near, "n", "degree")
+        new = stored(moved.where("u <> r").select(F.col("u").alias("v"), F.col("r").alias("u")).union(near.select(F.col("n").alias("v"), F.col("r").alias("u"))).distinct(), "star")
+        discard(star, least, large, near)
+        star = new
         now = star.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).collect()[0]
-        if now == before:
+        if now == before or not now["n"]:
             break
         before = now
     else:
@@ -169,14 +205,14 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (smallest id reachable over links) and root (the component's smallest fingerprint) of every row."""
     prints = stored(fingerprints(docs), "prints")
-    smallest = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    smallest = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
     edges = stored(links(smallest.select("fp"), radius), "links")
     roots = connected(edges)
     linked = smallest.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root")
     joint = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(joint, "root").select(F.col("fp").alias("linked_fp"), F.col("component_id").alias("joint_id"), "root")
-    ids = smallest.join(moved, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("own_fp"), F.coalesce("joint_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return prints.join(ids, F.col("fp") == F.col("own_fp")).select("doc_id", "fp", "component_id", "root")
+    ids = smallest.join(moved, F.col("fp") == F.col("linked_fp"), "left").select("fp", "copies", F.coalesce("joint_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return join_hot(prints, stored(ids, "ids"), "fp", "copies").select("doc_id", "fp", "component_id", "root")
 
 
 def fingerprint_hex(fp: Column) -> Column:
