@@ -1,16 +1,21 @@
-"""Near copies by an exact set-similarity join of five-word shingles.
+"""Near copies: SimHash's tiled comparison, and an exact set-similarity join of five-word shingles for what lies beyond its radius.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles (words split at ASCII white space, in lower case as
-in SimHash) is at least 4/5. Rows of equal sets are one node. The join is by prefix filter: in any one order of all shingles, two
-linked sets of n shingles each share one of the first n - ceil(4n/5) + 1 of their own. The order puts shingles that a sample of the
-texts finds in many sets last; the sample decides only how many candidates there are, never which links are found. Candidates are
-compared exactly, first along a chain through the sets of each prefix shingle, then all pairs that the chains' links have not
-connected already, so that a large group of copies needs few comparisons. Before whole sets are joined, pairs go that a bound on
+in SimHash) is at least 4/5. Rows of equal sets are one node. At that similarity fingerprints differ in some ten bits, where tiles part
+hardly any pairs; so SimHash, at its own small radius, proposes the closest pairs, and a prefix filter all others: in any one order of all
+shingles, two linked sets of n shingles each share one of the first n - ceil(4n/5) + 1 of their own. The order puts shingles that a sample
+of the texts finds in many sets last; the sample decides only how many candidates there are, never which links are found.
+
+Every candidate is compared exactly, first SimHash's and a chain through the sets of each prefix shingle, then all pairs that these links
+have not connected already, so that a large group of copies needs few comparisons. Before whole sets are joined, pairs go that a bound on
 their difference rules out for certain: bits that differ in the parities of two sets' shingles by residue are at most the shingles
-in one of the sets only, and two alike sets have at most a ninth of their sizes' sum of these.
+in one of the sets only, and two alike sets have at most a ninth of their sizes' sum of these. Whole sets are made again from the texts of
+candidates alone, which a filter of hashed keys finds before anything is shuffled.
 
-Defined results: null and blank texts are one node without shingles; a text of one to four words has itself as its only shingle;
-repeated rows are one node; an empty table gives an empty result; extra columns don't matter.
+Defined results: null and blank texts are one node without shingles; a text of one to four words has itself as its only shingle; a very
+long text is looked at whole, in memory of several times its length; repeated rows are one node; of rows alike the first by id (rows
+without one last), then by text, then by the other columns stays; an empty table gives an empty result; extra columns don't matter, but
+names that begin with ``__nd_`` are reserved.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import simhash
 from .memory import release
-from .shared import stored
+from .shared import discard, filter_column, key_filter, stored
 from .simhash import _LOWER, connected
 
 WORDS = 5
@@ -73,15 +79,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
-def key_column(text: Column) -> Column:
-    """The node of a text as a column beside any others."""
-
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in batches:
-            yield pd.Series(np.fromiter((key(shingles(x)) for x in t), np.uint64, len(t)).view(np.int64))
-        release()
-
-    return F.pandas_udf(each, "long")(text)
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -103,25 +102,27 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """fp (node), n, first (prefix), bits (parity) and grams of every row."""
+    """tk (key of the text), fp (node), sim (SimHash fingerprint), n, first (prefix) and bits (parity) of every row."""
     frequent, rank = _frequent(docs)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [shingles(t.as_py()) for t in b.column("text")]
+            texts = b.column("text").to_pylist()
+            grams = list(map(shingles, texts))
             yield pa.RecordBatch.from_arrays(
                 [
+                    b.column("tk"),
                     pa.array(np.fromiter(map(key, grams), np.uint64, len(grams)).view(np.int64)),
+                    pa.array(np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(grams)).view(np.int64)),
                     pa.array([len(g) for g in grams], pa.int32()),
                     pa.array([prefix(g, frequent, rank).view(np.int64) for g in grams], pa.list_(pa.int64())),
                     pa.array([parity(g).tobytes() for g in grams], pa.binary()),
-                    pa.array([g.tobytes() for g in grams], pa.binary()),
                 ],
-                ["fp", "n", "first", "bits", "grams"],
+                ["tk", "fp", "sim", "n", "first", "bits"],
             )
         release()
 
-    return docs.select("text").mapInArrow(each, "fp long, n int, first array<long>, bits binary, grams binary")
+    return docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(each, "tk long, fp long, sim long, n int, first array<long>, bits binary")
 
 
 def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -138,11 +139,28 @@ def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(each, "a long, b long")
 
 
-def verified(pairs: DataFrame, table: DataFrame, signs: DataFrame) -> DataFrame:
+def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """fp and grams of the needed nodes, each once. needed: fp, tk (of one text that has the node)."""
+    holds = key_filter(needed, "tk")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.filter(pa.array(holds(b.column("tk").to_numpy()))).column("text")
+            if len(texts):
+                grams = [shingles(t.as_py()) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(key, grams), np.uint64, len(grams)).view(np.int64)), pa.array([g.tobytes() for g in grams], pa.binary())], ["fp", "grams"])
+        release()
+
+    found = docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(each, "fp long, grams binary")
+    return found.join(needed.select(F.col("fp").alias("k")), F.col("fp") == F.col("k"), "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) of nodes that are alike."""
     pairs = stored(possible(pairs, signs), "possible")
     needed = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    held = stored(table.select("fp", "grams").join(needed, F.col("fp") == F.col("k"), "left_semi").groupBy("fp").agg(F.first("grams").alias("grams")), "candidates")
+    needed = stored(signs.select("fp", "tk").join(needed, F.col("fp") == F.col("k"), "left_semi"), "needed")
+    held = stored(whole_sets(docs, needed), "candidates")
     both = pairs.join(held.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,22 +169,34 @@ def verified(pairs: DataFrame, table: DataFrame, signs: DataFrame) -> DataFrame:
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         release()
 
-    return both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+    out = stored(both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), "links")
+    discard(pairs, needed, held)
+    return out
 
 
-def links(table: DataFrame) -> DataFrame:
+def near_pairs(table: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints SimHash links."""
+    prints = table.select("sim", "fp").distinct()
+    least = stored(prints.groupBy("sim").agg(F.min("fp").alias("rep")), "prints")
+    equal = prints.join(least, "sim").where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    near = simhash.links(least.select(F.col("sim").alias("fp")))
+    named = lambda name: least.select(F.col("sim").alias(name), F.col("rep").alias(f"r{name}"))
+    linked = near.join(named("a"), "a").join(named("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    return equal.union(linked).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def links(table: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that connect all nodes alike; table as :func:`sets` gives it, stored."""
     fits = "5 * least(n, m) >= 4 * greatest(n, m)"
-    single = table.select("fp", "n", "first").dropDuplicates(["fp"])
-    signs = stored(table.select("fp", "n", "bits").dropDuplicates(["fp"]), "signs")
+    signs = stored(table.groupBy("fp").agg(F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("bits").alias("bits")), "signs")
     by_size = Window.partitionBy("gram").orderBy("n", "fp")
-    entries = single.select("fp", "n", F.explode("first").alias("gram"))
+    entries = table.groupBy("fp").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("fp", "n", F.explode("first").alias("gram"))
     entries = entries.select("gram", "fp", "n", F.lag("fp").over(by_size).alias("other"), F.lag("n").over(by_size).alias("m"), F.lead("fp").over(by_size).alias("after"))
     # shingles of one node only have nothing to connect
     entries = stored(entries.where("other IS NOT NULL OR after IS NOT NULL").drop("after"), "entries")
-    chain = entries.where(f"other IS NOT NULL AND {fits}")
-    pairs = stored(chain.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "pairs")
-    first = stored(verified(pairs, table, signs), "links")
+    chain = entries.where(f"other IS NOT NULL AND {fits}").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    pairs = stored(chain.union(near_pairs(table)).distinct(), "pairs")
+    first = verified(pairs, docs, signs)
     roots = stored(connected(first), "roots")
     rooted = entries.join(roots, F.col("fp") == F.col("node"), "left").select("gram", "fp", "n", F.coalesce("root", "fp").alias("root"))
     # shingles of one group only have nothing to connect
@@ -175,9 +205,30 @@ def links(table: DataFrame) -> DataFrame:
     mirror = rooted.select("gram", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
     rest = rooted.join(mirror, "gram").where(f"fp < other AND root <> other_root AND {fits}").select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    return first.union(verified(rest, table, signs))
-
-
-def roots(docs: DataFrame) -> DataFrame:
-    """node and root (the component's smallest node) of every node that is linked to another."""
-    return connected(stored(links(stored(sets(docs), "sets")), "links"))
+    out = first.union(verified(rest, docs, signs))
+    discard(signs, entries, pairs, roots, rooted, rest)
+    return out
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each group of texts alike, with the columns of docs.
+
+    Texts decide, not ids. Only rows that may share their group are shuffled.
+    """
+    table = stored(sets(docs), "sets")
+    edges = stored(links(table, docs), "links")
+    grouped = table.groupBy("fp").agg(F.count("*").alias("rows"))
+    roots = grouped.join(connected(edges), F.col("fp") == F.col("node"), "left").select("fp", "rows", F.coalesce("root", "fp").alias("root"))
+    roots = stored(roots, "roots")
+    several = roots.groupBy("root").agg(F.sum("rows").alias("rows")).where("rows > 1").select(F.col("root").alias("several"))
+    shared = roots.join(several, F.col("root") == F.col("several")).select(F.col("fp").alias("node"), "root")
+    keys = stored(table.join(shared, F.col("fp") == F.col("node")).groupBy("tk").agg(F.min("root").alias("__nd_root")), "keys")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn("__nd_tk", text_key(F.col("text")))
+    marked = marked.withColumn("__nd_maybe", filter_column(key_filter(keys, "tk"), F.col("__nd_tk")))
+    rows = marked.where("__nd_maybe").join(keys, F.col("__nd_tk") == F.col("tk"), "left")
+    alone = marked.where("NOT __nd_maybe").select(*names).unionByName(rows.where("__nd_root IS NULL").select(*names))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.coalesce("text", F.lit("")), *[c.cast("string") for c in names])
+    first = rows.where("__nd_root IS NOT NULL").groupBy("__nd_root").agg(F.min_by(F.struct(*names), order).alias("__nd_row")).select("__nd_row.*")
+    discard(table, edges, roots)
+    return alone.unionByName(first)
