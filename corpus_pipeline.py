@@ -34,16 +34,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Groups are connected by a five-word Jaccard similarity of at least 0.8; op4's SimHash radius doesn't reach such copies.
-    Texts decide, not ids: of each group one row stays, the first by id (rows without one last) and then by text, so that rows of
-    different texts that share an id are told apart.
+    Groups are connected by a five-word Jaccard similarity of at least 0.8. SimHash's tiled comparison proposes the closest pairs; as its
+    radius doesn't reach all such copies, a prefix filter proposes the others; all are compared exactly. Texts decide, not ids: of each
+    group one row stays, the first by id (rows without one last) and then by text, so that rows of different texts that share an id are
+    told apart. Null and blank texts are one group; an empty table gives an empty one.
     """
     bound_batches(spark)
-    roots = nearcopies.roots(docs).select(F.col("node").alias("__nd_node"), F.col("root").alias("__nd_root"))
-    own = docs.withColumn("__nd_own", nearcopies.key_column(F.col("text")))
-    rooted = own.join(roots, F.col("__nd_own") == F.col("__nd_node"), "left").withColumn("__nd_root", F.coalesce("__nd_root", "__nd_own"))
-    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")))
-    return rooted.groupBy("__nd_root").agg(first.alias("__nd_row")).select("__nd_row.*")
+    return nearcopies.deduplicated(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +62,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("quality classifier", quality_classifier),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("mixing sources", source_mixing),
     ("byte-level BPE", byte_bpe),
 ]
