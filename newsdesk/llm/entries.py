@@ -55,7 +55,7 @@ def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return warc.read(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
