@@ -6,16 +6,19 @@ bucket a word has its smoothed share of the bucket's counts, so the model gives
 
 Model. The two classes before a token predict it: with context vectors R, target vectors Q, one diagonal matrix a position (C) and
 biases b, a class's score is (C1 * R[h1] + C2 * R[h2]) . Q[w] + b[w]. Training tells the observed class from shared noise drawn from
-the unigram distribution, by Adagrad in numpy; every partition trains a replica on all its training documents and the replicas are
-averaged, weighted by tokens, in Spark. Scoring normalises exactly: there are at most (CLASSES + 1)**2 contexts, and batched matrix
+the unigram distribution, by Adagrad in numpy. It goes once over all training documents, in ``len(ROUNDS)`` growing parts: in each,
+replicas that start from the same model learn from about ``TOKENS`` tokens each and are averaged, weighted by tokens. Parts and replicas
+are dealt by hashes of the documents and a replica takes its documents in a fixed order, so that the model depends on the documents
+alone, not on how the table is stored. Scoring normalises exactly: there are at most (CLASSES + 1)**2 contexts, and batched matrix
 products give the logarithm of each one's sum over classes.
 
 Counts that scoring needs: the ``HEAD`` most frequent words are broadcast (a fixed bound); all other words of the texts are joined with the
 count table on the word.
 
 Defined results: a null text counts as empty and has its end token alone; a null id is never held out; repeated rows are counted and
-scored each; without training documents N is 0 and every text gets what the formulas give for that; an empty table gives an empty
-result; extra columns don't matter.
+scored each; of words with equal counts the first by bytes get a class of their own; without training documents N is 0 and every
+text gets what the formulas give for that; a very long text is learnt from and scored whole, in memory of several times its length; an
+empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -39,6 +42,12 @@ FOLDS, HELD_OUT = 7, 2
 HEAD = 100_000
 CLASSES, BUCKETS = 1024, 256
 WIDTH, NOISE, BATCH, RATE = 24, 64, 2048, 0.15
+#: Shares of the training documents that each round learns from.
+ROUNDS = (1, 2, 4, 8)
+#: Tokens that a replica learns from in a round, about, and the most replicas (beyond that they learn from more each).
+TOKENS, REPLICAS = 2_000_000, 4096
+#: Parameters in one row on their way to the average.
+BLOCK = 1024
 #: No word holds white space, so this can't be a word.
 END = b"\n"
 #: Distinct words that a counting task holds before it sends them on.
@@ -256,14 +265,18 @@ def _sequences(vocab: Vocabulary, texts: list[str | None]) -> Iterator[tuple[lis
         yield words, places, vocab.classes(words, places)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, model: Model) -> Model:
-    """One pass over all of docs; the average of the partitions' replicas."""
+def _mixed(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
+
+
+def train(docs: DataFrame, vocab: Vocabulary, model: Model, replicas: int = 1, seed: int = 0) -> Model:
+    """One pass over all of docs; the average of replicas that each learn from their share of the documents."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocab, model))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
-        own, tokens = Trainer(model, vocab.unigram, 1000 + TaskContext.get().partitionId()), 0
+        own, tokens = None, 0
         held, size = [], 0
 
         def learn() -> None:
@@ -277,8 +290,9 @@ def train(docs: DataFrame, vocab: Vocabulary, model: Model) -> Model:
             held, size = [], 0
 
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for _, _, cls in _sequences(vocab, texts):
+            if b.num_rows and own is None:
+                own = Trainer(model, vocab.unigram, 1000 * (seed + 1) + b.column("replica")[0].as_py())
+            for _, _, cls in _sequences(vocab, b.column("text").to_pylist()):
                 held.append(cls)
                 size += len(cls)
                 if size >= 1 << 19:
@@ -286,12 +300,28 @@ def train(docs: DataFrame, vocab: Vocabulary, model: Model) -> Model:
         if held:
             learn()
         if tokens:
-            flat = own.m.flat().astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * tokens), pa.array(np.full(len(flat), float(tokens)))], ["k", "x", "n"])
+            flat = np.append(own.m.flat().astype(float), 1.0) * tokens
+            parts = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], ["block", "x"])
+        release()
 
-    summed = docs.select("text").mapInArrow(each, "k int, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("k").collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("block").to_pylist(), b.column("x").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0.0) + np.frombuffer(x)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "x"])
+
+    # one replica a task, its documents in the order of their hashes
+    dealt = docs.select(F.pmod(F.shiftright(_mixed(F.col("doc_id"), F.col("text")), 8), F.lit(replicas)).cast("int").alias("replica"), _mixed(F.col("doc_id"), F.col("text")).alias("h"), "text")
+    ordered = dealt.repartitionById(replicas, F.col("replica")).sortWithinPartitions("h", "text")
+    summed = ordered.select("replica", "text").mapInArrow(each, "block int, x binary").repartition("block").mapInArrow(add, "block int, x binary").orderBy("block").collect()
     shared.unpersist()
-    return Model.of(np.round(np.array([r["x"] for r in summed]), 6)) if summed else model
+    if not summed:
+        return model
+    flat = np.concatenate([np.frombuffer(r["x"]) for r in summed])
+    return Model.of(np.round(flat[:-1] / flat[-1], 6))
 
 
 def fit(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Model]:
@@ -300,9 +330,12 @@ def fit(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Model]:
     counts = stored(count_tokens(training), "counts")
     vocab = vocabulary(counts)
     model = Model.start(vocab.unigram)
-    # a first average over a part of the documents brings the replicas of the pass over all close together
-    model = train(training.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % (4 * FOLDS) < 4), vocab, model)
-    return counts, vocab, train(training, vocab, model)
+    place, begin = F.pmod(_mixed(F.col("doc_id"), F.col("text")), F.lit(sum(ROUNDS))), 0
+    for k, share in enumerate(ROUNDS):
+        replicas = min(REPLICAS, max(1, math.ceil(vocab.tokens * share / sum(ROUNDS) / TOKENS)))
+        model = train(training.where((place >= begin) & (place < begin + share)), vocab, model, replicas, k)
+        begin += share
+    return counts, vocab, model
 
 
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
