@@ -39,6 +39,8 @@ WORDS = 5
 #: Texts sampled and shingles kept for the order of shingles; memory bounds, no link depends on them.
 SAMPLE = 4_000
 FREQUENT = 200_000
+#: Nodes whose whole sets a task holds at once, twice: a memory bound.
+CELL = 500
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -115,14 +117,15 @@ def sets(docs: DataFrame) -> DataFrame:
                     pa.array(np.fromiter(map(key, grams), np.uint64, len(grams)).view(np.int64)),
                     pa.array(np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(grams)).view(np.int64)),
                     pa.array([len(g) for g in grams], pa.int32()),
-                    pa.array([prefix(g, frequent, rank).view(np.int64) for g in grams], pa.list_(pa.int64())),
+                    # half of each hash: equal halves of different shingles only make a candidate more
+                    pa.array([(prefix(g, frequent, rank) >> np.uint64(32)).astype(np.uint32).view(np.int32) for g in grams], pa.list_(pa.int32())),
                     pa.array([parity(g).tobytes() for g in grams], pa.binary()),
                 ],
                 ["tk", "fp", "sim", "n", "first", "bits"],
             )
         release()
 
-    return docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(each, "tk long, fp long, sim long, n int, first array<long>, bits binary")
+    return docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(each, "tk long, fp long, sim long, n int, first array<int>, bits binary")
 
 
 def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -140,7 +143,7 @@ def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """fp and grams of the needed nodes, each once. needed: fp, tk (of one text that has the node)."""
+    """fp and grams of texts that may have one of the needed nodes. needed: fp, tk (of one text that has the node)."""
     holds = key_filter(needed, "tk")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,26 +154,56 @@ def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(key, grams), np.uint64, len(grams)).view(np.int64)), pa.array([g.tobytes() for g in grams], pa.binary())], ["fp", "grams"])
         release()
 
-    found = docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(each, "fp long, grams binary")
-    return found.join(needed.select(F.col("fp").alias("k")), F.col("fp") == F.col("k"), "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
+    return docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(each, "fp long, grams binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) of nodes that are alike."""
-    pairs = stored(possible(pairs, signs), "possible")
-    needed = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    needed = stored(signs.select("fp", "tk").join(needed, F.col("fp") == F.col("k"), "left_semi"), "needed")
-    held = stored(whole_sets(docs, needed), "candidates")
-    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from rows sorted by place: each place's sets (a, grams), then its pairs (a, b). Pairs that earlier links connect are skipped."""
+    place, sets, parent = None, {}, {}
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            keep = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(t.column("x"), t.column("y"), strict=True)]
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        release()
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        left, right = [], []
+        for p, a, b, grams in zip(*(batch.column(c) for c in ("place", "a", "b", "grams")), strict=True):
+            p, a, b = p.as_py(), a.as_py(), b.as_py()
+            if p != place:
+                place, sets, parent = p, {}, {}
+            if b is None:
+                sets[a] = np.frombuffer(grams.as_py(), np.uint64)
+            elif root(a) != root(b) and alike(sets[a], sets[b]):
+                parent[root(a)] = root(b)
+                left.append(a)
+                right.append(b)
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+    release()
 
-    out = stored(both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), "links")
-    discard(pairs, needed, held)
+
+def verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Links (a, b) among the distinct pairs of nodes that connect all those of them that are alike.
+
+    Pairs meet by their component, so that a whole set goes to few places; a component's nodes are cut into cells of about ``CELL``,
+    and each pair of cells is a place.
+    """
+    pairs = stored(possible(pairs, signs), "possible")
+    roots = stored(connected(pairs), "roots")
+    cells = roots.groupBy("root").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    celled = roots.join(cells, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"))
+    first, second = celled.toDF("a", "root", "x"), celled.select("node", "cell").toDF("b", "y")
+    met = pairs.join(first, "a").join(second, "b").select("a", "b", F.concat_ws("-", "root", F.least("x", "y"), F.greatest("x", "y")).alias("place"))
+    met = stored(met, "met")
+    wanted = stored(met.select("place", F.col("a").alias("fp")).union(met.select("place", "b")).distinct(), "wanted")
+    needed = signs.select("fp", "tk").join(wanted.select(F.col("fp").alias("k")).distinct(), F.col("fp") == F.col("k"), "left_semi")
+    whole = whole_sets(docs, stored(needed, "needed")).groupBy("fp").agg(F.first("grams").alias("grams"))
+    sets = whole.join(wanted, "fp").select("place", F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.unionByName(met.withColumn("grams", F.lit(None).cast("binary"))).repartition(n, "place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
+    out = stored(rows.select("place", "a", "b", "grams").mapInArrow(_verify, "a long, b long"), "links")
+    discard(pairs, roots, met, wanted)
     return out
 
 
