@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,8 +72,19 @@ def prefix(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndar
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
-    """128 bytes: whether the number of shingles of each residue is odd."""
-    return np.packbits((np.bincount((grams & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(bool))
+    """Whether the number of shingles of each residue is odd, a bit each; there are as many residues as shingles, up to the next power of two."""
+    size = max(64, 1 << max(0, len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool), bitorder="little")
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which rows of parities differ; the longer ones are folded, as a residue's parity is that of the two it is made of."""
+    while x.shape[1] != y.shape[1]:
+        if x.shape[1] < y.shape[1]:
+            x, y = y, x
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -134,10 +146,15 @@ def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in ("x", "y"))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            x, y = t.column("x"), t.column("y")
             sizes = t.column("n").to_numpy().astype(np.int64) + t.column("m").to_numpy()
-            yield t.select(["a", "b"]).filter(pa.array(9 * differ <= sizes))
+            lengths = np.stack([pc.binary_length(x).to_numpy(), pc.binary_length(y).to_numpy()], 1)
+            keep = np.zeros(t.num_rows, bool)
+            for k, m in np.unique(lengths, axis=0).tolist():
+                at = np.flatnonzero((lengths == (k, m)).all(1))
+                rows = [np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for c in (x, y)]
+                keep[at] = 9 * differing(*rows) <= sizes[at]
+            yield t.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(each, "a long, b long")
 
