@@ -6,11 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import normalize_category, normalize_title, strip_html
-
-# Markers of an account article's body and of what follows it.
-BODY_MARKS = ('id="js_content"', 'class="rich_media_content"')
-BODY_ENDS = ('id="js_pc_close_btn"', 'class="rich_media_tool"', 'id="js_tags"')
+from .text import contains_any, normalize_category, normalize_title, strip_html
 
 _EPISODES = "props struct<pageProps struct<podcast struct<episodes array<struct<title string, eid string>>>>>"
 _BLANK = " \t\r\n"
@@ -40,14 +36,20 @@ def account_body(html: Column) -> Column:
     def after(mark: str) -> Column:
         found = F.instr(html, mark)
         start = at(">", found) + 1
-        ends = [F.when(at(e, start) > start, at(e, start)) for e in BODY_ENDS]
+        ends = [F.when(at(e, start) > start, at(e, start)) for e in fixed.BODY_ENDS]
         end = F.coalesce(F.least(*ends), F.length(html) + 1)
         return F.when((found > 0) & (start > 1), F.substring(html, start, end - start))
 
-    text = strip_html(F.coalesce(*map(after, BODY_MARKS)))
+    text = strip_html(F.coalesce(*map(after, fixed.BODY_MARKS)))
     return F.when(F.length(text) > 100, text)
 
 
+def episode_url(eid: Column, url: Column) -> Column:
+    """The episode's page where one was found, else the url; without its tracking suffix if it is an episode's page."""
+    found = F.coalesce(F.concat(F.lit(fixed.EPISODE_URL), eid), url)
+    return F.when(found.contains(fixed.EPISODE_PATH), F.substring_index(found, "?utm_source=", 1)).otherwise(found)
+
+
 def section_body(text: Column) -> Column:
     """A report section without what precedes its first rule (else its title, blank and quoted lines) and without its footer lines."""
     lines = F.split(text, "\n")
@@ -56,20 +58,21 @@ def section_body(text: Column) -> Column:
     body = lambda p: ~(p["x"].startswith("# ") | (p["t"] == "") | p["x"].startswith(">"))
     head = F.array_min(F.transform(F.filter(placed, body), lambda p: p["i"]))
     start = F.when(rule > 0, rule.cast("int")).otherwise(F.coalesce(head, F.size(lines)))
-    footer = lambda p: (p["t"] == "") | (p["t"] == "---") | p["x"].contains("生成时间") | p["x"].contains("Generated") | (p["t"].startswith("*") & p["x"].contains("UTC"))
+    footer = lambda p: (p["t"] == "") | (p["t"] == "---") | p["x"].contains(fixed.FOOTER_WORDS[0]) | p["x"].contains(fixed.FOOTER_WORDS[1]) | (p["t"].startswith("*") & p["x"].contains("UTC"))
     last = F.array_max(F.transform(F.filter(placed, lambda p: (p["i"] >= start) & ~footer(p)), lambda p: p["i"]))
     return F.when(last.isNull(), F.lit("")).otherwise(F.trim(F.array_join(F.slice(lines, start + 1, last - start + 1), "\n"), F.lit(_BLANK)))
 
 
 def summary_text(text: Column) -> Column:
     """A summary without its label."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text, F.lit(_BLANK)), "^为什么重要[：:]\\s*", ""), "^Why it matters:\\s*", ""), F.lit(_BLANK))
+    for label in fixed.SUMMARY_LABELS:
+        text = F.regexp_replace(F.trim(text, F.lit(_BLANK)), label, "")
+    return F.trim(text, F.lit(_BLANK))
 
 
 def is_ai_category(summary_category: Column, category: Column) -> Column:
     """By the summary's category (its id, or a keyword of ten characters at most within it); without one by the article's."""
     direct = lambda c: normalize_category(c).isin(*fixed.DIRECT_CATEGORIES)
-    low, named = F.lower(summary_category), direct(summary_category)
-    for k in sorted({k.lower() for k in fixed.AI_KEYWORDS_ZH + fixed.AI_KEYWORDS_EN if len(k) <= 10}):
-        named = named | low.contains(k)
+    short = sorted({k.lower() for k in fixed.AI_KEYWORDS_ZH + fixed.AI_KEYWORDS_EN if len(k) <= 10})
+    named = direct(summary_category) | contains_any(F.lower(summary_category), short)
     return F.when(F.coalesce(summary_category, F.lit("")) != "", named).otherwise(F.coalesce(direct(category), F.lit(False)))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .setjoin import cut
+
 SPAN = 1 << 16
 
 
@@ -14,15 +16,41 @@ def continuous(rows: DataFrame, rank: Column, pos: str = "pos", span: int = SPAN
 
     Rows are numbered inside ranges of ``span`` positions; only the ranges' sizes are summed in one window.
     """
-    cut = rows.withColumn("__rank", rank).withColumn("__range", F.coalesce(F.floor(F.col(pos) / span), F.lit(-(2**62))))
-    sizes = cut.groupBy(F.col("__rank").alias("__r"), F.col("__range").alias("__g")).agg(F.count("*").alias("__n"))
+    ranged = rows.withColumn("__rank", rank).withColumn("__range", F.coalesce(F.floor(F.col(pos) / span), F.lit(-(2**62))))
+    sizes = ranged.groupBy(F.col("__rank").alias("__r"), F.col("__range").alias("__g")).agg(F.count("*").alias("__n"))
     earlier = Window.orderBy("__r", "__g").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__r", "__g", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__rank", "__range").orderBy(pos))
-    joined = cut.withColumn("__own", own).join(starts, (F.col("__rank") == F.col("__r")) & (F.col("__range") == F.col("__g")))
+    joined = ranged.withColumn("__own", own).join(starts, (F.col("__rank") == F.col("__r")) & (F.col("__range") == F.col("__g")))
     return joined.withColumn("number", F.col("__before") + F.col("__own")).drop("__rank", "__range", "__r", "__g", "__before", "__own")
 
 
+def within(rows: DataFrame, keys: list[str], pos: str = "pos", name: str = "number", span: int = SPAN) -> DataFrame:
+    """rows with a 1-based number by pos (a whole number, unique in its group) in each group of keys; null keys are a group.
+
+    Only the sizes of ranges of ``span`` positions are looked at in one window a group.
+    """
+    ranged = rows.withColumn("__range", F.floor(F.col(pos) / span))
+    sizes = ranged.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__g")).agg(F.count("*").alias("__n"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    earlier = Window.partitionBy(*names).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*names, "__g", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    same = F.col("__range") == F.col("__g")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    own = ranged.withColumn("__own", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(pos)))
+    return own.join(starts, same).withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__own", "__g", "__before", *names)
+
+
+def ordered(rows: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """rows with a 1-based number by the order's columns (together unique), over ranges that are each sorted by themselves."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy(F.col("__part").alias("__p")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    starts = sizes.select("__p", "__first", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return ranged.join(F.broadcast(starts), F.col("__part") == F.col("__p")).withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1).drop("__part", "__at", "__p", "__first", "__before")
+
+
 def by_category(rows: DataFrame, first: list[str], category: str = "category", pos: str = "pos") -> DataFrame:
     """rows numbered through their categories: those named first in that order, then the others as they are first met."""
     fixed_order = F.array_position(F.array(*map(F.lit, first)), F.col(category)).cast("long")

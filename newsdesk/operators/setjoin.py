@@ -8,7 +8,10 @@ once, as one set with a group id.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +23,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that the cluster shares."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="newsdesk-"))
     return df.checkpoint()
 
@@ -43,19 +48,112 @@ def similar(groups: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(jaccard(F.col("wa"), F.col("wb")) > threshold).select("a", "b")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """gid and root (smallest gid of its component): every node takes its neighbours' smallest label, then its label's label."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(nodes.select("gid", F.col("gid").alias("root")))
-    for _ in range(rounds):
+    linked = both.select(F.col("a").alias("gid")).distinct()
+    labels = cut(linked.withColumn("root", F.col("gid")))
+    while True:  # labels only fall, so this ends
         near = both.join(labels, F.col("b") == F.col("gid")).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, F.col("gid") == F.col("a"), "left").select("gid", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
+        lower = labels.join(near, F.col("gid") == F.col("a")).select("gid", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = lower.select(F.col("gid").alias("g2"), F.col("root").alias("r2"))
         new = cut(lower.join(jump, F.col("root") == F.col("g2")).select("gid", "was", F.least("root", "r2").alias("root")))
         labels = new.select("gid", "root")
-        if not new.where("was <> root").limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")
+        if new.where("was <> root").isEmpty():
+            break
+    return nodes.select("gid").join(labels.withColumnRenamed("gid", "g"), F.col("gid") == F.col("g"), "left").select("gid", F.coalesce("root", "gid").alias("root"))
+
+
+def _spanning(left: list, right: list, same: bool, threshold: float) -> list[tuple[str, str]]:
+    """Links that connect what all links between two blocks (gid, label, words) above the threshold connect, but for equal labels.
+
+    A search from each row not yet reached, only among those not yet reached.
+    """
+    rows = left if same else left + right
+    n, most = len(rows), max(len(r[2]) for r in rows)
+    words = np.full((n, most), -1, np.int64)
+    for k, r in enumerate(rows):
+        words[k, : len(r[2])] = r[2]
+    size = np.array([len(r[2]) for r in rows])
+    # ranks of words within the two blocks: a row's words are marked in a table, and each row's marks are summed
+    codes, place = np.unique(words, return_inverse=True)
+    place = place.reshape(words.shape)
+    none = np.flatnonzero(codes == -1)  # what fills short rows
+    mark = np.zeros(len(codes), bool)
+    label = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    todo, out = np.ones(n, bool), []
+    for first in range(n):
+        if not todo[first]:
+            continue
+        todo[first] = False
+        front = [first]
+        while front:
+            k = front.pop()
+            at = np.flatnonzero(todo)
+            if not len(at):
+                break
+            mark[place[k]] = True
+            mark[none] = False
+            common = mark[place[at]].sum(1)
+            mark[place[k]] = False
+            found = at[common > threshold * (size[at] + size[k] - common)]
+            todo[found] = False
+            front += found.tolist()
+            out += [(rows[k][0], rows[j][0]) for j in found[label[found] != label[k]].tolist()]
+    return out
+
+
+def _linked(listed: DataFrame, threshold: float, block: int) -> DataFrame:
+    """a, b: links that connect what all pairs of sets which share a listed word connect. listed: w, gid, label, codes.
+
+    A word's sets are cut into cells of about ``block``, and a label with more sets than that into cells of its own; pairs of cells of
+    one and the same label have nothing to connect.
+    """
+    sizes = listed.groupBy("w").agg(F.ceil(F.count("*") / block).cast("int").alias("cells"))
+    own = listed.groupBy("w", "label").agg(F.ceil(F.count("*") / block).cast("int").alias("own")).where("own > 1")
+    placed = listed.join(sizes, "w").join(own, ["w", "label"], "left")
+    cell = F.when(F.col("own").isNotNull(), F.concat_ws("#", "label", F.pmod(F.xxhash64("gid"), F.col("own")))).otherwise(F.pmod(F.xxhash64("label"), F.col("cells")).cast("string"))
+    packed = cut(placed.groupBy("w", cell.alias("cell")).agg(F.collect_list(F.struct("gid", "label", "codes")).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")))
+    keys = packed.select("w", "cell", "low", "high")
+    other = keys.select(*[F.col(c).alias(f"o_{c}") for c in keys.columns])
+    pure = (F.col("low") == F.col("high")) & (F.col("o_low") == F.col("low")) & (F.col("o_high") == F.col("low"))
+    pairs = keys.join(other, (F.col("w") == F.col("o_w")) & (F.col("cell") <= F.col("o_cell")) & ~pure).select("w", "cell", "o_cell")
+    n = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = pairs.join(packed.select("w", "cell", "rows"), ["w", "cell"]).repartition(n, "w", "o_cell")
+    right = packed.select("w", F.col("cell").alias("o_cell"), F.col("rows").alias("o_rows")).repartition(n, "w", "o_cell")
+    met = left.join(right, ["w", "o_cell"])
+    met = met.select("rows", "o_rows", (F.col("cell") == F.col("o_cell")).alias("same"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y, same in zip(b.column("rows"), b.column("o_rows"), b.column("same").to_pylist(), strict=True):
+                plain = lambda v: [(r["gid"], r["label"], r["codes"]) for r in v.as_py()]
+                left = plain(x)
+                found = _spanning(left, [] if same else plain(y), same, threshold)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([z for _, z in found])], ["a", "b"])
+
+    return met.mapInArrow(each, "a string, b string")
+
+
+def connected(groups: DataFrame, threshold: float, rare: int = 64, block: int = 2048) -> DataFrame:
+    """gid and root: components of the sets whose Jaccard similarity exceeds the threshold.
+
+    Words are taken in two bands, those of few sets first; sets that these have connected are not compared with each other again, so
+    frequent words cost little where the rare ones tell the same. No pair leaves a task but the links of a spanning forest.
+    """
+    word = groups.select("gid", F.explode("words").alias("w"))
+    often = word.groupBy("w").agg(F.count("*").alias("df"))
+    coded = groups.select("gid", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("codes"))
+    ordered = word.join(often, "w").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    size = F.size("o")
+    prefix = F.slice("o", 1, size - F.ceil(size * threshold).cast("int") + 1)
+    listed = cut(ordered.select("gid", F.explode(prefix).alias("x")).select("gid", F.col("x.w").alias("w"), F.col("x.df").alias("df")).where("df > 1").join(coded, "gid"))
+    first = cut(_linked(listed.where(F.col("df") <= rare).withColumn("label", F.col("gid")), threshold, block))
+    roots = cut(components(groups, first))
+    rest = listed.where(F.col("df") > rare).join(roots.select("gid", F.col("root").alias("label")), "gid")
+    second = _linked(rest, threshold, block)
+    return components(groups, first.union(second))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

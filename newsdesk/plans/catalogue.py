@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, reports, scalars
+from . import documents, relational, reports, scalars
 
 FLAGSHIP = "m0_tier_histogram"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*scalars.QUERIES, *relational.QUERIES, *reports.QUERIES)}
+    return {f.__name__: f for f in (*scalars.QUERIES, *relational.QUERIES, *reports.QUERIES, *documents.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return scalars.ORACLES | relational.ORACLES | reports.ORACLES
+    return scalars.ORACLES | relational.ORACLES | reports.ORACLES | documents.ORACLES

@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import fixed, text
 from ..functions.keywords import keywords
 from ..functions.urls import article_id
-from ..operators import dedup, editorial, topics
+from ..operators import dedup, editorial, numbering, topics
+from ..sources import feeds, workspace
 from .inputs import TEXT_ARTICLES, URL_VARIANTS, table, text_articles, url_variants
 from .scalars import ORACLES as SCALAR_SQL
 
 
+HOSTS = ("https://doc.example.com/", "https://doc.example.com/", "https://X.com/", "https://a.tiktok.com/", "https://youtu.be/", "https://login.example.com/", "https://Reddit.com/r/")
+
+
 def _scored(spark, sf):
     """Text articles with same-title groups as clusters, priority by id and points from events, scored."""
     a = text_articles(spark, sf)
     groups = a.groupBy("title").agg(F.count("*").alias("cluster_size"), (F.countDistinct("source") > 1).alias("cross_source"))
     points = table(spark, sf, "events").groupBy(F.col("user_id").alias("uid")).agg(F.max(F.floor("value")).cast("int").alias("hn_points"))
+    # some urls name sites that are not fetched
+    host = F.element_at(F.array(*map(F.lit, HOSTS)), (F.col("pos") % len(HOSTS) + 1).cast("int"))
+    a = a.withColumn("url", F.concat(host, F.col("pos").cast("string")))
     a = a.withColumn("priority", (F.col("pos") % 4 + 1).cast("int")).join(groups, "title").join(points, F.col("pos") == F.col("uid"), "left")
     return editorial.scored(a)
 
@@ -57,11 +63,19 @@ def flt04_ai_split(spark, sf):
     return a.groupBy("language", "is_ai").agg(F.count("*").alias("n"))
 
 
+def _feed_items(spark, sf):
+    """Events as items of their users' feeds, of which some lose their date."""
+    e = table(spark, sf, "events")
+    raw = F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("soon")
+    return e.select(F.col("user_id").alias("feed"), F.col("event_id").alias("pos"), raw.alias("pub_date_raw"), F.lit("t").alias("title"), F.lit("l").alias("link"), "event_type", (F.col("user_id") % 4 + 1).cast("int").alias("priority"))
+
+
 def flt01_time_window(spark, sf):
-    """Both policies for undated items, over events of which some lose their time."""
-    e = table(spark, sf, "events").withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
-    cutoff = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    return e.groupBy("event_type").agg(F.count_if(F.col("ts") > cutoff).alias("dated"), F.count_if(F.col("ts").isNull() | (F.col("ts") >= cutoff)).alias("kept"))
+    """Both policies for undated items."""
+    items, cutoff = _feed_items(spark, sf), F.lit("2024-01-15 00:00:00").cast("timestamp")
+    dated = feeds.recent(items, cutoff, most=1 << 30).groupBy("event_type").agg(F.count("*").alias("dated"))
+    kept = feeds.recent(items, cutoff, undated="keep", inclusive=True, most=1 << 30).groupBy("event_type").agg(F.count("*").alias("kept"))
+    return dated.join(kept, "event_type")
 
 
 def join01_summaries(spark, sf):
@@ -80,17 +94,26 @@ def agg10_source_stats(spark, sf):
 def win03_ranks(spark, sf):
     """Rank within a category by score, and one number running over all categories (two levels: sizes of the categories before)."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).cast("long")
-    sizes = d.groupBy("lang").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return d.withColumn("rank", rank).join(F.broadcast(sizes), "lang").select("doc_id", "rank", (F.col("before") + F.col("rank")).alias("number"))
+    numbered = numbering.ordered(d.withColumn("less", -F.col("n_chars")), ["lang", "less", "doc_id"], "number")
+    first = d.groupBy(F.col("lang").alias("__l")).agg(F.count("*").alias("n"))
+    return numbering.within(numbered, ["lang"], "number", "rank").join(first, F.col("lang").eqNullSafe(F.col("__l"))).select("doc_id", "rank", "number")
 
 
 def win02_feed_caps(spark, sf):
-    """Per-feed caps by priority: 1 all of 10, 2 seven, 3 five."""
-    e = table(spark, sf, "events").withColumn("priority", F.col("user_id") % 4 + 1)
-    cap = F.when(F.col("priority") == 1, 10).when(F.col("priority") == 2, 7).when(F.col("priority") == 3, 5).otherwise(10)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).select("user_id", "event_id")
+    """Per-feed caps by priority: 1 all of 10, 2 seven, 3 five, others ten; undated items stay."""
+    items = _feed_items(spark, sf)
+    kept = feeds.recent(items, F.lit("2024-01-10 00:00:00").cast("timestamp"), undated="keep", inclusive=True, most=10, priority=F.col("priority"))
+    return kept.select(F.col("feed").alias("user_id"), F.col("pos").alias("event_id"))
+
+
+def src01_feed_scan(spark, sf):
+    """Feeds scanned, dated, capped and deduplicated across sources, and what the scan counted."""
+    e = table(spark, sf, "customer").where("c_custkey % 5 <> 4").select(F.concat(F.lit("f"), (F.col("c_custkey") % 40).cast("string")).alias("feed"), "c_custkey")
+    day = F.date_format(F.timestamp_add("DAY", (F.col("c_custkey") % 20).cast("int"), F.lit("2024-01-01").cast("timestamp")), "yyyy-MM-dd")
+    item = F.concat(F.lit("<item><title>t"), (F.col("c_custkey") % 600).cast("string"), F.lit("</title><link>https://e.com/"), (F.col("c_custkey") % 700).cast("string"), F.lit("</link><pubDate>"), day, F.lit("</pubDate></item>"))
+    docs = e.groupBy("feed").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("x")))), lambda s: s["x"]), ""), F.lit("</channel></rss>")).alias("xml"))
+    scanned, _ = feeds.scanned(docs.withColumn("error", F.lit(None).cast("string")), F.lit("2024-01-08").cast("timestamp"), most=20)
+    return scanned.select("feed", F.col("pos").cast("long").alias("pos"), "title", "url")
 
 
 def top04_enrichment(spark, sf):
@@ -112,8 +135,8 @@ def src10_markdown_list(spark, sf):
 def src19_last_summary(spark, sf):
     """The last of several writes for each key."""
     e = table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return e.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    batches = e.select(F.col("user_id").cast("string").alias("url"), F.col("event_type").alias("ai_summary"), F.get_json_object("props", "$.k").alias("category"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("file"), F.col("event_id").alias("at"))
+    return workspace.last_by_url(batches, ["file", "at"]).select(F.col("url").cast("long").alias("user_id"), F.col("ai_summary").alias("event_type"), F.col("category").alias("k"))
 
 
 def join08_refs(spark, sf):
@@ -138,6 +161,24 @@ def clu04_topic_clusters(spark, sf):
     return topics.clusters(text_articles(spark, sf)).select("pos", "cluster_id", "cluster_size", "cross_source", "score")
 
 
+def top01_ranked_clusters(spark, sf):
+    """Clusters, best first."""
+    best = topics.ranked(topics.clusters(text_articles(spark, sf))).withColumn("less", -F.col("score"))
+    return numbering.ordered(best, ["less", "first"]).select("n", "cluster_id", "size", "score")
+
+
+def edt03_factors(spark, sf):
+    f = F.col("editorial_factors")
+    return _scored(spark, sf).select("pos", *[f[k].alias(k) for k in ("authority", "cross_source", "novelty", "composite")])
+
+
+def edt06_statistics(spark, sf):
+    """Tiers and counts under other thresholds."""
+    settings = editorial.Settings(must_read=0.6, noteworthy=0.45, least=0.42, promote_points=100)
+    a = _scored(spark, sf).drop("authority", "novelty", "news_value_score", "editorial_tier", "depth", "editorial_factors")
+    return editorial.statistics(editorial.scored(a, settings), settings)
+
+
 def clu06_themes(spark, sf):
     return topics.themes(topics.clusters(text_articles(spark, sf)))
 
@@ -145,6 +186,7 @@ def clu06_themes(spark, sf):
 QUERIES = [
     m0_tier_histogram, edt_scores, win05_first_per_url, ded06_unseen, ded07_unexpired, clu02_keywords, flt04_ai_split, flt01_time_window, join01_summaries, agg10_source_stats, win03_ranks, win02_feed_caps,
     top04_enrichment, src10_markdown_list, src19_last_summary, join08_refs, rpt02_points_table, ded02_greedy_dedup, clu04_topic_clusters, clu06_themes,
+    src01_feed_scan, top01_ranked_clusters, edt03_factors, edt06_statistics,
 ]
 
 
@@ -159,7 +201,7 @@ def _authority(text_: str, low: str) -> str:
 _SIGNAL = "(" + " OR ".join(f"contains(lower(title || ' ' || description), '{w}')" for w in fixed.HIGH_SIGNAL) + ")"
 _SCORED = f"""WITH {TEXT_ARTICLES}, g AS (SELECT title, count(*) AS cluster_size, count(DISTINCT source) > 1 AS cross_source FROM text_articles GROUP BY title),
 p AS (SELECT user_id, max(floor(value))::INTEGER AS hn_points FROM events GROUP BY user_id),
-a AS (SELECT text_articles.*, pos % 4 + 1 AS priority, cluster_size, cross_source, hn_points FROM text_articles JOIN g USING (title) LEFT JOIN p ON p.user_id = pos),
+a AS (SELECT pos, title, {list(HOSTS)}[pos % {len(HOSTS)} + 1] || pos AS url, source, language, description, pos % 4 + 1 AS priority, cluster_size, cross_source, hn_points FROM text_articles JOIN g USING (title) LEFT JOIN p ON p.user_id = pos),
 b AS (SELECT *, {_authority("(lower(source) || ' ' || lower(url))", "lower(source)")} AS authority FROM a),
 c AS (SELECT *, CASE WHEN cluster_size <= 1 THEN 0.5::DOUBLE ELSE least(1 / sqrt(cluster_size::DOUBLE) + authority * 0.3::DOUBLE, 1) END AS novelty FROM b),
 d AS (SELECT *, least(floor((authority * 0.25::DOUBLE + CASE WHEN cross_source THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END + least(cluster_size / 5.0::DOUBLE, 1) * 0.20::DOUBLE + CASE WHEN {_SIGNAL} THEN 0.15::DOUBLE ELSE 0::DOUBLE END + novelty * 0.15::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000, 1) AS news_value_score FROM c),
@@ -168,6 +210,14 @@ _KEYWORDS = f"""t AS (SELECT pos, regexp_extract_all(lower(title || ' ' || descr
 u AS (SELECT pos, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
 f AS (SELECT pos, w, min(i) AS i FROM u WHERE length(w) >= 2 AND w NOT IN {tuple(fixed.STOP_WORDS_EN)} GROUP BY pos, w),
 k AS (SELECT pos, w, i, row_number() OVER (PARTITION BY pos ORDER BY i) AS rn FROM f)"""
+#: Articles that share a keyword set of more than a quarter's similarity, and so on: labels fall to the smallest article's.
+_CLUSTERS = f"""WITH RECURSIVE {TEXT_ARTICLES}, {_KEYWORDS}, z AS (SELECT pos, w FROM k WHERE rn <= 15), size AS (SELECT pos, count(*) AS n FROM z GROUP BY pos),
+    e AS (SELECT x, y FROM (SELECT a.pos AS x, b.pos AS y, count(*) AS shared FROM z a JOIN z b ON a.w = b.w AND a.pos <> b.pos GROUP BY 1, 2) JOIN size p ON p.pos = x JOIN size q ON q.pos = y WHERE shared::DOUBLE / (p.n + q.n - shared) > 0.25),
+    label AS (SELECT pos, pos AS root FROM text_articles UNION SELECT y, root FROM label JOIN e ON e.x = label.pos WHERE root < y),
+    rooted AS (SELECT pos, min(root) AS root FROM label GROUP BY pos), sizes AS (SELECT root, count(*) AS n FROM rooted GROUP BY root),
+    named AS (SELECT t.*, CASE WHEN n = 1 THEN 'c_other' ELSE 'c_' || root END AS cluster_id FROM text_articles t JOIN rooted USING (pos) JOIN sizes USING (root)),
+    info AS (SELECT cluster_id, count(*) AS cluster_size, count(DISTINCT source) > 1 AS cross_source,
+        least(floor((least(count(*) / 5.0::DOUBLE, 1) * 0.25::DOUBLE + CASE WHEN count(DISTINCT source) > 1 THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END + avg(0.4::DOUBLE) * 0.25::DOUBLE + avg({_SIGNAL}::INTEGER::DOUBLE) * 0.25::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000, 1) AS score FROM named GROUP BY cluster_id)"""
 ORACLES = {
     "m0_tier_histogram": _SCORED + " SELECT source, ['brief', 'noteworthy', 'must_read'][level + 1] AS editorial_tier, count(*) AS n, floor(sum(news_value_score) * 1000 + 0.5::DOUBLE) / 1000 AS value FROM s GROUP BY ALL",
     "edt_scores": _SCORED
@@ -179,13 +229,34 @@ ORACLES = {
     "ded07_unexpired": "SELECT count(*) AS kept, sum(event_id)::BIGINT AS ids FROM events WHERE event_id % 10 <> 0 AND date_trunc('second', ts) >= TIMESTAMP '2024-01-15 00:00:00'",
     "clu02_keywords": f"WITH {TEXT_ARTICLES}, {_KEYWORDS} SELECT pos, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (rn <= 15), '') AS words FROM text_articles LEFT JOIN k USING (pos) GROUP BY pos",
     "flt04_ai_split": "SELECT lang AS language, (" + " OR ".join(f"contains(lower(text), '{k}')" for k in sorted({x.lower() for x in fixed.AI_KEYWORDS_EN + fixed.AI_KEYWORDS_ZH})) + ") AS is_ai, count(*) AS n FROM documents GROUP BY ALL",
-    "flt01_time_window": "SELECT event_type, count(*) FILTER (event_id % 7 <> 0 AND ts > TIMESTAMP '2024-01-15') AS dated, count(*) FILTER (event_id % 7 = 0 OR ts >= TIMESTAMP '2024-01-15') AS kept FROM events GROUP BY 1",
+    "flt01_time_window": "SELECT event_type, count(*) FILTER (event_id % 7 <> 0 AND date_trunc('second', ts) > TIMESTAMP '2024-01-15') AS dated, count(*) FILTER (event_id % 7 = 0 OR date_trunc('second', ts) >= TIMESTAMP '2024-01-15') AS kept FROM events GROUP BY 1",
     "join01_summaries": """WITH s AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1), t AS (SELECT d.source, CASE WHEN toxic = 1 THEN 'brief' WHEN quality = 1 THEN 'must_read' ELSE 'noteworthy' END AS tier FROM documents d LEFT JOIN s USING (doc_id))
         SELECT source, count(*) FILTER (tier = 'brief') AS brief, count(*) FILTER (tier = 'noteworthy') AS noteworthy, count(*) FILTER (tier = 'must_read') AS must_read FROM t GROUP BY 1""",
     "agg10_source_stats": "SELECT source, lang, count(*) AS total, count(*) FILTER (n_chars > 500) AS active, count(*) FILTER (NOT n_chars > 500) AS inactive FROM documents GROUP BY ROLLUP (source, lang)",
     "win03_ranks": "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank, row_number() OVER (ORDER BY lang, n_chars DESC, doc_id) AS number FROM documents",
-    "win02_feed_caps": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= CASE user_id % 4 + 1 WHEN 1 THEN 10 WHEN 2 THEN 7 WHEN 3 THEN 5 ELSE 10 END",
-    "top04_enrichment": _SCORED + " SELECT pos, news_value_score AS rank_score FROM s WHERE level = 2 AND NOT contains(url, 'x.com') ORDER BY news_value_score DESC, pos LIMIT 50",
+    "win02_feed_caps": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_id % 7 = 0 OR date_trunc('second', ts) >= TIMESTAMP '2024-01-10') WHERE rn <= CASE user_id % 4 + 1 WHEN 1 THEN 10 WHEN 2 THEN 7 WHEN 3 THEN 5 ELSE 10 END",
+    "src01_feed_scan": """WITH c AS (SELECT 'f' || c_custkey % 40 AS feed, c_custkey, row_number() OVER (PARTITION BY c_custkey % 40 ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_custkey % 5 <> 4),
+        k AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY pos) AS rn FROM c WHERE c_custkey % 20 > 7), r AS (SELECT *, row_number() OVER (ORDER BY feed, pos) AS i FROM k WHERE rn <= 20),
+        e AS (SELECT a.i, list(b.i) AS before FROM r a JOIN r b ON b.i < a.i AND (a.c_custkey % 700 = b.c_custkey % 700 OR a.c_custkey % 600 = b.c_custkey % 600) GROUP BY a.i),
+        o AS (SELECT r.i, coalesce(before, []) AS before FROM r LEFT JOIN e USING (i)),
+        g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, o.i) END FROM g JOIN o ON o.i = g.i + 1)
+        SELECT feed, pos, 't' || c_custkey % 600 AS title, 'https://e.com/' || c_custkey % 700 AS url FROM r WHERE list_contains((SELECT arg_max(kept, i) FROM g), r.i)""".replace("WITH c", "WITH RECURSIVE c"),
+    "top04_enrichment": _SCORED + " SELECT pos, news_value_score AS rank_score FROM s WHERE level = 2 AND pos % 7 NOT IN (2, 5, 6) ORDER BY news_value_score DESC, pos LIMIT 50",
+    "ded02_greedy_dedup": f"""WITH RECURSIVE {TEXT_ARTICLES}, w AS (SELECT pos, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(trim(title)), '[\\s\\-_:,;|/\\\\]+'), lambda x: x <> ''))) AS ws FROM text_articles),
+        n AS (SELECT pos, unnest(ws) AS t FROM w), c AS (SELECT a.pos AS x, b.pos AS y, count(*) AS shared FROM n a JOIN n b ON a.t = b.t AND b.pos < a.pos GROUP BY 1, 2),
+        e AS (SELECT x, list(y) AS before FROM c JOIN w p ON p.pos = x JOIN w q ON q.pos = y WHERE shared::DOUBLE / (len(p.ws) + len(q.ws) - shared) > 0.85 GROUP BY x),
+        o AS (SELECT row_number() OVER (ORDER BY pos) AS i, pos, coalesce(before, []) AS before FROM w LEFT JOIN e ON x = pos),
+        g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, pos) END FROM g JOIN o ON o.i = g.i + 1)
+        SELECT pos, url FROM text_articles WHERE list_contains((SELECT arg_max(kept, i) FROM g), pos)""",
+    "clu04_topic_clusters": _CLUSTERS + " SELECT pos, cluster_id, cluster_size, cross_source, score FROM named JOIN info USING (cluster_id)",
+    "clu06_themes": _CLUSTERS + """, counts AS (SELECT cluster_id, w, count(*) AS n, any_value(cluster_size) AS size FROM k JOIN named USING (pos) JOIN info USING (cluster_id) WHERE rn <= 15 GROUP BY cluster_id, w),
+        ranks AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n < size, CASE WHEN n = size THEN 0 ELSE -n END, w) AS r, bool_or(n = size) OVER (PARTITION BY cluster_id) AS any_shared FROM counts),
+        theme_t AS (SELECT cluster_id, string_agg(w, ' ' ORDER BY r) AS theme FROM ranks WHERE CASE WHEN any_shared THEN n = size AND r <= 5 ELSE r <= 3 END GROUP BY cluster_id)
+        SELECT cluster_id, coalesce(theme, '') AS theme FROM info LEFT JOIN theme_t USING (cluster_id)""",
+    "top01_ranked_clusters": _CLUSTERS + " SELECT row_number() OVER (ORDER BY score DESC, min(pos)) AS n, cluster_id, any_value(cluster_size) AS size, score FROM named JOIN info USING (cluster_id) GROUP BY cluster_id, score",
+    "edt03_factors": _SCORED + """ SELECT pos, authority, CASE WHEN cross_source THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END AS cross_source, novelty, news_value_score AS composite FROM s""",
+    "edt06_statistics": _SCORED + """ SELECT count(*) AS total, count(*) FILTER (v >= 0.42) AS approved, count(*) FILTER (v < 0.42) AS filtered, count(*) FILTER (v >= 0.42 AND l = 2) AS must_read, count(*) FILTER (v >= 0.42 AND l = 1) AS noteworthy, count(*) FILTER (v >= 0.42 AND l = 0) AS brief
+        FROM (SELECT news_value_score AS v, least(CASE WHEN news_value_score >= 0.6::DOUBLE THEN 2 WHEN news_value_score >= 0.45::DOUBLE THEN 1 ELSE 0 END + CASE WHEN coalesce(hn_points, 0) >= 100 THEN 1 ELSE 0 END + CASE WHEN priority = 1 THEN 1 ELSE 0 END, 2) AS l FROM s)""",
     "src10_markdown_list": "SELECT row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS index, n_name AS name, 'https://n.example.com/' || n_nationkey AS url, r_name AS category, n_nationkey % 5 <> 0 AS active FROM nation JOIN region ON n_regionkey = r_regionkey",
     "src19_last_summary": "SELECT user_id, event_type, json_extract_string(props, '$.k') AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "join08_refs": "WITH r AS (SELECT o_orderkey AS theme, unnest([o_orderkey % 1500, o_custkey * 7]) AS ref FROM orders) SELECT theme, count(*) AS n, min(source) AS first_source FROM r JOIN documents ON ref = doc_id + 1 GROUP BY 1",

@@ -28,7 +28,11 @@ def str06_strip_html(spark, sf):
 
 
 def str08_main_content(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.main_content(F.col("html")).alias("text"))
+    """Pages as they are, with their article as a division of the main text, and as one of another name."""
+    p = table(spark, sf, "pages")
+    k, html = F.col("page_id") % 3, F.col("html")
+    swapped = lambda tag: F.regexp_replace(F.regexp_replace(html, "<article>", tag), "</article>", "</div>")
+    return p.select("page_id", text.main_content(F.when(k == 0, html).when(k == 1, swapped('<div class="x story-body">')).otherwise(swapped('<div class="postal-ad">'))).alias("text"))
 
 
 def str01_categories(spark, sf):
@@ -64,21 +68,57 @@ def src15_errors(spark, sf):
 def flt14_videos(spark, sf):
     p = table(spark, sf, "pages")
     vid = F.substring(F.md5(F.col("url").cast("binary")), 1, 11)
-    forms = F.array(F.concat(F.lit("https://youtube.com/watch?v="), vid), F.concat(F.lit("https://youtu.be/"), vid), F.concat(F.lit("https://youtube.com/embed/"), vid), F.col("url"))
-    return p.select("page_id", text.video_id(F.element_at(forms, (F.col("page_id") % 4 + 1).cast("int"))).alias("video_id"))
+    starts = ("https://youtube.com/watch?v=", "https://youtu.be/", "https://youtube.com/embed/", "https://www.youtube.com/v/", "https://youtube.com/shorts/", "https://youtube.com/live/", "https://e.com/")
+    url = F.concat(F.element_at(F.array(*map(F.lit, starts)), (F.col("page_id") % len(starts) + 1).cast("int")), vid)
+    return p.select("page_id", text.is_video(url).alias("is_video"), text.video_id(url).alias("video_id"))
+
+
+URLS = ("https://x.com/a", "https://Twitter.com/b", "https://a.tiktok.com/c", "https://youtu.be/d", "https://www.YOUTUBE.com/e", "https://paywalled.org/f", "https://subscribe.n.com", "https://login.n.com", "https://accounts.n.com", "https://reddit.com/r", "https://mp.weixin.qq.com/s", "https://www.xiaoyuzhoufm.com/episode/9", "")
+
+
+def flt10_url_kinds(spark, sf):
+    """Pages that are not fetched, account articles, updates without an episode's page."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, URLS)), (F.col("o_orderkey") % len(URLS) + 1).cast("int")).alias("url"), F.when(F.col("o_orderkey") % 5 == 0, "wechat_dev").when(F.col("o_orderkey") % 5 == 1, "cloud").alias("category"))
+    u = F.col("url")
+    return o.select("o_orderkey", text.is_skipped_url(u).alias("skipped"), text.is_account_article(F.col("category"), u).alias("account"), text.needs_episode(u).alias("needs_episode"))
+
+
+def str07_spaced_text(spark, sf):
+    p = table(spark, sf, "pages")
+    part = F.regexp_extract("html", "(?is)<footer[^>]*>(.*?)</footer>", 1)
+    return p.select("page_id", text.strip_html_spaced(F.concat(F.lit("<p>A&eacute; <b>b</b></p>"), part), 60).alias("text"))
+
+
+def str13_anchors(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("🧠  "), F.col("p_name"), F.lit(" & "), F.col("p_brand"), F.lit(" (中文)")).alias("t"))
+    return p.select("p_partkey", text.make_anchor(F.col("t")).alias("anchor"), text.category_display(F.col("t")).alias("display"))
+
+
+def str02_category_names(spark, sf):
+    """Display and short names of known and unknown categories, titles without leading pictographs, error labels."""
+    names = [k for k, _, _ in fixed.CATEGORIES]
+    p = table(spark, sf, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, [*names, "other"])), (F.col("p_partkey") % (len(names) + 1) + 1).cast("int")).alias("c"))
+    code = (F.col("p_partkey") % 7 - 5).cast("int")
+    return p.select("p_partkey", text.category_name(F.col("c")).alias("name"), text.strip_leading_emoji(text.category_display(F.col("c"))).alias("display"), text.error_label(F.when(code <= 0, code).otherwise(F.lit(503))).alias("label"))
+
+
+QUERIES = [ded01_normalize_url, ded04_tracker_id, str_cells, str06_strip_html, str08_main_content, str01_categories, dat01_dates, src06_engagement, src15_errors, flt14_videos, flt10_url_kinds, str07_spaced_text, str13_anchors, str02_category_names]
 
 
-QUERIES = [ded01_normalize_url, ded04_tracker_id, str_cells, str06_strip_html, str08_main_content, str01_categories, dat01_dates, src06_engagement, src15_errors, flt14_videos]
+#: Written out here, not taken from the functions' fixed values.
+_BLOCK = "(?:p|div|br|li|h[1-6]|blockquote|tr|ul|ol|table|hr|section|article)"
+_CONTENT_DIV = "(?:post-content|article-body|entry-content|td-post-content|article-text|story-body|post-body|content-body|article__body|main-content|post-entry)"
 
 
 def _strip(c: str) -> str:
-    c = f"regexp_replace({c}, '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'gis')"
-    c = f"regexp_replace({c}, '</?(p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|blockquote|pre)[^>]*>', chr(10), 'gi')"
-    c = f"regexp_replace({c}, '<[^>]+>', '', 'g')"
-    for a, b in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    """Plain text by patterns: what a parser gives on markup whose tags are all closed. chr(1) ends a block, chr(2) begins one."""
+    c = f"regexp_replace({c}, '<(script|style)[^>]*>.*?</(script|style)>|<!.*?>', '', 'gis')"
+    c = rf"regexp_replace(regexp_replace({c}, '</{_BLOCK}(\s[^>]*)?>', chr(1), 'gi'), '<{_BLOCK}(\s[^>]*)?>', chr(2), 'gi')"
+    c = f"regexp_replace({c}, '</?[a-zA-Z][^>]*>', '', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '([\x01\x02])\x02+', '\1', 'g'), '[\x01\x02]', chr(10), 'g')"
+    for a, b in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
         c = f"replace({c}, '{a}', '{b}')"
-    c = f"regexp_replace(regexp_replace({c}, '[ \\t]+', ' ', 'g'), '\\n *', chr(10), 'g')"
-    return f"trim(regexp_replace({c}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+    return f"trim(regexp_replace(regexp_replace({c}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
 
 
 _NO_CHANGE = " OR ".join(f"contains(lower(text), '{p}')" for p in fixed.NO_CHANGE)
@@ -99,8 +139,8 @@ ORACLES = {
     "str_cells": f"""SELECT conv_id, turn, replace(replace(text, '|', '\\|'), chr(10), ' ') AS cell, CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || '...' ELSE text END AS short,
         length(regexp_replace(text, '<[^>]+>', '', 'g')) AS n, ({_NO_CHANGE}) AS no_change FROM conversations""",
     "str06_strip_html": f"SELECT page_id, {_strip('html')} AS text, split_part(url, '?utm_source=', 1) AS clean_url FROM pages",
-    "str08_main_content": f"""WITH a AS (SELECT page_id, {_strip("regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 'is')")} AS a, {_strip("regexp_extract(html, '<div[^>]*class=\"[^\"]*(?:content|article|post|entry)[^\"]*\"[^>]*>(.*?)</div>', 1, 'is')")} AS d,
-        {_strip("regexp_extract(html, '<main[^>]*>(.*?)</main>', 1, 'is')")} AS m, {_strip('html')} AS w FROM pages)
+    "str08_main_content": f"""WITH a AS (SELECT page_id, {_strip("regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 'is')")} AS a, {_strip(f"regexp_extract(html, '<div[^>]*class=\"[^\"]*{_CONTENT_DIV}[^\"]*\"[^>]*>(.*?)</div>', 1, 'is')")} AS d,
+        {_strip("regexp_extract(html, '<main[^>]*>(.*?)</main>', 1, 'is')")} AS m, {_strip('html')} AS w FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN replace(replace(html, '<article>', '<div class="x story-body">'), '</article>', '</div>') ELSE replace(replace(html, '<article>', '<div class="postal-ad">'), '</article>', '</div>') END AS html FROM pages))
         SELECT page_id, CASE WHEN length(a) > 200 THEN a WHEN length(d) > 200 THEN d WHEN length(m) > 200 THEN m WHEN length(w) > 500 THEN w ELSE '' END AS text FROM a""",
     "str01_categories": f"""WITH p AS (SELECT p_partkey, {_CATS}[p_partkey % {len(_CATS)} + 1] AS c FROM part), o AS (SELECT unnest({list(fixed.OLD_CATEGORIES)}) AS c, unnest({list(fixed.OLD_CATEGORIES.values())}) AS n),
         d AS (SELECT unnest({[k for k, _, _ in fixed.CATEGORIES]}) AS c, unnest(range(1, {len(fixed.CATEGORIES) + 1})) AS i), x AS (SELECT p_partkey, coalesce(o.n, p.c) AS category FROM p LEFT JOIN o USING (c))
@@ -109,5 +149,14 @@ ORACLES = {
         WHEN 4 THEN date_trunc('day', ts)::TIMESTAMP END AS published, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events""",
     "src06_engagement": "SELECT event_id, CASE WHEN value >= 0 THEN floor(value)::BIGINT END AS points, CASE WHEN event_id % 3 = 0 THEN user_id END AS comments FROM events",
     "src15_errors": """SELECT CASE o_orderkey % 7 WHEN 0 THEN -2 WHEN 1 THEN -3 WHEN 2 THEN -3 WHEN 3 THEN -4 WHEN 4 THEN -4 WHEN 5 THEN -5 ELSE -1 END::BIGINT AS code, count(*) AS n FROM orders GROUP BY 1""",
-    "flt14_videos": "SELECT page_id, CASE WHEN page_id % 4 < 3 THEN substring(md5(url), 1, 11) END AS video_id FROM pages",
+    "flt14_videos": "SELECT page_id, page_id % 7 <> 6 AS is_video, CASE WHEN page_id % 7 < 5 THEN substring(md5(url), 1, 11) END AS video_id FROM pages",
+    "flt10_url_kinds": f"""WITH o AS (SELECT o_orderkey, o_orderkey % {len(URLS)} AS k, o_orderkey % 5 AS c FROM orders)
+        SELECT o_orderkey, k IN (0, 1, 4, 5, 6, 7, 8, 9) AS skipped, c = 0 OR k = 10 AS account, k <> 11 AS needs_episode FROM o""",
+    "str07_spaced_text": """WITH p AS (SELECT page_id, regexp_extract(html, '<footer[^>]*>(.*?)</footer>', 1, 'is') AS f FROM pages), t AS (SELECT page_id, trim('Aé b ' || trim(replace(replace(replace(f, '&copy;', '©'), '&middot;', '·'), '&amp;', '&'))) AS t FROM p)
+        SELECT page_id, CASE WHEN length(t) > 60 THEN substring(t, 1, 60) || '...' ELSE t END AS text FROM t""",
+    "str13_anchors": "SELECT p_partkey, '-' || lower(regexp_replace(regexp_replace(p_name || '  ' || p_brand, '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '\\s+', '-', 'g')) || '-中文' AS anchor, '🧠  ' || p_name || ' & ' || p_brand || ' (中文)' AS display FROM part",
+    "str02_category_names": """WITH p AS (SELECT p_partkey, p_partkey % 16 + 1 AS k, p_partkey % 7 - 5 AS code FROM part)
+        SELECT p_partkey, ['AI/ML', '综合科技', 'AI 工具', '科技产品', '综合新闻', '芯片硬件', '云计算', '开源', '网络安全', 'Hacker News', '播客', '安全', '开发', '其他', '用户提交', 'other'][k] AS name,
+            ['AI 研究前沿', '科技与 AI 综合', 'AI 工具与应用', '科技产品', '综合新闻', '芯片硬件', '云计算', '开源', '网络安全', 'Hacker News 热门', '播客更新', '微信·安全', '微信·开发', '微信·其他', '微信·用户提交', 'other'][k] AS display,
+            CASE code WHEN -5 THEN 'SSL错误' WHEN -4 THEN '连接被拒绝/重置' WHEN -3 THEN 'DNS解析失败' WHEN -2 THEN '超时' WHEN -1 THEN '未知错误' WHEN 0 THEN 'HTTP 0' ELSE 'HTTP 503' END AS label FROM p""",
 }

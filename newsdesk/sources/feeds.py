@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.text import parse_date
+from ..operators import dedup, numbering
 
 ITEM = "title string, link string, pub_date_raw string, description string, content_encoded string, hn_points int, hn_comments int"
 _ENTITY = re.compile(r"&([A-Za-z][A-Za-z0-9]*);")
@@ -77,7 +78,7 @@ def explode_items(feeds: DataFrame) -> DataFrame:
 
 
 def recent(items: DataFrame, cutoff: Column, undated: str = "drop", inclusive: bool = False, most: int = 30, priority: Column | None = None) -> DataFrame:
-    """Items after the cutoff, at most so many accepted ones a feed in document order (fewer by priority, if given)."""
+    """Items with a title and a link after the cutoff, at most so many accepted ones a feed in document order (fewer by priority, if given)."""
     ts = parse_date(F.col("pub_date_raw"))
     late = (ts >= cutoff) if inclusive else (ts > cutoff)
     keep = F.coalesce(late, F.lit(undated == "keep"))
@@ -85,9 +86,30 @@ def recent(items: DataFrame, cutoff: Column, undated: str = "drop", inclusive: b
     if priority is not None:
         cap = F.when(priority == 2, max(1, most * 7 // 10)).when(priority == 3, max(1, most // 2)).otherwise(most)
     w = Window.partitionBy("feed").orderBy("pos")
+    items = items.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("link", F.lit("")) != ""))
     return items.withColumn("published_ts", ts).where(keep).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cap).drop("__rn")
 
 
+def scanned(fetched: DataFrame, cutoff: Column, most: int = 30, **options) -> tuple[DataFrame, DataFrame]:
+    """Articles of fetched feeds (feed, xml, error), deduplicated across feeds in the order of feeds and items, and the scan's counts.
+
+    articles: feed, pos, title, url, source, published_ts, description, full_text, hn_points, hn_comments. options: see :func:`recent`.
+    """
+    kept = recent(explode_items(fetched.where("xml IS NOT NULL")), cutoff, most=most, **options)
+    rows = numbering.ordered(kept, ["feed", "pos"], "__n").withColumnRenamed("pos", "__pos").withColumn("pos", F.col("__n")).withColumnRenamed("link", "url")
+    found = dedup.greedy(rows).withColumn("pos", F.col("__pos"))
+    articles = found.select("feed", "pos", "title", "url", F.col("feed").alias("source"), "published_ts", "description", F.col("content_encoded").alias("full_text"), "hn_points", "hn_comments")
+    return articles, counts(fetched, found)
+
+
+def counts(fetched: DataFrame, articles: DataFrame) -> DataFrame:
+    """checked, success, error, not_modified, updates of a scan. fetched: xml, error, and status if known."""
+    status = F.col("status") if "status" in fetched.columns else F.lit(None)
+    unchanged = F.coalesce(status == 304, F.lit(False))
+    done = fetched.agg(F.count("*").alias("checked"), F.count_if(F.col("xml").isNotNull()).alias("success"), F.count_if(F.col("xml").isNull() & ~unchanged).alias("error"), F.count_if(unchanged).alias("not_modified"))
+    return done.withColumn("__one", F.lit(1)).join(articles.agg(F.count("*").alias("updates")).withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 def with_retry(fetch: Callable[[str], str], attempts: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
     """fetch, tried again after min(2 ** k * 2, 30) seconds and up to one more."""
 

@@ -39,6 +39,11 @@ def write_report(lines: DataFrame, path: str, order: list[str]) -> None:
 def last_summaries(spark: SparkSession, pattern: str, schema: str = "url string, ai_summary string, category string, tier string, importance_reason string") -> DataFrame:
     """Summaries of all batch files of JSON lines; of one url's, those of the last file by name, and in it the last text by its order."""
     read = spark.read.schema(schema).json(pattern).withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.monotonically_increasing_id())
-    names = [c for c in read.columns if not c.startswith("__")]
-    last = read.where("url IS NOT NULL").groupBy("url").agg(F.max_by(F.struct(*names), F.struct("__file", "__at")).alias("s"))
+    return last_by_url(read, ["__file", "__at"])
+
+
+def last_by_url(batches: DataFrame, order: list[str]) -> DataFrame:
+    """Of each url's rows the last by the order's columns, which are left out."""
+    names = [c for c in batches.columns if c not in order]
+    last = batches.where("url IS NOT NULL").groupBy("url").agg(F.max_by(F.struct(*names), F.struct(*order)).alias("s"))
     return last.select("s.*")
