@@ -70,6 +70,11 @@ def summary_text(text: Column) -> Column:
     return F.trim(text, F.lit(_BLANK))
 
 
+def composed(texts: Column) -> Column:
+    """An array of summaries as one text: without labels, each once, in order, a blank line between them."""
+    return F.array_join(F.array_distinct(F.filter(F.transform(texts, lambda t: summary_text(F.coalesce(t, F.lit("")))), lambda t: t != "")), "\n\n")
+
+
 def is_ai_category(summary_category: Column, category: Column) -> Column:
     """By the summary's category (its id, or a keyword of ten characters at most within it); without one by the article's."""
     direct = lambda c: normalize_category(c).isin(*fixed.DIRECT_CATEGORIES)

@@ -73,13 +73,17 @@ class _Plain(HTMLParser):
             self.pieces.append(data)
 
 
+_UNFINISHED = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
+
+
 def plain_text(html: str | None, separator: str | None = None) -> str:
-    """Text of markup by the standard library's parser; all character references are decoded, unfinished ones at the end as well.
+    """Text of markup by the standard library's parser; all character references are decoded, unfinished ones at the end as well; an unfinished
+    tag at the end goes.
 
     separator: what stands between the trimmed pieces of text, instead of line ends at block tags.
     """
     parser = _Plain()
-    parser.feed(html or "")
+    parser.feed(_UNFINISHED.sub("", html or ""))
     parser.close()
     if separator is not None:
         return separator.join(p for p in (x.strip() for x in parser.pieces) if p)

@@ -11,47 +11,6 @@ from pyspark.sql.window import Window
 from ..functions.text import category_name, category_order, demote_headings, escape_cell
 
 
-def row(*cells: Column) -> Column:
-    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-
-
-def link(title: Column, url: Column) -> Column:
-    return F.concat(F.lit("["), escape_cell(title), F.lit("]("), url, F.lit(")"))
-
-
-def points_table(items: DataFrame, order: str) -> DataFrame:
-    """Items with points and comments, each where known."""
-    stats = F.concat_ws(" · ", F.concat(F.lit("⬆ "), F.col("points").cast("string")), F.concat(F.lit("💬 "), F.col("comments").cast("string")))
-    return items.select(F.col(order).alias("line_no"), row(link(F.col("title"), F.col("url")), stats).alias("line"))
-
-
-def tiered_sections(articles: DataFrame) -> DataFrame:
-    """A heading a category in order, then its articles: must-reads, noteworthy ones, brief ones; by score, then pos."""
-    c = category_order(F.col("category"))
-    tier = F.when(F.col("editorial_tier") == "must_read", 1).when(F.col("editorial_tier") == "noteworthy", 2).otherwise(3)
-    heads = articles.select("category").distinct().select(F.struct(c.alias("c"), F.col("category"), F.lit(0).alias("t"), F.lit(0.0).alias("s"), F.lit(-1).cast("long").alias("p")).alias("at"), F.concat(F.lit("## "), category_name(F.col("category"))).alias("line"))
-    mark = F.when(tier == 1, "### ").when(tier == 2, "- ").otherwise("  - ")
-    lines = articles.select(F.struct(c.alias("c"), F.col("category"), tier.alias("t"), (-F.col("news_value_score")).alias("s"), F.col("pos").cast("long").alias("p")).alias("at"), F.concat(mark, link(F.col("title"), F.col("url"))).alias("line"))
-    return heads.union(lines)
-
-
-def brief(items: DataFrame, most: int = 20) -> DataFrame:
-    """The first items and a line with the number of the others (a report's top list)."""
-    n = items.agg(F.count("*").alias("n"))
-    more = n.where(F.col("n") > most).select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit("… +"), (F.col("n") - most).cast("string")).alias("line"))
-    return items.orderBy("pos").limit(most).select(F.lit(0).alias("part"), F.col("pos").cast("long").alias("pos"), F.concat(F.lit("- "), link(F.col("title"), F.col("url"))).alias("line")).union(more)
-
-
-def merged(sections: list[tuple[str, DataFrame]], levels: int = 3) -> DataFrame:
-    """Named sections (line_no, line) one after the other, their headings moved down."""
-    parts = []
-    for k, (name, lines) in enumerate(sections):
-        spark = lines.sparkSession
-        parts.append(spark.createDataFrame([(k, -1, f"## {name}")], "section int, line_no long, line string"))
-        parts.append(lines.select(F.lit(k).alias("section"), F.col("line_no").cast("long").alias("line_no"), demote_headings(F.col("line"), levels).alias("line")))
-    return reduce(DataFrame.union, parts).orderBy("section", "line_no")
-
-
 def with_tldr(lines: DataFrame, tldr: DataFrame) -> DataFrame:
     """doc, line_no, part, sub, line: reports with their TL;DR before the first heading of level two or rule, never before the title.
 
@@ -67,11 +26,11 @@ def with_tldr(lines: DataFrame, tldr: DataFrame) -> DataFrame:
     return lines.select("doc", F.col("line_no").cast("long").alias("line_no"), F.lit(1).alias("part"), F.lit(0).alias("sub"), "line").union(new)
 
 
-def prompt_items(articles: DataFrame, category: str, most: int = 15) -> DataFrame:
-    """Each category's items for a prompt: by priority, then pos, the first of them (a top list), numbered."""
+def prompt_items(articles: DataFrame, category: str, most: int = 15, item: Column | None = None) -> DataFrame:
+    """Each category's items for a prompt: by priority, then pos, the first of them (a top list), numbered. item: the line, made from rank."""
     rank = F.row_number().over(Window.partitionBy(category).orderBy("priority", "pos"))
-    item = F.concat(F.col("rank").cast("string"), F.lit(". ["), F.col("source"), F.lit("] "), F.col("title"))
-    return articles.withColumn("rank", rank).where(F.col("rank") <= most).select(category, "rank", item.alias("line"))
+    plain = F.concat(F.col("rank").cast("string"), F.lit(". ["), F.col("source"), F.lit("] "), F.col("title"))
+    return articles.withColumn("rank", rank).where(F.col("rank") <= most).select(category, "rank", (plain if item is None else item).alias("line"))
 
 
 def highlights(articles: DataFrame, most: int = 5) -> DataFrame:

@@ -7,7 +7,6 @@ once, as one set with a group id.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keywords import jaccard
+from ..storage import discard, stored
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the cluster shares."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="newsdesk-"))
-    return df.checkpoint()
+    """Cut lineage with a table in the folder that the cluster shares."""
+    return stored(df, "cut")
 
 
 def grouped(df: DataFrame, words: Column) -> DataFrame:
@@ -52,13 +47,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """gid and root (smallest gid of its component): every node takes its neighbours' smallest label, then its label's label."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     linked = both.select(F.col("a").alias("gid")).distinct()
-    labels = cut(linked.withColumn("root", F.col("gid")))
+    labels, was = cut(linked.withColumn("root", F.col("gid"))), None
     while True:  # labels only fall, so this ends
         near = both.join(labels, F.col("b") == F.col("gid")).groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(near, F.col("gid") == F.col("a")).select("gid", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = lower.select(F.col("gid").alias("g2"), F.col("root").alias("r2"))
         new = cut(lower.join(jump, F.col("root") == F.col("g2")).select("gid", "was", F.least("root", "r2").alias("root")))
-        labels = new.select("gid", "root")
+        if was is not None:
+            discard(was)
+        labels, was = new.select("gid", "root"), new
         if new.where("was <> root").isEmpty():
             break
     return nodes.select("gid").join(labels.withColumnRenamed("gid", "g"), F.col("gid") == F.col("g"), "left").select("gid", F.coalesce("root", "gid").alias("root"))

@@ -146,13 +146,6 @@ def join08_refs(spark, sf):
     return refs.groupBy("theme").agg(F.count("*").alias("n"), F.min("source").alias("first_source"))
 
 
-def rpt02_points_table(spark, sf):
-    from ..operators.report import points_table
-
-    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("title"), F.concat(F.lit("https://e.example.com/"), F.col("event_id").cast("string")).alias("url"), F.floor("value").cast("int").alias("points"), F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("int")).alias("comments"))
-    return points_table(e, "event_id").select("line_no", "line")
-
-
 def ded02_greedy_dedup(spark, sf):
     return dedup.greedy(text_articles(spark, sf)).select("pos", "url")
 
@@ -185,7 +178,7 @@ def clu06_themes(spark, sf):
 
 QUERIES = [
     m0_tier_histogram, edt_scores, win05_first_per_url, ded06_unseen, ded07_unexpired, clu02_keywords, flt04_ai_split, flt01_time_window, join01_summaries, agg10_source_stats, win03_ranks, win02_feed_caps,
-    top04_enrichment, src10_markdown_list, src19_last_summary, join08_refs, rpt02_points_table, ded02_greedy_dedup, clu04_topic_clusters, clu06_themes,
+    top04_enrichment, src10_markdown_list, src19_last_summary, join08_refs, ded02_greedy_dedup, clu04_topic_clusters, clu06_themes,
     src01_feed_scan, top01_ranked_clusters, edt03_factors, edt06_statistics,
 ]
 
@@ -260,5 +253,4 @@ ORACLES = {
     "src10_markdown_list": "SELECT row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS index, n_name AS name, 'https://n.example.com/' || n_nationkey AS url, r_name AS category, n_nationkey % 5 <> 0 AS active FROM nation JOIN region ON n_regionkey = r_regionkey",
     "src19_last_summary": "SELECT user_id, event_type, json_extract_string(props, '$.k') AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "join08_refs": "WITH r AS (SELECT o_orderkey AS theme, unnest([o_orderkey % 1500, o_custkey * 7]) AS ref FROM orders) SELECT theme, count(*) AS n, min(source) AS first_source FROM r JOIN documents ON ref = doc_id + 1 GROUP BY 1",
-    "rpt02_points_table": """SELECT event_id AS line_no, '| [' || event_type || '](https://e.example.com/' || event_id || ') | ' || concat_ws(' · ', '⬆ ' || floor(value)::INTEGER, CASE WHEN event_id % 2 = 0 THEN '💬 ' || user_id END) || ' |' AS line FROM events""",
 }

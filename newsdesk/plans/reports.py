@@ -108,7 +108,7 @@ QUERIES = [
 
 _SHORT = sorted({k.lower() for k in fixed.AI_KEYWORDS_ZH + fixed.AI_KEYWORDS_EN if len(k) <= 10})
 _CYCLE = f"{list(CATEGORY_CYCLE)}[pos % {len(CATEGORY_CYCLE)} + 1]"
-_BODY = _strip("html || '<div '")
+_BODY = _strip("html")
 _IS_AI = f"CASE WHEN given IS NULL THEN category IN {fixed.DIRECT_CATEGORIES} ELSE given = 'AI/ML' OR {' OR '.join(f'contains(lower(given), $${k}$$)' for k in _SHORT)} END"
 ORACLES = {
     "str09_account_body": f"SELECT page_id, CASE WHEN page_id % 2 = 0 AND length({_BODY}) > 100 THEN {_BODY} END AS text FROM pages",

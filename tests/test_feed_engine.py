@@ -4,7 +4,7 @@ import random
 
 import pytest
 from newsdesk.functions import keywords, text, urls
-from newsdesk.operators import dedup, editorial, report, setjoin, topics
+from newsdesk.operators import dedup, documents, editorial, setjoin, topics
 from newsdesk.sources import catalog, feeds, models
 from newsdesk.streaming import seen
 from pyspark.sql import functions as F
@@ -95,6 +95,7 @@ def test_greedy_dedup_against_the_sequential_rule(spark):
 def test_components_and_clusters(spark):
     nodes = spark.createDataFrame([(str(i),) for i in range(10, 30)], "gid string")
     edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(10, 20)], "a string, b string")
+    assert setjoin.components(nodes, edges.where("false")).where("gid <> root").isEmpty()
     assert setjoin.components(nodes, edges).groupBy("root").count().where("count > 1").collect()[0]["count"] == 11
     rows = [(i, "OpenAI launches GPT model today", "", f"u{i}", f"s{i % 2}") for i in range(4)] + [(9, "Quantum chips cooled overnight", "", "u9", "s9")]
     a = spark.createDataFrame(rows, "pos long, title string, description string, url string, source string")
@@ -106,6 +107,50 @@ def test_components_and_clusters(spark):
     assert topics.clusters(many).select("cluster_size").distinct().collect()[0][0] == 60
 
 
+def test_connected_sets_against_all_pairs(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(60)] + ["all"]
+    sets = {tuple(sorted({"all", *r.choices(words, k=r.randrange(1, 9))})) for _ in range(150)}
+    groups = setjoin.cut(setjoin.grouped(spark.createDataFrame([(list(s),) for s in sets], "w array<string>"), F.col("w")))
+    root = {s: s for s in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if len(set(a) & set(b)) > 0.4 * len(set(a) | set(b)):
+                root[find(a)] = find(b)
+    want = {}
+    for s in sets:
+        want.setdefault(find(s), set()).add(s)
+    named = {r["gid"]: tuple(r["words"]) for r in groups.collect()}
+    for rare, block in ((4, 16), (1000, 2048), (1, 7)):
+        got = {}
+        for row in setjoin.connected(groups, 0.4, rare, block).collect():
+            got.setdefault(row["root"], set()).add(named[row["gid"]])
+        assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values()}
+
+
+def test_plain_text_and_page_functions(spark):
+    assert text.plain_text("caf&eacute; &#8212; &hellip;<p>a<br>b</p><script>x</script><style>y</style>&nbsp;c AT&T") == "café — …\na\nb\n c AT&T"
+    assert text.plain_text(None) == "" and text.plain_text("a <i ") == "a" and text.plain_text("<b> a </b> <p>b", " ") == "a b"
+    long = "word " * 60
+    assert text.content_text(f'<div class="postal-ad">{long}</div><main>{long} main</main>').endswith("main")
+    assert text.content_text(f'<div class="x entry-content">{long} one</div><main>{long}</main>').endswith("one") and text.content_text("<p>short") == ""
+    assert one(spark, "A \t b!  c", text.make_anchor) == "a-b-c" and one(spark, "https://www.youtube.com/v/abcdefghijk", text.video_id) == "abcdefghijk"
+    assert one(spark, "Daily Mail", topics.source_authority) == 0.4 and one(spark, "x ai.google y", topics.source_authority) == 1.0
+    assert one(spark, "https://A.X.com/s", text.is_skipped_url) and not one(spark, "https://youtu.be/x", text.is_skipped_url) and not one(spark, None, text.is_skipped_url)
+
+
+def test_greedy_dedup_of_a_long_chain(spark):
+    rows = [(k, " ".join(f"c{i}" for i in range(k, k + 14)), f"https://e.com/{k}") for k in range(230)]
+    got = dedup.greedy(spark.createDataFrame(rows, "pos long, title string, url string")).select("pos").collect()
+    assert sorted(x["pos"] for x in got) == brute_greedy(rows)
+
+
 def test_editorial_cases(spark):
     cases = [("OpenAI Blog", 3, None, 1), ("TechCrunch", 3, None, 1), ("nobody", 1, None, 1), ("nobody", 2, None, 1), ("nobody", 3, 300, 1), ("Anthropic", 1, 300, 5)]
     a = spark.createDataFrame([(s, p, h, n, n > 1, "Title", "", "") for s, p, h, n in cases], "source string, priority int, hn_points int, cluster_size int, cross_source boolean, title string, description string, url string")
@@ -157,12 +202,17 @@ def test_feed_source(spark):
 def test_lists_reports_and_models(spark):
     lines = spark.createDataFrame(list(enumerate(["# x", "## Dev", "- [A](http://a)", "- ~~[B](http://b)~~", "## Sec", "- [C](http://c)"])), "line_no int, line string")
     assert [tuple(r) for r in catalog.parse_list(lines).orderBy("index").collect()] == [(0, "A", "http://a", "Dev", True), (1, "B", "http://b", "Dev", False), (2, "C", "http://c", "Sec", True)]
-    items = spark.range(25).select(F.col("id").alias("pos"), F.lit("t").alias("title"), F.lit("u").alias("url"))
-    out = report.brief(items).orderBy("part", "pos").collect()
-    assert len(out) == 21 and out[-1]["line"] == "… +5"
-    both = report.merged([("One", lines), ("Two", lines)]).collect()
-    assert both[0]["line"] == "## One" and both[2]["line"] == "##### Dev" and len(both) == 14
-    asked = models.ask(spark.createDataFrame([("hi",)], "prompt string"), "prompt", lambda p: '```json\n{"a": 1}\n```')
+    h = documents.Heading("en", "2026-04-06", "05:30")
+    items = spark.range(25).select(F.col("id").alias("pos"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.lit("s").alias("source"))
+    out = documents.brief_section(items, h, 0).orderBy(*documents.ORDER).collect()
+    assert [r["line"] for r in out[:3]] == ["## Tech Updates", "", "- [t](u) — *s*"] and [r["line"] for r in out[-3:]] == ["- ……等 5 条", "", ""] and len(out) == 25
+    text = ["# One", "", "> q", "---", "## Sub", "", "---", "", "---", "", "end", "", "*Generated at x UTC*"]
+    both = documents.merged([documents.given(spark, 0, text), documents.given(spark, 0, ["# Two 🧠 x", "body"])], h).orderBy(*documents.ORDER).collect()
+    assert [r["line"] for r in both] == [
+        "# 📰 Daily — 2026-04-06", "", "> 📡 One · Two 🧠 x", "", "> 🕐 Generated at 05:30 UTC", "", "---", "", "## 📑 Table of Contents", "", "- [One](#one)", "- [Two 🧠 x](#two-x)", "", "---", "",
+        "## One", "", "##### Sub", "", "---", "end", "", "---", "", "## Two 🧠 x", "", "body",
+    ]
+    asked = models.ask(spark.createDataFrame([("hi",)], "prompt string"), "prompt", lambda p, profile: '```json\n{"a": 1}\n```')
     assert asked.select(models.parsed(F.col("response"), "a int").alias("x")).collect()[0]["x"]["a"] == 1
     assert models.ask(spark.createDataFrame([("hi",)], "prompt string"), "prompt", None).collect()[0]["response"] is None
 
