@@ -3,11 +3,12 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles (words split at ASCII white space, in lower case as
 in SimHash) is at least 4/5. Rows of equal sets are one node. At that similarity fingerprints differ in some ten bits, where tiles part
 hardly any pairs; so SimHash, at its own small radius, proposes the closest pairs, and a prefix filter all others: in any one order of all
-shingles, two linked sets of n shingles each share one of the first n - ceil(4n/5) + 1 of their own. The order puts shingles that a sample
-of the texts finds in many sets last; the sample decides only how many candidates there are, never which links are found.
+shingles, two linked sets of n shingles each share one of the first n - ceil(4n/5) + 1 of their own, and the first that they share leaves
+both enough shingles behind it. The order puts the shingles that most sets have last; it decides only how many candidates there are, never
+which links are found.
 
-Every candidate is compared exactly, first SimHash's and a chain through the sets of each prefix shingle, then all pairs that these links
-have not connected already, so that a large group of copies needs few comparisons. Before whole sets are joined, pairs go that a bound on
+Every candidate is compared exactly, first SimHash's and each set with its neighbour and with the smallest among the sets of a prefix
+shingle, then all pairs that these links have not connected already, so that a large group of copies needs few comparisons. Before whole sets are joined, pairs go that a bound on
 their difference rules out for certain: bits that differ in the parities of two sets' shingles by residue are at most the shingles
 in one of the sets only, and two alike sets have at most a ninth of their sizes' sum of these. Whole sets are made again from the texts of
 candidates alone, which a filter of hashed keys finds before anything is shuffled.
@@ -37,11 +38,11 @@ from .shared import discard, filter_column, key_filter, stored
 from .simhash import _LOWER, connected
 
 WORDS = 5
-#: Texts sampled and shingles kept for the order of shingles; memory bounds, no link depends on them.
-SAMPLE = 4_000
-FREQUENT = 200_000
+#: The most frequent shingles that the order knows: a memory bound, no link depends on it. Only shingles whose hash lies in the lower part
+#: of the range are counted, as the others come late in any case.
+FREQUENT, LOW, OFTEN = 500_000, 0.35, 3
 #: Nodes whose whole sets a task holds at once, twice: a memory bound.
-CELL = 500
+CELL = 250
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -62,12 +63,13 @@ def key(grams: np.ndarray) -> int:
 
 
 def prefix(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles of which a set that is similar enough must share one; frequent: ascending, rank: how late each comes."""
+    """The shingles of which a set that is similar enough must share one, in their order; frequent: halves, ascending, rank: how late each comes."""
     n = len(grams)
     late = np.zeros(n, np.int64)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        late = np.where(frequent[at] == grams, rank[at], 0)
+        half = halves(grams)
+        at = np.minimum(np.searchsorted(frequent, half), len(frequent) - 1)
+        late = np.where(frequent[at] == half, rank[at], 0)
     return grams[np.lexsort((grams, late))[: n - (4 * n + 4) // 5 + 1]] if n else grams
 
 
@@ -97,22 +99,35 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def halves(grams: np.ndarray) -> np.ndarray:
+    """The upper 32 bits, by which shingles are counted and joined: equal halves of different ones only make a candidate more."""
+    return (grams >> np.uint64(32)).astype(np.uint32)
+
+
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several sampled sets, ascending, and the number of these sets."""
-    every = max(1, docs.count() // SAMPLE)
+    """The halves of the shingles that most rows have, ascending, and how many rows have each."""
+    bound = np.uint64(int(LOW * 2**64))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["gram"])
+            low = [halves(g[: np.searchsorted(g, bound)]) for g in map(shingles, b.column("text").to_pylist())]
+            found, n = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int32)), pa.array(n.astype(np.int64))], ["half", "n"])
         release()
 
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
-    seen = sample.mapInArrow(each, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2")
-    rows = seen.orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas().sort_values("gram")
-    grams, n = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(grams)
-    return grams[order], n[order]
+    counts = stored(docs.select("text").mapInArrow(each, "half int, n long").groupBy("half").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "halves")
+    # whole counts from the highest down, as far as they stay within the bound
+    cut, size = 1 << 62, 0
+    for step, n in sorted(((r["s"], r["n"]) for r in counts.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        size += n
+        if size > FREQUENT:
+            break
+        cut = step
+    rows = counts.where(F.floor(F.log2("n") * 16) >= cut).toPandas()
+    discard(counts)
+    half, n = rows["half"].to_numpy(np.int32).view(np.uint32), rows["n"].to_numpy(np.int64)
+    order = np.argsort(half)
+    return half[order], n[order]
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -129,8 +144,7 @@ def sets(docs: DataFrame) -> DataFrame:
                     pa.array(np.fromiter(map(key, grams), np.uint64, len(grams)).view(np.int64)),
                     pa.array(np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(grams)).view(np.int64)),
                     pa.array([len(g) for g in grams], pa.int32()),
-                    # half of each hash: equal halves of different shingles only make a candidate more
-                    pa.array([(prefix(g, frequent, rank) >> np.uint64(32)).astype(np.uint32).view(np.int32) for g in grams], pa.list_(pa.int32())),
+                    pa.array([halves(prefix(g, frequent, rank)).view(np.int32) for g in grams], pa.list_(pa.int32())),
                     pa.array([parity(g).tobytes() for g in grams], pa.binary()),
                 ],
                 ["tk", "fp", "sim", "n", "first", "bits"],
@@ -237,22 +251,25 @@ def near_pairs(table: DataFrame) -> DataFrame:
 
 def links(table: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that connect all nodes alike; table as :func:`sets` gives it, stored."""
-    fits = "5 * least(n, m) >= 4 * greatest(n, m)"
+    # sizes that allow it, and enough shingles left from the shared one on (true at the first that two linked sets share)
+    fits = "5 * least(n, m) >= 4 * greatest(n, m) AND 9 * least(n - at, m - other_at) >= 4 * (n + m)"
     signs = stored(table.groupBy("fp").agg(F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("bits").alias("bits")), "signs")
     by_size = Window.partitionBy("gram").orderBy("n", "fp")
-    entries = table.groupBy("fp").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("fp", "n", F.explode("first").alias("gram"))
-    entries = entries.select("gram", "fp", "n", F.lag("fp").over(by_size).alias("other"), F.lag("n").over(by_size).alias("m"), F.lead("fp").over(by_size).alias("after"))
+    entries = table.groupBy("fp").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("fp", "n", F.posexplode("first").alias("at", "gram"))
+    own = F.struct(F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"))
+    entries = entries.select("gram", "fp", "n", "at", F.lag(own).over(by_size).alias("before"), F.first(own).over(by_size).alias("least"), F.lead("fp").over(by_size).alias("after"))
     # shingles of one node only have nothing to connect
-    entries = stored(entries.where("other IS NOT NULL OR after IS NOT NULL").drop("after"), "entries")
-    chain = entries.where(f"other IS NOT NULL AND {fits}").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
-    pairs = stored(chain.union(near_pairs(table)).distinct(), "pairs")
+    entries = stored(entries.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "entries")
+    near = entries.where("before IS NOT NULL").select("fp", "n", "at", F.explode(F.array("before", "least")).alias("o")).select("fp", "n", "at", "o.*").where(f"fp <> other AND {fits}")
+    near = near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    pairs = stored(near.union(near_pairs(table)).distinct(), "pairs")
     first = verified(pairs, docs, signs)
     roots = stored(connected(first), "roots")
-    rooted = entries.join(roots, F.col("fp") == F.col("node"), "left").select("gram", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = entries.join(roots, F.col("fp") == F.col("node"), "left").select("gram", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
     # shingles of one group only have nothing to connect
     several = rooted.groupBy("gram").agg((F.min("root") < F.max("root")).alias("several")).where("several").select("gram")
     rooted = stored(rooted.join(several, "gram", "left_semi"), "rooted")
-    mirror = rooted.select("gram", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+    mirror = rooted.select("gram", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"), F.col("root").alias("other_root"))
     rest = rooted.join(mirror, "gram").where(f"fp < other AND root <> other_root AND {fits}").select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     out = first.union(verified(rest, docs, signs))

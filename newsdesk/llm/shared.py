@@ -1,10 +1,7 @@
-"""Tables in the folder that all executors share, used to cut lineage."""
+"""What the operators share: stored tables, joins on hot keys, filters of keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, new_path, shared_dir, stored  # noqa: F401
+
 #: ASCII white space that separates words; ``bytes.split()`` splits at exactly these.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -23,62 +22,6 @@ HOT = 1_000
 FILTER_BITS = 1 << 25
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset and Spark runs in this process (tests) a local folder is set and used."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="newsdesk-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/newsdesk-{name}-{uuid.uuid4().hex}"
-    _paths[path] = spark
-    return path
-
-
-_paths: dict[str, SparkSession] = {}
-
-
-@atexit.register
-def _remove_all() -> None:
-    for path, spark in _paths.items():
-        _remove(spark, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session is gone already, and with it the right to delete
-        return
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back; survives the loss of any executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.newsdesk_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`stored` that nothing will read again."""
-    for t in tables:
-        if _paths.pop(t.newsdesk_path, None):
-            _remove(t.sparkSession, t.newsdesk_path)
-
-
 def join_hot(rows: DataFrame, lookup: DataFrame, key: str, n: str) -> DataFrame:
     """Inner join on ``key``, each value of which ``lookup`` has once, with the number ``n`` of the rows that have it.
 
