@@ -3,8 +3,8 @@
 The standard library's streaming parser turns a page into lines: a line is a block of text between two block-level tags. Each line
 has a text-to-tag ratio (characters over tags); the ratios are smoothed with a Gaussian kernel and clustered into two by a
 threshold. The content region is chosen by the text of the lines above the threshold: the article or main element that holds most of
-it or, where more than ``OUTSIDE`` times as much stands outside of all of these (teasers beside a text in plain divisions), the smallest
-element around the lines above the threshold there. All lines of the region are kept, in page order, but for those in elements that
+it or, where more than ``OUTSIDE`` times its whole text stands outside of all of these above the threshold (teasers beside a text in plain
+divisions), the smallest element around the lines above the threshold there. All lines of the region are kept, in page order, but for those in elements that
 are never content: menus, headers (but an article's own, and those in a main element that hold a heading), footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments. Outside of articles all other lines stay as well, but for menus that nothing
 names: lines of links alone, no headings, outside the smallest element around all other lines above the threshold (where that is the
@@ -45,7 +45,7 @@ _NOISE = re.compile(f"(?:(?:{_BESIDE})[_-]+)*(?:{_NAMES})(?:[_-]+(?:{_NAMES}|{_B
 _REMARK = re.compile(f"(?:(?:{_BESIDE})[_-]+)*(?:{_REMARKS})(?:[_-]+(?:{_REMARKS}|{_BESIDE}|[0-9]+))*", re.IGNORECASE)
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SPACE = re.compile(r"\s+")
-#: How many times the text of the best article must stand above the threshold outside of all for it to lose.
+#: How many times the best article's text must stand above the threshold outside of all for it to lose.
 OUTSIDE = 2.0
 
 
@@ -243,7 +243,7 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     weight = np.bincount(region, chars * (content + 1e-6), page.regions + 1)
     if region.any():
         best = int(weight[1:].argmax()) + 1
-        if weight[0] <= OUTSIDE * weight[best]:
+        if weight[0] <= OUTSIDE * chars[region == best].sum():
             return "\n".join(x[0] for x in lines if x[2] == best)
         # articles without a line above the threshold are teasers
         real = (np.bincount(region, content, page.regions + 1) > 0)[region] | (region == 0)

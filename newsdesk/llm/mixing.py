@@ -7,23 +7,20 @@ What the first threshold leaves of the budget is smaller than the first document
 search among the documents that fit into the rest.
 
 Defined results: null texts have size 0 and are taken 0 words; a null source is a source of its own, last in order; repeated rows have
-one hash and are taken together or not at all; a null id is hashed by its text; an empty table gives an empty result; extra columns
-don't matter. Only one row a source reaches the driver, and at most ``MAX_SOURCES`` of them: beyond that an error is raised.
+one hash and are taken together or not at all; a null id is hashed by its text; a very long text's words are counted whole; an empty
+table gives an empty result; extra columns don't matter. Only one row a source reaches the driver, and at most ``MAX_SOURCES`` of them: beyond that an error is raised.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .memory import release
 from .shared import stored
 
 WEIGHTS = (3, 1, 2)
@@ -33,15 +30,9 @@ HASH_BITS, STEP_BITS = 60, 12
 MAX_SOURCES = 200_000
 
 
-def _size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for text in batches:
-        yield text.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t else 0).astype("int64")
-    release()
-
-
 def size(text: Column) -> Column:
     """Words of a whole text; a null text has none."""
-    return F.pandas_udf(_size, "long")(text)
+    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
 def hashed(doc_id: Column, text: Column) -> Column:
@@ -148,6 +139,7 @@ def planned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         taken = (F.col("size") <= F.col("b")) & (F.col("h") <= F.col("cut"))
         left = left.join(F.broadcast(rest), F.col("source").eqNullSafe(F.col("s"))).where(~taken).select("source", "size", "h")
         left = left.join(F.broadcast(fits), F.col("source").eqNullSafe(F.col("s"))).where("size <= fit").select("source", "size", "h")
+        left = stored(left, "left")  # read for every level of the next pass
     schema = {"__nd_source": T.StringType(), "source_size": T.LongType(), "target": T.DoubleType(), "__nd_whole": T.LongType(), "__nd_cuts": T.ArrayType(T.ArrayType(T.LongType()))}
     return sized, _table(spark, [(s.source, s.size, s.target, s.times, [list(c[s.source]) for c in cuts]) for s in shares], schema)
 

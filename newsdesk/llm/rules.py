@@ -4,8 +4,12 @@ Each rule looks at one statistic of a text and votes good, votes bad or abstains
 vote patterns (at most 3**rules, whatever the corpus) estimates, without labels, how often each rule votes what on good and on bad
 texts; the posterior probability of *good* then replaces the usual demand that every rule passes.
 
-Defined results: a null text counts as empty, has no words and fails the base checks; an empty table gives an empty result;
-repeated rows each get their own (equal) result; extra columns of the input don't matter.
+The model takes rules as independent given the class. The two on symbols are not: they measure one kind of junk twice (by characters and
+by words), so that it is corroborated; with one of them alone it would be outvoted by the rules that it passes.
+
+Defined results: a null text counts as empty, has no words and fails the base checks; a posterior of exactly one half is good; a very long
+text is looked at whole, in memory of several times its length; an empty table gives an empty result; repeated rows each get their own
+(equal) result; extra columns of the input don't matter.
 """
 
 from __future__ import annotations

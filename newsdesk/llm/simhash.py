@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -65,17 +64,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
 
 
-def fingerprint_column(text: Column) -> Column:
-    """The same fingerprint as a column beside any others."""
-
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in batches:
-            yield pd.Series(np.fromiter(map(fingerprint, t), np.uint64, len(t)).view(np.int64))
-        release()
-
-    return F.pandas_udf(each, "long")(text)
-
-
 def _tile(fp: Column) -> Column:
     """The lanes' population counts (0 to 16 each), as one number of base 32."""
     out = F.lit(0)

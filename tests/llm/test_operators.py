@@ -5,7 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
-from math import log10
+from math import exp, log, log10
 
 import numpy as np
 import public_tokenizers as P
@@ -24,7 +24,7 @@ def prose(n: int) -> str:
     return " ".join(RNG.choice(WORDS) + RNG.choice(["", "x", "yy"]) + RNG.choice(["", "", "\n"]) for _ in range(n))
 
 
-TEXTS = [prose(n) for n in (3, 60, 61, 200, 5000)] + ["", None, " \n\t ", "one", "one", "  two  words \r\n", "a" * 3000, "x\x1cy  <|endoftext|>", "same words here again " * 30, prose(80)]
+TEXTS = [prose(n) for n in (3, 60, 61, 200, 5000)] + ["", None, " \n\t ", "one", "one", "  two  words \r\n", "a" * 3000, "x\x1cy  <|endoftext|>", "x <|endoftext|> y. <|endoftext|>z\n<|endoftext|>\nw", "same words here again " * 30, prose(80)]
 ROWS = [(i, t, "en", ["b", "a", None, "é"][i % 4], 0, 1, "f", 2, 3, "w", 4) for i, t in enumerate(TEXTS)] + [(None, "no id at all", None, None, None, 1, "f", 2, 3, "w", 4), (3, TEXTS[3], "en", "é", 0, 1, "f", 2, 3, "w", 4)]
 
 
@@ -79,6 +79,24 @@ def test_label_model_finds_the_bad_and_its_column_agrees(spark):
     assert 0 < rules.fit({}).posterior(good) < 1
 
 
+def test_label_model_by_brute_force(docs):
+    """EM a document at a time, in plain Python."""
+    patterns = [rules.votes(text_stats(t)) for t in TEXTS]
+    good = [0.02 if "b" in p else 0.98 for p in patterns]
+    for _ in range(60):
+        prior = min(0.99, max(0.01, (sum(good) + 1) / (len(good) + 2)))
+        odds = []
+        for k in range(len(rules.RULES)):
+            on = {(c, v): 1 + sum(w for p, w in zip(patterns, weights, strict=True) if p[k] == v) for c, weights in (("good", good), ("bad", [1 - g for g in good])) for v in "gb"}
+            share = lambda c, v: on[c, v] / (on[c, "g"] + on[c, "b"])  # noqa: B023, E731
+            odds.append({"a": 0.0, **{v: log(share("good", v)) - log(share("bad", v)) for v in "gb"}})
+        good = [1 / (1 + exp(-(log(prior / (1 - prior)) + sum(o[v] for o, v in zip(odds, p, strict=True))))) for p in patterns]
+    rows = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", rules.examine(F.col("text")).alias("x")).select("doc_id", "x.*")
+    model = rules.fit(rules.pattern_counts(rows, "pattern"))
+    got = {r["doc_id"]: r["p"] for r in rows.select("doc_id", model.column(F.col("pattern")).alias("p")).collect()}
+    assert got == pytest.approx(dict(enumerate(good)), abs=1e-6)
+
+
 def test_rules_over_rows(docs, empty):
     seen = docs.select("doc_id", rules.examine(F.col("text")).alias("x"))
     assert ids_of(seen.collect()) == ALL_IDS
@@ -124,6 +142,42 @@ def test_main_text_keeps_parts_with_names_like_noise():
     assert html.extract("<p>short<section id=comments><article>a long remark</article></section>") == "short"
 
 
+def test_ratios_choose_the_region(monkeypatch):
+    text = "".join(f"<p>{'words of the text ' * 20}{k}</p>" for k in range(3))
+    index = "<article>" + "".join(f"<div><a href=x><b><i>entry number {k} of a long index</i></b></a></div>" for k in range(80)) + "</article>"
+    plain = lambda k: html.extract(f"<body>{index}{k}</body>")
+    wanted = html.extract(f"<article>{text}</article>")
+    assert plain(f"<article>{text}</article>") == wanted
+    cards = "".join(f"<article><h3><a href=x>card {k}</a></h3><a href=y><b>more on it</b></a></article>" for k in range(40))
+    assert html.extract(f"<body>{cards}<div>{text}</div></body>") == wanted
+    monkeypatch.setattr(html, "smoothed", lambda r, sigma: np.ones(len(r)))
+    monkeypatch.setattr(html, "threshold", lambda v: -1.0)
+    assert "entry number 3" in plain(f"<article>{text}</article>") and wanted not in plain(f"<article>{text}</article>")
+
+
+def test_text_of_made_pages():
+    """Pages put together from known parts, in several layouts, against the parts."""
+    r = random.Random(8)
+    words = lambda n: " ".join(r.choice(("alpha", "beta", "gamma", "delta")) for _ in range(n))
+    noise = (lambda t: f"<nav><ul><li><a href=x>{t}</a></ul></nav>", lambda t: f"<div class='ad'>{t}</div>", lambda t: f"<aside><p>{t}</p></aside>", lambda t: f"<form>{t}<input></form>", lambda t: f"<section id='comments'><p>{t}</p></section>", lambda t: f"<footer>{t}</footer>", lambda t: f"<script>{t}</script>")
+    kinds = (lambda t: f"<p>{t}</p>", lambda t: f"<p>{t}", lambda t: f"<blockquote>{t}</blockquote>", lambda t: f"<ul><li>{t}</li></ul>", lambda t: f"<h2>{t}</h2>", lambda t: f"<div><p><b>{t}</b></p></div>")
+    wrappers = (lambda b: f"<article>{b}</article>", lambda b: f"<main>{b}</main>", lambda b: f"<main><header>site</header><article>{b}</article></main>", lambda b: f"<div class='page with-sidebar'><article class='post'>{b}</article></div>", lambda b: f"<div id='content'>{b}</div>")
+    for k in range(120):
+        blocks = [words(r.randrange(1, 9)), *(words(r.randrange(1, 120)) for _ in range(r.randrange(1, 9)))]
+        body = f"<header><h1>{blocks[0]}</h1></header>" if k % 3 == 0 and k % 5 != 4 else f"<h1>{blocks[0]}</h1>"
+        for b in blocks[1:]:
+            body += r.choice(kinds)(b) + (r.choice(noise)(words(4)) if r.random() < 0.3 else "")
+        page = f"<html><head><title>t</title></head><body>{noise[0](words(3))}{noise[1](words(5))}{wrappers[k % 5](body)}{noise[4](words(60))}{noise[5](words(9))}"
+        assert html.extract(page) == "\n".join(blocks), page
+
+
+def test_layouts_without_article_keep_the_text(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        whole = html.extract(row["html"])
+        bare = html.extract(row["html"].replace("<article>", "<div>").replace("</article>", "</div>"))
+        assert len(bare) >= 0.95 * len(whole)
+
+
 def test_pages_table(spark):
     rows = [(1, None, None), (1, None, None), (None, "u", "<article>é x</article>")]
     out = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
@@ -148,7 +202,7 @@ def test_token_file_against_the_library(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    assert t.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
     out = tokenfile.read_file(tokenfile.write_file(docs)).collect()
     want, start = [], 0
     for doc_id, text, *_ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -229,6 +283,18 @@ def test_ranker_orders_held_out_documents(spark):
     assert docs.select(quality.score(F.col("text"), none)).distinct().count() == 1
 
 
+def test_labels_beyond_the_bound_are_sampled(spark, monkeypatch):
+    rows = [(i, prose(100) if i % 2 else "no no no no " * 40) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (4, "another text of an id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "MAX_LABELLED", 40)
+    few = quality.train(docs, labels)
+    assert any(few.weights) and few == quality.train(docs.repartition(7), labels)
+    monkeypatch.setattr(quality, "MAX_LABELLED", 1)
+    assert quality.train(docs, labels).weights == [0.0] * len(quality.features(""))
+    assert len(quality.features(None)) == len(quality.features("x" * 100)) and quality.shapes("ABc 12, é#%") .sum() > 0
+
+
 # 6 mixing
 
 
@@ -281,14 +347,21 @@ def test_round_trip_against_the_library(docs, empty):
     assert r["decoded_sha256"] == hashlib.sha256(TEXTS[4].encode()).hexdigest() and r["n_tokens"] == len(e.encode_ordinary(TEXTS[4]))
 
 
-def test_pieces_with_and_without_the_heap(monkeypatch):
+def test_pieces_of_any_length(monkeypatch):
+    import tiktoken
+
     r = random.Random(1)
-    pieces = sorted({"".join(r.choice("abcdeist") for _ in range(n)).encode() for n in [3, 8, 20, 60] * 20})
+    kinds = ("abcdeist", "漢字語文書", ["é", "ß", "a", "🔥", "и"], "=-")
+    pieces = sorted({"".join(r.choice(k) for _ in range(n)).encode() for k in kinds for n in (1, 3, 8, 20, 60, 500)} | {b"a" * 1500})
     c = bpe.Coder(P.path("byte_bpe_50k.tiktoken"))
     c.open()
-    by_query = c.encode_pieces(pieces)
-    monkeypatch.setattr(bpe, "LONG_PIECE", 0)
-    assert c.encode_pieces(pieces) == by_query and c.decode(by_query) == pieces
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    want = [np.array(library._core_bpe.encode_single_piece(p), "<u4").tobytes() for p in pieces]
+    assert c.encode_pieces(pieces) == want and c.decode(want) == pieces
+    for rows, run, at_once in ((50, 7, 20), (5000, 100, 1)):
+        for name, value in (("ROWS", rows), ("RUN", run), ("AT_ONCE", at_once)):
+            monkeypatch.setattr(bpe, name, value)
+        assert c.encode_pieces(pieces[:20]) == want[:20] and c.decode([*want, b""]) == [*pieces, b""]
 
 
 # 8 sketches
@@ -307,11 +380,49 @@ def test_sketches(spark, docs, empty):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
     assert next(r for r in rows if r["doc_id"] == 8)["near_next"] == 1  # equal texts
     assert sketch.compared(empty).count() == 0
+    made = {r["doc_id"]: (r["fingerprint"], r["near_next_basis"]) for r in rows if r["doc_id"] is not None}
+    for doc_id, text, *_ in ROWS:
+        if doc_id is None:
+            continue
+        w = [x.decode() for x in split(text)]
+        h = sorted({hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:8] for i in range(max(1, len(w) - 4))})
+        below = max("10000000", h[64]) if len(h) > 64 else "g"
+        assert made[doc_id][0] == below + "".join(x for x in h if x < below)
     big = " ".join(f"w{i}" for i in range(4000))
     got = spark.createDataFrame([(big, big[: len(big) // 3])], "a string, b string").select(sketch.likeness(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("x")).collect()[0]["x"]
     assert got > 0.98  # a part is contained in the whole
 
 
+def test_merged_sketches_are_those_of_the_union(spark):
+    r = random.Random(2)
+    word = lambda k: f"{k:05d}"
+    rows = []
+    for n, m in ((3, 5), (40, 40), (64, 1), (70, 2000), (900, 1200), (3000, 10)):
+        a, b = (" ".join(word(r.randrange(5000)) for _ in range(x + 4)) for x in (n, m))
+        rows.append((a, b))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", sketch.merge(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("m"))
+    for row in got.collect():
+        h = sorted({hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:8] for w in (row["a"].split(), row["b"].split()) for i in range(len(w) - 4)})
+        below = max("10000000", h[64]) if len(h) > 64 else "g"
+        assert (row["m"]["below"], row["m"]["hashes"]) == (below, [x for x in h if x < below])
+
+
+def test_a_shared_id_is_dealt_out(spark):
+    rows = [(None if k % 3 else 7 if k % 2 else k, f"text number {k} of many") for k in range(300)]
+    out = sketch.with_next(spark.createDataFrame(rows, "doc_id long, text string"), 8).select("doc_id", "text", "next_text").collect()
+    nexts = {r["text"]: r["next_text"] for r in out}
+    assert len(out) == 300 and len(set(nexts.values())) == 300
+    at, seen = rows[0][1], []
+    for _ in range(300):  # one circle through all rows, ids ascending but at its start
+        seen.append(at)
+        at = nexts[at]
+    assert len(set(seen)) == 300
+    ids = dict((t, d) for d, t in rows)
+    order = [ids[t] if ids[t] is not None else -1 for t in seen]
+    k = order.index(min(order)) if order[0] == order[-1] else next(i for i in range(300) if order[i - 1] > order[i])
+    assert order[k:] + order[:k] == sorted(order)
+
+
 # 9 web archive
 
 
@@ -358,6 +469,45 @@ def test_words_outside_the_head_score_alike(docs, monkeypatch):
     assert {(r["doc_id"], round(r["base_score"], 6), r["n_known"]) for r in lm.score(docs, *few).collect()} == base
 
 
+def test_scores_do_not_depend_on_the_layout(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(("the", "a")) + " " + rng.choice(("cat", "dog")) + " " + rng.choice(("sat", "ran.")) for _ in range(60))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    two, many = (lm.fit(docs.repartition(n)) for n in (2, 16))
+    got = [{r["doc_id"]: r["score"] for r in lm.score(docs, *fitted).collect()} for fitted in (two, many)]
+    assert got[0] == pytest.approx(got[1], abs=1e-3)
+    held = [r for r in lm.score(docs, *two).collect() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_gradient_of_the_contrastive_loss(monkeypatch):
+    """A step's direction against differences of the loss itself."""
+    rng = np.random.default_rng(1)
+    u = rng.random(lm.CLASSES) + 0.5
+    u /= u.sum()
+    h1, h2, target = (rng.integers(0, lm.CLASSES, 40) for _ in range(3))
+    own = lm.Trainer(lm.Model.start(u), u, 3)
+    noise = np.minimum(np.searchsorted(np.cumsum(u), np.random.default_rng(3).random(lm.NOISE)), lm.CLASSES - 1)
+    grads = {}
+    monkeypatch.setattr(own, "_step", lambda name, grad: grads.__setitem__(name, grad * len(target) ** 0.5))
+    own.batch(h1, h2, target)
+
+    def loss(m):
+        log_k = np.log(lm.NOISE * u)
+        ctx = m["C"][0] * m["R"][h1] + m["C"][1] * m["R"][h2]
+        s = (ctx * m["Q"][target]).sum(1) + m["b"][target] - log_k[target]
+        sn = ctx @ m["Q"][noise].T + m["b"][noise] - log_k[noise]
+        return -np.log1p(np.exp(-s)).sum() - np.log1p(np.exp(sn)).sum()
+
+    params = {k: getattr(own.m, k).astype(float) for k in "RQCb"}
+    for name, places in {"R": [(h1[0], 2), (h2[5], 0)], "Q": [(target[1], 3), (noise[0], 1)], "C": [(0, 4), (1, 7)], "b": [(target[2],), (noise[3],)]}.items():
+        for at in places:
+            up, down = ({k: v.copy() for k, v in params.items()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert grads[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=2e-2, abs=2e-2)
+
+
 def test_model_is_normalised():
     u = np.full(lm.CLASSES, 1 / lm.CLASSES)
     m = lm.Model.start(u)

@@ -1,26 +1,22 @@
-"""The pipeline's stages against their operators on a small table."""
+"""The pipeline's stages against plain versions of them on small tables."""
 
+import base64
+import hashlib
 import random
+import zlib
+from collections import Counter
+from math import exp, floor, log
 
 import corpus_pipeline
-from newsdesk.llm import simhash
+import numpy as np
+import public_tokenizers as P
+from newsdesk.llm import quality, rules
+from newsdesk.llm.textstats import text_stats
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_run_goes_through_the_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = [docs.count()]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF).cache()
-        assert out.columns == docs.columns
-        seen.append(out.count())
-        docs = out
-    assert seen[0] > seen[1] >= seen[2] > seen[3]
-    assert corpus_pipeline.run(spark, SF).count() == seen[4]
-
-
 def test_near_dedup_keeps_one_of_each_group(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven"
     rows = [(3, a, "x", None, 0), (1, a, "y", None, 0), (1, a, "y", None, 0), (None, a, "z", None, 0), (None, b, "u", None, 0), (None, b, "v", None, 0), (7, "", "w", None, 0), (8, None, "w", None, 0)]
@@ -41,11 +37,6 @@ def test_mixing_repeats_rows(spark):
     assert abs(taken - 1.5 * total) <= 6
 
 
-def test_fingerprint_column(spark):
-    d = spark.createDataFrame([("a b c d",), (None,)], "text string").select(simhash.fingerprint_column(F.col("text")).alias("f"))
-    assert {r["f"] & (2**64 - 1) for r in d.collect()} == {simhash.fingerprint("a b c d"), 0}
-
-
 def test_near_dedup_finds_all_copies_of_four_fifths(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(400)]
@@ -82,3 +73,119 @@ def test_near_dedup_decides_by_text_where_ids_repeat(spark):
     out = corpus_pipeline.near_dedup(spark, docs, SF)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(2, y), (5, x), (5, z)]
+
+
+def plain_rules(rows):
+    """EM a document at a time."""
+    patterns = [rules.votes(text_stats(t)) for _, t, _ in rows]
+    good = [0.02 if "b" in p else 0.98 for p in patterns]
+    for _ in range(60):
+        prior, odds = min(0.99, max(0.01, (sum(good) + 1) / (len(good) + 2))), []
+        for k in range(len(rules.RULES)):
+            n = {(c, v): 1 + sum(w for p, w in zip(patterns, ws, strict=True) if p[k] == v) for c, ws in ((1, good), (0, [1 - g for g in good])) for v in "gb"}
+            odds.append({"a": 0.0, **{v: log(n[1, v] / (n[1, "g"] + n[1, "b"])) - log(n[0, v] / (n[0, "g"] + n[0, "b"])) for v in "gb"}})
+        good = [1 / (1 + exp(-(log(prior / (1 - prior)) + sum(o[v] for o, v in zip(odds, p, strict=True))))) for p in patterns]
+    out = []
+    for row, g in zip(rows, good, strict=True):
+        w = (row[1] or "").encode().split()
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        often = {x for x, n in Counter(grams).items() if n > 1}
+        repeated = {j for i, x in enumerate(grams) if x in often for j in (i, i + 1, i + 2)}
+        if len(w) >= 50 and 100 * len(repeated) <= 50 * len(w) and g >= 0.5:
+            out.append(row)
+    return out
+
+
+def plain_classifier(rows, all_rows, labels):
+    known = {}
+    for d, q in labels:
+        if d is not None and q in (0, 1) and zlib.crc32(str(d).encode()) % 5:
+            known[d] = min(q, known.get(d, q))
+    learnt = sorted((d, known[d], quality.features(t)) for d, t, _ in all_rows if d in known)
+    ranker = quality.fit(np.array([x for *_, x in learnt]), np.array([q for _, q, _ in learnt]))
+    return [r for r in rows if ranker.scores(np.array([quality.features(r[1])]))[0] >= quality.CUT]
+
+
+def plain_dedup(rows):
+    rows = sorted(rows)
+    grams = []
+    for _, t, _ in rows:
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode()).split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return [rows[k] for k in sorted(set(root))]
+
+
+def plain_mix(rows):
+    size = {d: len(t.encode().split()) for d, t, _ in rows}
+    hashed = {d: int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16) for d, *_ in rows}
+    by = {}
+    for d, _, s in rows:
+        by.setdefault(s, []).append(d)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    total = {s: sum(size[d] for d in by[s]) for s in order}
+    target, full = {}, set()
+    while True:
+        free = [s for s in order if s not in full]
+        unit = (150 * sum(total.values()) - 200 * sum(total[s] for s in full)) / (100 * sum(weight[s] for s in free)) if free else 0
+        over = {s for s in free if unit * weight[s] > 2 * total[s]}
+        if not over:
+            break
+        full |= over
+    times = {}
+    for s in order:
+        target[s] = 2.0 * total[s] if s in full else unit * weight[s]
+        whole = min(2, int(target[s] // total[s]))
+        budget = max(0, floor(target[s] - whole * total[s]))
+        times |= dict.fromkeys(by[s], whole)
+        left = sorted(by[s], key=hashed.get)
+        for _ in range(4):  # what fits below the first hash that doesn't, again and again
+            taken, fits = 0, [d for d in left if size[d] <= budget]
+            chosen = []
+            for d in fits:
+                if taken + size[d] > budget:
+                    break
+                taken += size[d]
+                chosen.append(d)
+            for d in chosen:
+                times[d] += 1
+            left = [d for d in left if d not in chosen]
+            budget -= taken
+    return [r for r in rows for _ in range(times[r[0]])]
+
+
+def test_stages_and_run_by_brute_force(spark):
+    import tiktoken
+
+    plain = lambda df: sorted((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    first = plain(docs)
+    wanted = first
+    for (_, stage), version in zip(corpus_pipeline.STAGES[:-1], (plain_rules, lambda rows: plain_classifier(rows, first, labels), plain_dedup, plain_mix), strict=True):
+        docs = stage(spark, docs, SF).cache()
+        wanted = sorted(version(wanted))
+        assert plain(docs) == wanted
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = sorted((d, np.array(e.encode_ordinary(t), "<u4").tobytes(), hashlib.sha256(t.encode()).hexdigest()) for d, t, _ in wanted)
+    assert sorted((r["doc_id"], bytes(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()) == ids
+
+
+def test_filtering_stages_on_odd_rows(spark):
+    rows = [(None, None, "en", None, 0, "k"), (1, "", "en", "s", 0, "k"), (1, "word " * 60, None, "s", 0, "k"), (2, " ".join(f"w{k}, and" for k in range(40_000)), "en", "s", 0, "k")] + [(k, " ".join(f"v{k}{j}." for j in range(60)), "en", "s", 0, "k") for k in range(10, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, pattern string")
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.quality_classifier, corpus_pipeline.near_dedup, corpus_pipeline.source_mixing):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() >= 0
+        assert stage(spark, docs.where("false"), SF).count() == 0
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()}
+    assert 10 in kept and None not in kept and 1 not in kept
+    encoded = corpus_pipeline.byte_bpe(spark, docs, SF).collect()
+    assert len(encoded) == len(rows) and {r["n_tokens"] for r in encoded if r["doc_id"] is None} == {0}
