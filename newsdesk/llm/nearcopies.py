@@ -7,8 +7,9 @@ shingles, two linked sets of n shingles each share one of the first n - ceil(4n/
 both enough shingles behind it. The order puts the shingles that most sets have last; it decides only how many candidates there are, never
 which links are found.
 
-Every candidate is compared exactly, first SimHash's and each set with its neighbour and with the smallest among the sets of a prefix
-shingle, then all pairs that these links have not connected already, so that a large group of copies needs few comparisons. Before whole sets are joined, pairs go that a bound on
+Every candidate is compared exactly, first SimHash's and each set with its neighbours among the sets of a prefix shingle (which each
+shingle puts in an order of its own, so that a set has many different ones), then all pairs that these links have not connected already,
+so that a large group of copies needs few comparisons. Before whole sets are joined, pairs go that a bound on
 their difference rules out for certain: bits that differ in the parities of two sets' shingles by residue are at most the shingles
 in one of the sets only, and two alike sets have at most a ninth of their sizes' sum of these. Whole sets are made again from the texts of
 candidates alone, which a filter of hashed keys finds before anything is shuffled.
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +38,8 @@ from .shared import discard, filter_column, key_filter, stored
 from .simhash import _LOWER, connected
 
 WORDS = 5
-#: The most frequent shingles that the order knows: a memory bound, no link depends on it. Only shingles whose hash lies in the lower part
-#: of the range are counted, as the others come late in any case.
-FREQUENT, LOW, OFTEN = 500_000, 0.35, 3
+#: The most frequent shingles that the order knows, and how many rows such a one has: a memory bound, no link depends on it.
+FREQUENT, OFTEN = 500_000, 3
 #: Nodes whose whole sets a task holds at once, twice: a memory bound.
 CELL = 250
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -74,19 +73,20 @@ def prefix(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndar
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
-    """Whether the number of shingles of each residue is odd, a bit each; there are as many residues as shingles, up to the next power of two."""
-    size = max(64, 1 << max(0, len(grams) - 1).bit_length())
-    return np.packbits((np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool), bitorder="little")
+    """Whether the number of shingles of each residue is odd, 64 residues a long; there are at least twice as many as shingles, a power of two."""
+    size = max(64, 1 << max(0, 2 * len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool), bitorder="little").view(np.int64)
 
 
-def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bits in which rows of parities differ; the longer ones are folded, as a residue's parity is that of the two it is made of."""
-    while x.shape[1] != y.shape[1]:
-        if x.shape[1] < y.shape[1]:
-            x, y = y, x
-        half = x.shape[1] // 2
-        x = x[:, :half] ^ x[:, half:]
-    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+def _near(x: str, y: str) -> str:
+    """SQL: whether the parities x and y of sets of n and m shingles allow that these are alike.
+
+    A residue's parity is that of the two that the next finer division makes of it, so the longer one is folded; sizes that allow it
+    at all make lengths of a factor of two at most.
+    """
+    folded = lambda a: f"zip_with(slice({a}, 1, size({a}) div 2), slice({a}, size({a}) div 2 + 1, size({a}) div 2), (p, q) -> p ^ q)"
+    bits = lambda a, b: f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    return f"9 * CASE WHEN size({x}) = size({y}) THEN {bits(x, y)} WHEN size({x}) > size({y}) THEN {bits(folded(x), y)} ELSE {bits(x, folded(y))} END <= n + m"
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -106,12 +106,10 @@ def halves(grams: np.ndarray) -> np.ndarray:
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The halves of the shingles that most rows have, ascending, and how many rows have each."""
-    bound = np.uint64(int(LOW * 2**64))
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low = [halves(g[: np.searchsorted(g, bound)]) for g in map(shingles, b.column("text").to_pylist())]
-            found, n = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            seen = [halves(g) for g in map(shingles, b.column("text").to_pylist())]
+            found, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int32)), pa.array(n.astype(np.int64))], ["half", "n"])
         release()
 
@@ -145,32 +143,22 @@ def sets(docs: DataFrame) -> DataFrame:
                     pa.array(np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(grams)).view(np.int64)),
                     pa.array([len(g) for g in grams], pa.int32()),
                     pa.array([halves(prefix(g, frequent, rank)).view(np.int32) for g in grams], pa.list_(pa.int32())),
-                    pa.array([parity(g).tobytes() for g in grams], pa.binary()),
+                    pa.array([parity(g) for g in grams], pa.list_(pa.int64())),
                 ],
                 ["tk", "fp", "sim", "n", "first", "bits"],
             )
         release()
 
-    return docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(each, "tk long, fp long, sim long, n int, first array<int>, bits binary")
+    return docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(each, "tk long, fp long, sim long, n int, first array<int>, bits array<long>")
 
 
-def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the parities don't rule out. signs: fp, n and bits, each node once."""
-    left, right = signs.select(F.col("fp").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), signs.select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+FITS = "5 * least(n, m) >= 4 * greatest(n, m)"
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            x, y = t.column("x"), t.column("y")
-            sizes = t.column("n").to_numpy().astype(np.int64) + t.column("m").to_numpy()
-            lengths = np.stack([pc.binary_length(x).to_numpy(), pc.binary_length(y).to_numpy()], 1)
-            keep = np.zeros(t.num_rows, bool)
-            for k, m in np.unique(lengths, axis=0).tolist():
-                at = np.flatnonzero((lengths == (k, m)).all(1))
-                rows = [np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for c in (x, y)]
-                keep[at] = 9 * differing(*rows) <= sizes[at]
-            yield t.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(each, "a long, b long")
+def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parities don't rule out. signs: fp, n and bits, each node once."""
+    left, right = signs.select(F.col("fp").alias("a"), "n", F.col("bits").alias("x")), signs.select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(f"{FITS} AND {_near('x', 'y')}").select("a", "b")
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -215,12 +203,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Links (a, b) among the distinct pairs of nodes that connect all those of them that are alike.
+    """Links (a, b) among distinct, :func:`possible` pairs of nodes that connect all those of them that are alike; pairs is a stored table.
 
     Pairs meet by their component, so that a whole set goes to few places; a component's nodes are cut into cells of about ``CELL``,
     and each pair of cells is a place.
     """
-    pairs = stored(possible(pairs, signs), "possible")
     roots = stored(connected(pairs), "roots")
     cells = roots.groupBy("root").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
     celled = roots.join(cells, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"))
@@ -234,7 +221,7 @@ def verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sets.unionByName(met.withColumn("grams", F.lit(None).cast("binary"))).repartition(n, "place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
     out = stored(rows.select("place", "a", "b", "grams").mapInArrow(_verify, "a long, b long"), "links")
-    discard(pairs, roots, met, wanted)
+    discard(roots, met, wanted)
     return out
 
 
@@ -252,25 +239,26 @@ def near_pairs(table: DataFrame) -> DataFrame:
 def links(table: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that connect all nodes alike; table as :func:`sets` gives it, stored."""
     # sizes that allow it, and enough shingles left from the shared one on (true at the first that two linked sets share)
-    fits = "5 * least(n, m) >= 4 * greatest(n, m) AND 9 * least(n - at, m - other_at) >= 4 * (n + m)"
+    fits = f"{FITS} AND 9 * least(n - at, m - other_at) >= 4 * (n + m)"
     signs = stored(table.groupBy("fp").agg(F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("bits").alias("bits")), "signs")
-    by_size = Window.partitionBy("gram").orderBy("n", "fp")
+    dealt = Window.partitionBy("gram").orderBy(F.xxhash64("fp", "gram"), "fp")
     entries = table.groupBy("fp").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("fp", "n", F.posexplode("first").alias("at", "gram"))
     own = F.struct(F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"))
-    entries = entries.select("gram", "fp", "n", "at", F.lag(own).over(by_size).alias("before"), F.first(own).over(by_size).alias("least"), F.lead("fp").over(by_size).alias("after"))
+    entries = entries.select("gram", "fp", "n", "at", F.lag(own, 1).over(dealt).alias("before"), F.lag(own, 2).over(dealt).alias("earlier"), F.lead("fp").over(dealt).alias("after"))
     # shingles of one node only have nothing to connect
     entries = stored(entries.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "entries")
-    near = entries.where("before IS NOT NULL").select("fp", "n", "at", F.explode(F.array("before", "least")).alias("o")).select("fp", "n", "at", "o.*").where(f"fp <> other AND {fits}")
+    near = entries.where("before IS NOT NULL").select("fp", "n", "at", F.explode(F.array("before", "earlier")).alias("o")).select("fp", "n", "at", "o.*").where(fits)
     near = near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
-    pairs = stored(near.union(near_pairs(table)).distinct(), "pairs")
+    pairs = stored(possible(near.union(near_pairs(table)).distinct(), signs), "pairs")
     first = verified(pairs, docs, signs)
     roots = stored(connected(first), "roots")
     rooted = entries.join(roots, F.col("fp") == F.col("node"), "left").select("gram", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
     # shingles of one group only have nothing to connect
     several = rooted.groupBy("gram").agg((F.min("root") < F.max("root")).alias("several")).where("several").select("gram")
-    rooted = stored(rooted.join(several, "gram", "left_semi"), "rooted")
-    mirror = rooted.select("gram", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"), F.col("root").alias("other_root"))
-    rest = rooted.join(mirror, "gram").where(f"fp < other AND root <> other_root AND {fits}").select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+    rooted = stored(rooted.join(several, "gram", "left_semi").join(signs.select("fp", "bits"), "fp"), "rooted")
+    mirror = rooted.select("gram", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"), F.col("root").alias("other_root"), F.col("bits").alias("other_bits"))
+    met = F.expr(f"fp < other AND root <> other_root AND {fits} AND {_near('bits', 'other_bits')}")
+    rest = rooted.withColumnRenamed("gram", "g").join(mirror, (F.col("g") == F.col("gram")) & met).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     out = first.union(verified(rest, docs, signs))
     discard(signs, entries, pairs, roots, rooted, rest)

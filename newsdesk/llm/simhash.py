@@ -156,21 +156,30 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["v", "u"])
 
     for b in batches:
-        held.append(b)
-        size += b.num_rows
-        if size >= FOREST:
+        if size + b.num_rows > FOREST and held:
             yield stars()
             held, size = [], 0
+        held.append(b)
+        size += b.num_rows
     if held:
         yield stars()
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root (smallest node of its component) for every node of an edge (a, b)."""
+    """node and root (smallest node of its component) for every node of an edge (a, b).
+
+    As soon as ``FOREST`` edges are left at most, one task contracts them all.
+    """
     star = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v")
     star = stored(star.mapInArrow(_forest, "v long, u long").distinct(), "star")
     before = None
     for _ in range(rounds):
+        n = star.count()
+        if n <= FOREST:
+            last = stored(star.coalesce(1).mapInArrow(_forest, "v long, u long"), "star")
+            discard(star)
+            star = last
+            break
         # large star: each node's larger neighbours move to its smallest neighbour
         both = star.select(F.col("u").alias("n"), F.col("v").alias("m")).union(star.select(F.col("v").alias("n"), F.col("u").alias("m")))
         least = stored(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("r"), F.count("*").alias("degree")), "least")
@@ -182,7 +191,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         discard(star, least, large, near)
         star = new
         now = star.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).collect()[0]
-        if now == before or not now["n"]:
+        if now == before:
             break
         before = now
     else:

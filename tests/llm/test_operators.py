@@ -238,8 +238,10 @@ def test_components_against_all_pairs(docs, empty):
     assert simhash.components(empty).count() == 0
 
 
-def test_links_connect_a_large_group_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("forest", [1_000_000, 50])
+def test_links_connect_a_large_group_of_near_copies(spark, monkeypatch, forest):
     monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "FOREST", forest)
     r = random.Random(3)
     prints = {r.getrandbits(64) for _ in range(300)}
     x = r.getrandbits(64)
