@@ -19,6 +19,10 @@ from ..functions.keywords import jaccard
 from ..storage import discard, stored
 
 
+#: Edges that one task may look at: a memory bound.
+ONE_TASK = 500_000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a table in the folder that the cluster shares."""
     return stored(df, "cut")
@@ -43,21 +47,46 @@ def similar(groups: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(jaccard(F.col("wa"), F.col("wb")) > threshold).select("a", "b")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """gid and root (smallest gid of its component): every node takes its neighbours' smallest label, then its label's label."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    linked = both.select(F.col("a").alias("gid")).distinct()
-    labels, was = cut(linked.withColumn("root", F.col("gid"))), None
-    while True:  # labels only fall, so this ends
-        near = both.join(labels, F.col("b") == F.col("gid")).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, F.col("gid") == F.col("a")).select("gid", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = lower.select(F.col("gid").alias("g2"), F.col("root").alias("r2"))
-        new = cut(lower.join(jump, F.col("root") == F.col("g2")).select("gid", "was", F.least("root", "r2").alias("root")))
-        if was is not None:
-            discard(was)
-        labels, was = new.select("gid", "root"), new
-        if new.where("was <> root").isEmpty():
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gid and root of every node of the edges (a, b) of one task."""
+    held = list(batches)
+    if not held or not sum(b.num_rows for b in held):
+        return
+    nodes, at = np.unique(np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b") for b in held]).astype(str), return_inverse=True)
+    a, b = np.split(at, 2)
+    label = np.arange(len(nodes))
+    while True:  # labels fall to the neighbours' smallest, then to their label's label
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
             break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes.tolist(), pa.string()), pa.array(nodes[label].tolist(), pa.string())], ["gid", "root"])
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """gid and root (smallest gid of its component).
+
+    Up to ``ONE_TASK`` edges are looked at by one task; of more, every node takes its neighbours' smallest label, then its label's label.
+    """
+    once = cut(edges.select("a", "b").where("a <> b").distinct())
+    if once.count() <= ONE_TASK:
+        labels = cut(once.coalesce(1).mapInArrow(_stars, "gid string, root string"))
+    else:
+        both = cut(once.union(once.select(F.col("b"), F.col("a"))).distinct())
+        labels, was = cut(both.select(F.col("a").alias("gid")).distinct().withColumn("root", F.col("gid"))), None
+        while True:  # labels only fall, so this ends
+            near = both.join(labels, F.col("b") == F.col("gid")).groupBy("a").agg(F.min("root").alias("near"))
+            lower = labels.join(near, F.col("gid") == F.col("a")).select("gid", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+            jump = lower.select(F.col("gid").alias("g2"), F.col("root").alias("r2"))
+            new = cut(lower.join(jump, F.col("root") == F.col("g2")).select("gid", "was", F.least("root", "r2").alias("root")))
+            if was is not None:
+                discard(was)
+            labels, was = new.select("gid", "root"), new
+            if new.where("was <> root").isEmpty():
+                break
     return nodes.select("gid").join(labels.withColumnRenamed("gid", "g"), F.col("gid") == F.col("g"), "left").select("gid", F.coalesce("root", "gid").alias("root"))
 
 

@@ -92,7 +92,9 @@ def test_greedy_dedup_against_the_sequential_rule(spark):
     assert sorted(x["pos"] for x in got) == brute_greedy(rows)
 
 
-def test_components_and_clusters(spark):
+@pytest.mark.parametrize("one_task", [500_000, 5])
+def test_components_and_clusters(spark, monkeypatch, one_task):
+    monkeypatch.setattr(setjoin, "ONE_TASK", one_task)
     nodes = spark.createDataFrame([(str(i),) for i in range(10, 30)], "gid string")
     edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(10, 20)], "a string, b string")
     assert setjoin.components(nodes, edges.where("false")).where("gid <> root").isEmpty()
