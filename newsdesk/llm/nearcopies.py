@@ -40,6 +40,8 @@ from .simhash import _LOWER, connected
 WORDS = 5
 #: The most frequent shingles that the order knows, and how many rows such a one has: a memory bound, no link depends on it.
 FREQUENT, OFTEN = 500_000, 3
+#: Longs of the parities that go with every prefix shingle.
+SHORT = 4
 #: Nodes whose whole sets a task holds at once, twice: a memory bound.
 CELL = 250
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -78,6 +80,13 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool), bitorder="little").view(np.int64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """The same of ``SHORT`` longs at most, which rules out less for long sets, never more."""
+    while len(bits) > SHORT:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _near(x: str, y: str) -> str:
     """SQL: whether the parities x and y of sets of n and m shingles allow that these are alike.
 
@@ -129,13 +138,14 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """tk (key of the text), fp (node), sim (SimHash fingerprint), n, first (prefix) and bits (parity) of every row."""
+    """tk (key of the text), fp (node), sim (SimHash fingerprint), n, first (prefix), bits (parity) and short (the same, folded) of every row."""
     frequent, rank = _frequent(docs)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             grams = list(map(shingles, texts))
+            bits = list(map(parity, grams))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("tk"),
@@ -143,13 +153,14 @@ def sets(docs: DataFrame) -> DataFrame:
                     pa.array(np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(grams)).view(np.int64)),
                     pa.array([len(g) for g in grams], pa.int32()),
                     pa.array([halves(prefix(g, frequent, rank)).view(np.int32) for g in grams], pa.list_(pa.int32())),
-                    pa.array([parity(g) for g in grams], pa.list_(pa.int64())),
+                    pa.array(bits, pa.list_(pa.int64())),
+                    pa.array(list(map(folded, bits)), pa.list_(pa.int64())),
                 ],
-                ["tk", "fp", "sim", "n", "first", "bits"],
+                ["tk", "fp", "sim", "n", "first", "bits", "short"],
             )
         release()
 
-    return docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(each, "tk long, fp long, sim long, n int, first array<int>, bits array<long>")
+    return docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(each, "tk long, fp long, sim long, n int, first array<int>, bits array<long>, short array<long>")
 
 
 FITS = "5 * least(n, m) >= 4 * greatest(n, m)"
@@ -240,7 +251,7 @@ def links(table: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that connect all nodes alike; table as :func:`sets` gives it, stored."""
     # sizes that allow it, and enough shingles left from the shared one on (true at the first that two linked sets share)
     fits = f"{FITS} AND 9 * least(n - at, m - other_at) >= 4 * (n + m)"
-    signs = stored(table.groupBy("fp").agg(F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("bits").alias("bits")), "signs")
+    signs = stored(table.groupBy("fp").agg(F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("short").alias("short")), "signs")
     dealt = Window.partitionBy("gram").orderBy(F.xxhash64("fp", "gram"), "fp")
     entries = table.groupBy("fp").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("fp", "n", F.posexplode("first").alias("at", "gram"))
     own = F.struct(F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"))
@@ -255,11 +266,11 @@ def links(table: DataFrame, docs: DataFrame) -> DataFrame:
     rooted = entries.join(roots, F.col("fp") == F.col("node"), "left").select("gram", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
     # shingles of one group only have nothing to connect
     several = rooted.groupBy("gram").agg((F.min("root") < F.max("root")).alias("several")).where("several").select("gram")
-    rooted = stored(rooted.join(several, "gram", "left_semi").join(signs.select("fp", "bits"), "fp"), "rooted")
-    mirror = rooted.select("gram", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"), F.col("root").alias("other_root"), F.col("bits").alias("other_bits"))
-    met = F.expr(f"fp < other AND root <> other_root AND {fits} AND {_near('bits', 'other_bits')}")
+    rooted = stored(rooted.join(several, "gram", "left_semi").join(signs.select("fp", "short"), "fp"), "rooted")
+    mirror = rooted.select("gram", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"), F.col("root").alias("other_root"), F.col("short").alias("other_short"))
+    met = F.expr(f"fp < other AND root <> other_root AND {fits} AND {_near('short', 'other_short')}")
     rest = rooted.withColumnRenamed("gram", "g").join(mirror, (F.col("g") == F.col("gram")) & met).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
-    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(possible(rest.join(pairs, ["a", "b"], "left_anti"), signs), "pairs")
     out = first.union(verified(rest, docs, signs))
     discard(signs, entries, pairs, roots, rooted, rest)
     return out
