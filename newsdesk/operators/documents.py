@@ -50,13 +50,13 @@ def given(spark: SparkSession, sec: int, lines: Iterable[str], grp: int = 0, tie
     return spark.createDataFrame([(sec, grp, tier, pos, k, x) for k, x in enumerate(lines)], LINES)
 
 
-def _block(rows: DataFrame, sec: int, grp: Column | int, tier: Column | int, pos: Column | int, *lines: Column) -> DataFrame:
+def block(rows: DataFrame, sec: int, grp: Column | int, tier: Column | int, pos: Column | int, *lines: Column) -> DataFrame:
     """The lines (null ones left out) of each row."""
     place = lambda x, t: (F.lit(x) if isinstance(x, int) else x).cast(t)
     return rows.select(F.lit(sec).alias("sec"), place(grp, "long").alias("grp"), place(tier, "int").alias("tier"), place(pos, "long").alias("pos"), F.posexplode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("sub", "line"))
 
 
-def _joined(parts: list[DataFrame]) -> DataFrame:
+def joined(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -111,8 +111,8 @@ def points_section(items: DataFrame, h: Heading, sec: int) -> DataFrame:
     stats = F.concat_ws(" · ", F.concat(F.lit("🔥 "), F.col("hn_points").cast("string")), F.concat(F.lit("💬 "), F.col("hn_comments").cast("string")))
     cells = ["number", _title(F.col("title"), F.col("url")), _cell(stats), *([_cell(F.col("ai_summary"))] if info["summaries"] else [])]
     head = [f"## {w['points_table']} ({info['n']} {w['count']})", "", f"| # | {w['article']} | {w['stats']} |" + (f" {w['summary']} |" if info["summaries"] else ""), "|---:|------|------|------|" if info["summaries"] else "|---:|------|------|"]
-    rows = _block(numbering.within(items.withColumn("__all", F.lit(0)), ["__all"]), sec, 0, 1, F.col("pos"), _row(F.col("number"), *cells[1:]))
-    return _joined([given(spark, sec, head), rows, given(spark, sec, [""], tier=2)])
+    rows = block(numbering.within(items.withColumn("__all", F.lit(0)), ["__all"]), sec, 0, 1, F.col("pos"), _row(F.col("number"), *cells[1:]))
+    return joined([given(spark, sec, head), rows, given(spark, sec, [""], tier=2)])
 
 
 def category_tables(items: DataFrame, h: Heading, sec: int) -> DataFrame:
@@ -125,10 +125,10 @@ def category_tables(items: DataFrame, h: Heading, sec: int) -> DataFrame:
     header = F.concat(F.lit(f"| # | {w['article']} | {w['source']} |"), F.when(F.col("texts"), f" {w['summary']} |").otherwise(""))
     rule = F.when(F.col("texts"), "|---:|------|------|------|").otherwise("|---:|------|------|")
     rows = numbering.within(named, ["__grp"])
-    return _joined([
-        _block(heads, sec, F.col("__grp"), 0, 0, title, F.lit(""), header, rule),
-        _block(rows, sec, F.col("__grp"), 1, F.col("pos"), table_row(F.col("number"), F.col("title"), F.col("url"), F.col("source"), F.col("text"))),
-        _block(heads, sec, F.col("__grp"), 2, 0, F.lit("")),
+    return joined([
+        block(heads, sec, F.col("__grp"), 0, 0, title, F.lit(""), header, rule),
+        block(rows, sec, F.col("__grp"), 1, F.col("pos"), table_row(F.col("number"), F.col("title"), F.col("url"), F.col("source"), F.col("text"))),
+        block(heads, sec, F.col("__grp"), 2, 0, F.lit("")),
     ])
 
 
@@ -152,7 +152,7 @@ def tech_report(articles: DataFrame, h: Heading, insight: str = "") -> DataFrame
     cat = F.when(_filled(F.col("ai_category")) != "", normalize_category(F.col("ai_category"))).otherwise(F.col("__own"))
     text = F.when(_filled(F.col("ai_summary")) != "", F.col("ai_summary")).otherwise(short_text(F.col("description")))
     tables = category_tables(others.withColumn("cat", cat).withColumn("text", text), h, 1)
-    return _joined([given(spark, 0, head), tables, points_section(pointed, h, 2), given(spark, 3, [f"*{w['footer']}: {h.date} {h.time} UTC*"])])
+    return joined([given(spark, 0, head), tables, points_section(pointed, h, 2), given(spark, 3, [f"*{w['footer']}: {h.date} {h.time} UTC*"])])
 
 
 def results_from_summaries(articles: DataFrame) -> DataFrame:
@@ -199,17 +199,17 @@ def tiered_sections(results: DataFrame, h: Heading, sec: int, rules: bool = Fals
     bare = table_row(F.col("number"), F.col("title"), F.col("url"), F.col("source"), F.lit(""))
     lit = F.lit
     parts = [
-        _block(counts, sec, grp, 0, 0, title, lit(""), F.concat(lit("> "), quoted), F.when(quoted.isNotNull(), "")),
-        _block(counts.where("n1 > 0"), sec, grp, 1, -1, lit(f"### {w['must']}"), lit("")),
-        _block(rows.where("tier = 1"), sec, grp, 1, F.col("key"), linked, lit(""), said, lit("")),
-        _block(counts.where("n2 > 0"), sec, grp, 2, -1, lit(f"### {w['note']}"), lit(""), lit(f"| # | {w['article']} | {w['source']} | {w['point']} |"), lit("|---|---------|--------|-----------|")),
-        _block(rows.where("tier = 2"), sec, grp, 2, F.col("key"), noted),
-        _block(counts.where("n2 > 0"), sec, grp, 3, -2, lit("")),
-        _block(counts.where("n3 > 0"), sec, grp, 3, -1, lit("<details>"), folded, lit(""), lit(f"| # | {w['article']} | {w['source']} |"), lit("|---|---------|--------|")),
-        _block(rows.where("tier = 3"), sec, grp, 3, F.col("key"), bare),
-        _block(counts.where("n3 > 0"), sec, grp, 4, 0, lit(""), lit("</details>"), lit("")),
+        block(counts, sec, grp, 0, 0, title, lit(""), F.concat(lit("> "), quoted), F.when(quoted.isNotNull(), "")),
+        block(counts.where("n1 > 0"), sec, grp, 1, -1, lit(f"### {w['must']}"), lit("")),
+        block(rows.where("tier = 1"), sec, grp, 1, F.col("key"), linked, lit(""), said, lit("")),
+        block(counts.where("n2 > 0"), sec, grp, 2, -1, lit(f"### {w['note']}"), lit(""), lit(f"| # | {w['article']} | {w['source']} | {w['point']} |"), lit("|---|---------|--------|-----------|")),
+        block(rows.where("tier = 2"), sec, grp, 2, F.col("key"), noted),
+        block(counts.where("n2 > 0"), sec, grp, 3, -2, lit("")),
+        block(counts.where("n3 > 0"), sec, grp, 3, -1, lit("<details>"), folded, lit(""), lit(f"| # | {w['article']} | {w['source']} |"), lit("|---|---------|--------|")),
+        block(rows.where("tier = 3"), sec, grp, 3, F.col("key"), bare),
+        block(counts.where("n3 > 0"), sec, grp, 4, 0, lit(""), lit("</details>"), lit("")),
     ]
-    return _joined([*parts, *([_block(counts, sec, grp, 5, 0, lit("---"), lit(""))] if rules else [])])
+    return joined([*parts, *([block(counts, sec, grp, 5, 0, lit("---"), lit(""))] if rules else [])])
 
 
 def todays_highlights(results: DataFrame, h: Heading, sec: int, most: int = 5) -> DataFrame:
@@ -220,8 +220,8 @@ def todays_highlights(results: DataFrame, h: Heading, sec: int, most: int = 5) -
         return spark.createDataFrame([], LINES)
     linked = F.concat(F.lit("### ⭐ ["), _cell(F.col("title")), F.lit("]("), _piped(F.col("url")), F.lit(")"))
     said = F.concat(F.lit(f"> **{w['source']}**: *"), _piped(F.col("source")), F.lit(f"* | **{w['why']}**: "), F.col("text"))
-    rows = _block(top, sec, F.col("grp"), 1, F.col("key"), linked, F.lit(""), said, F.lit(""))
-    return _joined([given(spark, sec, [f"## {w['highlights']}", ""], grp=-1), rows, given(spark, sec, ["---", ""], grp=1 << 62)])
+    rows = block(top, sec, F.col("grp"), 1, F.col("key"), linked, F.lit(""), said, F.lit(""))
+    return joined([given(spark, sec, [f"## {w['highlights']}", ""], grp=-1), rows, given(spark, sec, ["---", ""], grp=1 << 62)])
 
 
 def tiered_report(results: DataFrame, h: Heading, executive: str = "", summaries: DataFrame | None = None) -> DataFrame:
@@ -231,7 +231,7 @@ def tiered_report(results: DataFrame, h: Heading, executive: str = "", summaries
     made = f"> 📰 {info['n']} {w['ai_made'].format(n=info['groups'])}"
     head = [f"# {w['daily']} — {h.date}", "", made, "", "---", "", *([f"## {w['executive']}", "", executive, "", "---", ""] if executive else [])]
     foot = [f"*{w['tiered_footer']}: {h.date} {h.time} UTC*"]
-    return _joined([given(spark, 0, head), todays_highlights(results, h, 1), tiered_sections(results, h, 2, True, summaries), given(spark, 3, foot)])
+    return joined([given(spark, 0, head), todays_highlights(results, h, 1), tiered_sections(results, h, 2, True, summaries), given(spark, 3, foot)])
 
 
 def other_news(articles: DataFrame, h: Heading, sec: int = 0) -> DataFrame:
@@ -247,10 +247,10 @@ def other_news(articles: DataFrame, h: Heading, sec: int = 0) -> DataFrame:
     desc = F.nullif(short_text(F.col("description"), ""), F.lit(""))
     said = F.when(F.coalesce("cross_source", F.lit(False)), w["verified"]).otherwise("")
     line = F.concat(F.lit("- **"), F.concat(F.lit("["), _cell(F.col("title")), F.lit("]("), _cell(F.col("url")), F.lit(")")), F.lit("** — "), _filled(F.col("source")), said)
-    listed = _block(top, sec + 1, 0, 1, F.col("pos"), line, F.concat(F.lit("  > "), desc), F.lit(""))
+    listed = block(top, sec + 1, 0, 1, F.col("pos"), line, F.concat(F.lit("  > "), desc), F.lit(""))
     rest = a.where(~pointed & ~must & ~F.coalesce(F.col("cat").isin(*fixed.DIRECT_CATEGORIES), F.lit(False))).withColumn("text", short_text(F.col("description")))
     parts = [given(spark, sec, [w["part2"].format(n=info["n"]), ""]), listed, category_tables(rest, h, sec + 2), points_section(a.where(pointed).withColumn("ai_summary", F.lit("")), h, sec + 3)]
-    return _joined([*parts, *([given(spark, sec + 1, [w["top_news"], ""])] if not top.isEmpty() else [])])
+    return joined([*parts, *([given(spark, sec + 1, [w["top_news"], ""])] if not top.isEmpty() else [])])
 
 
 def listing(articles: DataFrame, h: Heading, sec: int = 0) -> DataFrame:
@@ -263,7 +263,7 @@ def listing(articles: DataFrame, h: Heading, sec: int = 0) -> DataFrame:
     rows = numbering.within(articles.withColumn("__all", F.lit(0)), ["__all"])
     title = F.concat(F.lit("[**"), _cell(F.col("title")), F.lit("**]("), _piped(F.col("url")), F.lit(")"))
     line = _row(F.col("number"), title, F.concat(F.lit("*"), _piped(F.col("source")), F.lit("*")), _piped(F.col("category")), _cell(F.col("ai_summary")))
-    return _joined([given(spark, sec, head), _block(rows, sec, 0, 1, F.col("pos"), line), given(spark, sec, [""], tier=2)])
+    return joined([given(spark, sec, head), block(rows, sec, 0, 1, F.col("pos"), line), given(spark, sec, [""], tier=2)])
 
 
 def written(spark: SparkSession, n: int, text: str, h: Heading, sec: int = 0) -> DataFrame:
@@ -278,14 +278,14 @@ def unified(ai: DataFrame, other: DataFrame, h: Heading, tiered: bool, deep_text
     if not n + m:
         return spark.createDataFrame([], LINES)
     head = [f"# 📰 {h.brand} — {h.date}", "", w["unified"].format(ai=n, other=m, n=n + m), "", w["unified_time"].format(time=h.time), "", "---", ""]
-    if tiered:  # its heading says 'digest' in one language and 'report' in the other, as the listing's does
-        first = _joined([given(spark, 0, [w["part1"].format(n=n), ""]), tiered_report(ai, h).withColumn("sec", F.col("sec") + 1)])
+    if tiered:
+        first = joined([given(spark, 0, [w["part1"].format(n=n), ""]), tiered_report(ai, h).withColumn("sec", F.col("sec") + 1)])
     else:
         first = written(spark, n, deep_text, h) if deep_text else listing(ai, h)
     parts = [given(spark, 0, head), placed(first, 1)] if n or tiered else [given(spark, 0, head)]
     if m:
         parts += [*([given(spark, 2, ["", "---", ""])] if len(parts) > 1 else []), placed(other_news(other, h), 3)]
-    return _joined(parts)
+    return joined(parts)
 
 
 def _body(lines: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def _body(lines: DataFrame) -> DataFrame:
 def merged(documents: list[DataFrame], h: Heading) -> DataFrame:
     """Documents one after the other under their first headings, with contents; headings three levels down, heads and footers cut."""
     w, spark = h.words, documents[0].sparkSession
-    lines = _joined([numbering.ordered(d, ORDER).select(F.lit(k).alias("sec"), "n", "line") for k, d in enumerate(documents)])
+    lines = joined([numbering.ordered(d, ORDER).select(F.lit(k).alias("sec"), "n", "line") for k, d in enumerate(documents)])
     t = F.trim("line", F.lit(" \t\r\n"))
     named = lines.where(t.startswith("#")).groupBy("sec").agg(F.min_by(t, "n").alias("line"))
     names = named.select("sec", F.trim(F.regexp_replace("line", "^#+", ""), F.lit(" \t\r\n")).alias("name"))
@@ -321,11 +321,11 @@ def merged(documents: list[DataFrame], h: Heading) -> DataFrame:
     last = shown.agg(F.max("sec")).collect()[0][0]
     entry = F.concat(F.lit("- ["), F.col("name"), F.lit("](#"), F.col("anchor"), F.lit(")"))
     demoted = body.withColumn("line", demote_headings(F.col("line"), 3))
-    return _joined([
-        given(spark, 0, head), _block(shown, 1, 0, 0, F.col("sec"), entry), given(spark, 2, ["", "---", ""]),
-        _block(shown, 3, F.col("sec"), 0, 0, F.concat(F.lit("## "), F.col("name")), F.lit("")),
-        _block(demoted, 3, F.col("sec"), 1, F.col("n"), F.col("line")),
-        _block(shown.where(F.col("sec") < F.lit(last)), 3, F.col("sec"), 2, 0, F.lit(""), F.lit("---"), F.lit("")),
+    return joined([
+        given(spark, 0, head), block(shown, 1, 0, 0, F.col("sec"), entry), given(spark, 2, ["", "---", ""]),
+        block(shown, 3, F.col("sec"), 0, 0, F.concat(F.lit("## "), F.col("name")), F.lit("")),
+        block(demoted, 3, F.col("sec"), 1, F.col("n"), F.col("line")),
+        block(shown.where(F.col("sec") < F.lit(last)), 3, F.col("sec"), 2, 0, F.lit(""), F.lit("---"), F.lit("")),
     ])
 
 
@@ -376,7 +376,7 @@ def key_points(spark: SparkSession, points: DataFrame, h: Heading, sec: int) ->
     """points: n, line. None, no section."""
     if points.isEmpty():
         return spark.createDataFrame([], LINES)
-    return _joined([given(spark, sec, [f"## {h.words['key_points']}", ""]), _block(points, sec, 0, 1, F.col("n"), F.concat(F.lit("- "), F.col("line"))), given(spark, sec, ["", "---", "", ""], tier=2)])
+    return joined([given(spark, sec, [f"## {h.words['key_points']}", ""]), block(points, sec, 0, 1, F.col("n"), F.concat(F.lit("- "), F.col("line"))), given(spark, sec, ["", "---", "", ""], tier=2)])
 
 
 def theme_sections(themes: DataFrame, texts: DataFrame, refs: DataFrame, h: Heading, sec: int) -> DataFrame:
@@ -388,14 +388,14 @@ def theme_sections(themes: DataFrame, texts: DataFrame, refs: DataFrame, h: Head
     grp = F.col("theme")
     title = F.concat(F.lit("### "), grp.cast("string"), F.lit(". "), F.col("title"))
     with_refs = refs.select("theme").distinct()
-    return _joined([
+    return joined([
         given(spark, sec, [f"## {h.words['in_depth']}", ""], grp=-1),
-        _block(themes, sec, grp, 0, 0, title, F.lit("")),
-        _block(texts, sec, grp, 1, F.col("k"), F.col("text"), F.lit("")),
-        _block(with_refs, sec, grp, 2, -1, F.lit(f"**{h.words['refs']}：**"), F.lit("")),
-        _block(refs, sec, grp, 2, F.col("k"), linked_line()),
-        _block(with_refs, sec, grp, 3, 0, F.lit("")),
-        _block(themes.where(F.col("theme") < F.lit(last)), sec, grp, 4, 0, F.lit("---"), F.lit("")),
+        block(themes, sec, grp, 0, 0, title, F.lit("")),
+        block(texts, sec, grp, 1, F.col("k"), F.col("text"), F.lit("")),
+        block(with_refs, sec, grp, 2, -1, F.lit(f"**{h.words['refs']}：**"), F.lit("")),
+        block(refs, sec, grp, 2, F.col("k"), linked_line()),
+        block(with_refs, sec, grp, 3, 0, F.lit("")),
+        block(themes.where(F.col("theme") < F.lit(last)), sec, grp, 4, 0, F.lit("---"), F.lit("")),
         given(spark, sec, [""], grp=1 << 62),
     ])
 
@@ -412,9 +412,9 @@ def brief_section(articles: DataFrame, h: Heading, sec: int, most: int = 20) ->
     n = articles.count()
     if not n:
         return spark.createDataFrame([], LINES)
-    rows = _block(articles.orderBy("pos").limit(most), sec, 0, 1, F.col("pos"), linked_line())
+    rows = block(articles.orderBy("pos").limit(most), sec, 0, 1, F.col("pos"), linked_line())
     tail = [*([h.words["more"].format(n=n - most)] if n > most else []), "", ""]
-    return _joined([given(spark, sec, [f"## {h.words['tech']}", ""]), rows, given(spark, sec, tail, tier=2)])
+    return joined([given(spark, sec, [f"## {h.words['tech']}", ""]), rows, given(spark, sec, tail, tier=2)])
 
 
 def platform_article(items: DataFrame, other: DataFrame, h: Heading, structure: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -429,7 +429,7 @@ def platform_article(items: DataFrame, other: DataFrame, h: Heading, structure:
         points = items.where("tier = 1").select("n", F.col("title").alias("line"))
         themes, texts, refs = themes_of(items)
     foot = ["---", "", h.words["closing"].format(title=title), ""]
-    return _joined([given(spark, 0, head), key_points(spark, points, h, 1), theme_sections(themes, texts, refs, h, 2), brief_section(other, h, 3), given(spark, 4, foot)])
+    return joined([given(spark, 0, head), key_points(spark, points, h, 1), theme_sections(themes, texts, refs, h, 2), brief_section(other, h, 3), given(spark, 4, foot)])
 
 
 def podcast_report(updates: DataFrame, summaries: DataFrame, h: Heading) -> DataFrame:
@@ -446,7 +446,7 @@ def podcast_report(updates: DataFrame, summaries: DataFrame, h: Heading) -> Data
     show = _piped(F.concat(F.lit("["), _filled(F.col("source")), F.lit("]("), home, F.lit(")")))
     rank = F.when(F.coalesce("rank", F.lit(0)) > 0, F.concat(F.lit("#"), F.col("rank").cast("string"))).otherwise("-")
     head = [f"# {words[0]} — {h.date} {h.time}", "", words[1].format(checked=h.checked, hours=h.hours, n=updates.count()), "", "---", "", words[2], "|---:|------|------|------|------|"]
-    return _joined([given(spark, 0, head), _block(rows, 1, 0, 0, F.col("pos"), _row(F.col("number"), title, show, rank, _cell(text))), given(spark, 2, [""])])
+    return joined([given(spark, 0, head), block(rows, 1, 0, 0, F.col("pos"), _row(F.col("number"), title, show, rank, _cell(text))), given(spark, 2, [""])])
 
 
 def account_report(updates: DataFrame, summaries: DataFrame, h: Heading) -> DataFrame:
@@ -462,7 +462,7 @@ def account_report(updates: DataFrame, summaries: DataFrame, h: Heading) -> Data
     line = _row(F.col("number"), title, _piped(F.concat(F.lit("*"), _filled(F.col("source")), F.lit("*"))), _cell(text))
     name = F.concat(F.lit("## "), category_display(F.col("category")), F.lit(" ("), F.col("n").cast("string"), F.lit(f" {fixed.BRIEF_UNIT})"))
     head = [f"# {words[0]} — {h.date} {h.time}", "", words[1].format(checked=h.checked, hours=h.hours, n=updates.count()), "", "---", ""]
-    return _joined([
-        given(spark, 0, head), _block(heads, 1, grp(heads), 0, 0, name, F.lit(""), F.lit(words[2]), F.lit("|---:|------|--------|------|")),
-        _block(rows, 1, grp(rows), 1, F.col("pos"), line), _block(heads, 1, grp(heads), 2, 0, F.lit("")), given(spark, 2, [words[3].format(time=f"{h.date} {h.time}")]),
+    return joined([
+        given(spark, 0, head), block(heads, 1, grp(heads), 0, 0, name, F.lit(""), F.lit(words[2]), F.lit("|---:|------|--------|------|")),
+        block(rows, 1, grp(rows), 1, F.col("pos"), line), block(heads, 1, grp(heads), 2, 0, F.lit("")), given(spark, 2, [words[3].format(time=f"{h.date} {h.time}")]),
     ])

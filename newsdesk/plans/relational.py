@@ -160,6 +160,14 @@ def top01_ranked_clusters(spark, sf):
     return numbering.ordered(best, ["less", "first"]).select("n", "cluster_id", "size", "score")
 
 
+def join02_cluster_scores(spark, sf):
+    """Articles scored by what their topic clusters say."""
+    a = text_articles(spark, sf)
+    info = topics.clusters(a).select(F.col("pos").alias("__pos"), "cluster_size", "cross_source")
+    rows = a.join(info, F.col("pos") == F.col("__pos"), "left").withColumn("priority", F.lit(None).cast("int")).withColumn("hn_points", F.lit(None).cast("int"))
+    return editorial.scored(rows).select("pos", "cluster_size", "cross_source", "news_value_score", "editorial_tier")
+
+
 def edt03_factors(spark, sf):
     f = F.col("editorial_factors")
     return _scored(spark, sf).select("pos", *[f[k].alias(k) for k in ("authority", "cross_source", "novelty", "composite")])
@@ -179,7 +187,7 @@ def clu06_themes(spark, sf):
 QUERIES = [
     m0_tier_histogram, edt_scores, win05_first_per_url, ded06_unseen, ded07_unexpired, clu02_keywords, flt04_ai_split, flt01_time_window, join01_summaries, agg10_source_stats, win03_ranks, win02_feed_caps,
     top04_enrichment, src10_markdown_list, src19_last_summary, join08_refs, ded02_greedy_dedup, clu04_topic_clusters, clu06_themes,
-    src01_feed_scan, top01_ranked_clusters, edt03_factors, edt06_statistics,
+    src01_feed_scan, join02_cluster_scores, top01_ranked_clusters, edt03_factors, edt06_statistics,
 ]
 
 
@@ -247,6 +255,10 @@ ORACLES = {
         theme_t AS (SELECT cluster_id, string_agg(w, ' ' ORDER BY r) AS theme FROM ranks WHERE CASE WHEN any_shared THEN n = size AND r <= 5 ELSE r <= 3 END GROUP BY cluster_id)
         SELECT cluster_id, coalesce(theme, '') AS theme FROM info LEFT JOIN theme_t USING (cluster_id)""",
     "top01_ranked_clusters": _CLUSTERS + " SELECT row_number() OVER (ORDER BY score DESC, min(pos)) AS n, cluster_id, any_value(cluster_size) AS size, score FROM named JOIN info USING (cluster_id) GROUP BY cluster_id, score",
+    "join02_cluster_scores": _CLUSTERS + f""", a AS (SELECT pos, title, description, cluster_size, cross_source, {_authority("(lower(source) || ' ' || lower(url))", "lower(source)")} AS authority FROM (SELECT named.*, 3 AS priority, cluster_size, cross_source FROM named JOIN info USING (cluster_id))),
+        v AS (SELECT *, least(floor((authority * 0.25::DOUBLE + CASE WHEN cross_source THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END + least(cluster_size / 5.0::DOUBLE, 1) * 0.20::DOUBLE + CASE WHEN {_SIGNAL} THEN 0.15::DOUBLE ELSE 0::DOUBLE END
+            + CASE WHEN cluster_size <= 1 THEN 0.5::DOUBLE ELSE least(1 / sqrt(cluster_size::DOUBLE) + authority * 0.3::DOUBLE, 1) END * 0.15::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000, 1) AS news_value_score FROM a)
+        SELECT pos, cluster_size, cross_source, news_value_score, CASE WHEN news_value_score >= 0.7::DOUBLE THEN 'must_read' WHEN news_value_score >= 0.4::DOUBLE THEN 'noteworthy' ELSE 'brief' END AS editorial_tier FROM v""",
     "edt03_factors": _SCORED + """ SELECT pos, authority, CASE WHEN cross_source THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END AS cross_source, novelty, news_value_score AS composite FROM s""",
     "edt06_statistics": _SCORED + """ SELECT count(*) AS total, count(*) FILTER (v >= 0.42) AS approved, count(*) FILTER (v < 0.42) AS filtered, count(*) FILTER (v >= 0.42 AND l = 2) AS must_read, count(*) FILTER (v >= 0.42 AND l = 1) AS noteworthy, count(*) FILTER (v >= 0.42 AND l = 0) AS brief
         FROM (SELECT news_value_score AS v, least(CASE WHEN news_value_score >= 0.6::DOUBLE THEN 2 WHEN news_value_score >= 0.45::DOUBLE THEN 1 ELSE 0 END + CASE WHEN coalesce(hn_points, 0) >= 100 THEN 1 ELSE 0 END + CASE WHEN priority = 1 THEN 1 ELSE 0 END, 2) AS l FROM s)""",

@@ -226,16 +226,16 @@ def tiered_items(articles: DataFrame) -> DataFrame:
 
     Needs language, category, full_text, cluster_size, theme, editorial_tier.
     """
-    from ..operators.documents import _block, _joined, given
+    from ..operators.documents import block, given, joined
 
     spark = articles.sparkSession
     tier = F.when(F.col("editorial_tier") == "must_read", 1).when(F.col("editorial_tier") == "noteworthy", 2).when(F.col("editorial_tier") == "brief", 3)
     if articles.where(F.coalesce("editorial_tier", F.lit("")) != "").isEmpty():
         numbered = numbering.within(articles.withColumn("__all", F.lit(0)), ["__all"])
-        return _block(numbered, 0, 0, 0, F.col("pos"), prompts.deep_item(F.col("number")))
+        return block(numbered, 0, 0, 0, F.col("pos"), prompts.deep_item(F.col("number")))
     rows = numbering.continuous(articles.withColumn("__tier", tier).where("__tier IS NOT NULL"), F.col("__tier"))
     present = [r["__tier"] for r in rows.select("__tier").distinct().collect()]  # three at most
-    parts = [_block(rows, 0, F.col("__tier"), 1, F.col("pos"), prompts.deep_item(F.col("number")))]
+    parts = [block(rows, 0, F.col("__tier"), 1, F.col("pos"), prompts.deep_item(F.col("number")))]
     for t in sorted(present):
         parts += [given(spark, 0, [fixed.PROMPT_TIERS[t - 1]], grp=t), given(spark, 0, [""], grp=t, tier=2)]
-    return _joined(parts)
+    return joined(parts)
