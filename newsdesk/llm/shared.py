@@ -15,7 +15,7 @@ from ..storage import discard, new_path, shared_dir, stored  # noqa: F401
 SPACE = " \t\n\x0b\x0c\r"
 
 #: A memory bound, nothing is left out by it.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A key with more than one in so many rows is joined by broadcast; there are fewer such keys than this.
 HOT = 1_000
 #: Bits of a filter of hashed keys. It lets pass too much where there are more keys than this, never too little.
