@@ -30,6 +30,8 @@ from .memory import release
 
 #: Rows of one run of the recursive query: a memory bound.
 ROWS = 600_000
+#: Bytes from which on a piece is cut first; below, its few rounds cost less than looking for cuts. The ids are the same.
+CUT = 24
 #: Ids decoded as one group, and ids decoded in one query: memory bounds.
 RUN, AT_ONCE = 100_000, 500_000
 #: Pieces kept per worker beside the chunks: a memory bound.
@@ -54,7 +56,7 @@ WITH RECURSIVE t(step, piece, pos, id) AS (
 ), ended AS (SELECT piece, max(step) AS step FROM t GROUP BY piece)
 SELECT piece, step, list(id ORDER BY pos) AS ids FROM t JOIN ended USING (piece, step) GROUP BY piece, step ORDER BY piece
 """
-DECODE = "SELECT part, array_to_string(list(hex ORDER BY pos), '') AS hex FROM ids JOIN vocabulary USING (id) GROUP BY part ORDER BY part"
+DECODE = "SELECT part, list(token ORDER BY pos) AS tokens FROM ids JOIN vocabulary USING (id) GROUP BY part ORDER BY part"
 
 
 class Coder:
@@ -81,8 +83,8 @@ class Coder:
 
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
         self._load("merges", l=self.rows[:, 0], r=self.rows[:, 1], merged=self.rows[:, 2])
-        by_id = sorted((r, t.hex()) for t, r in self.ranks.items())
-        self._load("vocabulary", id=np.array([r for r, _ in by_id], np.int32), hex=[h for _, h in by_id])
+        by_id = sorted((r, t) for t, r in self.ranks.items())
+        self._load("vocabulary", id=np.array([r for r, _ in by_id], np.int32), token=[t for _, t in by_id])
 
     def close(self) -> None:
         """What is known stays for the worker's next task, the database goes."""
@@ -99,7 +101,7 @@ class Coder:
 
     def _parts(self, piece: bytes) -> list[bytes]:
         """The piece cut where no token crosses."""
-        if piece in self.ranks:
+        if len(piece) < CUT or piece in self.ranks:
             return [piece]
         n, reach, begin, out = len(piece), 0, 0, []
         for i in range(n):
@@ -181,7 +183,12 @@ class Coder:
             raise KeyError(int(ids.max()))
         n = np.array([len(x) // 4 for x in runs], np.int64)
         self._load("ids", part=np.repeat(np.arange(len(runs), dtype=np.int32), n), pos=np.arange(len(ids), dtype=np.int64), id=ids.astype(np.int32))
-        return [bytes.fromhex(h) for h in self.db.sql(DECODE).to_arrow_table().column("hex").to_pylist()]
+        lists = self.db.sql(DECODE).to_arrow_table().column("tokens").combine_chunks()
+        # the tokens of a list lie one after the other
+        tokens, ends = lists.values.cast(pa.large_binary()), lists.offsets.to_numpy()
+        at = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset :][ends].tolist()
+        raw = memoryview(tokens.buffers()[2] or b"")
+        return [bytes(raw[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def encode_chunks(self, keys: list[str]) -> list[bytes]:
         """Ids of each key's chunk."""
