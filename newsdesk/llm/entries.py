@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, lm, mixing, quality, rules, simhash, sketch, tokenfile, warc
+from . import bpe, codes, html, lm, mixing, quality, rules, simhash, sketch, substrings, tokenfile, variants, warc
 from .shared import documents, stored
 
 
@@ -63,6 +63,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, *lm.fit(docs))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, books = codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return done.select("vec_id", code.alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _QUERIES = (
     op1_quality_rules,
     op2_html_extraction,
@@ -74,6 +88,9 @@ _QUERIES = (
     op8_scaled_sketch,
     op9_warc_archive,
     op10_lm_scoring,
+    op11_spelling_variants,
+    op12_vector_codes,
+    op13_substring_dedup,
 )
 
 
@@ -82,4 +99,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.ORACLE, "op8_scaled_sketch": sketch.ORACLE, "op9_warc_archive": warc.ORACLE}
+    return {
+        "op6_source_mixing": mixing.ORACLE,
+        "op8_scaled_sketch": sketch.ORACLE,
+        "op9_warc_archive": warc.ORACLE,
+        "op11_spelling_variants": variants.ORACLE,
+        "op12_vector_codes": codes.ORACLE,
+        "op13_substring_dedup": substrings.ORACLE,
+    }
