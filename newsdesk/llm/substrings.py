@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .memory import release
-from .shared import discard, filter_column, join_hot, stored
+from .shared import discard, filter_column, join_hot, small_batches, stored
 
 WINDOW, PERIOD = 13, 7
 #: Bits for each key of a filter, and in all: 64 MB in each worker.
 KEY_BITS, MOST_BITS = 32, 1 << 29
-#: Bytes of anchors in a packed range, and anchors that a task holds before it hands them on: memory bounds.
-RANGE_BYTES, HELD = 16 << 20, 1 << 22
+#: Bytes of anchors in a packed range, and anchors or windows that a task holds before it hands them on: memory bounds.
+RANGE_BYTES, HELD = 16 << 20, 1 << 20
 #: Longer words are hashed one by one, others in blocks of so many.
 LONG, WORDS = 4096, 8192
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 13) for b in range(256)], np.uint64)
@@ -238,10 +238,13 @@ def repeated_anchors(keyed: DataFrame, first: Holds, ranges: int) -> DataFrame:
 def candidates(keyed: DataFrame, first: Holds, anchored: Holds) -> DataFrame:
     """hash, check, doc_id, dk, at: the windows around repeated anchors of the first document of each text."""
 
+    def batch(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["hash", "check", "doc_id", "dk", "at"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             b = b.filter(pa.array(first(b.column("dk").to_numpy().view(np.uint64))))
-            out: list[tuple[np.ndarray, ...]] = []
             for doc_id, dk, text in zip(b.column("doc_id").to_pylist(), b.column("dk").to_pylist(), b.column("text"), strict=True):
                 words = split(text.as_py())
                 if len(words) < WINDOW:
@@ -249,18 +252,29 @@ def candidates(keyed: DataFrame, first: Holds, anchored: Holds) -> DataFrame:
                 h = word_hashes(words)
                 places, found = anchors(h)
                 starts = near_anchors(len(h), places[anchored(found)])
-                if len(starts):
-                    one, two = windows(h, starts)
-                    out.append((one.view(np.int64), two.view(np.int32), np.full(len(starts), doc_id), np.full(len(starts), dk), starts.astype(np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["hash", "check", "doc_id", "dk", "at"])
+                for k in range(0, len(starts), HELD // 4):
+                    part = starts[k : k + HELD // 4]
+                    one, two = windows(h, part)
+                    held.append((one.view(np.int64), two.view(np.int32), np.full(len(part), doc_id), np.full(len(part), dk), part.astype(np.int32)))
+                    size += len(part)
+                    if size >= HELD // 4:
+                        yield batch(held)
+                        held, size = [], 0
+        if held:
+            yield batch(held)
         release()
 
     return keyed.where("doc_id IS NOT NULL").select("doc_id", "dk", "text").mapInArrow(each, "hash long, check int, doc_id long, dk long, at int")
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches):
         counts, gone, kept = [], [], []
         for text, at in zip(b.column("text"), b.column("at"), strict=True):
             words, starts = split(text.as_py()), at.values.to_numpy()
@@ -290,9 +304,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # three anchors of eight bytes to seven words, which are hardly shorter than four bytes and a space
     size = keyed.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     ranges = 1 << max(0, max(4 * parts, size * 24 // 35 // RANGE_BYTES) - 1).bit_length()
-    repeated = stored(repeated_anchors(keyed, first, ranges), "anchors")
-    anchored = key_filter(repeated, "anchor")
-    found = stored(candidates(keyed, first, anchored), "windows")
+    with small_batches(docs.sparkSession):
+        repeated = stored(repeated_anchors(keyed, first, ranges), "anchors")
+        anchored = key_filter(repeated, "anchor")
+        found = stored(candidates(keyed, first, anchored), "windows")
     least = found.groupBy("hash", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "check", "least")
     marked = found.join(least, ["hash", "check"]).where("doc_id > least").select("doc_id", "dk", "at")
     marked = marked.unionByName(later.withColumn("at", F.lit(-1)))
