@@ -206,8 +206,10 @@ def dealt(found: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
-    parts = rows.groupBy("size", "first", "last").agg(F.ceil(F.count("*") * F.col("size") / block).alias("parts"))
-    return rows.join(parts, ["size", "first", "last"]).select("word", "n", "size", "first", "last", F.pmod("kept", "parts").alias("part"))
+    # as many parts of every kind as the largest needs, so that no kind is dealt as a whole first
+    weights = rows.groupBy("size", "first", "last").agg((F.count("*") * F.col("size")).alias("weight"))
+    parts = -(-(weights.agg(F.max("weight")).collect()[0][0] or 1) // block)
+    return rows.select("word", "n", "size", "first", "last", F.pmod("kept", F.lit(parts)).alias("part"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
