@@ -4,8 +4,18 @@ Each Python worker holds one in-memory database with the vocabulary and the merg
 whose joined bytes are a token. The distinct pieces of a batch are laid out as token-position rows; the recursive query joins
 neighbours with the merge table and contracts, in every piece, the leftmost pair of minimum rank, until no piece has a pair left.
 As a recursive query keeps the rows of all its rounds, one run of it makes about ``ROWS`` rows at most; the next run goes on from the
-last round's rows, so that memory is bounded for pieces of any length. Before that, pieces are cut where no token of the vocabulary
-crosses (merges make tokens only, so none crosses there). A part of n bytes takes up to n rounds of up to n rows.
+last round's rows. Before that, pieces are cut where no token of the vocabulary crosses (merges make tokens only, so none crosses there).
+
+A part of n bytes takes up to n rounds that way, which is as many rows as its square; so a round of a part of ``LONG`` bytes and more
+contracts all pairs that the one-by-one rule is bound to contract as they are:
+
+- every pair that has no lower rank, and no equal one before it, within twice the longest token that the part has: whatever is merged
+  earlier grows tokens from a lower rank, and no token reaches from there to this pair, nor to what it grows into;
+- if no longer token around the one of lowest rank has a still lower rank, all pairs of that rank from the left, every second one where
+  they overlap: nothing that comes of one of them goes before the next.
+
+The leftmost pair of minimum rank is always among them. Rounds then grow with the logarithm of the length or the number of ranks, and a
+round's rows fall; a database gets ``BYTE`` bytes of memory for every byte of its longest part beside its own.
 
 Decoding joins the ids of whole documents with the vocabulary and aggregates their bytes in order, ``RUN`` ids in one group at most.
 
@@ -32,6 +42,10 @@ from .memory import release
 ROWS = 600_000
 #: Bytes from which on a piece is cut first; below, its few rounds cost less than looking for cuts. The ids are the same.
 CUT = 24
+#: Bytes from which on a part is contracted at many places in a round, and bytes of memory for each of its bytes.
+LONG, BYTE = 64, 320
+#: MB of a database's memory, without what long parts need.
+MEMORY = 150
 #: Ids decoded as one group, and ids decoded in one query: memory bounds.
 RUN, AT_ONCE = 100_000, 500_000
 #: Pieces kept per worker beside the chunks: a memory bound.
@@ -56,6 +70,31 @@ WITH RECURSIVE t(step, piece, pos, id) AS (
 ), ended AS (SELECT piece, max(step) AS step FROM t GROUP BY piece)
 SELECT piece, step, list(id ORDER BY pos) AS ids FROM t JOIN ended USING (piece, step) GROUP BY piece, step ORDER BY piece
 """
+MANY = """
+WITH RECURSIVE t(step, piece, pos, id) AS (
+    SELECT 0, piece, pos, id FROM start
+    UNION ALL (
+        WITH near AS (
+            SELECT step, piece, pos, id, lead(id) OVER (PARTITION BY piece ORDER BY pos) AS next_id FROM t WHERE step < $steps
+        ), ranked AS (
+            SELECT step, piece, pos, id, coalesce(merged, 2147483647) AS rank, coalesce(safe, false) AS safe
+            FROM near LEFT JOIN merges ON near.id = merges.l AND near.next_id = merges.r
+        ), placed AS (
+            SELECT *, min(rank) OVER (w ROWS BETWEEN $reach PRECEDING AND 1 PRECEDING) AS low_before, min(rank) OVER (w ROWS BETWEEN 1 FOLLOWING AND $reach FOLLOWING) AS low_after,
+                rank < 2147483647 AND safe AND rank = min(rank) OVER (PARTITION BY piece) AS lowest, row_number() OVER w AS k
+            FROM ranked WINDOW w AS (PARTITION BY piece ORDER BY pos)
+        ), islands AS (
+            SELECT *, k - max(CASE WHEN NOT lowest THEN k ELSE 0 END) OVER (PARTITION BY piece ORDER BY k) AS nth FROM placed
+        ), chosen AS (
+            SELECT step, piece, pos, id, rank, k, rank < 2147483647 AND ((rank < coalesce(low_before, 2147483647) AND rank <= coalesce(low_after, 2147483647)) OR (lowest AND nth % 2 = 1)) AS chosen FROM islands
+        ), moved AS (
+            SELECT *, coalesce(lag(chosen) OVER (PARTITION BY piece ORDER BY k), false) AS gone, bool_or(chosen) OVER (PARTITION BY piece) AS goes_on FROM chosen
+        )
+        SELECT step + 1, piece, pos, CASE WHEN chosen THEN rank ELSE id END FROM moved WHERE goes_on AND NOT gone
+    )
+), ended AS (SELECT piece, max(step) AS step FROM t GROUP BY piece)
+SELECT piece, step, list(id ORDER BY pos) AS ids FROM t JOIN ended USING (piece, step) GROUP BY piece, step ORDER BY piece
+"""
 DECODE = "SELECT part, list(token ORDER BY pos) AS tokens FROM ids JOIN vocabulary USING (id) GROUP BY part ORDER BY part"
 
 
@@ -73,6 +112,10 @@ class Coder:
         self.starts = {t[:k] for t in self.ranks for k in range(2, len(t) + 1)}
         #: left, right and merged id of every pair of tokens that join to a token
         self.rows = np.array([x for x in cuts if None not in x], np.int32)
+        #: tokens that no longer token around them comes before
+        self.safe = np.ones(len(self.ranks), bool)
+        for side in (0, 1):
+            self.safe[self.rows[self.rows[:, 2] < self.rows[:, side], side]] = False
         self.db = None
         self.cache = ChunkCache(self.encode_chunks, 1, 400_000, 3 << 20)
         self.known_pieces: dict[bytes, bytes] = {}
@@ -81,8 +124,8 @@ class Coder:
         """A database with the merge table and the vocabulary, for one task."""
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
-        self._load("merges", l=self.rows[:, 0], r=self.rows[:, 1], merged=self.rows[:, 2])
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
+        self._load("merges", l=self.rows[:, 0], r=self.rows[:, 1], merged=self.rows[:, 2], safe=self.safe[self.rows[:, 2]])
         by_id = sorted((r, t) for t, r in self.ranks.items())
         self._load("vocabulary", id=np.array([r for r, _ in by_id], np.int32), token=[t for _, t in by_id])
 
@@ -100,23 +143,25 @@ class Coder:
         self.db.unregister("loaded")
 
     def _parts(self, piece: bytes) -> list[bytes]:
-        """The piece cut where no token crosses."""
+        """The piece cut where no token crosses; the longest token of long parts is noted."""
         if len(piece) < CUT or piece in self.ranks:
             return [piece]
-        n, reach, begin, out = len(piece), 0, 0, []
+        n, reach, begin, out, longest = len(piece), 0, 0, [], 1
         for i in range(n):
             if i and reach <= i:
                 out.append(piece[begin:i])
                 begin = i
             j = i + 2
             while j <= n and (x := piece[i:j]) in self.starts:
-                if j > reach and x in self.ranks:
-                    reach = j
+                if x in self.ranks:
+                    reach, longest = max(reach, j), max(longest, j - i)
                 j += 1
+        self.longest = max(self.longest, longest)
         return [*out, piece[begin:]]
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
+        self.longest = 1
         cut = list(map(self._parts, pieces))
         parts = sorted({p for x in cut for p in x})
         made = dict(zip(parts, self._encode_parts(parts), strict=True))
@@ -126,37 +171,48 @@ class Coder:
         out: list[bytes | None] = [np.array([self.ranks[p]], "<u4").tobytes() if p in self.ranks else None for p in pieces]
         left = [k for k, x in enumerate(out) if x is None]
         left.sort(key=lambda k: len(pieces[k]))  # alike lengths end after alike rounds
+        most = len(pieces[left[-1]]) if left else 0
+        if most >= LONG:
+            self.db.execute(f"SET memory_limit = '{MEMORY + most * BYTE // 1_000_000}MB'")
         for part in self._batches(left, pieces):
             todo = {k: self.byte_ids[np.frombuffer(pieces[k], np.uint8)] for k in part}
             while todo:
                 steps = max(1, ROWS // sum(map(len, todo.values())))
-                ids = self._rounds(list(todo.values()), steps)
+                ids = self._rounds(list(todo.values()), steps, len(pieces[part[0]]) >= LONG)
                 ended = {}
                 for k, (step, x) in zip(list(todo), ids, strict=True):
                     if step < steps:
                         ended[k] = out[k] = x.astype("<u4").tobytes()
                     todo[k] = x
                 todo = {k: x for k, x in todo.items() if k not in ended}
+        if most >= LONG:
+            self.db.execute(f"SET memory_limit = '{MEMORY}MB'")
         return out
 
-    def _rounds(self, ids: list[np.ndarray], steps: int) -> list[tuple[int, np.ndarray]]:
+    def _rounds(self, ids: list[np.ndarray], steps: int, many: bool) -> list[tuple[int, np.ndarray]]:
         """For each piece's ids the rounds it took, ``steps`` at most, and its ids after them."""
         n = np.array(list(map(len, ids)))
         flat = np.concatenate(ids)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
         self._load("start", piece=np.repeat(np.arange(len(ids), dtype=np.int32), n), pos=pos.astype(np.int32), id=flat.astype(np.int32))
-        got = self.db.sql(ENCODE, params=[steps]).to_arrow_table()
+        # frames are part of a query's text
+        query = MANY.replace("$reach", str(2 * self.longest + 4)).replace("$steps", str(steps)) if many else ENCODE.replace("?", str(steps))
+        got = self.db.sql(query).to_arrow_table()
         lists = got.column("ids").combine_chunks()
         values, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
         return [(s, values[i:j]) for s, i, j in zip(got.column("step").to_pylist(), ends[:-1], ends[1:], strict=True)]
 
     @staticmethod
     def _batches(which: list[int], pieces: list[bytes]) -> Iterator[list[int]]:
-        """Batches whose rounds together make about ``ROWS`` rows: a piece of n bytes makes up to n * n / 2."""
+        """Batches whose rounds together make about ``ROWS`` rows (a piece of n bytes makes up to n * n / 2), long ones by themselves."""
         part, rows = [], 0
         for k in which:
+            n = len(pieces[k])
+            if part and (len(pieces[part[0]]) >= LONG) != (n >= LONG):
+                yield part
+                part, rows = [], 0
             part.append(k)
-            rows += len(pieces[k]) ** 2 // 2
+            rows += n**2 // 2 if n < LONG else 16 * n
             if rows > ROWS:
                 yield part
                 part, rows = [], 0

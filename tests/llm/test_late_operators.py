@@ -224,3 +224,46 @@ def test_hashes_depend_on_the_words_alone():
     h = substrings.word_hashes(list(words))
     assert len(set(h.tolist())) == 7 and (h.reshape(-1, 7) == h[:7]).all()
     assert (substrings.word_hashes(list(words[2:9])) == h[2:9]).all()
+
+
+# 7 byte-level BPE: pieces of any length
+
+
+def library():
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
+
+
+def test_long_pieces_have_the_librarys_ids():
+    import public_tokenizers as P
+    from newsdesk.llm import bpe
+
+    encoding, ranks = library()
+    own = bpe.Coder(P.path("byte_bpe_50k.tiktoken"))
+    own.open()
+    pick = lambda letters, n: bytes(RNG.choice(letters) for _ in range(n))
+    words = [t for t in ranks if t.isalpha() and len(t) > 2]
+    pieces = [b"a" * n for n in range(60, 140)] + [pick(alphabet, RNG.randint(30, 300)) for alphabet in (b"ab", b"aeiou", b"the", b"rstlne", bytes(range(97, 123)), b"=-", b"\xc3\x83\xc2\x82", bytes(range(256))) for _ in range(25)]
+    pieces += [b"".join(RNG.choices(words, k=RNG.randint(10, 100))) for _ in range(60)] + [pick(bytes(range(97, 123)), 8000)]
+    got = own.encode_pieces(pieces)
+    assert got == [np.array(encoding._encode_single_piece(p), "<u4").tobytes() for p in pieces]
+    own.close()
+
+
+def test_very_long_words_through_the_operator(spark):
+    from newsdesk.llm import bpe
+
+    encoding, _ = library()
+    texts = ["a" * 3_000_000, "".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "b" * 100_000 + " and " + "é" * 5000]
+    rows = bpe.digests(table(spark, list(enumerate(texts)))).collect()
+    assert len(rows) == 3
+    for r in rows:
+        text = texts[r["doc_id"]]
+        ids = np.array(encoding.encode_ordinary(text), "<u4").tobytes()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
