@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from .functions.extract import is_ai_category
 from .functions.text import is_account_article
-from .operators import dedup, documents, editorial, report, topics
+from .operators import dedup, documents, editorial, numbering, report, topics
 from .operators.documents import ORDER, Heading
 from .sources import catalog, enrich, feeds, http, models, workspace
+from .storage import stored
 
 SOURCES = ("tech", "podcast", "wechat", "all")
 log = logging.getLogger("newsdesk")
@@ -60,18 +61,19 @@ def collect(articles: DataFrame, tracker: DataFrame, now: str | None, hours: int
 
 def scan(spark: SparkSession, args: argparse.Namespace, fetch: http.Fetcher) -> DataFrame:
     """Articles of a catalogue's feeds, as they came out in the last hours; the cache of what servers said is renewed."""
-    listed = catalog.read_feeds(spark, args.feeds)
+    # a catalogue is one file, read in its order; the replies are stored, so that a lost executor repeats no request
+    listed = stored(catalog.read_feeds(spark, args.feeds).withColumn("__feed_no", F.monotonically_increasing_id()), "feeds")
     if args.limit:
-        listed = listed.limit(args.limit)
+        listed = listed.orderBy("__feed_no").limit(args.limit)
     cache = http.load_cache(spark, f"{args.workspace}/cache")
-    replies = http.fetched(listed, cache, fetch).withColumnRenamed("body", "xml").persist()
+    replies = stored(http.fetched(listed, cache, fetch).withColumnRenamed("body", "xml"), "replies")
     at = F.lit(args.now).cast("timestamp") if args.now else F.current_timestamp()
     found, counted = feeds.scanned(replies.select(F.col("url").alias("feed"), "xml", "status"), at - F.make_dt_interval(hours=F.lit(args.hours)))
     log.info("%s", counted.collect()[0].asDict())
-    http.save_cache(http.renewed(cache, replies.withColumnRenamed("xml", "body")), f"{args.workspace}/cache")
-    meta = listed.select(F.col("url").alias("__feed"), "name", "category", "language", "priority")
-    rows = found.join(meta, F.col("feed") == F.col("__feed")).drop("__feed", "source", "pos")
-    return rows.select(F.monotonically_increasing_id().alias("pos"), "title", "url", F.col("name").alias("source"), "category", "description", "language", F.col("published_ts").alias("published"), "priority", "hn_points", "hn_comments", "full_text")
+    http.renew_cache(replies.withColumnRenamed("xml", "body"), f"{args.workspace}/cache")
+    meta = listed.select(F.col("url").alias("__feed"), "name", "category", "language", "priority", "__feed_no")
+    rows = numbering.ordered(found.withColumnRenamed("pos", "__item").drop("source").join(meta, F.col("feed") == F.col("__feed")), ["__feed_no", "__item"], "pos")
+    return rows.select((F.col("pos") - 1).alias("pos"), "title", "url", F.col("name").alias("source"), "category", "description", "language", F.col("published_ts").alias("published"), "priority", "hn_points", "hn_comments", "full_text")
 
 
 def reported(spark: SparkSession, articles: DataFrame, source: str, heading: Heading, form: str, summaries: DataFrame, call: models.Call | None, insight: str = "") -> DataFrame | None:
@@ -181,7 +183,7 @@ def keep(spark: SparkSession, articles: DataFrame, args: argparse.Namespace, fet
     now = args.now or datetime.now(timezone.utc).isoformat()
     workspace.save_metadata(spark, f"{args.workspace}/runs", args.source, articles.select("source").distinct().count(), args.hours, found.count(), now)
     if not dedup.expired(workspace.load_tracker(spark, tracker), at).where("removed > 0").isEmpty():
-        workspace.rewrite_tracker(dedup.unexpired(workspace.load_tracker(spark, tracker), at), tracker)
+        workspace.prune_tracker(spark, tracker, lambda kept: dedup.unexpired(kept, at))
     found.unpersist()
     return 0
 

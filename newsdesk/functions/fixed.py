@@ -57,6 +57,15 @@ NO_CHANGE = ("无需修改", "核查通过", "无问题发现", "no changes need
 # Named entities replaced before a feed is parsed.
 ENTITIES = {"nbsp": " ", "mdash": "—", "ndash": "–", "copy": "©", "reg": "®", "laquo": "«", "raquo": "»", "hellip": "…", "ldquo": '"', "rdquo": '"'}
 
+# Statuses of requests that fail, the exceptions and the phrases of messages by which they are known; the first that fits.
+TIMED_OUT, UNKNOWN_ERROR = -2, -1
+ERRORS = [
+    (TIMED_OUT, ("TimeoutError",), ("timed out", "timeout")),
+    (-3, (), ("getaddrinfo", "name or service not known", "nodename", "name resolution")),
+    (-4, ("ConnectionRefusedError", "ConnectionResetError", "BrokenPipeError"), ("connection refused", "connection reset", "broken pipe")),
+    (-5, (), ("ssl", "certificate", "cert", "hostname")),
+]
+
 # Parts of urls that are not fetched for their text.
 SKIPPED_URLS = ("twitter.com", "x.com", "reddit.com", "youtube.com", "facebook.com", "linkedin.com", "instagram.com", "paywalled.", "subscribe.", "login.", "accounts.")
 

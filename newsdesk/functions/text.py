@@ -179,16 +179,9 @@ def engagement(description: Column, label: str) -> Column:
 
 
 def error_code(message: Column) -> Column:
-    """-2 timeout, -3 name resolution, -4 refused or reset, -5 TLS, -1 other; the first that fits."""
+    """The status below zero of an error by its message, by ``fixed.ERRORS``."""
     low = F.lower(message)
-    any_of = lambda *xs: F.greatest(*[low.contains(x) for x in (*xs, xs[0])])
-    return (
-        F.when(any_of("timed out", "timeout"), -2)
-        .when(any_of("getaddrinfo", "name or service not known", "nodename", "name resolution"), -3)
-        .when(any_of("connection refused", "connection reset", "broken pipe"), -4)
-        .when(any_of("ssl", "certificate", "cert", "hostname"), -5)
-        .otherwise(-1)
-    )
+    return F.coalesce(*[F.when(contains_any(low, phrases), status) for status, _, phrases in fixed.ERRORS], F.lit(fixed.UNKNOWN_ERROR))
 
 
 def error_label(code: Column) -> Column:

@@ -22,6 +22,7 @@ from ..functions.extract import summary_text
 from ..functions.text import category_display, category_order, demote_headings, escape_cell, make_anchor, normalize_category, strip_leading_emoji, strip_tags, truncate
 from . import numbering
 from .editorial import reason
+from .setjoin import cut
 
 ORDER = ["sec", "grp", "tier", "pos", "sub"]
 LINES = "sec int, grp long, tier int, pos long, sub int, line string"
@@ -56,10 +57,40 @@ def block(rows: DataFrame, sec: int, grp: Column | int, tier: Column | int, pos:
     return rows.select(F.lit(sec).alias("sec"), place(grp, "long").alias("grp"), place(tier, "int").alias("tier"), place(pos, "long").alias("pos"), F.posexplode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("sub", "line"))
 
 
+def _numbered(lines: list[Column]) -> Column:
+    """sub and line of the lines that aren't null."""
+    return F.transform(F.filter(F.array(*lines), lambda x: x.isNotNull()), lambda x, i: F.struct(i.alias("sub"), x.alias("line")))
+
+
+def frames(rows: DataFrame, sec: int, grp: Column, *parts: tuple[Column | None, int, int, list[Column]]) -> DataFrame:
+    """The lines around the articles of each row's group, from one look at it. parts: a condition or none, tier, position, lines."""
+    place = lambda tier, pos: lambda x: F.struct(F.lit(tier).alias("tier"), F.lit(pos).cast("long").alias("pos"), x["sub"].cast("int").alias("sub"), x["line"].alias("line"))
+    made = []
+    for when, tier, pos, lines in parts:
+        part = F.transform(_numbered(lines), place(tier, pos))
+        made.append(part if when is None else F.when(when, part).otherwise(F.array().cast("array<struct<tier:int,pos:bigint,sub:int,line:string>>")))
+    return rows.select(F.lit(sec).alias("sec"), grp.cast("long").alias("grp"), F.inline(F.flatten(F.array(*made))))
+
+
+def choices(rows: DataFrame, sec: int, grp: Column, tier: Column, pos: Column, lines: dict[int, list[Column]]) -> DataFrame:
+    """The lines of each row as its tier has them, from one look at the rows."""
+    made = None
+    for t, of_tier in lines.items():
+        made = F.when(tier == t, _numbered(of_tier)) if made is None else made.when(tier == t, _numbered(of_tier))
+    return rows.select(F.lit(sec).alias("sec"), grp.cast("long").alias("grp"), tier.cast("int").alias("tier"), pos.cast("long").alias("pos"), F.inline(made))
+
+
 def joined(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def once(results: DataFrame) -> DataFrame:
+    """results as a stored table, so that what made them runs once however many parts of a report read them; stored ones as they are."""
+    if hasattr(results, "newsdesk_path"):
+        return results
+    return cut(results)
+
+
 def placed(document: DataFrame, sec: int) -> DataFrame:
     """A document as one section of another; its own sections become groups' order through a numbering of its lines."""
     return numbering.ordered(document, ORDER).select(F.lit(sec).alias("sec"), F.lit(0).cast("long").alias("grp"), F.lit(0).alias("tier"), F.col("n").alias("pos"), F.lit(0).alias("sub"), "line")
@@ -119,16 +150,15 @@ def category_tables(items: DataFrame, h: Heading, sec: int) -> DataFrame:
     """A table for each category in the fixed order, unknown ones together at the end. Needs cat (normalised), text (a summary or '')."""
     w = h.words
     known = F.col("cat").isin(_KNOWN)
-    named = items.withColumn("__cat", F.when(known, F.col("cat")).otherwise(fixed.OTHER_CATEGORY)).withColumn("__grp", F.when(known, category_order(F.col("cat"))).otherwise(99).cast("long"))
+    named = cut(items.select("pos", "title", "url", "source", "cat", "text")).withColumn("__cat", F.when(known, F.col("cat")).otherwise(fixed.OTHER_CATEGORY)).withColumn("__grp", F.when(known, category_order(F.col("cat"))).otherwise(99).cast("long"))
     heads = named.groupBy("__cat", "__grp").agg(F.count("*").alias("n"), F.bool_or(F.col("text") != "").alias("texts"))
     title = F.concat(F.lit("## "), category_display(F.col("__cat")), F.lit(" ("), F.col("n").cast("string"), F.lit(f" {w['count']})"))
     header = F.concat(F.lit(f"| # | {w['article']} | {w['source']} |"), F.when(F.col("texts"), f" {w['summary']} |").otherwise(""))
     rule = F.when(F.col("texts"), "|---:|------|------|------|").otherwise("|---:|------|------|")
     rows = numbering.within(named, ["__grp"])
     return joined([
-        block(heads, sec, F.col("__grp"), 0, 0, title, F.lit(""), header, rule),
+        frames(heads, sec, F.col("__grp"), (None, 0, 0, [title, F.lit(""), header, rule]), (None, 2, 0, [F.lit("")])),
         block(rows, sec, F.col("__grp"), 1, F.col("pos"), table_row(F.col("number"), F.col("title"), F.col("url"), F.col("source"), F.col("text"))),
-        block(heads, sec, F.col("__grp"), 2, 0, F.lit("")),
     ])
 
 
@@ -142,11 +172,11 @@ def tech_report(articles: DataFrame, h: Heading, insight: str = "") -> DataFrame
     """Articles (see :func:`with_summaries`) by category, then those with points; a summary's category wins over the article's."""
     w, spark = h.words, articles.sparkSession
     own = normalize_category(F.col("category"))
-    n = articles.count()
+    marked = cut(articles.withColumn("__own", own))
+    n = marked.count()
     head = [f"# {w['daily']} — {h.date}", "", "> " + w["checked"].format(checked=h.checked, hours=h.hours, n=n), "", "---", ""]
     if insight:
         head += [f"## {w['insight']}", "", insight, "", "---", ""]
-    marked = articles.withColumn("__own", own)
     pointed = marked.where("__own = 'hacker_news'")
     others = marked.where("__own IS NULL OR __own <> 'hacker_news'")
     cat = F.when(_filled(F.col("ai_category")) != "", normalize_category(F.col("ai_category"))).otherwise(F.col("__own"))
@@ -183,6 +213,7 @@ def tiered_sections(results: DataFrame, h: Heading, sec: int, rules: bool = Fals
     rules: a rule after each category. summaries: cat, category_summary (quoted under the heading).
     """
     w = h.words
+    results = once(results)
     counts = results.groupBy("grp", "cat", "name").agg(F.count("*").alias("n"), *[F.count_if(F.col("tier") == t).alias(f"n{t}") for t in (1, 2, 3)])
     if summaries is not None:
         counts = counts.join(summaries.select(F.col("cat").alias("__c"), "category_summary"), F.col("cat").eqNullSafe(F.col("__c")), "left")
@@ -198,18 +229,16 @@ def tiered_sections(results: DataFrame, h: Heading, sec: int, rules: bool = Fals
     noted = _row(F.col("number"), _title(F.col("title"), F.col("url")), F.concat(F.lit("*"), _cell(F.col("source")), F.lit("*")), _cell(F.col("text")))
     bare = table_row(F.col("number"), F.col("title"), F.col("url"), F.col("source"), F.lit(""))
     lit = F.lit
-    parts = [
-        block(counts, sec, grp, 0, 0, title, lit(""), F.concat(lit("> "), quoted), F.when(quoted.isNotNull(), "")),
-        block(counts.where("n1 > 0"), sec, grp, 1, -1, lit(f"### {w['must']}"), lit("")),
-        block(rows.where("tier = 1"), sec, grp, 1, F.col("key"), linked, lit(""), said, lit("")),
-        block(counts.where("n2 > 0"), sec, grp, 2, -1, lit(f"### {w['note']}"), lit(""), lit(f"| # | {w['article']} | {w['source']} | {w['point']} |"), lit("|---|---------|--------|-----------|")),
-        block(rows.where("tier = 2"), sec, grp, 2, F.col("key"), noted),
-        block(counts.where("n2 > 0"), sec, grp, 3, -2, lit("")),
-        block(counts.where("n3 > 0"), sec, grp, 3, -1, lit("<details>"), folded, lit(""), lit(f"| # | {w['article']} | {w['source']} |"), lit("|---|---------|--------|")),
-        block(rows.where("tier = 3"), sec, grp, 3, F.col("key"), bare),
-        block(counts.where("n3 > 0"), sec, grp, 4, 0, lit(""), lit("</details>"), lit("")),
+    around = [
+        (None, 0, 0, [title, lit(""), F.concat(lit("> "), quoted), F.when(quoted.isNotNull(), "")]),
+        (F.col("n1") > 0, 1, -1, [lit(f"### {w['must']}"), lit("")]),
+        (F.col("n2") > 0, 2, -1, [lit(f"### {w['note']}"), lit(""), lit(f"| # | {w['article']} | {w['source']} | {w['point']} |"), lit("|---|---------|--------|-----------|")]),
+        (F.col("n2") > 0, 3, -2, [lit("")]),
+        (F.col("n3") > 0, 3, -1, [lit("<details>"), folded, lit(""), lit(f"| # | {w['article']} | {w['source']} |"), lit("|---|---------|--------|")]),
+        (F.col("n3") > 0, 4, 0, [lit(""), lit("</details>"), lit("")]),
+        *([(None, 5, 0, [lit("---"), lit("")])] if rules else []),
     ]
-    return joined([*parts, *([block(counts, sec, grp, 5, 0, lit("---"), lit(""))] if rules else [])])
+    return joined([frames(counts, sec, grp, *around), choices(rows, sec, grp, F.col("tier"), F.col("key"), {1: [linked, lit(""), said, lit("")], 2: [noted], 3: [bare]})])
 
 
 def todays_highlights(results: DataFrame, h: Heading, sec: int, most: int = 5) -> DataFrame:
@@ -227,6 +256,7 @@ def todays_highlights(results: DataFrame, h: Heading, sec: int, most: int = 5) -
 def tiered_report(results: DataFrame, h: Heading, executive: str = "", summaries: DataFrame | None = None) -> DataFrame:
     """The tech report in tiers: heading, summary, highlights, categories, footer."""
     w, spark = h.words, results.sparkSession
+    results = once(results)
     info = _counted(results, F.countDistinct("grp").alias("groups"))
     made = f"> 📰 {info['n']} {w['ai_made'].format(n=info['groups'])}"
     head = [f"# {w['daily']} — {h.date}", "", made, "", "---", "", *([f"## {w['executive']}", "", executive, "", "---", ""] if executive else [])]
@@ -237,10 +267,10 @@ def tiered_report(results: DataFrame, h: Heading, executive: str = "", summaries
 def other_news(articles: DataFrame, h: Heading, sec: int = 0) -> DataFrame:
     """Part two: must-reads first, then tables of the other articles; subject categories stay out. Needs editorial_tier, hn_points, hn_comments and cross_source."""
     w, spark = h.words, articles.sparkSession
-    info = _counted(articles)
+    a = cut(articles.withColumn("cat", normalize_category(F.col("category"))))
+    info = _counted(a)
     if not info["n"]:
         return spark.createDataFrame([], LINES)
-    a = articles.withColumn("cat", normalize_category(F.col("category")))
     pointed = F.coalesce(F.col("cat") == "hacker_news", F.lit(False))
     must = F.coalesce(F.col("editorial_tier") == "must_read", F.lit(False))
     top = a.where(must & ~pointed)
@@ -288,7 +318,7 @@ def unified(ai: DataFrame, other: DataFrame, h: Heading, tiered: bool, deep_text
     return joined(parts)
 
 
-def _body(lines: DataFrame) -> DataFrame:
+def _body(lines: DataFrame, span: int = numbering.SPAN) -> DataFrame:
     """sec, n, line between a section's first rule (else its title, blank and quoted lines) and its footer."""
     t = F.trim("line", F.lit(" \t\r\n"))
     head = F.col("line").startswith("# ") | (t == "") | F.col("line").startswith(">")
@@ -297,24 +327,23 @@ def _body(lines: DataFrame) -> DataFrame:
     after = lines.join(rule, "sec").where(F.when(F.col("rule").isNotNull(), F.col("n") > F.col("rule")).otherwise(F.col("n") >= F.col("text")))
     ends = after.groupBy("sec").agg(F.min(F.when((t != "") & (t != "---"), F.col("n"))).alias("first"), F.max(F.when(~foot, F.col("n"))).alias("last"))
     kept = after.drop("rule", "text").join(ends, "sec").where("n BETWEEN first AND last").drop("first", "last")
-    # of rules with only blank lines between them the first stays, and no blank line after it (a section is one window here)
-    w = Window.partitionBy("sec").orderBy("n")
-    blank, is_rule = t == "", t == "---"
-    run = F.last(F.when(~blank, F.struct(is_rule.alias("rule"), F.col("n").alias("n"))), ignorenulls=True)
-    marked = kept.withColumn("before", run.over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(F.when(~blank, is_rule), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    marked = marked.withColumn("again", is_rule & F.coalesce(F.col("before.rule"), F.lit(False)))
-    many = F.last(F.when(~blank, F.col("again") | (is_rule & F.coalesce("after", F.lit(False)))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("many", many).where(~F.col("again") & ~(blank & F.coalesce("many", F.lit(False)))).select("sec", "n", "line")
+    # of rules with only blank lines between them the first stays, and no blank line after it
+    blank, is_rule, kept = t == "", t == "---", cut(kept)
+    marked = numbering.carried(kept, F.when(~blank, F.struct(is_rule.alias("rule"), F.col("n").alias("n"))), "before", ["sec"], "n", span, own=False)
+    marked = numbering.carried(marked, F.when(~blank, is_rule), "after", ["sec"], "n", span, ahead=True, own=False)
+    marked = cut(marked.withColumn("again", is_rule & F.coalesce(F.col("before.rule"), F.lit(False))))
+    marked = numbering.carried(marked, F.when(~blank, F.col("again") | (is_rule & F.coalesce("after", F.lit(False)))), "many", ["sec"], "n", span)
+    return marked.where(~F.col("again") & ~(blank & F.coalesce("many", F.lit(False)))).select("sec", "n", "line")
 
 
 def merged(documents: list[DataFrame], h: Heading) -> DataFrame:
     """Documents one after the other under their first headings, with contents; headings three levels down, heads and footers cut."""
     w, spark = h.words, documents[0].sparkSession
-    lines = joined([numbering.ordered(d, ORDER).select(F.lit(k).alias("sec"), "n", "line") for k, d in enumerate(documents)])
+    lines = cut(joined([numbering.ordered(d, ORDER).select(F.lit(k).alias("sec"), "n", "line") for k, d in enumerate(documents)]))
     t = F.trim("line", F.lit(" \t\r\n"))
     named = lines.where(t.startswith("#")).groupBy("sec").agg(F.min_by(t, "n").alias("line"))
     names = named.select("sec", F.trim(F.regexp_replace("line", "^#+", ""), F.lit(" \t\r\n")).alias("name"))
-    body = _body(lines)
+    body = cut(_body(lines))
     shown = names.join(body.select("sec").distinct(), "sec").withColumn("anchor", make_anchor(F.col("name")))
     found = names.select("sec", "name").orderBy("sec").collect()  # one row a document
     head = [f"# 📰 {h.brand} — {h.date}", "", "> 📡 " + " · ".join(r["name"] for r in found), "", w["time"].format(time=h.time), "", "---", "", w["contents"], ""]

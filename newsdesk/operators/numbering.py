@@ -42,6 +42,27 @@ def within(rows: DataFrame, keys: list[str], pos: str = "pos", name: str = "numb
     return own.join(starts, same).withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__own", "__g", "__before", *names)
 
 
+def carried(rows: DataFrame, value: Column, name: str, keys: list[str], pos: str = "pos", span: int = SPAN, ahead: bool = False, own: bool = True) -> DataFrame:
+    """rows with the last value that isn't null up to each row by pos (a whole number, unique in its group of keys, which aren't null).
+
+    ahead: the first from each row on instead. own: the row's own value counts. A window looks at one range of ``span`` positions; what
+    comes into a range from those before it is found in one window over the ranges, a row each, and fills what the range itself leaves open.
+    """
+    sign = -1 if ahead else 1
+    placed = rows.withColumn("__value", value).withColumn("__range", F.floor(F.col(pos) / span))
+    near = Window.partitionBy(*keys, "__range").orderBy(F.col(pos) * sign).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    found = placed.withColumn("__near", F.last("__value", ignorenulls=True).over(near))
+    names = [f"__k{i}" for i in range(len(keys))]
+    there = F.struct((F.col(pos) * sign).alias("at"), F.col("__value").alias("v"))
+    ends = placed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__range").alias("__g")).agg(F.max(F.when(F.col("__value").isNotNull(), there)).alias("__last"))
+    far = Window.partitionBy(*names).orderBy(F.col("__g") * sign).rowsBetween(Window.unboundedPreceding, -1)
+    into = ends.withColumn("__into", F.last("__last", ignorenulls=True).over(far)["v"]).drop("__last")
+    same = F.col("__range") == F.col("__g")
+    for k, n in zip(keys, names, strict=True):
+        same = same & (F.col(k) == F.col(n))
+    return found.join(into, same).withColumn(name, F.coalesce("__near", "__into")).drop("__value", "__range", "__near", "__g", "__into", *names)
+
+
 def ordered(rows: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """rows with a 1-based number by the order's columns (together unique), over ranges that are each sorted by themselves."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -244,11 +244,15 @@ ORACLES = {
         SELECT feed, pos, 't' || c_custkey % 600 AS title, 'https://e.com/' || c_custkey % 700 AS url FROM r WHERE list_contains((SELECT arg_max(kept, i) FROM g), r.i)""".replace("WITH c", "WITH RECURSIVE c"),
     "top04_enrichment": _SCORED + " SELECT pos, news_value_score AS rank_score FROM s WHERE level = 2 AND pos % 7 NOT IN (2, 5, 6) ORDER BY news_value_score DESC, pos LIMIT 50",
     "ded02_greedy_dedup": f"""WITH RECURSIVE {TEXT_ARTICLES}, w AS (SELECT pos, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(trim(title)), '[\\s\\-_:,;|/\\\\]+'), lambda x: x <> ''))) AS ws FROM text_articles),
-        n AS (SELECT pos, unnest(ws) AS t FROM w), c AS (SELECT a.pos AS x, b.pos AS y, count(*) AS shared FROM n a JOIN n b ON a.t = b.t AND b.pos < a.pos GROUP BY 1, 2),
-        e AS (SELECT x, list(y) AS before FROM c JOIN w p ON p.pos = x JOIN w q ON q.pos = y WHERE shared::DOUBLE / (len(p.ws) + len(q.ws) - shared) > 0.85 GROUP BY x),
-        o AS (SELECT row_number() OVER (ORDER BY pos) AS i, pos, coalesce(before, []) AS before FROM w LEFT JOIN e ON x = pos),
-        g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, pos) END FROM g JOIN o ON o.i = g.i + 1)
-        SELECT pos, url FROM text_articles WHERE list_contains((SELECT arg_max(kept, i) FROM g), pos)""",
+        s AS (SELECT row_number() OVER () AS s, ws FROM (SELECT DISTINCT ws FROM w WHERE len(ws) > 0)), t AS (SELECT s, unnest(ws) AS t FROM s), df AS (SELECT t, count(*) AS df FROM t GROUP BY 1),
+        r AS (SELECT s, t, row_number() OVER (PARTITION BY s ORDER BY df, t) AS k, count(*) OVER (PARTITION BY s) AS n FROM t JOIN df USING (t)), p AS (SELECT s, t, n FROM r WHERE k <= n - ceil(n * 0.85) + 1),
+        c AS (SELECT DISTINCT a.s AS x, b.s AS y FROM p a JOIN p b ON a.t = b.t AND a.s < b.s AND a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n),
+        l AS (SELECT x, y FROM (SELECT x, y, len(list_intersect(a.ws, b.ws)) AS i, len(a.ws) AS n, len(b.ws) AS m FROM c JOIN s a ON a.s = x JOIN s b ON b.s = y) WHERE i::DOUBLE / (n + m - i) > 0.85),
+        q AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l UNION ALL SELECT s, s FROM s), ps AS (SELECT pos, s FROM w JOIN s USING (ws)),
+        e AS (SELECT a.pos AS x, list(b.pos) AS before FROM ps a JOIN q ON q.x = a.s JOIN ps b ON b.s = q.y AND b.pos < a.pos GROUP BY a.pos),
+        o AS (SELECT row_number() OVER (ORDER BY pos) AS i, pos, coalesce(before, []) AS before FROM (SELECT x AS pos FROM e UNION SELECT unnest(before) FROM e) LEFT JOIN e ON x = pos),
+        g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, pos) END FROM g JOIN o ON o.i = g.i + 1),
+        kept AS (SELECT unnest(kept) AS pos FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1)) SELECT pos, url FROM text_articles WHERE pos NOT IN (SELECT pos FROM o) OR pos IN (SELECT pos FROM kept)""",
     "clu04_topic_clusters": _CLUSTERS + " SELECT pos, cluster_id, cluster_size, cross_source, score FROM named JOIN info USING (cluster_id)",
     "clu06_themes": _CLUSTERS + """, counts AS (SELECT cluster_id, w, count(*) AS n, any_value(cluster_size) AS size FROM k JOIN named USING (pos) JOIN info USING (cluster_id) WHERE rn <= 15 GROUP BY cluster_id, w),
         ranks AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n < size, CASE WHEN n = size THEN 0 ELSE -n END, w) AS r, bool_or(n = size) OVER (PARTITION BY cluster_id) AS any_shared FROM counts),

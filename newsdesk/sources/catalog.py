@@ -7,9 +7,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import fixed
+from ..operators import numbering
+from .snapshots import Store
 
 FEEDS = "categories array<struct<id string, name string, feeds array<struct<name string, url string, language string, priority int, max_articles int>>>>"
 
@@ -72,44 +73,47 @@ def list_counts(accounts: DataFrame) -> DataFrame:
     return accounts.rollup("category").agg(F.count("*").alias("total"), F.count_if("active").alias("active"), F.count_if(~F.col("active")).alias("discontinued"), F.grouping("category").cast("boolean").alias("all"))
 
 
+ACCOUNTS = "index int, name string, url string, category string, active boolean"
+
+
 def account_list(spark: SparkSession, path: str, fetch: Callable[[], str | None], now: datetime, force: bool = False) -> DataFrame:
     """index, name, url, category, active: as kept below ``path`` if that is younger than a week, else fetched (Markdown) and kept.
 
-    Where nothing can be fetched an older list serves; without one the list is empty. The time is in the folder's marker file.
+    Where nothing can be fetched an older list serves; without one the list is empty. The time is a fact of the list's version, so that
+    both change together.
     """
-    schema = "index int, name string, url string, category string, active boolean"
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target, marker = jvm.Path(f"{path}/list"), jvm.Path(f"{path}/marker")
-    files = target.getFileSystem(conf)
-    kept = lambda: spark.read.schema(schema).parquet(f"{path}/list")
-    if files.exists(target) and files.exists(marker) and not force:
-        times = [r["value"] for r in spark.read.text(f"{path}/marker").collect()]  # one line
-        try:
-            if (now - datetime.fromisoformat(times[0])).days < TTL_DAYS:
-                return kept()
-        except (IndexError, ValueError, TypeError):  # an unreadable marker counts as none
-            pass
+    store = Store(spark, path)
+    kept = store.newest()
+    if "accounts" in kept.tables and not force and young(kept.facts.get("refreshed"), now):
+        return store.read("accounts", ACCOUNTS, kept)
     markdown = fetch()
     if markdown is None:
-        return kept() if files.exists(target) else spark.createDataFrame([], schema)
+        return store.read("accounts", ACCOUNTS, kept)
     lines = spark.createDataFrame(list(enumerate(markdown.split("\n"))), "line_no int, line string")
-    parse_list(lines).select(F.col("index").cast("int").alias("index"), "name", "url", "category", "active").write.mode("overwrite").parquet(f"{path}/list")
-    spark.createDataFrame([(now.isoformat(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/marker")
-    return kept()
+    rows = parse_list(lines).select(F.col("index").cast("int").alias("index"), "name", "url", "category", "active")
+    made = store.update(lambda _: ({"accounts": rows}, {}, {"refreshed": now.isoformat()}))
+    store.expire()
+    return store.read("accounts", ACCOUNTS, made)
+
+
+def young(refreshed: str | None, now: datetime) -> bool:
+    """Whether a list of that time serves; an unreadable time counts as none."""
+    try:
+        return (now - datetime.fromisoformat(refreshed)).days < TTL_DAYS
+    except (ValueError, TypeError):
+        return False
 
 
-def parse_list(lines: DataFrame) -> DataFrame:
-    """index, name, url, category, active of a Markdown list. lines: line_no (order), line.
+def parse_list(lines: DataFrame, span: int = numbering.SPAN) -> DataFrame:
+    """index, name, url, category, active of a Markdown list. lines: line_no (a unique whole number), line.
 
-    A '## ' heading names the category of what follows; an entry is a link; '~~' around it means inactive.
-    A list is one file of lines, so its order is looked at in one window.
+    A '## ' heading names the category of what follows; an entry is a link; '~~' around it means inactive. Ranges of ``span`` lines are
+    looked at by themselves, however long the list is.
     """
-    order = Window.orderBy("line_no")
     heading = F.nullif(F.regexp_extract("line", "^##\\s+(.+?)\\s*$", 1), F.lit(""))
-    marked = lines.withColumn("category", F.last(heading, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = numbering.carried(lines.withColumn("__all", F.lit(0)), heading, "category", ["__all"], "line_no", span)
     link = "\\[([^\\]]+)\\]\\(([^)]+)\\)"
-    rows = marked.where(F.regexp_like("line", F.lit(link)) & ~F.col("line").startswith("## "))
+    rows = numbering.within(marked.where(F.regexp_like("line", F.lit(link)) & ~F.col("line").startswith("## ")), ["__all"], "line_no", span=span)
     return rows.select(
-        (F.row_number().over(order) - 1).alias("index"), F.regexp_extract("line", link, 1).alias("name"), F.regexp_extract("line", link, 2).alias("url"), "category", (~F.col("line").contains("~~")).alias("active")
+        (F.col("number") - 1).alias("index"), F.regexp_extract("line", link, 1).alias("name"), F.regexp_extract("line", link, 2).alias("url"), "category", (~F.col("line").contains("~~")).alias("active")
     )

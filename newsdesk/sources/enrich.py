@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.extract import account_body, episode_url, episodes, match_episode
-from ..functions.text import main_content, needs_episode
+from ..functions.extract import account_body, episode_url, episodes
+from ..functions.text import main_content, needs_episode, normalize_title
+from ..operators.containment import first_match
 
 MOST = 8000
 
@@ -53,10 +54,13 @@ def shows_to_fetch(updates: DataFrame, podcasts: DataFrame) -> DataFrame:
 
 def with_episodes(updates: DataFrame, pages: DataFrame) -> DataFrame:
     """updates with the episode's page as url where the show's page (source, body) lists it; eid is null elsewhere."""
-    listed = pages.select(F.col("source").alias("__source"), episodes(F.col("body")).alias("__listed"))
-    joined = updates.join(listed, F.col("source") == F.col("__source"), "left")
-    eid = F.when(needs_episode(F.col("url")), match_episode(F.col("title"), F.col("__listed")))
-    return joined.withColumn("eid", eid).withColumn("url", episode_url(F.col("eid"), F.col("url"))).drop("__source", "__listed")
+    listed = pages.select(F.col("source").alias("grp"), F.posexplode(episodes(F.col("body"))).alias("k", "e"))
+    listed = listed.select("grp", "k", normalize_title(F.col("e.title")).alias("t"), F.col("e.eid").alias("value"))
+    asked = updates.withColumn("__t", F.when(needs_episode(F.col("url")), normalize_title(F.col("title"))))
+    found = first_match(asked.select(F.col("source").alias("grp"), F.col("__t").alias("t")), listed)
+    found = found.select(F.col("grp").alias("__grp"), F.col("t").alias("__found"), F.col("value").alias("eid"))
+    joined = asked.join(found, (F.col("source") == F.col("__grp")) & (F.col("__t") == F.col("__found")), "left").drop("__t", "__grp", "__found")
+    return joined.withColumn("url", episode_url(F.col("eid"), F.col("url")))
 
 
 def transcript(status: Column, body: Column, most: int = 3000) -> Column:

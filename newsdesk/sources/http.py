@@ -6,9 +6,9 @@ certificates are always verified unless a policy allows an unverified second try
 
 from __future__ import annotations
 
+import builtins
 import os
 import random
-import socket
 import ssl
 import time
 from collections.abc import Callable, Iterator
@@ -19,7 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.urls import host
+from .lanes import HELD, Pace, dealt, side_by_side
+from .snapshots import Store
 
 CACHE = "url string, etag string, last_modified string"
 AGENT = "newsdesk"
@@ -49,15 +52,12 @@ def over_network(url: str, headers: dict, timeout: float, relaxed: bool) -> Repl
 
 
 def error_status(e: BaseException) -> int:
-    """-2 timeout, -3 name resolution, -4 refused or reset, -5 TLS, -1 other; the first that fits."""
+    """The status below zero of an error, by ``fixed.ERRORS``: the first kind whose type or phrase it has."""
     said, kind = str(e).lower(), type(e).__name__.lower()
-    if isinstance(e, socket.timeout) or "timed out" in said or "timeout" in said or "timeout" in kind:
-        return -2
-    if any(x in said for x in ("getaddrinfo", "name or service not known", "nodename", "name resolution")):
-        return -3
-    if isinstance(e, ConnectionRefusedError | ConnectionResetError | BrokenPipeError) or any(x in said for x in ("connection refused", "connection reset", "broken pipe")):
-        return -4
-    return -5 if any(x in said for x in ("ssl", "certificate", "cert", "hostname")) else -1
+    for status, types, phrases in fixed.ERRORS:
+        if isinstance(e, tuple(getattr(builtins, t) for t in types)) or any(p in said for p in phrases) or (status == fixed.TIMED_OUT and "timeout" in kind):
+            return status
+    return fixed.UNKNOWN_ERROR
 
 
 @dataclass(frozen=True)
@@ -104,29 +104,33 @@ class Fetcher:
         raise ValueError("no attempts")
 
 
-def fetched(urls: DataFrame, cache: DataFrame | None, fetch: Fetcher, delay: float = 0.0) -> DataFrame:
+def fetched(urls: DataFrame, cache: DataFrame | None, fetch: Fetcher, delay: float = 0.0, lanes: int | None = None, at_once: int = 4) -> DataFrame:
     """urls (url, any other columns) with body, status, etag and last_modified.
 
-    One task has all pages of a host, one after the other with at least ``delay`` seconds between them, so that no host is hurried.
+    Requests run side by side, ``at_once`` in each of ``lanes`` tasks. With a ``delay`` a host's pages are in one lane and are fetched one
+    after the other, at least so many seconds apart, so that no host is hurried.
     """
     known = cache if cache is not None else urls.sparkSession.createDataFrame([], CACHE)
     asked = urls.join(known.select(F.col("url").alias("__url"), F.col("etag").alias("__etag"), F.col("last_modified").alias("__modified")), F.col("url") == F.col("__url"), "left").drop("__url")
-    dealt = asked.withColumn("__host", host(F.col("url"))).repartition("__host").sortWithinPartitions("__host", "url")
-    names = urls.columns
+    placed = asked.withColumn("__host", host(F.col("url")))
+    key, names = ("__host" if delay > 0 else "url"), urls.columns
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, at = None, 0.0
-        for b in batches:
-            replies = []
-            for url, where, etag, modified in zip(b["url"], b["__host"], b["__etag"], b["__modified"], strict=True):
-                if where == last and delay > 0:
-                    fetch.pause(max(0.0, at + delay - time.monotonic()))
-                last, at = where, time.monotonic()
-                replies.append(fetch(url, etag or None, modified or None))
-            added = {k: pd.Series([getattr(r, k) for r in replies], index=b.index, dtype="int64" if k == "status" else object) for k in ("body", "status", "etag", "last_modified")}
-            yield b.assign(**added)[[*names, "body", "status", "etag", "last_modified"]]
+        pace = Pace(delay, pause=fetch.pause)
 
-    return dealt.mapInPandas(each, ", ".join(f"`{n}` {t}" for n, t in urls.dtypes) + ", body string, status int, etag string, last_modified string")
+        def one(row: tuple[str, str, str | None, str | None]) -> Reply:
+            pace.wait(row[1])
+            return fetch(row[0], row[2] or None, row[3] or None)
+
+        for whole in batches:
+            for k in range(0, len(whole), HELD * at_once):
+                b = whole.iloc[k : k + HELD * at_once]
+                rows = list(zip(b["url"], b["__host"], b["__etag"], b["__modified"], strict=True))
+                replies = side_by_side(one, rows, at_once, (lambda r: r[1]) if delay > 0 else None)
+                added = {c: pd.Series([getattr(r, c) for r in replies], index=b.index, dtype="int64" if c == "status" else object) for c in ("body", "status", "etag", "last_modified")}
+                yield b.assign(**added)[[*names, "body", "status", "etag", "last_modified"]]
+
+    return dealt(placed, F.col(key), lanes).mapInPandas(each, ", ".join(f"`{n}` {t}" for n, t in urls.dtypes) + ", body string, status int, etag string, last_modified string")
 
 
 def renewed(cache: DataFrame, replies: DataFrame) -> DataFrame:
@@ -135,27 +139,20 @@ def renewed(cache: DataFrame, replies: DataFrame) -> DataFrame:
     return cache.join(said.select("url"), "url", "left_anti").unionByName(said)
 
 
-def _folder(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache kept there; an empty one where there is none or it can't be read."""
-    target, files = _folder(spark, path)
-    if not files.exists(target):
-        return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).option("ignoreCorruptFiles", True).parquet(path)
+    return Store(spark, path).read("cache", CACHE, ignoreCorruptFiles=True)
 
 
 def save_cache(cache: DataFrame, path: str) -> None:
-    """Replace what is kept there as a whole: it is written beside, and moved when it is complete."""
-    spark = cache.sparkSession
-    target, files = _folder(spark, path)
-    beside, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + x) for x in (".new", ".old"))
-    cache.select("url", "etag", "last_modified").write.mode("overwrite").parquet(path + ".new")
-    files.delete(old, True)
-    if files.exists(target):
-        files.rename(target, old)
-    files.rename(beside, target)
-    files.delete(old, True)
+    """Replace what is kept there as a whole: a new version of its store."""
+    store = Store(cache.sparkSession, path)
+    store.update(lambda _: ({"cache": cache.select("url", "etag", "last_modified")}, {}, {}))
+    store.expire()
+
+
+def renew_cache(replies: DataFrame, path: str) -> None:
+    """Put what the replies say into the cache kept there, whichever version that is when it is written."""
+    store = Store(replies.sparkSession, path)
+    store.update(lambda base: ({"cache": renewed(store.read("cache", CACHE, base, ignoreCorruptFiles=True), replies)}, {}, {}))
+    store.expire()

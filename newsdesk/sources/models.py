@@ -1,7 +1,7 @@
 """Calls of a language model as batch maps, through an injected function; without one, the fallbacks.
 
 ``call`` takes a prompt and a :class:`Profile` and returns the answer; what fails is tried again and then null. It is pickled to the
-workers, where each call runs in the task of its row: a batch is a row, so batches run side by side.
+workers. A batch is a row; rows are dealt into lanes, a task each, which make so many calls at once (see :mod:`.lanes`).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..functions.text import category_display, has_ai_keyword, no_change, strip_
 from ..operators import numbering
 from ..operators.documents import ORDER
 from ..operators.report import prompt_items
+from .lanes import HELD, dealt, side_by_side
 
 
 @dataclass(frozen=True)
@@ -63,8 +64,11 @@ class Endpoint:
             return json.load(answer)["choices"][0]["message"]["content"]
 
 
-def ask(asked: DataFrame, column: str, call: Call | None, task: str = "summarize", attempts: int = 2, pause: Callable[[float], None] = time.sleep, into: str = "response") -> DataFrame:
-    """asked with the answer to the prompt in ``column``: null where the prompt is, where each attempt failed or without a call."""
+def ask(asked: DataFrame, column: str, call: Call | None, task: str = "summarize", attempts: int = 2, pause: Callable[[float], None] = time.sleep, into: str = "response", lanes: int | None = None, at_once: int = 3) -> DataFrame:
+    """asked with the answer to the prompt in ``column``: null where the prompt is, where each attempt failed or without a call.
+
+    ``lanes * at_once`` calls run at once at most; lanes are by default as many as the cluster has cores.
+    """
     names, profile = asked.columns, Profile.of(task)
 
     def answer(prompt: str | None) -> str | None:
@@ -77,10 +81,12 @@ def ask(asked: DataFrame, column: str, call: Call | None, task: str = "summarize
         return None
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(**{into: pd.Series(list(map(answer, b[column])), index=b.index, dtype=object)})[[*names, into]]
+        for whole in batches:
+            for k in range(0, len(whole), HELD * at_once):
+                b = whole.iloc[k : k + HELD * at_once]
+                yield b.assign(**{into: pd.Series(side_by_side(answer, b[column], at_once), index=b.index, dtype=object)})[[*names, into]]
 
-    return asked.mapInPandas(each, ", ".join(f"`{n}` {t}" for n, t in asked.dtypes) + f", `{into}` string")
+    return dealt(asked, F.col(column), lanes).mapInPandas(each, ", ".join(f"`{n}` {t}" for n, t in asked.dtypes) + f", `{into}` string")
 
 
 def parsed(response: Column, schema: str) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .snapshots import Store
+
 TRACKER = "id string, title string, source string, processed_at string"
 
 
@@ -67,28 +70,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def rewrite_tracker(rows: DataFrame, path: str) -> None:
-    """Replace the tracker as a whole, for instance by its unexpired rows: written beside, and moved when complete."""
-    spark = rows.sparkSession
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, beside, old = fs.Path(path), fs.Path(path + ".new"), fs.Path(path + ".old")
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows.select("id", "title", "source", "processed_at").write.mode("overwrite").parquet(path + ".new")
-    files.delete(old, True)
-    if files.exists(target):
-        files.rename(target, old)
-    files.rename(beside, target)
-    files.delete(old, True)
+    """Replace the tracker as a whole."""
+    prune_tracker(rows.sparkSession, path, lambda _: rows)
+
+
+def prune_tracker(spark: SparkSession, path: str, kept: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace the tracker by what is to be kept of it, for instance its unexpired rows; rows that another run adds meanwhile stay."""
+    store = Store(spark, path)
+    store.update(lambda base: ({"tracker": kept(store.read("tracker", TRACKER, base)).select("id", "title", "source", "processed_at")}, {}, {}))
+    store.expire()
 
 
 def append_tracker(rows: DataFrame, path: str) -> None:
-    rows.select("id", "title", "source", "processed_at").write.mode("append").parquet(path)
+    store = Store(rows.sparkSession, path)
+    store.update(lambda _: ({}, {"tracker": rows.select("id", "title", "source", "processed_at")}, {}))
 
 
 def load_tracker(spark: SparkSession, path: str) -> DataFrame:
     """The tracker's rows; none where there is no tracker yet."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], TRACKER)
-    return spark.read.schema(TRACKER).parquet(path)
+    return Store(spark, path).read("tracker", TRACKER)
 
 
 def write_report(lines: DataFrame, path: str, order: list[str]) -> None:

@@ -1,6 +1,7 @@
 """The command line: collect, repeat, finalize."""
 
 from newsdesk import __main__ as cli
+from newsdesk.sources import workspace
 
 SCHEMA = "pos long, title string, url string, source string, category string, description string, language string, published timestamp, priority int, hn_points int, full_text string"
 
@@ -22,7 +23,7 @@ def test_collect_and_finalize(spark, tmp_path):
     assert run() == 2
     assert run("--articles", str(tmp_path / "in")) == 0
     assert sorted(r["pos"] for r in spark.read.parquet(f"{work}/articles").collect()) == [0, 3]
-    assert spark.read.parquet(f"{work}/tracker").count() == 2
+    assert workspace.load_tracker(spark, f"{work}/tracker").count() == 2
     assert run("--finalize") == 0
     text = next((tmp_path / "w" / "report-tech").glob("part-*")).read_text()
     assert "[**Alpha release today**](https://e.com/1)" in text and "Undated piece" in text
@@ -40,7 +41,7 @@ def test_collect_and_finalize(spark, tmp_path):
     assert cli.main(["--source", "podcast", "--workspace", work, "--finalize"], lambda: spark) == 3
     assert cli.main(["--source", "tech", "--workspace", str(tmp_path / "none"), "--finalize"], lambda: spark) == 1
     assert run("--articles", str(tmp_path / "in")) == 0
-    assert spark.read.parquet(f"{work}/tracker").count() == 2
+    assert workspace.load_tracker(spark, f"{work}/tracker").count() == 2
 
 
 RSS = "<rss><channel><item><title>{0} one</title><link>https://{0}.com/1</link><pubDate>2026-04-06 01:00:00</pubDate></item></channel></rss>"

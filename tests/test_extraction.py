@@ -81,3 +81,26 @@ def test_workspace(spark, tmp_path):
     (tmp_path / "s2.json").write_text('{"url": "u", "tier": "a"}\n{"url": "u", "tier": "must_read"}\n')
     got = {r["url"]: r["tier"] for r in workspace.last_summaries(spark, str(tmp_path / "s*.json")).collect()}
     assert got == {"u": "must_read", "v": "x"}
+
+
+def test_episodes_of_long_lists_as_by_looking_at_each(spark):
+    import random
+
+    from newsdesk.operators.containment import first_match
+
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("ab é") for _ in range(rng.randint(0, 7)))
+    listed = [(g, k, name(), f"{g}{k}") for g in "xyz" for k in range(60)] + [("long", k, f"episode {k * 7919 % 20000} of many", str(k)) for k in range(20_000)] + [("x", 99, None, "null"), (None, 1, "a", "n")]
+    wanted = [(g, name()) for g in "xyzw" for _ in range(150)] + [("long", t) for t in ("episode 77 of many", "77 of many", "e", "the episode 5 of many again", "none")] + [("x", None), (None, "a"), ("x", "a"), ("x", "a")]
+
+    def brute(g, t):
+        rows = [(k, x, v) for h, k, x, v in listed if h == g and x is not None] if t is not None and g is not None else []
+        same = [(k, v) for k, x, v in rows if x == t]
+        part = [(k, v) for k, x, v in rows if x in t or t in x]
+        return min(same or part, default=(None, None))[1]
+
+    df = spark.createDataFrame(listed, "grp string, k int, t string, value string").repartition(4)
+    got = {(r["grp"], r["t"]): r["value"] for r in first_match(spark.createDataFrame(wanted, "grp string, t string"), df).collect()}
+    want = {(g, t): brute(g, t) for g, t in wanted}
+    assert got == {k: v for k, v in want.items() if v is not None} and len(got) > 300
+    assert first_match(spark.createDataFrame([], "grp string, t string"), df).count() == 0

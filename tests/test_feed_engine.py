@@ -4,7 +4,7 @@ import random
 
 import pytest
 from newsdesk.functions import keywords, text, urls
-from newsdesk.operators import dedup, documents, editorial, setjoin, topics
+from newsdesk.operators import dedup, documents, editorial, numbering, setjoin, topics
 from newsdesk.sources import catalog, feeds, models
 from newsdesk.streaming import seen
 from pyspark.sql import functions as F
@@ -79,7 +79,8 @@ def brute_greedy(rows, threshold=0.85):
     return sorted(p for p, _, _ in kept)
 
 
-def test_greedy_dedup_against_the_sequential_rule(spark):
+@pytest.mark.parametrize("whole", [dedup.WHOLE, 12, 1])
+def test_greedy_dedup_against_the_sequential_rule(spark, whole):
     r = random.Random(5)
     base = [" ".join(f"t{r.randrange(400)}" for _ in range(14)) for _ in range(8)]
     rows = []
@@ -88,7 +89,7 @@ def test_greedy_dedup_against_the_sequential_rule(spark):
         words[r.randrange(14)] = r.choice(["x", "y", words[0]])
         rows.append((i, r.choice([" ".join(words), r.choice(base), ""]), r.choice(["", f"https://e.com/{r.randrange(60)}"])))
     rows += [(200, "a b c d e f g h i j k l m n", "https://e.com/c1"), (201, "a b c d e f g h i j k l m z", "https://e.com/c2"), (202, "a b c d e f g h i j k l y z", "https://e.com/c3")]
-    got = dedup.greedy(spark.createDataFrame(rows, "pos long, title string, url string")).select("pos").collect()
+    got = dedup.greedy(spark.createDataFrame(rows, "pos long, title string, url string"), whole=whole).select("pos").collect()
     assert sorted(x["pos"] for x in got) == brute_greedy(rows)
 
 
@@ -148,9 +149,11 @@ def test_plain_text_and_page_functions(spark):
 
 
 def test_greedy_dedup_of_a_long_chain(spark):
-    rows = [(k, " ".join(f"c{i}" for i in range(k, k + 14)), f"https://e.com/{k}") for k in range(30)]
-    got = dedup.greedy(spark.createDataFrame(rows, "pos long, title string, url string")).select("pos").collect()
-    assert sorted(x["pos"] for x in got) == brute_greedy(rows)
+    """Each of 100,000 titles rules out the next one; a component is decided in one go, where rounds would be as many as its length."""
+    title = F.array_join(F.transform(F.sequence(F.col("id"), F.col("id") + 13), lambda i: F.concat(F.lit("c"), i.cast("string"))), " ")
+    rows = spark.range(100_000).select(F.col("id").alias("pos"), title.alias("title"), F.concat(F.lit("https://e.com/"), F.col("id").cast("string")).alias("url"))
+    got = dedup.greedy(rows).agg(F.count("*").alias("n"), F.sum(F.col("pos") % 2).alias("odd"), F.max("pos").alias("last")).collect()[0]
+    assert tuple(got) == (50_000, 0, 99_998)
 
 
 def test_editorial_cases(spark):
@@ -236,3 +239,47 @@ def test_streaming_first_seen(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT count(*), count(DISTINCT id) FROM seen").collect()[0][:2] == (2, 2)
+
+
+@pytest.mark.parametrize("span", [4, 7, 1000])
+def test_values_carried_over_ranges(spark, span):
+    r = random.Random(span)
+    rows = [(k * 2 - 20, r.choice("ab"), r.choice([None, None, None, k])) for k in range(60)]
+    df = spark.createDataFrame(rows, "pos long, g string, v int").repartition(5)
+    for ahead in (False, True):
+        for own in (False, True):
+            got = {x["pos"]: x["c"] for x in numbering.carried(df, F.col("v"), "c", ["g"], span=span, ahead=ahead, own=own).collect()}
+            for pos, g, _ in rows:
+                seen_ = [v for p, h, v in rows if h == g and v is not None and ((p >= pos if own else p > pos) if ahead else (p <= pos if own else p < pos))]
+                assert got[pos] == (None if not seen_ else seen_[0] if ahead else seen_[-1])
+
+
+def test_long_lists_and_sections_by_ranges(spark):
+    from pyspark.sql.window import Window
+
+    n = F.col("id")
+    line = F.when(n % 97 == 5, F.concat(F.lit("## C"), n.cast("string"))).when(n % 3 == 0, F.concat(F.lit("- [n"), n.cast("string"), F.lit("](u)"))).otherwise("text")
+    lines = spark.range(20_000).select(n.cast("int").alias("line_no"), line.alias("line")).repartition(7)
+    got = catalog.parse_list(lines, span=512)
+    assert "Window" in got._jdf.queryExecution().toString()
+    order = Window.orderBy("line_no")
+    head = F.nullif(F.regexp_extract("line", "^##\\s+(.+?)\\s*$", 1), F.lit(""))
+    want = lines.withColumn("category", F.last(head, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("line LIKE '- %'").select((F.row_number().over(order) - 1).alias("index"), "category")
+    assert sorted(tuple(r) for r in got.select("index", "category").collect()) == sorted(tuple(r) for r in want.collect())
+    r = random.Random(8)
+    text_ = [r.choice(["---", "", "", "a", "b", "---"]) for _ in range(300)]
+    rows = [(s, k, x) for s in (0, 1) for k, x in enumerate(["# T", "", "---", *text_[s * 150 : s * 150 + 150], "z", "", "---", "*x UTC*"], 1)]
+    df = spark.createDataFrame(rows, "sec int, n long, line string")
+    small, whole = (sorted(tuple(x) for x in documents._body(df, span).collect()) for span in (5, 1 << 16))
+    assert small == whole and 100 < len(small) < 300
+
+
+def test_reports_look_at_their_articles_once(spark):
+    a = spark.createDataFrame([(k, f"t{k}", f"https://e.com/{k}", "s", "cloud", ["must_read", "noteworthy", "brief"][k % 3]) for k in range(9)], "pos long, title string, url string, source string, category string, tier string")
+    summaries = a.select("url", F.lit("S").alias("ai_summary"), F.lit("AI/ML").alias("category"), "tier", F.lit("r").alias("importance_reason"))
+    results = documents.results_from_summaries(documents.with_summaries(a.drop("tier"), summaries))
+    h = documents.Heading("en", "d", "t")
+    for made, most in ((documents.tiered_sections(results, h, 0), 4), (documents.tiered_report(results, h), 4)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= most, plan
+        assert made.count() > 20
