@@ -308,11 +308,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         repeated = stored(repeated_anchors(keyed, first, ranges), "anchors")
         anchored = key_filter(repeated, "anchor")
         found = stored(candidates(keyed, first, anchored), "windows")
+    # stored, so that a window of very many documents is a skewed side of the join, which adaptive execution splits, and no group of it
     least = found.groupBy("hash", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "check", "least")
+    least = stored(least, "least")
     marked = found.join(least, ["hash", "check"]).where("doc_id > least").select("doc_id", "dk", "at")
     marked = marked.unionByName(later.withColumn("at", F.lit(-1)))
     touched = stored(marked.groupBy("doc_id", "dk").agg(F.collect_set("at").alias("at")), "touched")
-    discard(repeated, found)
+    discard(repeated, found, least)
     maybe = filter_rows(keyed, key_filter(touched, "dk"))
     plain = maybe.where("NOT maybe").select("doc_id", "text", F.array().cast("array<int>").alias("at"))
     met = maybe.where("maybe").join(touched, ["doc_id", "dk"], "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<int>")).alias("at"))
