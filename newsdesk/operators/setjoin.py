@@ -33,16 +33,28 @@ def grouped(df: DataFrame, words: Column) -> DataFrame:
     return df.select(F.array_sort(words).alias("words")).where(F.size("words") > 0).distinct().withColumn("gid", F.sha2(F.to_json("words"), 256))
 
 
-def similar(groups: DataFrame, threshold: float) -> DataFrame:
-    """a, b (group ids, a < b) of sets with Jaccard similarity above the threshold."""
+def _ranked(groups: DataFrame, threshold: float) -> DataFrame:
+    """gid, n (size), and each word w of a set's prefix with its df and its place k (1-based) in the order from the rarest word on.
+
+    Two sets of n and m words that are similar enough share more than threshold / (1 + threshold) * (n + m) words. The first word in that
+    order that they share is in both prefixes, and what they share is it and words behind it.
+    """
     word = groups.select("gid", F.explode("words").alias("w"))
-    rare = word.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = word.join(rare, "w").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    often = word.groupBy("w").agg(F.count("*").alias("df"))
+    ordered = word.join(often, "w").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
     size = F.size("o")
-    indexed = ordered.select("gid", size.alias("n"), F.explode(F.slice("o", 1, size - F.ceil(size * threshold).cast("int") + 1)).alias("x")).select("gid", "n", F.col("x.w").alias("w"))
+    prefix = F.slice("o", 1, size - F.ceil(size * threshold).cast("int") + 1)
+    return ordered.select("gid", size.alias("n"), F.posexplode(prefix).alias("k", "x")).select("gid", "n", (F.col("k") + 1).alias("k"), F.col("x.w").alias("w"), F.col("x.df").alias("df"))
+
+
+def similar(groups: DataFrame, threshold: float) -> DataFrame:
+    """a, b (group ids, a < b) of sets with Jaccard similarity above the threshold."""
+    indexed = cut(_ranked(groups, threshold).where("df > 1"))
     x, y = indexed.alias("x"), indexed.alias("y")
     fits = (F.col("x.w") == F.col("y.w")) & (F.col("x.gid") < F.col("y.gid")) & (F.col("x.n") >= threshold * F.col("y.n")) & (F.col("y.n") >= threshold * F.col("x.n"))
-    pairs = x.join(y, fits).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
+    # true at the first word that they share, if they are similar enough
+    enough = F.expr(f"(1 + least(x.n - x.k, y.n - y.k)) * {1 + threshold} > (x.n + y.n) * {threshold} - 1e-9")
+    pairs = x.join(y, fits & enough).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
     left, right = groups.select(F.col("gid").alias("a"), F.col("words").alias("wa")), groups.select(F.col("gid").alias("b"), F.col("words").alias("wb"))
     return pairs.join(left, "a").join(right, "b").where(jaccard(F.col("wa"), F.col("wb")) > threshold).select("a", "b")
 
@@ -90,23 +102,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("gid").join(labels.withColumnRenamed("gid", "g"), F.col("gid") == F.col("g"), "left").select("gid", F.coalesce("root", "gid").alias("root"))
 
 
-def _spanning(left: list, right: list, same: bool, threshold: float) -> list[tuple[str, str]]:
-    """Links that connect what all links between two blocks (gid, label, words) above the threshold connect, but for equal labels.
+def _spanning(gids: list[str], label: np.ndarray, codes: np.ndarray, size: np.ndarray, threshold: float) -> list[tuple[str, str]]:
+    """Links that connect what all links between the rows above the threshold connect, but for equal labels. codes: the rows' words, one after the other.
 
     A search from each row not yet reached, only among those not yet reached.
     """
-    rows = left if same else left + right
-    n, most = len(rows), max(len(r[2]) for r in rows)
-    words = np.full((n, most), -1, np.int64)
-    for k, r in enumerate(rows):
-        words[k, : len(r[2])] = r[2]
-    size = np.array([len(r[2]) for r in rows])
-    # ranks of words within the two blocks: a row's words are marked in a table, and each row's marks are summed
-    codes, place = np.unique(words, return_inverse=True)
-    place = place.reshape(words.shape)
-    none = np.flatnonzero(codes == -1)  # what fills short rows
-    mark = np.zeros(len(codes), bool)
-    label = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    n = len(gids)
+    # ranks of words within the rows: a row's words are marked in a table, and each row's marks are summed; rank 0 fills short rows
+    known, rank = np.unique(codes, return_inverse=True)
+    place = np.zeros((n, int(size.max())), np.int64)
+    place[np.arange(place.shape[1])[None, :] < size[:, None]] = rank + 1
+    mark = np.zeros(len(known) + 1, bool)
     todo, out = np.ones(n, bool), []
     for first in range(n):
         if not todo[first]:
@@ -119,31 +125,42 @@ def _spanning(left: list, right: list, same: bool, threshold: float) -> list[tup
             if not len(at):
                 break
             mark[place[k]] = True
-            mark[none] = False
+            mark[0] = False
             common = mark[place[at]].sum(1)
             mark[place[k]] = False
             found = at[common > threshold * (size[at] + size[k] - common)]
             todo[found] = False
             front += found.tolist()
-            out += [(rows[k][0], rows[j][0]) for j in found[label[found] != label[k]].tolist()]
+            out += [(gids[k], gids[j]) for j in found[label[found] != label[k]].tolist()]
     return out
 
 
-def _linked(listed: DataFrame, threshold: float, block: int) -> DataFrame:
-    """a, b: links that connect what all pairs of sets which share a listed word connect. listed: w, gid, label, codes.
+def _linked(listed: DataFrame, threshold: float, block: int, classes: bool = False) -> DataFrame:
+    """a, b: links that connect what all pairs of sets which share a listed word connect. listed: w, gid, label, codes, n, k.
 
     A word's sets are cut into cells of about ``block``, and a label with more sets than that into cells of its own; pairs of cells of
-    one and the same label have nothing to connect.
+    one and the same label have nothing to connect. classes: sets are told apart by their size and by the size below which another one
+    may be similar enough through this word (as no more words are shared than stand behind it); sets that no other one of the word fits
+    are left out, and cells that don't fit each other don't meet.
     """
-    sizes = listed.groupBy("w").agg(F.ceil(F.count("*") / block).cast("int").alias("cells"))
-    own = listed.groupBy("w", "label").agg(F.ceil(F.count("*") / block).cast("int").alias("own")).where("own > 1")
-    placed = listed.join(sizes, "w").join(own, ["w", "label"], "left")
-    cell = F.when(F.col("own").isNotNull(), F.concat_ws("#", "label", F.pmod(F.xxhash64("gid"), F.col("own")))).otherwise(F.pmod(F.xxhash64("label"), F.col("cells")).cast("string"))
-    packed = cut(placed.groupBy("w", cell.alias("cell")).agg(F.collect_list(F.struct("gid", "label", "codes")).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")))
-    keys = packed.select("w", "cell", "low", "high")
+    listed = listed.withColumn("most", F.expr(f"(1 + n - k) * {(1 + threshold) / threshold} - n + 1e-6"))
+    kind = F.lit(0)
+    if classes:
+        least = listed.groupBy("w").agg(F.min("n").alias("least"))
+        listed = cut(listed.join(least, "w").where("most > least").drop("least"))
+        kind = F.expr("cast(floor(log2(n)) as int) * 8 + cast(least(7, floor(most / 4)) as int)")
+    kinds = listed.withColumn("kind", kind)
+    sizes = kinds.groupBy("w", "kind").agg(F.ceil(F.count("*") / block).cast("int").alias("cells"))
+    own = kinds.groupBy("w", "kind", "label").agg(F.ceil(F.count("*") / block).cast("int").alias("own")).where("own > 1")
+    placed = kinds.join(sizes, ["w", "kind"]).join(own, ["w", "kind", "label"], "left")
+    cell = F.when(F.col("own").isNotNull(), F.concat_ws("#", "kind", "label", F.pmod(F.xxhash64("gid"), F.col("own")))).otherwise(F.concat_ws("#", "kind", F.pmod(F.xxhash64("label"), F.col("cells"))))
+    about = [F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("most").alias("most")]
+    packed = cut(placed.groupBy("w", cell.alias("cell")).agg(F.collect_list(F.struct("gid", "label", "codes")).alias("rows"), *about))
+    keys = packed.select("w", "cell", "low", "high", "least", "most")
     other = keys.select(*[F.col(c).alias(f"o_{c}") for c in keys.columns])
     pure = (F.col("low") == F.col("high")) & (F.col("o_low") == F.col("low")) & (F.col("o_high") == F.col("low"))
-    pairs = keys.join(other, (F.col("w") == F.col("o_w")) & (F.col("cell") <= F.col("o_cell")) & ~pure).select("w", "cell", "o_cell")
+    fits = F.expr("least < o_most AND o_least < most")
+    pairs = keys.join(other, (F.col("w") == F.col("o_w")) & (F.col("cell") <= F.col("o_cell")) & ~pure & fits).select("w", "cell", "o_cell")
     n = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = pairs.join(packed.select("w", "cell", "rows"), ["w", "cell"]).repartition(n, "w", "o_cell")
     right = packed.select("w", F.col("cell").alias("o_cell"), F.col("rows").alias("o_rows")).repartition(n, "w", "o_cell")
@@ -153,9 +170,11 @@ def _linked(listed: DataFrame, threshold: float, block: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, y, same in zip(b.column("rows"), b.column("o_rows"), b.column("same").to_pylist(), strict=True):
-                plain = lambda v: [(r["gid"], r["label"], r["codes"]) for r in v.as_py()]
-                left = plain(x)
-                found = _spanning(left, [] if same else plain(y), same, threshold)
+                cells = [v.values.flatten() for v in ((x,) if same else (x, y))]  # gid, label and codes
+                gids, labels = ([t for c in cells for t in c[k].to_pylist()] for k in (0, 1))
+                codes = np.concatenate([c[2].flatten().to_numpy() for c in cells])
+                size = np.concatenate([np.diff(c[2].offsets.to_numpy()) for c in cells])
+                found = _spanning(gids, np.asarray(pa.array(labels).dictionary_encode().indices), codes, size, threshold)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([z for _, z in found])], ["a", "b"])
 
@@ -165,20 +184,18 @@ def _linked(listed: DataFrame, threshold: float, block: int) -> DataFrame:
 def connected(groups: DataFrame, threshold: float, rare: int = 64, block: int = 2048) -> DataFrame:
     """gid and root: components of the sets whose Jaccard similarity exceeds the threshold.
 
-    Words are taken in two bands, those of few sets first; sets that these have connected are not compared with each other again, so
-    frequent words cost little where the rare ones tell the same. No pair leaves a task but the links of a spanning forest.
+    Sets so small that one shared word is enough are linked to the first of each word. The other words are taken in two bands, those of few
+    sets first; sets that these have connected are not compared with each other again, and of a frequent word only such sets as may be
+    similar enough through it. No pair leaves a task but the links of a spanning forest.
     """
-    word = groups.select("gid", F.explode("words").alias("w"))
-    often = word.groupBy("w").agg(F.count("*").alias("df"))
     coded = groups.select("gid", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("codes"))
-    ordered = word.join(often, "w").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    size = F.size("o")
-    prefix = F.slice("o", 1, size - F.ceil(size * threshold).cast("int") + 1)
-    listed = cut(ordered.select("gid", F.explode(prefix).alias("x")).select("gid", F.col("x.w").alias("w"), F.col("x.df").alias("df")).where("df > 1").join(coded, "gid"))
-    first = cut(_linked(listed.where(F.col("df") <= rare).withColumn("label", F.col("gid")), threshold, block))
+    listed = cut(_ranked(groups, threshold).where("df > 1").join(coded, "gid"))
+    tiny = listed.where(F.col("n") * 2 * threshold < 1 + threshold - 1e-9)
+    star = tiny.join(tiny.groupBy("w").agg(F.min("gid").alias("a")), "w").where("a <> gid").select("a", F.col("gid").alias("b"))
+    first = cut(_linked(listed.where(F.col("df") <= rare).withColumn("label", F.col("gid")), threshold, block).union(star))
     roots = cut(components(groups, first))
     rest = listed.where(F.col("df") > rare).join(roots.select("gid", F.col("root").alias("label")), "gid")
-    second = _linked(rest, threshold, block)
+    second = _linked(rest, threshold, block, True)
     return components(groups, first.union(second))
 
 

@@ -283,3 +283,39 @@ def test_reports_look_at_their_articles_once(spark):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") <= most, plan
         assert made.count() > 20
+
+
+@pytest.mark.parametrize("threshold", [0.25, 0.4, 0.85])
+def test_similar_sets_and_components_against_all_pairs(spark, threshold):
+    r = random.Random(int(threshold * 100))
+    vocabulary = ["the"] * 12 + ["of"] * 6 + [f"w{k}" for k in range(60)]
+    rows = sorted({" ".join(sorted({r.choice(vocabulary) for _ in range(r.randint(1, 9))})) for _ in range(260)})
+    near = [" ".join(sorted({*x.split()[:-1], r.choice(vocabulary)})) for x in rows if len(x.split()) > 6]
+    sets = [set(x.split()) for x in sorted({*rows, *near})]
+    groups = setjoin.cut(setjoin.grouped(spark.createDataFrame([(sorted(s),) for s in sets], "ws array<string>"), F.col("ws")))
+    names = {frozenset(x["words"]): x["gid"] for x in groups.collect()}
+    links = {tuple(sorted((names[frozenset(a)], names[frozenset(b)]))) for i, a in enumerate(sets) for b in sets[:i] if len(a & b) / len(a | b) > threshold}
+    assert {tuple(x) for x in setjoin.similar(groups, threshold).collect()} == links and links
+    parent = {g: g for g in names.values()}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    want = {g: root(g) for g in parent}
+    for rare, block in ((64, 2048), (3, 4)):
+        assert {x["gid"]: x["root"] for x in setjoin.connected(groups, threshold, rare, block).collect()} == want
+
+
+@pytest.mark.parametrize("words", [2, 3])
+def test_a_word_of_very_many_sets(spark, words):
+    """200,000 titles share a word: with one more it links all of them, with two it links none."""
+    k = F.col("id").cast("string")
+    sets = spark.range(200_000).select(F.array(F.lit("all"), *[F.concat(F.lit(c), k) for c in "ab"[: words - 1]]).alias("ws"))
+    groups = setjoin.cut(setjoin.grouped(sets, F.col("ws")))
+    found = setjoin.connected(groups, 0.25).agg(F.count("*").alias("n"), F.countDistinct("root").alias("roots")).collect()[0]
+    assert tuple(found) == (200_000, 1 if words == 2 else 200_000)
