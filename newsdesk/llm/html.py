@@ -3,12 +3,14 @@
 The standard library's streaming parser turns a page into lines: a line is a block of text between two block-level tags. Each line
 has a text-to-tag ratio (characters over tags); the ratios are smoothed with a Gaussian kernel and clustered into two by a
 threshold. The content region is chosen by the text of the lines above the threshold: the article or main element that holds most of
-it or, where more than ``OUTSIDE`` times its whole text stands outside of all of these above the threshold (teasers beside a text in plain
-divisions), the smallest element around the lines above the threshold there. All lines of the region are kept, in page order, but for those in elements that
+it, which no text outside outvotes if it is the only one with such lines. Where several have some, and more than ``OUTSIDE`` times the
+best one's whole text stands outside of all of these above the threshold (teasers beside a text in plain divisions), or where none has,
+it is the smallest element around the lines above the threshold there, and the articles with such lines stay beside it. All lines of the region are kept, in page order, but for those in elements that
 are never content: menus, headers (but an article's own, and those in a main element that hold a heading), footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments. Outside of articles all other lines stay as well, but for menus that nothing
-names: lines of links alone, no headings, outside the smallest element around all other lines above the threshold (where that is the
-body itself, before the first and after the last of them).
+adverts, forms, scripts, styles and reader comments. Outside of articles, where one part of the
+page (an element right below the body) has all lines above the threshold, lines below it in other parts go, but for headings; where the
+lines above it stand in several parts, all stay. Menus that nothing names go as well: lines of links alone, no headings, outside the
+smallest element around all other lines above the threshold (where that is the body itself, before the first and after the last of them).
 
 Defined results: null or empty html, and pages without content, give an empty text; of two regions with as much text above the
 threshold the first is taken; unclosed and stray tags, unfinished character references and tags at the end are read as browsers do;
@@ -45,7 +47,7 @@ _NOISE = re.compile(f"(?:(?:{_BESIDE})[_-]+)*(?:{_NAMES})(?:[_-]+(?:{_NAMES}|{_B
 _REMARK = re.compile(f"(?:(?:{_BESIDE})[_-]+)*(?:{_REMARKS})(?:[_-]+(?:{_REMARKS}|{_BESIDE}|[0-9]+))*", re.IGNORECASE)
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SPACE = re.compile(r"\s+")
-#: How many times the best article's text must stand above the threshold outside of all for it to lose.
+#: How many times the best of several articles' text must stand above the threshold outside of all for that to be the region.
 OUTSIDE = 2.0
 
 
@@ -60,14 +62,14 @@ def _named(tag: str, attrs: list[tuple[str, str | None]]) -> re.Pattern[str] | N
 
 
 class _Lines(HTMLParser):
-    """Collects text, number of tags, region, elements around it and whether it is a menu's (links alone, no heading) for each line.
+    """Collects text, number of tags, region, elements around it, whether it is a menu's (links alone, no heading) and whether a heading for each line.
 
     Region 0 is the page outside any article or main element.
     """
 
     def __init__(self, cleared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...], bool, bool]] = []
         self.open: list[tuple[str, bool, int, int, tuple[int, ...] | None]] = []  # tag, never content, region, number of the element, named elements around it (None: never content for another reason)
         self.elements = 0
         self.cleared = cleared  # named elements that are content all the same
@@ -92,7 +94,8 @@ class _Lines(HTMLParser):
         self.parts = []
         if text:
             around = tuple(x[3] for x in self.open if x[0] not in INLINE and x[0] not in ("html", "body"))
-            self.lines.append((text, self.tags, self._state()[1], around, not self.plain and not any(x[0] in HEADING for x in self.open)))
+            heading = any(x[0] in HEADING for x in self.open)
+            self.lines.append((text, self.tags, self._state()[1], around, not self.plain and not heading, heading))
             self.tags = 0
         self.plain = False
 
@@ -243,7 +246,8 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     weight = np.bincount(region, chars * (content + 1e-6), page.regions + 1)
     if region.any():
         best = int(weight[1:].argmax()) + 1
-        if weight[0] <= OUTSIDE * chars[region == best].sum():
+        with_content = np.flatnonzero(np.bincount(region, content, page.regions + 1)[1:]) + 1
+        if len(with_content) == 1 or weight[0] <= OUTSIDE * chars[region == best].sum():
             return "\n".join(x[0] for x in lines if x[2] == best)
         # articles without a line above the threshold are teasers
         real = (np.bincount(region, content, page.regions + 1) > 0)[region] | (region == 0)
@@ -254,8 +258,9 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     inside = [lines[k][3][:-1] for k in at]
     common = os.path.commonprefix(inside)
     within = [x[3][: len(common)] == common if common else at[0] <= k <= at[-1] for k, x in enumerate(lines)]
-    # an article beside the text belongs to it only inside the text's own element
-    return "\n".join(x[0] for x, w in zip(lines, within, strict=True) if w or not x[4] and not x[2])
+    # outside of the page's part that has the text only what lies above the threshold is content, headings, and whole articles with such lines
+    part = common[:1]
+    return "\n".join(x[0] for x, w, c in zip(lines, within, content, strict=True) if w or x[2] or not x[4] and (c or x[5] or x[3][: len(part)] == part))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 from math import exp, log, log10
@@ -178,6 +179,31 @@ def test_layouts_without_article_keep_the_text(spark):
         assert len(bare) >= 0.95 * len(whole)
 
 
+def nameless(page):
+    """A page without the elements and attributes that say what a part is."""
+    page = re.sub(r"<(/?)(article|main|nav|aside|header|footer|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"<(div|p|ul|li|span)\b[^>]*>", r"<\1>", page)
+
+
+def test_ratios_decide_on_the_tables_pages_without_names(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if r["html"]]
+    wanted, found = [html.extract(x) for x in pages], [html.extract(nameless(x)) for x in pages]
+    monkeypatch.setattr(html, "threshold", lambda v: -1.0)
+    unclustered = [html.extract(nameless(x)) for x in pages]
+    assert sum(a == b for a, b in zip(unclustered, wanted, strict=True)) == 0
+    assert sum(a == b for a, b in zip(found, wanted, strict=True)) > 0.5 * len(pages)
+    lines = lambda x: set(x.split("\n"))
+    assert all(lines(w) <= lines(f) for w, f in zip(wanted, found, strict=True))  # nothing of the text is lost
+
+
+def test_an_article_with_content_is_never_dropped():
+    article, other = f"<article><p>{'word ' * 60}</p></article>", f"<div><p>{'other words here ' * 55}</p></div>"
+    for page in (article + other, other + article, f"<div>{article}</div>{other * 5}"):
+        assert html.extract(page) == ("word " * 60).strip()
+    two = html.extract(article + article.replace("word", "term") + other * 5)
+    assert {("word " * 60).strip(), ("term " * 60).strip()} <= set(two.split("\n"))
+
+
 def test_pages_table(spark):
     rows = [(1, None, None), (1, None, None), (None, "u", "<article>é x</article>")]
     out = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
