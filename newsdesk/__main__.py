@@ -5,7 +5,7 @@ python -m newsdesk --source tech --feeds feeds.json --workspace /shared/work
 python -m newsdesk --source tech --workspace /shared/work --finalize --language en --format wechat
 
 Environment: API_KEY, BASE_URL and MODEL (a model writes what the reports otherwise list), RSS_TIMEOUT, EDITORIAL_ENABLED, EDITORIAL_THRESHOLD,
-TIER_MUST_READ, TIER_NOTEWORTHY, HN_PROMOTE_THRESHOLD, ENRICH_FULL_TEXT, SKIP_CRITIQUE, REPORT_LANGUAGE, REPORT_BRAND, LOG_LEVEL.
+TIER_MUST_READ, TIER_NOTEWORTHY, HN_PROMOTE_THRESHOLD, ENRICH_FULL_TEXT, SUPADATA_API_KEY (transcripts of videos), SKIP_CRITIQUE, REPORT_LANGUAGE, REPORT_BRAND, LOG_LEVEL.
 
 Exit codes: 0 done, 1 an error of Spark or the files, 2 wrong arguments, 3 nothing to report, 130 interrupted.
 """
@@ -27,7 +27,7 @@ from .functions.extract import is_ai_category
 from .functions.text import is_account_article
 from .operators import dedup, documents, editorial, numbering, report, topics
 from .operators.documents import ORDER, Heading
-from .sources import catalog, enrich, feeds, http, models, workspace
+from .sources import catalog, enrich, feeds, http, models, transcripts, workspace
 from .storage import stored
 
 SOURCES = ("tech", "podcast", "wechat", "all")
@@ -165,12 +165,14 @@ def keep(spark: SparkSession, articles: DataFrame, args: argparse.Namespace, fet
     known = workspace.load_tracker(spark, tracker)
     at = F.lit(args.now).cast("timestamp") if args.now else F.current_timestamp()
     found, rows = collect(articles, dedup.unexpired(known, at), args.now, args.hours)
-    found = found.persist()
+    found = stored(found, "found")
     if os.environ.get("ENRICH_FULL_TEXT"):
         wanted = editorial.enrichment_candidates(found)
         pages = http.fetched(wanted.select("url").where("url <> ''").distinct(), None, fetch, 0.5)
         with_source = found if "content_source" in found.columns else found.withColumn("content_source", F.lit(None).cast("string"))
-        found = enrich.with_page_text(with_source, pages).persist()
+        found = stored(enrich.with_page_text(with_source, pages), "enriched")
+    if transcripts.configured():
+        found = stored(transcripts.with_transcripts(found, fetch), "transcripts")
     # the articles first: a run that ends between the two writes collects the same ones again
     account = is_account_article(F.col("category"), F.col("url"))
     if args.source == "tech":
@@ -184,7 +186,6 @@ def keep(spark: SparkSession, articles: DataFrame, args: argparse.Namespace, fet
     workspace.save_metadata(spark, f"{args.workspace}/runs", args.source, articles.select("source").distinct().count(), args.hours, found.count(), now)
     if not dedup.expired(workspace.load_tracker(spark, tracker), at).where("removed > 0").isEmpty():
         workspace.prune_tracker(spark, tracker, lambda kept: dedup.unexpired(kept, at))
-    found.unpersist()
     return 0
 
 

@@ -131,6 +131,9 @@ OTHER_CATEGORY, OTHER_THEME, BRIEF_UNIT = "其他", "其他 AI 动态", "条"
 PROMPT_PARTS = {"source": "来源", "link": "链接", "summary": "摘要", "kind": "来源类型", "text": "正文片段", "transcript": "视频字幕", "podcast": "播客", "episode": "单集", "notes": "节目简介", "account": "公众号", "article": "文章", "none": "无新文章", "about": "篇关于"}
 PROMPT_TIERS = ("=== ⭐ 必读 (Must Read) — 最重要的 AI 动态 ===", "=== 📰 值得关注 (Noteworthy) — 重要更新与研究 ===", "=== 📋 简讯 (Brief) — 常规更新 ===")
 
+# The transcript service's address and the environment's name for its key.
+TRANSCRIPT_URL, TRANSCRIPT_KEY = "https://api.supadata.ai/v1/transcript", "SUPADATA_API_KEY"
+
 # Mark of a transcript that was cut.
 TRANSCRIPT_CUT = "...[已截断]"
 

@@ -16,6 +16,10 @@ from .scalars import ORACLES as SCALAR_SQL
 HOSTS = ("https://doc.example.com/", "https://doc.example.com/", "https://X.com/", "https://a.tiktok.com/", "https://youtu.be/", "https://login.example.com/", "https://Reddit.com/r/")
 
 
+KNOWN = ("OpenAI.com blog", "x arxiv.org", "TechCrunch.com", "https://github.com/a", "机器之心", "nobody", "Blog.Google and wired.com")
+CJK_DIGITS = "人工智能大模型数据集"
+
+
 def _scored(spark, sf):
     """Text articles with same-title groups as clusters, priority by id and points from events, scored."""
     a = text_articles(spark, sf)
@@ -154,6 +158,19 @@ def clu04_topic_clusters(spark, sf):
     return topics.clusters(text_articles(spark, sf)).select("pos", "cluster_id", "cluster_size", "cross_source", "score")
 
 
+def clu01_mixed_keywords(spark, sf):
+    """Keywords of texts whose numbers are written with CJK characters, among Latin words."""
+    cjk = F.translate(F.col("doc_id").cast("string"), "0123456789", CJK_DIGITS)
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("The "), F.col("source"), F.lit(" "), cjk).alias("title"), F.concat(F.col("lang"), F.lit(" GPT "), cjk).alias("description"))
+    return d.select("doc_id", F.array_join(keywords(F.col("title"), F.col("description")), " ").alias("words"))
+
+
+def clu06_known_sources(spark, sf):
+    """Clusters of articles from sources of every weight."""
+    a = text_articles(spark, sf).withColumn("source", F.element_at(F.array(*map(F.lit, KNOWN)), (F.col("pos") % len(KNOWN) + 1).cast("int")))
+    return topics.clusters(a).select("pos", "cluster_id", "cross_source", "score")
+
+
 def top01_ranked_clusters(spark, sf):
     """Clusters, best first."""
     best = topics.ranked(topics.clusters(text_articles(spark, sf))).withColumn("less", -F.col("score"))
@@ -186,7 +203,7 @@ def clu06_themes(spark, sf):
 
 QUERIES = [
     m0_tier_histogram, edt_scores, win05_first_per_url, ded06_unseen, ded07_unexpired, clu02_keywords, flt04_ai_split, flt01_time_window, join01_summaries, agg10_source_stats, win03_ranks, win02_feed_caps,
-    top04_enrichment, src10_markdown_list, src19_last_summary, join08_refs, ded02_greedy_dedup, clu04_topic_clusters, clu06_themes,
+    top04_enrichment, src10_markdown_list, src19_last_summary, join08_refs, ded02_greedy_dedup, clu01_mixed_keywords, clu04_topic_clusters, clu06_known_sources, clu06_themes,
     src01_feed_scan, join02_cluster_scores, top01_ranked_clusters, edt03_factors, edt06_statistics,
 ]
 
@@ -219,7 +236,14 @@ _CLUSTERS = f"""WITH RECURSIVE {TEXT_ARTICLES}, {_KEYWORDS}, z AS (SELECT pos, w
     named AS (SELECT t.*, CASE WHEN n = 1 THEN 'c_other' ELSE 'c_' || root END AS cluster_id FROM text_articles t JOIN rooted USING (pos) JOIN sizes USING (root)),
     info AS (SELECT cluster_id, count(*) AS cluster_size, count(DISTINCT source) > 1 AS cross_source,
         least(floor((least(count(*) / 5.0::DOUBLE, 1) * 0.25::DOUBLE + CASE WHEN count(DISTINCT source) > 1 THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END + avg(0.4::DOUBLE) * 0.25::DOUBLE + avg({_SIGNAL}::INTEGER::DOUBLE) * 0.25::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000, 1) AS score FROM named GROUP BY cluster_id)"""
+_LADDER = "CASE" + "".join(f" WHEN contains(lower(source), '{domain}') THEN {weight}::DOUBLE" for domain, weight in fixed.AUTHORITY) + " ELSE 0.4::DOUBLE END"
+_KNOWN_CLUSTERS = _CLUSTERS.replace("doc_id AS url, source,", f"doc_id AS url, {list(KNOWN)}[doc_id % {len(KNOWN)} + 1] AS source,").replace("avg(0.4::DOUBLE)", f"avg({_LADDER})")
 ORACLES = {
+    "clu01_mixed_keywords": f"""WITH d AS (SELECT doc_id, lower(source) AS s, lower(lang) AS l, translate(doc_id::VARCHAR, '0123456789', '{CJK_DIGITS}') AS c FROM documents),
+        w AS (SELECT doc_id, list_concat(regexp_extract_all(s || ' ' || l || ' gpt', '[a-z0-9]+'), list_transform(generate_series(1, 2 * length(c) - 1), lambda i: substring(c || c, i, 2))) AS ws FROM d),
+        u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w), f AS (SELECT doc_id, w, min(i) AS i FROM u WHERE length(w) > 1 AND w NOT IN {tuple(fixed.STOP_WORDS_EN + fixed.STOP_WORDS_ZH)} GROUP BY 1, 2),
+        k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f) SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM k WHERE rn <= 15 GROUP BY 1""",
+    "clu06_known_sources": _KNOWN_CLUSTERS + " SELECT pos, cluster_id, cross_source, score FROM named JOIN info USING (cluster_id)",
     "m0_tier_histogram": _SCORED + " SELECT source, ['brief', 'noteworthy', 'must_read'][level + 1] AS editorial_tier, count(*) AS n, floor(sum(news_value_score) * 1000 + 0.5::DOUBLE) / 1000 AS value FROM s GROUP BY ALL",
     "edt_scores": _SCORED
     + """ SELECT pos, authority, floor(novelty * 1000 + 0.5::DOUBLE) / 1000 AS novelty, news_value_score, ['brief', 'noteworthy', 'must_read'][level + 1] AS editorial_tier, ['headline_only', 'summary_only', 'deep_analysis'][level + 1] AS depth,

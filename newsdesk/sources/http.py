@@ -62,7 +62,11 @@ def error_status(e: BaseException) -> int:
 
 @dataclass(frozen=True)
 class Fetcher:
-    """attempts: tries in all, min(2 ** k * 2, 30) seconds and up to one more apart. unverified: after a TLS error try once without verification."""
+    """attempts: tries in all, min(2 ** k * 2, 30) seconds and up to one more apart. unverified: after a TLS error try once without verification.
+
+    final: statuses after which there is no other try. waits: seconds before the next try after a status. keys: headers by the names that
+    the environment has for their values, looked up where the request is made, so that no key is pickled.
+    """
 
     transport: Transport = over_network
     timeout: float = 20.0
@@ -70,6 +74,9 @@ class Fetcher:
     unverified: bool = False
     pause: Callable[[float], None] = time.sleep
     headers: dict = field(default_factory=lambda: {"User-Agent": AGENT})
+    final: frozenset[int] = frozenset()
+    waits: dict[int, float] = field(default_factory=dict)
+    keys: dict[str, str] = field(default_factory=dict)
 
     @classmethod
     def from_env(cls, **options) -> Fetcher:
@@ -78,7 +85,7 @@ class Fetcher:
 
     def once(self, url: str, etag: str | None = None, last_modified: str | None = None) -> Reply:
         """304 brings back what was known; an error is a status below zero."""
-        headers = dict(self.headers)
+        headers = self.headers | {h: os.environ[name] for h, name in self.keys.items() if name in os.environ}
         if etag:
             headers["If-None-Match"] = etag
         if last_modified:
@@ -98,9 +105,9 @@ class Fetcher:
     def __call__(self, url: str, etag: str | None = None, last_modified: str | None = None) -> Reply:
         for k in range(self.attempts):
             reply = self.once(url, etag, last_modified)
-            if reply.body is not None or reply.status == 304 or k == self.attempts - 1:
+            if reply.body is not None or reply.status == 304 or reply.status in self.final or k == self.attempts - 1:
                 return reply
-            self.pause(min(2**k * 2, 30) + random.random())
+            self.pause(self.waits[reply.status] if reply.status in self.waits else min(2**k * 2, 30) + random.random())
         raise ValueError("no attempts")
 
 

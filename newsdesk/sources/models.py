@@ -200,31 +200,39 @@ def structure(articles: DataFrame, call: Call | None, most: int = 1000, **option
 _KINDS = {"tech": ("科技日报", "Tech Daily"), "podcast": ("播客日报", "Podcast Daily"), "wechat": ("微信日报", "Accounts Daily"), "digest": ("每日摘要", "Daily Summary")}
 
 
-def tldr(document: DataFrame, call: Call | None, kind: str = "tech", language: str = "zh", most: int = 8000, **options) -> str:
-    """Bullets on a report's first ``most`` characters; '' without an answer."""
-    if call is None:
-        return ""
+def _as_text(lines: DataFrame) -> DataFrame:
+    """articles: the lines of a document as one text, in a row."""
+    line = F.struct(*ORDER, F.coalesce("line", F.lit("")).alias("line"))
+    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("articles"))
+
+
+def tldr_of(document: DataFrame, call: Call | None, kind: str = "tech", language: str = "zh", most: int = 8000, **options) -> DataFrame:
+    """tldr: bullets on a report's first ``most`` characters, in a row; '' without an answer."""
     # no line is shorter than its end, so that many lines hold that many characters
-    text = "\n".join(r["line"] or "" for r in document.orderBy(*ORDER).limit(most).collect())[:most]
-    name = _KINDS.get(kind, (kind, kind))[language == "en"]
-    spark = document.sparkSession
-    prompt = prompts.TEMPLATES["tldr", language].format(name=name, articles=text)
-    answer = ask(spark.createDataFrame([(prompt,)], "prompt string"), "prompt", call, "tldr", **options)
-    return answer.select(F.coalesce(strip_code_fences(F.col("response")), F.lit("")).alias("x")).collect()[0]["x"]
+    text = _as_text(document.orderBy(*ORDER).limit(most)).select(F.substring("articles", 1, most).alias("articles"))
+    template = prompts.TEMPLATES["tldr", language].replace("{name}", _KINDS.get(kind, (kind, kind))[language == "en"])
+    answer = ask(text.select(_filled(template, articles=F.col("articles")).alias("prompt")), "prompt", call, "tldr", **options)
+    return answer.select(F.coalesce(strip_code_fences(F.col("response")), F.lit("")).alias("tldr"))
+
+
+def tldr(document: DataFrame, call: Call | None, *args, **options) -> str:
+    return tldr_of(document, call, *args, **options).collect()[0]["tldr"] if call else ""
 
 
-def deep_analysis(articles: DataFrame, call: Call | None, language: str = "zh", most: int = 1000, **options) -> str | None:
-    """An analysis of the first articles (see :func:`tiered_items`), reviewed; None without an answer, for the listing to take its place.
+def deep_analysis_of(articles: DataFrame, call: Call | None, language: str = "zh", most: int = 1000, **options) -> DataFrame:
+    """answer: an analysis of the first articles (see :func:`tiered_items`), reviewed, in a row; null without one.
 
     ``most`` bounds the one prompt.
     """
-    if call is None:
-        return None
-    rows = tiered_items(articles.orderBy("pos").limit(most)).orderBy(*ORDER).collect()
-    prompt = prompts.TEMPLATES["deep_analysis", language].format(articles="\n".join(r["line"] for r in rows))
-    asked = articles.sparkSession.createDataFrame([(prompt,)], "prompt string")
-    answer = refined(asked, "prompt", call, "deep_analysis", language, **options).collect()[0]["response"]
-    return answer.strip() if answer else None
+    text = _as_text(tiered_items(articles.orderBy("pos").limit(most)))
+    asked = text.select(_filled(prompts.TEMPLATES["deep_analysis", language], articles=F.col("articles")).alias("prompt"))
+    answer = refined(asked, "prompt", call, "deep_analysis", language, **options)
+    return answer.select(F.nullif(F.trim("response", F.lit(" \t\r\n")), F.lit("")).alias("answer"))
+
+
+def deep_analysis(articles: DataFrame, call: Call | None, *args, **options) -> str | None:
+    """The same as a text; None for the listing to take its place."""
+    return deep_analysis_of(articles, call, *args, **options).collect()[0]["answer"] if call else None
 
 
 def tiered_items(articles: DataFrame) -> DataFrame:

@@ -145,3 +145,36 @@ def test_shows_without_pages(spark):
     u = spark.createDataFrame([("s", "t", "u"), ("s", "t", None)], "source string, title string, url string")
     assert enrich.shows_to_fetch(u, spark.createDataFrame([("s", "")], "name string, podcast_url string")).count() == 0
     assert [r["url"] for r in enrich.with_episodes(u, spark.createDataFrame([], "source string, body string")).orderBy("url").collect()] == [None, "u"]
+
+
+def test_transcripts_of_a_limited_service(spark, tmp_path, monkeypatch):
+    import json
+
+    from newsdesk.functions import fixed
+    from newsdesk.sources import transcripts
+
+    assert not transcripts.configured({}) and transcripts.configured({fixed.TRANSCRIPT_KEY: "k"})
+    log = str(tmp_path / "log")
+
+    def transport(url, headers, timeout, relaxed):
+        with open(log, "a") as f:
+            f.write(json.dumps([url, timeout]) + "\n")
+        if "missing" in url:
+            return http.Reply(None, 404)
+        asked = sum(url in line for line in open(log))
+        return http.Reply(None, 429) if "often" in url or ("later" in url and asked < 2) else http.Reply('{"content": " said "}', 200)
+
+    waits = []
+    video = "https://www.youtube.com/watch?v="
+    rows = [(1, video + "aaaaaaaaaaa"), (2, "https://youtu.be/aaaaaaaaaaa"), (3, video + "missing1234"), (4, video + "often567890"), (5, "https://e.com"), (6, None), (7, video + "later678901"), (8, video + "short")]
+    a = spark.createDataFrame(rows, "pos long, url string")
+    out = transcripts.with_transcripts(a, http.Fetcher(transport, pause=lambda s: None), delay=0.0, lanes=1, at_once=1)
+    assert {r["pos"]: r["transcript"] for r in out.collect()} == {1: "said", 2: "said", 3: None, 4: None, 5: None, 6: None, 7: "said", 8: None}
+    asked = [json.loads(x) for x in open(log)]
+    count = lambda name: sum(name in u for u, _ in asked)
+    assert (count("aaaaaaaaaaa"), count("missing"), count("often"), count("later")) == (1, 1, 3, 2) and {t for _, t in asked} == {60.0}
+    # a limit has its own wait, and the key is taken from the environment where the request is made
+    seen = []
+    monkeypatch.setenv(fixed.TRANSCRIPT_KEY, "secret")
+    fetch = transcripts.service(http.Fetcher(lambda u, h, t, r: seen.append(h["x-api-key"]) or http.Reply(None, 429), pause=waits.append))
+    assert fetch("u").status == 429 and waits == [3.0, 3.0] and seen == ["secret"] * 3 and "secret" not in repr(fetch)
