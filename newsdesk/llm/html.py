@@ -3,13 +3,13 @@
 The standard library's streaming parser turns a page into lines: a line is a block of text between two block-level tags. Each line
 has a text-to-tag ratio (characters over tags); the ratios are smoothed with a Gaussian kernel and clustered into two by a
 threshold. The content region is chosen by the text of the lines above the threshold: the article or main element that holds most of
-it, which no text outside outvotes if it is the only one with such lines. Where several have some, and more than ``OUTSIDE`` times the
+it, which no text outside outvotes if it is the only one, or the only one with such lines. Where several have some, and more than ``OUTSIDE`` times the
 best one's whole text stands outside of all of these above the threshold (teasers beside a text in plain divisions), or where none has,
 it is the smallest element around the lines above the threshold there, and the articles with such lines stay beside it. All lines of the region are kept, in page order, but for those in elements that
 are never content: menus, headers (but an article's own, and those in a main element that hold a heading), footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments. Outside of articles, where one part of the
-page (an element right below the body) has all lines above the threshold, lines below it in other parts go, but for headings; where the
-lines above it stand in several parts, all stay. Menus that nothing names go as well: lines of links alone, no headings, outside the
+page (an element right below the body that isn't a paragraph) has all lines above the threshold, lines below it in other parts go, but
+for headings; where the lines above it stand in several parts, all stay. Menus that nothing names go as well: lines of links alone, no headings, outside the
 smallest element around all other lines above the threshold (where that is the body itself, before the first and after the last of them).
 
 Defined results: null or empty html, and pages without content, give an empty text; of two regions with as much text above the
@@ -34,6 +34,7 @@ NEVER = frozenset("head script style noscript template nav aside footer form but
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 REGION = frozenset(("article", "main"))
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+LOOSE = frozenset("p pre blockquote".split())
 #: Elements whose start closes an open p.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Names of noise, and what may stand beside them in one class; a class with any other part is not noise.
@@ -62,7 +63,7 @@ def _named(tag: str, attrs: list[tuple[str, str | None]]) -> re.Pattern[str] | N
 
 
 class _Lines(HTMLParser):
-    """Collects text, number of tags, region, elements around it, whether it is a menu's (links alone, no heading) and whether a heading for each line.
+    """Collects text, number of tags, region, elements around it, whether it is a menu's (links alone, no heading) and whether it is in no part of the page (a heading, or a paragraph right below the body) for each line.
 
     Region 0 is the page outside any article or main element.
     """
@@ -95,7 +96,8 @@ class _Lines(HTMLParser):
         if text:
             around = tuple(x[3] for x in self.open if x[0] not in INLINE and x[0] not in ("html", "body"))
             heading = any(x[0] in HEADING for x in self.open)
-            self.lines.append((text, self.tags, self._state()[1], around, not self.plain and not heading, heading))
+            loose = heading or not around or len(around) == 1 and any(x[0] in LOOSE for x in self.open)
+            self.lines.append((text, self.tags, self._state()[1], around, not self.plain and not heading, loose))
             self.tags = 0
         self.plain = False
 
@@ -247,7 +249,8 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     if region.any():
         best = int(weight[1:].argmax()) + 1
         with_content = np.flatnonzero(np.bincount(region, content, page.regions + 1)[1:]) + 1
-        if len(with_content) == 1 or weight[0] <= OUTSIDE * chars[region == best].sum():
+        alone = page.regions == 1 and not all(x[4] for x, r in zip(lines, region, strict=True) if r)
+        if alone or len(with_content) == 1 or weight[0] <= OUTSIDE * chars[region == best].sum():
             return "\n".join(x[0] for x in lines if x[2] == best)
         # articles without a line above the threshold are teasers
         real = (np.bincount(region, content, page.regions + 1) > 0)[region] | (region == 0)
