@@ -106,6 +106,7 @@ class Coder:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.single = {t: r.to_bytes(4, "little") for t, r in self.ranks.items()}
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         cuts = ((self.ranks.get(t[:k]), self.ranks.get(t[k:]), r) for t, r in self.ranks.items() for k in range(1, len(t)))
@@ -168,7 +169,7 @@ class Coder:
         return [b"".join(made[p] for p in x) for x in cut]
 
     def _encode_parts(self, pieces: list[bytes]) -> list[bytes]:
-        out: list[bytes | None] = [np.array([self.ranks[p]], "<u4").tobytes() if p in self.ranks else None for p in pieces]
+        out: list[bytes | None] = list(map(self.single.get, pieces))
         left = [k for k, x in enumerate(out) if x is None]
         left.sort(key=lambda k: len(pieces[k]))  # alike lengths end after alike rounds
         most = len(pieces[left[-1]]) if left else 0
@@ -182,7 +183,7 @@ class Coder:
                 ended = {}
                 for k, (step, x) in zip(list(todo), ids, strict=True):
                     if step < steps:
-                        ended[k] = out[k] = x.astype("<u4").tobytes()
+                        ended[k] = out[k] = x.tobytes()
                     todo[k] = x
                 todo = {k: x for k, x in todo.items() if k not in ended}
         if most >= LONG:
@@ -199,7 +200,7 @@ class Coder:
         query = MANY.replace("$reach", str(2 * self.longest + 4)).replace("$steps", str(steps)) if many else ENCODE.replace("?", str(steps))
         got = self.db.sql(query).to_arrow_table()
         lists = got.column("ids").combine_chunks()
-        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+        values, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy().tolist()
         return [(s, values[i:j]) for s, i, j in zip(got.column("step").to_pylist(), ends[:-1], ends[1:], strict=True)]
 
     @staticmethod
