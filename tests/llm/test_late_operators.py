@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from newsdesk.llm import codes, entries, substrings, variants
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, word string, n int, tk int, at int, size int, first int, label int"
 RNG = random.Random(11)
@@ -267,3 +268,31 @@ def test_very_long_words_through_the_operator(spark):
         text = texts[r["doc_id"]]
         ids = np.array(encoding.encode_ordinary(text), "<u4").tobytes()
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+# 8 document fingerprints: containment of texts of very unequal lengths
+
+
+def test_containment_of_unequal_texts_by_brute_force(spark):
+    """The estimate's error stays within four of its standard errors, and within a half of one on average over all pairs."""
+    from newsdesk.llm import sketch
+
+    word = lambda: "".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 6)))
+    pairs = []
+    for k in range(40):
+        long = [word() for _ in range(RNG.choice((800, 3000, 6000)))]
+        n = RNG.choice((60, 150, 400))
+        held = RNG.randint(0, n)
+        at = RNG.randrange(len(long) - n + 1)
+        pairs.append((k, " ".join(long), " ".join(long[at : at + held] + [word() for _ in range(n - held)])))
+    made = spark.createDataFrame(pairs, "k int, a string, b string").repartition(8).select("k", sketch.sketch(F.col("a")).alias("a"), sketch.sketch(F.col("b")).alias("b"))
+    rows = made.cache().select("k", sketch.compare(F.col("a"), F.col("b")).alias("c")).select("k", "c.basis", "c.near").collect()
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    errors = []
+    for r in rows:
+        _, a, b = pairs[r["k"]]
+        exact = len(shingles(a) & shingles(b)) / len(shingles(b))
+        deviation = math.sqrt(max(exact * (1 - exact), 0.01) / max(1, r["basis"]))
+        errors.append((r["near"] - exact) / deviation)
+        assert abs(errors[-1]) <= 4 or r["basis"] == 0
+    assert abs(sum(errors) / len(errors)) < 0.5
