@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .functions.extract import is_ai_category
 from .functions.text import is_account_article
 from .operators import dedup, documents, editorial, numbering, report, topics
-from .operators.documents import ORDER, Heading
+from .operators.documents import Heading
 from .sources import catalog, enrich, feeds, http, models, transcripts, workspace
 from .storage import stored
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import category_name, category_order, demote_headings, escape_cell
+from ..functions.text import category_order
 
 
 def with_tldr(lines: DataFrame, tldr: DataFrame) -> DataFrame:

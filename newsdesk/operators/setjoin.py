@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keywords import jaccard
-from ..storage import discard, stored
+from ..storage import discard, scratch, stored
 
 
 #: Edges that one task may look at: a memory bound.
@@ -188,15 +188,16 @@ def connected(groups: DataFrame, threshold: float, rare: int = 64, block: int =
     sets first; sets that these have connected are not compared with each other again, and of a frequent word only such sets as may be
     similar enough through it. No pair leaves a task but the links of a spanning forest.
     """
-    coded = groups.select("gid", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("codes"))
-    listed = cut(_ranked(groups, threshold).where("df > 1").join(coded, "gid"))
-    tiny = listed.where(F.col("n") * 2 * threshold < 1 + threshold - 1e-9)
-    star = tiny.join(tiny.groupBy("w").agg(F.min("gid").alias("a")), "w").where("a <> gid").select("a", F.col("gid").alias("b"))
-    first = cut(_linked(listed.where(F.col("df") <= rare).withColumn("label", F.col("gid")), threshold, block).union(star))
-    roots = cut(components(groups, first))
-    rest = listed.where(F.col("df") > rare).join(roots.select("gid", F.col("root").alias("label")), "gid")
-    second = _linked(rest, threshold, block, True)
-    return components(groups, first.union(second))
+    with scratch() as lasting:
+        coded = groups.select("gid", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("codes"))
+        listed = cut(_ranked(groups, threshold).where("df > 1").join(coded, "gid"))
+        tiny = listed.where(F.col("n") * 2 * threshold < 1 + threshold - 1e-9)
+        star = tiny.join(tiny.groupBy("w").agg(F.min("gid").alias("a")), "w").where("a <> gid").select("a", F.col("gid").alias("b"))
+        first = cut(_linked(listed.where(F.col("df") <= rare).withColumn("label", F.col("gid")), threshold, block).union(star))
+        roots = cut(components(groups, first))
+        rest = listed.where(F.col("df") > rare).join(roots.select("gid", F.col("root").alias("label")), "gid")
+        second = _linked(rest, threshold, block, True)
+        return lasting(cut(components(groups, first.union(second))))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.keywords import keywords
 from ..functions.urls import article_id
 from ..operators import dedup, editorial, numbering, topics
 from ..sources import feeds, workspace
-from .inputs import TEXT_ARTICLES, URL_VARIANTS, table, text_articles, url_variants
+from .inputs import TEXT_ARTICLES, table, text_articles, url_variants
 from .scalars import ORACLES as SCALAR_SQL
 
 

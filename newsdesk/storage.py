@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _paths: dict[str, SparkSession] = {}
+_scratch: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,9 +55,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.newsdesk_path = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are stored in this context are deleted at its end, but for what is passed to the function that it gives."""
+    made: list[DataFrame] = []
+    _scratch.append(made)
+
+    def lasting(df: DataFrame) -> DataFrame:
+        made[:] = [t for t in made if t is not df]
+        if len(_scratch) > 1:
+            _scratch[-2].append(df)
+        return df
+
+    try:
+        yield lasting
+    finally:
+        _scratch.pop()
+        discard(*made)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`stored` that nothing will read again."""
     for t in tables:

@@ -355,3 +355,23 @@ def test_pace_and_groups():
     with pytest.raises(ZeroDivisionError):
         lanes.side_by_side(lambda x: 1 // x, [1, 0], 2)
     assert lanes.side_by_side(call, [], 4) == []
+
+
+def test_tables_of_a_context_go_at_its_end(spark):
+    from newsdesk import storage
+    from newsdesk.operators import dedup
+
+    def row():
+        return storage.stored(spark.range(3), "x")
+
+    there = lambda t: t.newsdesk_path in storage._paths
+    with storage.scratch() as lasting:
+        a = row()
+        with storage.scratch() as inner:
+            b, c = row(), inner(row())
+        assert there(a) and not there(b) and there(c) and c.count() == 3
+        d = lasting(row())
+    assert not there(a) and not there(c) and there(d) and d.count() == 3
+    before = len(storage._paths)
+    articles = spark.createDataFrame([(k, f"title number {k % 7} of these", f"https://e.com/{k % 11}") for k in range(40)], "pos long, title string, url string")
+    assert dedup.greedy(articles).count() == 7 and len(storage._paths) == before + 1
