@@ -23,9 +23,9 @@ def _longer(articles: DataFrame, pages: DataFrame, content: Column, origin: str,
     return out.drop("__text", "__better")
 
 
-def with_page_text(articles: DataFrame, pages: DataFrame, most: int = MOST) -> DataFrame:
+def with_page_text(articles: DataFrame, pages: DataFrame, most: int = MOST, unfinished: bool = True) -> DataFrame:
     """articles whose page (url, body) has a longer main text get its first characters as full_text, and content_source."""
-    return _longer(articles, pages, main_content(F.col("body")), "enriched", most)
+    return _longer(articles, pages, main_content(F.col("body"), unfinished), "enriched", most)
 
 
 def with_account_text(articles: DataFrame, pages: DataFrame) -> DataFrame:
