@@ -29,8 +29,8 @@ def match_episode(title: Column, listed: Column) -> Column:
     return F.coalesce(same["eid"], part["eid"])
 
 
-def account_body(html: Column) -> Column:
-    """Text between an account page's body mark and the first end mark, if over 100 characters; else null."""
+def account_body(html: Column, unfinished: bool = True) -> Column:
+    """Text between an account page's body mark and the first end mark, if over 100 characters; else null. unfinished: as in :func:`.text.plain_text`."""
     at = lambda mark, start: F.call_function("locate", F.lit(mark), html, start)
 
     def after(mark: str) -> Column:
@@ -40,7 +40,7 @@ def account_body(html: Column) -> Column:
         end = F.coalesce(F.least(*ends), F.length(html) + 1)
         return F.when((found > 0) & (start > 1), F.substring(html, start, end - start))
 
-    text = strip_html(F.coalesce(*map(after, fixed.BODY_MARKS)))
+    text = strip_html(F.coalesce(*map(after, fixed.BODY_MARKS)), unfinished)
     return F.when(F.length(text) > 100, text)
 
 
