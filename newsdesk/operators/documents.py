@@ -481,13 +481,15 @@ def podcast_report(updates: DataFrame, summaries: DataFrame, h: Heading) -> Data
 def account_report(updates: DataFrame, summaries: DataFrame, h: Heading) -> DataFrame:
     """Accounts' articles by category (the known ones first), numbered through. summaries: url (unique), summary."""
     spark, words = updates.sparkSession, fixed.ACCOUNT_LABELS
-    rows = numbering.by_category(updates, list(fixed.ACCOUNT_CATEGORIES)).join(summaries.select(F.col("url").alias("__url"), "summary"), F.col("url") == F.col("__url"), "left")
+    # only what a line shows is numbered and joined, not the whole texts
+    shown = updates.select("pos", "title", "url", "source", "category", truncate(_filled(F.col("description")), 150).alias("description"))
+    rows = numbering.by_category(shown, list(fixed.ACCOUNT_CATEGORIES)).join(summaries.select(F.col("url").alias("__url"), "summary"), F.col("url") == F.col("__url"), "left")
     place = F.array_position(F.array(*map(F.lit, fixed.ACCOUNT_CATEGORIES)), F.col("category")).cast("long")
     heads = updates.groupBy("category").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("met"))
     grp = lambda d: F.when(F.coalesce(place, F.lit(0)) > 0, place - (1 << 62)).otherwise(d["met"])
     rows = rows.join(heads.select(F.col("category").alias("__c"), "met"), F.col("category").eqNullSafe(F.col("__c")))
     title = _piped(F.concat(F.lit("[**"), _filled(F.col("title")), F.lit("**]("), _filled(F.col("url")), F.lit(")")))
-    text = F.when(_filled(F.col("summary")) != "", F.col("summary")).otherwise(truncate(_filled(F.col("description")), 150))
+    text = F.when(_filled(F.col("summary")) != "", F.col("summary")).otherwise(F.col("description"))
     line = _row(F.col("number"), title, _piped(F.concat(F.lit("*"), _filled(F.col("source")), F.lit("*"))), _cell(text))
     name = F.concat(F.lit("## "), category_display(F.col("category")), F.lit(" ("), F.col("n").cast("string"), F.lit(f" {fixed.BRIEF_UNIT})"))
     head = [f"# {words[0]} — {h.date} {h.time}", "", words[1].format(checked=h.checked, hours=h.hours, n=updates.count()), "", "---", ""]
