@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.urls import host
+from ..storage import stored
 from .lanes import HELD, Pace, dealt, side_by_side
 from .snapshots import Store
 
@@ -141,8 +142,11 @@ def fetched(urls: DataFrame, cache: DataFrame | None, fetch: Fetcher, delay: flo
 
 
 def renewed(cache: DataFrame, replies: DataFrame) -> DataFrame:
-    """The cache after a fetch: what the replies say of their urls wins, urls that failed keep what was known."""
-    said = replies.where("body IS NOT NULL AND (etag IS NOT NULL OR last_modified IS NOT NULL)").select("url", "etag", "last_modified")
+    """The cache after a fetch: what the replies say of their urls wins, urls that failed keep what was known.
+
+    What they say is stored first, as it is looked at twice and every look would ask the servers again.
+    """
+    said = stored(replies.where("body IS NOT NULL AND (etag IS NOT NULL OR last_modified IS NOT NULL)").select("url", "etag", "last_modified"), "said")
     return cache.join(said.select("url"), "url", "left_anti").unionByName(said)
 
 
