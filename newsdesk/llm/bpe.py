@@ -39,15 +39,17 @@ from .chunks import ChunkCache, chunk_of
 from .memory import release
 
 #: Rows of one run of the recursive query: a memory bound.
-ROWS = 600_000
+ROWS = 1_200_000
 #: Bytes from which on a piece is cut first; below, its few rounds cost less than looking for cuts. The ids are the same.
 CUT = 24
 #: Bytes from which on a part is contracted at many places in a round, and bytes of memory for each of its bytes.
 LONG, BYTE = 64, 320
 #: MB of a database's memory, without what long parts need.
-MEMORY = 150
+MEMORY = 250
 #: Ids decoded as one group, and ids decoded in one query: memory bounds.
 RUN, AT_ONCE = 100_000, 500_000
+#: Chunks encoded at once, so that a round's fixed cost (the merge table is hashed in each) is shared by many pieces: a memory bound.
+BATCH = 30_000
 #: Pieces kept per worker beside the chunks: a memory bound.
 KEPT_PIECES = 20_000
 _coders: dict[str, Coder] = {}
@@ -57,15 +59,14 @@ WITH RECURSIVE t(step, piece, pos, id) AS (
     SELECT 0, piece, pos, id FROM start
     UNION ALL (
         WITH near AS (
-            SELECT step, piece, pos, id, lead(id) OVER w AS next_id, lag(pos) OVER w AS before
-            FROM t WHERE step < ? WINDOW w AS (PARTITION BY piece ORDER BY pos)
+            SELECT step, piece, pos, id, CASE WHEN lead(piece) OVER w = piece THEN lead(pos * 4294967296 + id) OVER w END AS after
+            FROM t WHERE step < ? WINDOW w AS (ORDER BY piece, pos)
         ), best AS (
-            SELECT piece, min(merged::BIGINT * 4294967296 + pos) AS chosen
-            FROM near JOIN merges ON near.id = merges.l AND near.next_id = merges.r GROUP BY piece
+            SELECT piece, min(merged::BIGINT * 4294967296 + pos) AS chosen, arg_min(after // 4294967296, merged::BIGINT * 4294967296 + pos) AS gone
+            FROM near JOIN merges ON near.id = merges.l AND near.after % 4294967296 = merges.r GROUP BY piece
         )
         SELECT step + 1, piece, pos, CASE WHEN pos = chosen % 4294967296 THEN (chosen // 4294967296)::INTEGER ELSE id END
-        FROM near JOIN best USING (piece)
-        WHERE before IS DISTINCT FROM chosen % 4294967296
+        FROM near JOIN best USING (piece) WHERE pos <> gone
     )
 ), ended AS (SELECT piece, max(step) AS step FROM t GROUP BY piece)
 SELECT piece, step, list(id ORDER BY pos) AS ids FROM t JOIN ended USING (piece, step) GROUP BY piece, step ORDER BY piece
@@ -118,7 +119,7 @@ class Coder:
         for side in (0, 1):
             self.safe[self.rows[self.rows[:, 2] < self.rows[:, side], side]] = False
         self.db = None
-        self.cache = ChunkCache(self.encode_chunks, 1, 400_000, 3 << 20)
+        self.cache = ChunkCache(self.encode_chunks, 1, 800_000, 6 << 20, BATCH)
         self.known_pieces: dict[bytes, bytes] = {}
 
     def open(self) -> None:

@@ -59,15 +59,16 @@ def chunk_of(key: str) -> str:
 class ChunkCache:
     """What ``encode`` makes of the chunks of keys (a byte string, or a tuple of ``columns`` of them), computed in batches.
 
-    at_once: bytes of text that are cut together. kept: known chunks; both bound memory and don't limit what is encoded. Chunks are held in Arrow arrays and looked up by joining
+    at_once: bytes of text that are cut together. kept: known chunks. batch: chunks encoded together; all three bound memory and don't limit what is encoded. Chunks are held in Arrow arrays and looked up by joining
     the distinct keys of a slice with them, so only new chunks become Python objects. Beyond the bound the chunks met least often
     go, with counts that are halved each time.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], columns: int, kept: int, at_once: int) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], columns: int, kept: int, at_once: int, batch: int = 12_000) -> None:
         self.encode = encode
         self.kept = kept
         self.at_once = at_once
+        self.batch = batch
         self.keys = pa.array([], pa.string())
         self.values = [pa.array([], pa.large_binary()) for _ in range(columns)]
         self.met = np.zeros(0, np.int32)
@@ -82,8 +83,8 @@ class ChunkCache:
             added = keys.filter(new)
             missing = added.to_pylist()
             made: list = []
-            for k in range(0, len(missing), 12_000):
-                made += self.encode(missing[k : k + 12_000])
+            for k in range(0, len(missing), self.batch):
+                made += self.encode(missing[k : k + self.batch])
             columns = zip(*made, strict=True) if len(self.values) > 1 else [made]
             self.values = [pa.concat_arrays([old, pa.array(list(x), pa.large_binary())]) for old, x in zip(self.values, columns, strict=True)]
             places[is_new] = len(self.keys) + np.arange(len(missing))

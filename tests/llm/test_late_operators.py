@@ -270,6 +270,26 @@ def test_very_long_words_through_the_operator(spark):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_many_new_chunks_share_the_rounds_of_few_queries():
+    """28,000 distinct words take few runs of the recursive query, as each run hashes the merge table in every round."""
+    import public_tokenizers
+    import pyarrow as pa
+    from newsdesk.llm import bpe
+
+    encoding, _ = library()
+    own = bpe.Coder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 9))) for _ in range(28_000)})
+    runs, rounds = [], own._rounds
+    own._rounds = lambda ids, *rest: runs.append(len(ids)) or rounds(ids, *rest)
+    own.open()
+    texts = [" ".join(words), "", "été " + words[0]]
+    for text, (ids, back) in zip(texts, own.round_trips(pa.array(texts)), strict=True):
+        assert (np.frombuffer(ids, "<u4").tolist(), back.decode()) == (encoding.encode_ordinary(text), text)
+    own.close()
+    assert len(runs) <= 3, runs
+
+
 # 8 document fingerprints: containment of texts of very unequal lengths
 
 
