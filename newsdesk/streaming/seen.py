@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..functions.urls import article_id
@@ -26,48 +26,46 @@ def first_seen(articles: DataFrame, time: str = "ts", delay: str = "30 days") ->
 _ROW = "id string, event string, title string, source string, micros long"
 
 
-class _Tracked(StatefulProcessor):
-    """An id's first title and source, and when it was seen last (in microseconds); a timer removes them after the time to live."""
+#: An id's first title and source, and when it was seen last (in microseconds).
+_STATE = "title string, source string, micros long"
 
-    def __init__(self, ttl: timedelta, renews: bool) -> None:
-        self.ttl, self.renews = ttl // timedelta(microseconds=1), renews
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "title string, source string, micros long")
+def _follow(ttl: timedelta, renews: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """What a batch's rows of one id, or the end of its time to live, make of its state.
 
-    def _timer(self, at: int) -> None:
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer((at + self.ttl) // 1000 + 1)  # the first millisecond after its time to live
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # a batch's rows of one id; those of equal times in the order of their positions
-        b = pd.concat(list(rows)).sort_values(["micros", "pos"], kind="stable")
-        kept, out, moved = (tuple(self.seen.get()) if self.seen.exists() else None), [], False
-        for title, source, at in zip(b["title"], b["source"], b["micros"].tolist(), strict=True):
-            if kept is not None and at - kept[2] > self.ttl:
+    The states come and go with the rows, many ids in one Arrow batch; calls to a state store for each id would cost a round trip each.
+    """
+    span = ttl // timedelta(microseconds=1)
+
+    def each(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, out = (tuple(state.get) if state.exists else None), []
+        if state.hasTimedOut:
+            state.remove()
+            yield _events([(key[0], "removed", *kept)])
+            return
+        # those of equal times in the order of their positions
+        columns = ("micros", "pos", "title", "source")
+        for at, _, title, source in sorted((x for r in rows for x in zip(*(r[c].tolist() for c in columns), strict=True)), key=lambda x: x[:2]):
+            if kept is not None and at - kept[2] > span:
                 out.append((key[0], "removed", *kept))
                 kept = None
             if kept is None:
-                kept, moved = (title, source, at), True
+                kept = (title, source, at)
                 out.append((key[0], "new", *kept))
-            elif self.renews and at > kept[2]:
-                kept, moved = (kept[0], kept[1], at), True
-        if moved:
-            self.seen.update(kept)
-            self._timer(kept[2])
-        yield _events(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.seen.exists():
-            out.append((key[0], "removed", *self.seen.get()))
-            self.seen.clear()
-        yield _events(out)
+            elif renews and at > kept[2]:
+                kept = (kept[0], kept[1], at)
+        end = (kept[2] + span) // 1000  # the last millisecond of its time to live
+        if end < state.getCurrentWatermarkMs():
+            out.append((key[0], "removed", *kept))
+            if state.exists:
+                state.remove()
+        else:
+            state.update(kept)
+            state.setTimeoutTimestamp(end)
+        if out:
+            yield _events(out)
 
-    def close(self) -> None:
-        pass
+    return each
 
 
 def _events(rows: list[tuple]) -> pd.DataFrame:
@@ -88,7 +86,7 @@ def tracked(articles: DataFrame, ttl: timedelta = timedelta(days=30), time: str
     come later than the delay are dropped. The state is as large as the ids within their time to live; run it in :func:`keyed_state`.
     """
     rows = _sightings(articles, time).withWatermark("at", delay)
-    found = rows.groupBy("id").transformWithStateInPandas(_Tracked(ttl, renews), _ROW, "Append", "EventTime")
+    found = rows.groupBy("id").applyInPandasWithState(_follow(ttl, renews), _ROW, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return found.select("id", "event", "title", "source", F.timestamp_micros("micros").alias("at"))
 
 

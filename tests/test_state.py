@@ -252,6 +252,32 @@ def test_seen_ids_of_stream_and_batch_agree(spark, tmp_path):
     assert seen.tracked_batch(made.where("false"), ttl).count() == 0
 
 
+def test_seen_ids_states_come_with_the_rows():
+    """One state and one time limit an id, and no call to a state store: a stand-in of the state that comes with the rows is enough."""
+    import pandas as pd
+
+    class State:
+        value, limit, hasTimedOut, mark = None, None, False, 0
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+        update = lambda self, v: setattr(self, "value", v)
+        remove = lambda self: setattr(self, "value", None)
+        getCurrentWatermarkMs = lambda self: self.mark
+        setTimeoutTimestamp = lambda self, at: setattr(self, "limit", at)
+
+    each, state = seen._follow(timedelta(milliseconds=10), True), State()
+    batch = lambda *rows: pd.DataFrame(rows, columns=["id", "title", "source", "pos", "micros"])
+    run = lambda *frames: [tuple(r) for f in each(("a",), iter(frames), state) for r in f.itertuples(index=False)]
+    assert run(batch(("a", "second", "s", 2, 5000)), batch(("a", "first", "s", 1, 5000))) == [("a", "new", "first", "s", 5000)]
+    assert (state.value, state.limit) == (("first", "s", 5000), 15)
+    assert run(batch(("a", "later", "s", 3, 9000))) == [] and (state.value, state.limit) == (("first", "s", 9000), 19)
+    assert run(batch(("a", "again", "s", 4, 19_001))) == [("a", "removed", "first", "s", 9000), ("a", "new", "again", "s", 19_001)]
+    state.hasTimedOut = True
+    assert run() == [("a", "removed", "again", "s", 19_001)] and state.value is None
+    state.hasTimedOut, state.mark = False, 60
+    assert run(batch(("a", "late", "s", 5, 45_000))) == [("a", "new", "late", "s", 45_000), ("a", "removed", "late", "s", 45_000)] and not state.exists
+
+
 # calls side by side
 
 
