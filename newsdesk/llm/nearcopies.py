@@ -42,6 +42,8 @@ WORDS = 5
 FREQUENT, OFTEN = 500_000, 3
 #: Longs of the parities that go with every prefix shingle.
 SHORT = 4
+#: Pairs of entries of one shingle that meet in one place: beyond that, these are dealt to several.
+MEET = 100_000_000
 #: Nodes whose whole sets a task holds at once, twice: a memory bound.
 CELL = 250
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -164,6 +166,8 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 FITS = "5 * least(n, m) >= 4 * greatest(n, m)"
+#: Sizes that allow it, and enough shingles left from the shared one on (true at the first that two linked sets share).
+LEFT = f"{FITS} AND 9 * least(n - at, m - other_at) >= 4 * (n + m)"
 
 
 def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -247,10 +251,45 @@ def near_pairs(table: DataFrame) -> DataFrame:
     return equal.union(linked).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _longs(bits: str) -> list[Column]:
+    """Parities of ``SHORT`` longs at most as a column for each, zero beyond their number, which is ``longs``: lambdas would be slow for every pair."""
+    return [F.size(bits).alias("longs"), *(F.coalesce(F.get(bits, F.lit(k)), F.lit(0)).alias(f"p{k}") for k in range(SHORT))]
+
+
+def _near_longs(other: str) -> str:
+    """SQL: the same as :func:`_near` of two such parities, the second with the prefix ``other``."""
+    folded = lambda size, k: " ^ ".join(f"{side}p{j}" for side in ("", other) for j in range(k, SHORT, size))
+    bits = lambda size: " + ".join(f"bit_count({folded(size, k)})" for k in range(size))
+    whens = " ".join(f"WHEN least(longs, {other}longs) = {1 << k} THEN {bits(1 << k)}" for k in reversed(range(SHORT.bit_length())))
+    return f"9 * (CASE {whens} END) <= n + m"
+
+
+def mains(rooted: DataFrame) -> DataFrame:
+    """Of each shingle (gram) its largest root (main), and to how many places its entries are dealt."""
+    counts = rooted.groupBy("gram", "root").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"))
+    return counts.select("gram", "main", F.ceil((F.col("all") - F.col("most")) * F.col("all") / MEET).cast("int").alias("places"))
+
+
+def across(rooted: DataFrame, mains: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of nodes of different roots that share a shingle, so far as sizes, places and parities allow.
+
+    Of each shingle, only entries outside of its largest root meet all others, so that pairs of one root that are looked at are never more
+    than those of different ones; entries of a frequent shingle meet in several places. They are shuffled, not broadcast, as they are many
+    times as large in memory as in their files, by whose size Spark would decide.
+    """
+    placed = rooted.join(mains, "gram")
+    left = placed.where("root <> main").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
+    right = placed.select(
+        F.col("gram").alias("g"), F.pmod(F.xxhash64("fp"), F.col("places")).cast("int").alias("other_place"), F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"),
+        F.col("root").alias("other_root"), *(F.col(c).alias(f"other_{c}") for c in ("longs", *(f"p{k}" for k in range(SHORT)))),
+    )
+    met = F.expr(f"root <> other_root AND (other_root = main OR fp < other) AND {LEFT} AND {_near_longs('other_')}")
+    pairs = left.join(right.hint("merge"), (F.col("gram") == F.col("g")) & (F.col("place") == F.col("other_place")) & met)
+    return pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+
+
 def links(table: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that connect all nodes alike; table as :func:`sets` gives it, stored."""
-    # sizes that allow it, and enough shingles left from the shared one on (true at the first that two linked sets share)
-    fits = f"{FITS} AND 9 * least(n - at, m - other_at) >= 4 * (n + m)"
     signs = stored(table.groupBy("fp").agg(F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("short").alias("short")), "signs")
     dealt = Window.partitionBy("gram").orderBy(F.xxhash64("fp", "gram"), "fp")
     entries = table.groupBy("fp").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("fp", "n", F.posexplode("first").alias("at", "gram"))
@@ -258,7 +297,7 @@ def links(table: DataFrame, docs: DataFrame) -> DataFrame:
     entries = entries.select("gram", "fp", "n", "at", F.lag(own, 1).over(dealt).alias("before"), F.lag(own, 2).over(dealt).alias("earlier"), F.lead("fp").over(dealt).alias("after"))
     # shingles of one node only have nothing to connect
     entries = stored(entries.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "entries")
-    near = entries.where("before IS NOT NULL").select("fp", "n", "at", F.explode(F.array("before", "earlier")).alias("o")).select("fp", "n", "at", "o.*").where(fits)
+    near = entries.where("before IS NOT NULL").select("fp", "n", "at", F.explode(F.array("before", "earlier")).alias("o")).select("fp", "n", "at", "o.*").where(LEFT)
     near = near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
     pairs = stored(possible(near.union(near_pairs(table)).distinct(), signs), "pairs")
     first = verified(pairs, docs, signs)
@@ -266,13 +305,12 @@ def links(table: DataFrame, docs: DataFrame) -> DataFrame:
     rooted = entries.join(roots, F.col("fp") == F.col("node"), "left").select("gram", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
     # shingles of one group only have nothing to connect
     several = rooted.groupBy("gram").agg((F.min("root") < F.max("root")).alias("several")).where("several").select("gram")
-    rooted = stored(rooted.join(several, "gram", "left_semi").join(signs.select("fp", "short"), "fp"), "rooted")
-    mirror = rooted.select("gram", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"), F.col("root").alias("other_root"), F.col("short").alias("other_short"))
-    met = F.expr(f"fp < other AND root <> other_root AND {fits} AND {_near('short', 'other_short')}")
-    rest = rooted.withColumnRenamed("gram", "g").join(mirror, (F.col("g") == F.col("gram")) & met).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
-    rest = stored(possible(rest.join(pairs, ["a", "b"], "left_anti"), signs), "pairs")
+    rooted = stored(rooted.join(several, "gram", "left_semi").join(signs.select("fp", *_longs("short")), "fp"), "rooted")
+    largest = stored(mains(rooted), "mains")
+    met = stored(across(rooted, largest), "across")
+    rest = stored(possible(met.join(pairs, ["a", "b"], "left_anti"), signs), "pairs")
     out = first.union(verified(rest, docs, signs))
-    discard(signs, entries, pairs, roots, rooted, rest)
+    discard(signs, entries, pairs, roots, rooted, largest, met, rest)
     return out
 
 

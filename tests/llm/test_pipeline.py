@@ -75,6 +75,45 @@ def test_near_dedup_decides_by_text_where_ids_repeat(spark):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(2, y), (5, x), (5, z)]
 
 
+def test_entries_of_a_large_root_meet_those_of_others_only(spark, monkeypatch):
+    """Pairs across roots are those of the plain condition, also where a shingle is dealt to several places; entries aren't broadcast."""
+    from newsdesk.llm import nearcopies
+
+    rng = np.random.default_rng(8)
+    plain, rows = [], []
+    for fp in range(240):
+        n = int(rng.choice((3, 20, 30, 34, 60, 66, 150, 160)))
+        grams = np.unique(rng.integers(0, 2**63, n, np.uint64) if fp % 3 == 1 else np.arange(n, dtype=np.uint64) * np.uint64(977) + np.uint64(fp % 5))
+        short = nearcopies.folded(nearcopies.parity(grams)).tolist()
+        root = 0 if fp < 150 else 1 if fp < 170 else fp
+        for gram in {0, fp % 4 + 1}:
+            at = int(rng.integers(0, 6))
+            rows.append((gram, fp, len(grams), at, root, short))
+            plain.append((gram, fp, len(grams), at, root, np.array(short, np.int64)))
+
+    def near(x, y, n, m):
+        while len(x) != len(y):
+            x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+        return 9 * int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= n + m
+
+    expected = {
+        (a, b)
+        for g, a, n, at, r, x in plain
+        for h, b, m, other, q, y in plain
+        if g == h and a < b and r != q and 5 * min(n, m) >= 4 * max(n, m) and 9 * min(n - at, m - other) >= 4 * (n + m) and near(x, y, n, m)
+    }
+    rooted = spark.createDataFrame(rows, "gram int, fp long, n int, at int, root long, short array<long>")
+    rooted = rooted.select("gram", "fp", "n", "at", "root", *nearcopies._longs("short"))
+    for most in (nearcopies.MEET, 5_000):
+        monkeypatch.setattr(nearcopies, "MEET", most)
+        out = nearcopies.across(rooted, nearcopies.mains(rooted))
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+    assert len(expected) > 40
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+
+
 def plain_rules(rows):
     """EM a document at a time."""
     patterns = [rules.votes(text_stats(t)) for _, t, _ in rows]
