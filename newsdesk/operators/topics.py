@@ -34,8 +34,9 @@ def clusters(articles: DataFrame, threshold: float = 0.25, merge_guard: bool = F
     merge_guard: with more than ``GUARD`` articles nothing merges, as the reference behaviour has it; off, clusters are the
     components of the similarity graph at any size. pool_singletons: articles alone in their component share the cluster c_other.
     """
-    a = articles.withColumn("kw", F.array_sort(keywords(F.col("title"), F.col("description")))).withColumn("gid", F.when(F.size("kw") > 0, F.sha2(F.to_json("kw"), 256)).otherwise(F.concat(F.lit("none-"), F.col("pos"))))
-    a = a.select("pos", "url", "source", "title", "description", "kw", "gid")
+    # stored, so that texts are read once and keywords made once
+    a = setjoin.cut(articles.select("pos", "url", "source", F.array_sort(keywords(F.col("title"), F.col("description"))).alias("kw"), has_signal(F.col("title"), F.col("description")).alias("signal")))
+    a = a.withColumn("gid", F.when(F.size("kw") > 0, F.sha2(F.to_json("kw"), 256)).otherwise(F.concat(F.lit("none-"), F.col("pos"))))
     if merge_guard and len(articles.select(F.lit(1)).take(GUARD + 1)) > GUARD:
         rooted = a.withColumn("root", F.col("pos").cast("string"))
     else:
@@ -47,7 +48,7 @@ def clusters(articles: DataFrame, threshold: float = 0.25, merge_guard: bool = F
         F.count("*").alias("cluster_size"),
         (F.countDistinct("source") > 1).alias("cross_source"),
         F.avg(source_authority(F.col("source"))).alias("authority"),
-        F.avg(has_signal(F.col("title"), F.col("description")).cast("double")).alias("signal"),
+        F.avg(F.col("signal").cast("double")).alias("signal"),
     )
     score = F.least(F.col("cluster_size") / 5, F.lit(1.0)) * 0.25 + F.when(F.col("cross_source"), 0.25).otherwise(0.05) + F.col("authority") * 0.25 + F.col("signal") * 0.25
     info = info.withColumn("score", F.least(round3(score), F.lit(1.0))).drop("authority", "signal")
